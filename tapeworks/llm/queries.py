@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import bpe, packing, quality
+from tapeworks.llm import bpe, packing, pii, quality
 from tapeworks.llm.shared import table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_packing": lambda s, d: packing.op4_packing(table(s, d, "documents"), _vocabulary("word_bpe_49k.json")),
         "op5_byte_bpe": _byte_bpe,
+        "op7_pii": lambda s, d: pii.op7_pii(table(s, d, "documents")),
         "op8_compression_bands": lambda s, d: quality.op8_compression_bands(table(s, d, "documents")),
     }
 
