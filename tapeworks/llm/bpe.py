@@ -12,17 +12,16 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.words import append_columns, finder
+from tapeworks.llm.words import append_columns, finder, per_worker
 
 #: Pieces whose ids a task keeps; the cache starts anew beyond it.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 
 
 def byte_table() -> dict[int, str]:
@@ -63,9 +62,9 @@ class PieceCache(dict):
             return b"".join(map(self.__getitem__, pieces))
 
 
-def byte_bpe(ranks: dict[bytes, int], pattern: str):
+def byte_bpe(ranks: dict[bytes, int]):
     """A tokenizers pipeline that merges by rank: every split of a token into two known parts is a merge."""
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     chars = byte_table()
     name = {t: "".join(chars[b] for b in t) for t in ranks}
@@ -80,16 +79,14 @@ def byte_bpe(ranks: dict[bytes, int], pattern: str):
     return out
 
 
-def _encoder(path: str, pattern: str) -> Callable[[], tuple]:
-    def setup():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ranks = read_ranks(path)
-        size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for t, r in ranks.items():
-            size[r] = len(t)
-        return finder(pattern), PieceCache(byte_bpe(ranks, pattern)), size
-
-    return setup
+def encoder(path: str, pattern: str) -> tuple:
+    """What finds the pieces of a text, the ids of those met so far, and the bytes in each token."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    ranks = read_ranks(path)
+    size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+    for t, r in ranks.items():
+        size[r] = len(t)
+    return finder(pattern), PieceCache(byte_bpe(ranks)), size
 
 
 def token_offsets(text: str, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +113,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets:
         spans = [token_offsets(t, np.frombuffer(b, dtype="<u4"), size) for t, b in zip(texts, ids)]
         return [pa.array(ids, pa.binary()), [a for a, _ in spans], [b for _, b in spans]]
 
-    return append_columns(df, text, fields, work, _encoder(path, pattern))
+    return append_columns(df, text, fields, work, lambda: per_worker(encoder, path, pattern))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -30,16 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.llm.shared import cut
-from tapeworks.llm.words import append_columns, finder, split_words
+from tapeworks.llm.words import append_columns, finder, per_worker, split_words
 
 WINDOW = 4096
 END_ID = 2
 #: Groups that rows of one tail length are dealt to.
-SALTS = 16
-#: Rows that one group of a running total holds, about.
-RUN_ROWS = 50_000
+SALTS = 256
+#: Rows that one group of a running total holds, about, and the least number of groups.
+RUN_ROWS, RUN_GROUPS = 50_000, 1000
 #: Words whose ids a task keeps; it starts anew beyond it.
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 1_200_000
 
 
 class WordIds:
@@ -126,7 +126,7 @@ def token_windows(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
             out.append((n, [zlib.crc32(own[4 * i : 4 * (i + window)]) for i in range(0, whole, window)], n - whole, zlib.crc32(tail), zlib.compress(tail, 1)))
         return [[x[i] for x in out] for i in range(5)]
 
-    return append_columns(docs, "text", fields, work, lambda: WordIds(path)).drop("text")
+    return append_columns(docs, "text", fields, work, lambda: per_worker(WordIds, path)).drop("text")
 
 
 def combinations(window: int) -> np.ndarray:
@@ -232,7 +232,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     light = tokens.select("row", "doc_id", "n_ids", "tail_n", "tail_crc")
     histogram = {r.tail_n: r.n for r in tokens.where("tail_n > 0").groupBy("tail_n").agg(F.count("*").alias("n")).collect()}
     rows, sequences = plan(histogram, window)
-    groups = max(1, sum(histogram.values()) // RUN_ROWS)
+    groups = max(RUN_GROUPS, sum(histogram.values()) // RUN_ROWS)
     schema = T._parse_datatype_string("tail_n int, rank_from long, rank_to long, first long, each long, place long")
     slots = F.broadcast(spark.createDataFrame(rows, schema))  # at most two rows for each combination
     tails = ranked(light.where("tail_n > 0"), "tail_n", "row", "rank")

@@ -24,7 +24,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
 
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -163,11 +163,23 @@ def finder(pattern: str):
     return find
 
 
+_KEPT: dict = {}
+
+
+def per_worker(make, *key):
+    """make(*key), made once in each Python worker and kept for its later tasks."""
+    k = (make.__module__, make.__qualname__, *key)
+    if k not in _KEPT:
+        _KEPT.clear()  # a worker serves one operator at a time
+        _KEPT[k] = make(*key)
+    return _KEPT[k]
+
+
 def append_columns(df, text: str, fields: dict[str, str], work, setup=None, limit: int = SLICE_BYTES):
     """df with new columns that ``work(texts[, state])`` computes for each slice of texts, in the tasks that read df.
 
     fields: name and DDL type of each new column; a column of df with such a name (in any case) is replaced.
-    work returns one Arrow array or sequence for each field.  setup, if given, makes the state once for each task.
+    work returns one Arrow array or sequence for each field.  setup, if given, gives the state once for each task.
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -185,5 +197,7 @@ def append_columns(df, text: str, fields: dict[str, str], work, setup=None, limi
                 got = work(part.column(text), state) if setup else work(part.column(text))
                 made = [x.cast(t) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(got, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names)
+                del got, made
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *new]))
