@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import bpe, licenses, packing, pii, quality, topk, toxicity
+from tapeworks.llm import bpe, licenses, packing, pii, quality, substrings, topk, toxicity
 from tapeworks.llm.shared import table
 
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pivot_topk": lambda s, d: topk.op1_pivot_topk(table(s, d, "embeddings")),
         "op4_packing": lambda s, d: packing.op4_packing(table(s, d, "documents"), _vocabulary("word_bpe_49k.json")),
         "op5_byte_bpe": _byte_bpe,
+        "op6_line_hashes": lambda s, d: substrings.op6_line_hashes(table(s, d, "documents")),
         "op7_pii": lambda s, d: pii.op7_pii(table(s, d, "documents")),
         "op8_compression_bands": lambda s, d: quality.op8_compression_bands(table(s, d, "documents")),
         "op9_toxicity": lambda s, d: toxicity.op9_toxicity(table(s, d, "documents"), table(s, d, "labels")),

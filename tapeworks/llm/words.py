@@ -175,11 +175,12 @@ def per_worker(make, *key):
     return _KEPT[k]
 
 
-def append_columns(df, text: str, fields: dict[str, str], work, setup=None, limit: int = SLICE_BYTES):
-    """df with new columns that ``work(texts[, state])`` computes for each slice of texts, in the tasks that read df.
+def replace_columns(df, text: str, fields: dict[str, str], work, setup=None, limit: int = SLICE_BYTES):
+    """df with the columns that ``work(batch[, state])`` computes for each slice, in the tasks that read df.
 
     fields: name and DDL type of each new column; a column of df with such a name (in any case) is replaced.
     work returns one Arrow array or sequence for each field.  setup, if given, gives the state once for each task.
+    Slices hold about ``limit`` bytes of the text column, or one row.
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -194,10 +195,19 @@ def append_columns(df, text: str, fields: dict[str, str], work, setup=None, limi
         state = setup() if setup else None
         for batch in batches:
             for part in slices(batch, text, limit):
-                got = work(part.column(text), state) if setup else work(part.column(text))
+                got = work(part, state) if setup else work(part)
                 made = [x.cast(t) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(got, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names)
                 del got, made
         pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *new]))
+
+
+def append_columns(df, text: str, fields: dict[str, str], work, setup=None, limit: int = SLICE_BYTES):
+    """As replace_columns, for work that needs the text column alone: ``work(texts[, state])``."""
+
+    def own(part, *state):
+        return work(part.column(text), *state)
+
+    return replace_columns(df, text, fields, own, setup, limit)
