@@ -10,12 +10,12 @@ from tapeworks.llm.shared import cut
 
 def parted_anew(df: DataFrame, key: str) -> DataFrame:
     """df with its key as a new expression, so that a join on it shuffles both sides and can split a hot key."""
-    return df.withColumn(key, F.col(key) + F.lit(0).cast("long") * F.hash(key))
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(u, m): the smallest of u and its neighbours; edges hold both directions."""
-    return parted_anew(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
+def _least(edges: DataFrame, name: str) -> DataFrame:
+    """The smallest v of each u, with u under another name."""
+    return parted_anew(edges.select(F.col("u").alias(name), "v").groupBy(name).agg(F.min("v").alias("m")), name)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,17 +24,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates the large-star and small-star steps: the number of rounds grows with the logarithm of a component's
     size, and each node of it costs a row a round.  Links to null or to itself are left out.
     """
-    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e, before = cut(e), None
+    e = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        e = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = e.where("u <> v").distinct()
-        # now every edge goes from u to a smaller v
-        small = parted_anew(e.groupBy("u").agg(F.min("v").alias("m")), "u")
-        down = e.join(small, "u")
-        e = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = cut(e.where("u <> v").distinct())
+        ways = F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = e.select(ways.alias("e")).select(F.col("e.u").alias("u"), F.col("e.v").alias("v"))
+        least = _least(both, "large")
+        e = both.join(least, both.u == least.large).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        e = cut(e.distinct())  # every edge goes from u to a smaller v
+        least = _least(e, "small")
+        down = e.join(least, e.u == least.small).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(down.unionByName(least.select(F.col("small").alias("u"), F.col("m").alias("v"))).distinct())
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
