@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import bpe, licenses, neardup, packing, pii, quality, substrings, topk, toxicity
+from tapeworks.llm import bpe, kneserney, licenses, neardup, packing, pii, quality, substrings, topk, toxicity
 from tapeworks.llm.shared import table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pivot_topk": lambda s, d: topk.op1_pivot_topk(table(s, d, "embeddings")),
         "op2_prob_minhash": lambda s, d: neardup.op2_prob_minhash(table(s, d, "documents")),
+        "op3_kneser_ney": lambda s, d: kneserney.op3_kneser_ney(table(s, d, "documents")),
         "op4_packing": lambda s, d: packing.op4_packing(table(s, d, "documents"), _vocabulary("word_bpe_49k.json")),
         "op5_byte_bpe": _byte_bpe,
         "op6_line_hashes": lambda s, d: substrings.op6_line_hashes(table(s, d, "documents")),
