@@ -4,11 +4,48 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import use_shared_folder
+from tapeworks.llm import neardup, packing, pii, substrings, toxicity
+from tapeworks.llm.shared import free_name, use_shared_folder
 
-STAGES: list = []
+TOKENIZER = "word_bpe_49k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity model predicts 0 for; it learns from the labels of documents outside its fold."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one with the smallest id (of repeated ids, one row)."""
+    (first,) = free_name(docs, "class_id")
+    kept = neardup.classes(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(first)).distinct()
+    return docs.join(kept, docs.doc_id == kept[first], "left_semi").dropDuplicates(["doc_id"])
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without lines and passages that an earlier one has; a document that was nothing else goes."""
+    out = substrings.dedupe(docs)
+    nothing_left = (F.size("removed") > 0) & ~out.text.rlike(r"[^\x20\x09-\x0D]")
+    return out.where(~nothing_left).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data replaced by the names of their kinds."""
+    out = pii.redact(pii.find(docs))
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("repeats", cut_repeats), ("personal data", redact), ("packing", pack)]
 
 #: The stages hold models and hashes that SQL can't express; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
