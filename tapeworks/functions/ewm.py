@@ -24,35 +24,26 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], keys: tuple[str
     """df with a column for each spec: name -> (column, a, least)."""
     w = by_time(*keys)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    temporary: list[str] = []
-    ordinals = {c: f"__n_{c}" for c, _, _ in specs.values()}
-    for c, n in ordinals.items():
-        df = df.withColumn(n, F.count(c).over(w) - 1)
-    temporary += ordinals.values()
-    blocks = {}
+    decay = {name: -math.log1p(-a) for name, (_, a, _) in specs.items() if a < 1}
+    size = {name: int(600 / q) for name, q in decay.items()}
+    number = {name: f"__n_{c}" for name, (c, _, _) in specs.items()}
+    df = df.withColumns({f"__n_{c}": F.count(c).over(w) - 1 for c, _, _ in specs.values()})
+    df = df.withColumns({f"__b_{name}": F.floor(F.col(number[name]) / size[name]) for name in decay})
+    inside = {}
+    for name, q in decay.items():
+        c, a, _ = specs[name]
+        n = F.col(number[name])
+        k = n % size[name]
+        total = F.sum(F.when(n == 0, 1.0).otherwise(a) * F.col(c) * F.exp(k * q)).over(Window.partitionBy(*keys, f"__b_{name}").orderBy("ts"))
+        inside[f"__p_{name}"] = total * F.exp(-k * q)
+    df = df.withColumns(inside)
+    result = {}
     for name, (c, a, least) in specs.items():
-        if a >= 1:
-            continue
-        size = int(600 / -math.log1p(-a))
-        df = df.withColumn(f"__b_{name}", F.floor(F.col(ordinals[c]) / size))
-        blocks[name] = size
-        temporary.append(f"__b_{name}")
-    for name, (c, a, _) in specs.items():
-        if a >= 1:
-            continue
-        n, q = F.col(ordinals[c]), -math.log1p(-a)
-        k = n % blocks[name]
-        weight = F.when(n == 0, 1.0).otherwise(a)
-        inside = F.sum(weight * F.col(c) * F.exp(k * q)).over(Window.partitionBy(*keys, f"__b_{name}").orderBy("ts"))
-        df = df.withColumn(f"__p_{name}", inside * F.exp(-k * q))
-        temporary.append(f"__p_{name}")
-    for name, (c, a, least) in specs.items():
-        n = F.col(ordinals[c])
-        if a >= 1:
-            value = F.col(c)
-        else:
-            k, q, p = n % blocks[name], -math.log1p(-a), F.col(f"__p_{name}")
-            carried = F.last(F.when(k == blocks[name] - 1, p), ignorenulls=True).over(before)
-            value = p + F.coalesce(carried, F.lit(0.0)) * F.exp(-(k + 1) * q)
-        df = df.withColumn(name, F.when((n + 1 >= least) & F.col(c).isNotNull(), value))
-    return df.drop(*temporary)
+        n, value = F.col(number[name]), F.col(c)
+        if a < 1:
+            k, p = n % size[name], F.col(f"__p_{name}")
+            carried = F.last(F.when(k == size[name] - 1, p), ignorenulls=True).over(before)
+            value = p + F.coalesce(carried, F.lit(0.0)) * F.exp(-(k + 1) * decay[name])
+        result[name] = F.when((n + 1 >= least) & F.col(c).isNotNull(), value)
+    temporary = {*number.values(), *(f"__{x}_{name}" for x in "bp" for name in decay)}
+    return df.withColumns(result).drop(*temporary)

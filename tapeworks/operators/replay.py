@@ -101,7 +101,7 @@ def forward_returns(df: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> Data
     df = df.withColumn("entry_price", F.nullif(F.lead("open").over(w), F.lit(0.0))).withColumn("entry_time", F.lead("ts").over(w))
     ahead = w.rowsBetween(1, 1 + max(horizons))
     worst = F.when(F.col("direction") == "Bullish", F.min("low").over(ahead)).otherwise(F.max("high").over(ahead))
-    df = df.withColumn("mae", F.round(F.least(sign * (worst - F.col("entry_price")) / F.col("entry_price") * 100, F.lit(0.0)), 3))
+    df = df.withColumn("mae", F.when(sign * (worst - F.col("entry_price")) < 0, F.round(sign * (worst - F.col("entry_price")) / F.col("entry_price") * 100, 3)).when(F.col("entry_price").isNotNull(), 0.0))
     pairs = F.array(*(F.struct(F.lit(h).alias("h"), F.round(sign * (F.lead("close", 1 + h).over(w) - F.col("entry_price")) / F.col("entry_price") * 100, 3).alias("r")) for h in horizons))
     return df.withColumn("__r", pairs).withColumn("returns", F.map_from_entries(F.filter("__r", lambda x: x["r"].isNotNull()))).drop("__r")
 
@@ -162,7 +162,7 @@ def param_win_rates(bars: DataFrame, timeframe: str, p: Params, horizon: int = 5
         t = trades(nofm_signal(series, params, required, p, timeframe), p, (horizon,))
         if name == "rel_volume":
             t = t.where("vol_confirmed")
-        parts.append(t.select(F.lit(name).alias("param"), F.element_at("returns", horizon).alias("r")))
+        parts.append(t.select(F.lit(name).alias("param"), F.try_element_at("returns", F.lit(horizon)).alias("r")))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

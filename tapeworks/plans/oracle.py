@@ -57,7 +57,7 @@ CTES: dict[str, str] = {
         "CAST(DATE '2024-01-25' + CAST(28 * (p_size % 3) AS INTEGER) AS DATE) AS expiry FROM (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN 'nifty' ELSE 'S' || (p_partkey % 10) END AS nm FROM part)"
     ),
     "near": "SELECT name, arg_min(tradingsymbol, (expiry, instrument_token)) AS tradingsymbol, arg_min(instrument_token, (expiry, instrument_token)) AS instrument_token, min(expiry) AS expiry FROM instruments WHERE instrument_type = 'FUT' AND expiry >= DATE '2024-02-01' GROUP BY name",
-    "oi_ticks": "SELECT *, 100000.0 + sum(sgn * qty) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS oi FROM ticks",
+    "oi_ticks": "SELECT *, 2000.0 + sum(sgn * qty) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS oi FROM ticks",
     "oi_bins": f"SELECT symbol, last(ts ORDER BY ts, event_id) AS ts, last(CAST(oi AS DOUBLE) ORDER BY ts, event_id) AS oi, last(price ORDER BY ts, event_id) AS close FROM oi_ticks GROUP BY symbol, {BUCKETS['3minute']}",
     "oi_samples": "SELECT symbol, ts, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) % 50 <> 0 THEN oi END AS oi, close FROM oi_bins",
 }
@@ -90,7 +90,7 @@ def indicators(p: str, source: str, fast: int, slow: int, n_rsi: int = 9) -> dic
         "FROM (SELECT *, CASE WHEN rn >= 14 AND a <> 0 AND sp + sm <> 0 THEN 100 * abs(100 * sp / a - 100 * sm / a) / (100 * sp / a + 100 * sm / a) END AS dx "
         f"FROM (SELECT e.symbol, e.rn, {mean(af, 'r.f', 'e.close')} AS f, {mean(asl, 'r.s', 'e.close')} AS s, r.sig AS sig0, {mean(ag, 'r.ema', 'e.close')} AS ema, CASE WHEN r.g IS NULL THEN e.up ELSE {mean(ar, 'r.g', 'e.up')} END AS g, "
         f"CASE WHEN r.l IS NULL THEN e.dn ELSE {mean(ar, 'r.l', 'e.dn')} END AS l, {mean(a14, 'r.a', 'e.tr')} AS a, {mean(a14, 'r.sp', 'e.pdm')} AS sp, {mean(a14, 'r.sm', 'e.mdm')} AS sm, r.dxe AS dxe0, r.ndx AS ndx0 FROM {p}rec r JOIN {p}inp e ON e.symbol = r.symbol AND e.rn = r.rn + 1))",
-        f"{p}one": f"SELECT e.*, CASE WHEN e.rn - 1 >= {n_rsi} AND r.l <> 0 THEN 100 - 100 / (1 + r.g / r.l) END AS rsi, r.f - r.s AS macd, r.sig AS macd_signal, r.ema AS ema, CASE WHEN e.rn >= 14 THEN r.a END AS atr, CASE WHEN r.ndx >= 14 AND r.dx IS NOT NULL THEN r.dxe END AS adx, "
+        f"{p}one": f"SELECT e.*, r.f AS f_line, r.s AS s_line, CASE WHEN e.rn - 1 >= {n_rsi} AND r.l <> 0 THEN 100 - 100 / (1 + r.g / r.l) END AS rsi, r.f - r.s AS macd, r.sig AS macd_signal, r.ema AS ema, CASE WHEN e.rn >= 14 THEN r.a END AS atr, CASE WHEN r.ndx >= 14 AND r.dx IS NOT NULL THEN r.dxe END AS adx, "
         "coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume AS flow, (high + low + close) / 3 * volume AS tpv "
         f"FROM {p}inp e JOIN {p}rec r USING (symbol, rn)",
         f"{p}two": f"SELECT *, CASE WHEN count(rsi) OVER ({w} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) = 9 THEN avg(rsi) OVER ({w} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) END AS rsi_smooth, "
@@ -145,7 +145,7 @@ def replayed(p: str, source: str, votes: list[tuple[str, str]], required: int, g
         f"{p}dir": f"SELECT *, CASE WHEN bull >= {required} AND bear < {required} THEN 'Bullish' ELSE 'Bearish' END AS direction, (bull >= {required}) <> (bear >= {required}) AS raw FROM {p}vote",
         f"{p}sig": f"SELECT *, raw AND {gates} AS has_signal, CASE WHEN direction = 'Bullish' THEN 1.0 ELSE -1.0 END AS sign FROM {p}dir {extra}",
         f"{p}edge": f"SELECT *, has_signal AND NOT coalesce(lag(has_signal) OVER ({_w}), false) AS entry, nullif(lead(open) OVER ({_w}), 0) AS ep, lead(ts) OVER ({_w}) AS entry_time FROM {p}sig",
-        f"{p}ret": f"SELECT *, {returns}, round(least(sign * (CASE WHEN direction = 'Bullish' THEN min(low) {ahead} ELSE max(high) {ahead} END - ep) / ep * 100, 0.0), 3) AS mae, coalesce(rel_volume > 1.2, false) AS vol_confirmed FROM {p}edge",
+        f"{p}ret": f"SELECT *, {returns}, CASE WHEN sign * (CASE WHEN direction = 'Bullish' THEN min(low) {ahead} ELSE max(high) {ahead} END - ep) < 0 THEN round(sign * (CASE WHEN direction = 'Bullish' THEN min(low) {ahead} ELSE max(high) {ahead} END - ep) / ep * 100, 3) WHEN ep IS NOT NULL THEN 0.0 END AS mae, coalesce(rel_volume > 1.2, false) AS vol_confirmed FROM {p}edge",
         f"{p}trades": f"SELECT * FROM {p}ret WHERE entry AND ep IS NOT NULL AND r5 IS NOT NULL",
     }
 
@@ -165,6 +165,22 @@ CTES["t_long"] = "SELECT direction, vol_confirmed, h AS horizon, r FROM (SELECT
 CTES["rates"] = " UNION ALL ".join(f"SELECT '{n}' AS param, count(*) AS trades, round(avg(CAST(r5 > 0 AS INTEGER)) * 100, 2) AS win_rate FROM {p}trades{c} HAVING count(*) > 0" for n, p, c in (("rsi_cross", "v1_", ""), ("macd_cross", "v2_", ""), ("ema_bb_cross", "v3_", ""), ("rel_volume", "v4_", " WHERE vol_confirmed")))
 CTES["weights"] = "SELECT p.param, round(0.2 / count(*) OVER () + 0.8 * coalesce(coalesce(win_rate / 100, 0.25) / nullif(sum(coalesce(win_rate / 100, 0.25)) OVER (), 0), 0), 4) AS weight FROM (SELECT unnest(['rsi_cross', 'macd_cross', 'ema_bb_cross', 'rel_volume']) AS param) p LEFT JOIN rates r ON p.param = r.param"
 
+CTES |= {
+    "idx_dir": "SELECT CASE WHEN chg > 0 THEN 'Bullish' WHEN chg < 0 THEN 'Bearish' END AS index_direction FROM (SELECT ts, round((close - lag(close) OVER (ORDER BY ts)) / nullif(lag(close) OVER (ORDER BY ts), 0) * 100, 2) AS chg FROM idx60) ORDER BY ts DESC LIMIT 1",
+    "sec_dir": "SELECT symbol AS sector, CASE WHEN chg > 0 THEN 'Bullish' WHEN chg < 0 THEN 'Bearish' END AS sector_direction FROM (SELECT symbol, ts, round((close - lag(close) OVER w) / nullif(lag(close) OVER w, 0) * 100, 2) AS chg FROM sec60 WINDOW w AS (PARTITION BY symbol ORDER BY ts)) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1",
+    "breadth": "SELECT bullish, bearish, round(bullish / nullif(bullish + bearish, 0) * 100, 1) AS bullish_pct, round(bearish / nullif(bullish + bearish, 0) * 100, 1) AS bearish_pct FROM (SELECT count(*) FILTER (direction = 'Bullish') AS bullish, count(*) FILTER (direction = 'Bearish') AS bearish FROM sig)",
+    "wide": "SELECT max(CASE WHEN param = 'rsi_cross' THEN weight END) AS w1, max(CASE WHEN param = 'macd_cross' THEN weight END) AS w2, max(CASE WHEN param = 'ema_bb_cross' THEN weight END) AS w3, max(CASE WHEN param = 'rel_volume' THEN weight END) AS w4 FROM weights",
+    "oi_last": "SELECT * FROM oi_state QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1",
+    "paper": "SELECT md5(symbol || '|60minute|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || direction) AS id, symbol, direction, ts AS signal_time, entry_time, ep, sign, 10 AS h, ts + INTERVAL '1 hour' AS logged_at, vol_confirmed, CAST(2 + (bull + bear) % 3 AS INTEGER) AS aligned FROM t_trades",
+    "num": "SELECT symbol, ts, open, high, low, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars60",
+    "res_e": "SELECT p.*, e.n AS en, e.open AS eopen FROM paper p JOIN num s ON s.symbol = p.symbol AND s.ts = p.signal_time LEFT JOIN num e ON e.symbol = p.symbol AND e.n = s.n + 1",
+    "res": "SELECT r.*, round(eopen, 2) AS entry_price, round(x.close, 2) AS exit_price, round(sign * (round(x.close, 2) - round(eopen, 2)) / nullif(round(eopen, 2), 0) * 100 - (0.03 + 2 * 0.01), 3) AS return_pct FROM res_e r LEFT JOIN num x ON x.symbol = r.symbol AND x.n = r.en + 10",
+    "arts": "SELECT md5(CAST(d.doc_id AS VARCHAR)) AS uuid, d.doc_id, unnest(['S' || (d.doc_id % 10), 'S' || ((d.doc_id + 3) % 10), 'X' || (d.doc_id % 7) || '.US']) AS symbol, coalesce(l.quality * 1.0, 0.0) AS sentiment FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "flat": "SELECT a.* FROM arts a WHERE symbol IN (SELECT symbol FROM watchlist)",
+}
+CTES |= indicators("x_", "idx3", 5, 13, 7)
+CTES |= indicators("y_", "bars15m3", 5, 13)
+
 
 def query(body: str) -> str:
     """body with the common table expressions that it needs, in order."""
@@ -182,4 +198,4 @@ def query(body: str) -> str:
 
 
 def ts(c: str = "ts") -> str:
-    return f"CAST(epoch({c}) AS BIGINT) AS {c.split('.')[-1]}"
+    return f"CAST(floor(epoch({c})) AS BIGINT) AS {c.split('.')[-1]}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from tapeworks.operators import enrich, journal, lookups, news, oi, replay, scal
 from tapeworks.params import Params
 from tapeworks.plans.oracle import BUCKETS, query, ts
 from tapeworks.sources import market as M
+from tapeworks.streaming import jobs
 
 P60, P15 = Params(timeframe="60minute"), Params(timeframe="15minute")
 CROSSES = ("rsi_cross", "macd_cross", "ema_bb_cross")
@@ -166,7 +169,7 @@ T_COLS = "symbol signal_time entry_time direction entry_price r5 r10 r20 mae vol
 
 
 def long_trades(t: DataFrame) -> DataFrame:
-    return out(t.withColumns({f"r{h}": F.element_at("returns", h) for h in (5, 10, 20)}) if True else t, T_COLS)
+    return out(t.withColumns({f"r{h}": F.try_element_at("returns", F.lit(h)) for h in (5, 10, 20)}), T_COLS)
 
 
 def trades_sql(p: str, tail: str = "") -> str:
@@ -195,7 +198,7 @@ def voted(s: SparkSession, d: str) -> DataFrame:
 register("param_votes", lambda s, d: out(voted(s, d), "symbol ts bull bear"), sql("symbol ts bull bear", "a_vote"))
 register("nofm_signal", lambda s, d: out(voted(s, d), "symbol ts direction has_signal"), sql("symbol ts direction has_signal", "a_sig"))
 register("entries", lambda s, d: out(replay.entries(voted(s, d)).where("entry"), "symbol ts direction"), sql("symbol ts direction", "a_edge", "", "entry"))
-register("forward_returns", lambda s, d: out(replay.forward_returns(replay.entries(voted(s, d))).withColumn("r5", F.element_at("returns", 5)), "symbol ts r5"), sql("symbol ts r5", "a_ret"))
+register("forward_returns", lambda s, d: out(replay.forward_returns(replay.entries(voted(s, d))).withColumn("r5", F.try_element_at("returns", F.lit(5))), "symbol ts r5"), sql("symbol ts r5", "a_ret"))
 register("mae", lambda s, d: out(replay.forward_returns(replay.entries(voted(s, d))), "symbol ts mae"), sql("symbol ts mae", "a_ret"))
 register("regime_volume_hot", lambda s, d: series(s, d).where("error is null").groupBy("symbol", replay.volume_hot(P60, True).alias("hot")).agg(F.count("*").alias("n")), query("SELECT symbol, coalesce(rel_volume > 1.2 * CASE WHEN adx <= 18 THEN 1.3 ELSE 1.0 END, false) AS hot, count(*) AS n FROM h_ind WHERE NOT short GROUP BY 1, 2"))
 _STATS = "count(*) AS trades, round(avg(CAST(r > 0 AS INTEGER)) * 100, 2) AS win_rate, round(avg(r), 3) AS avg_return, max(r) AS best, min(r) AS worst"
@@ -231,6 +234,130 @@ register("oi_break_signal", lambda s, d: out(oi.oi_state(OI(s, d)).where("break_
 register("oi_accel_events", lambda s, d: out(oi.oi_state(OI(s, d)).where("accel_event"), "symbol ts accel_label"), sql("symbol ts accel_label", "oi_state", "", "accel_event"))
 
 
+# the scan's context
+def index_dir(s: SparkSession, d: str) -> DataFrame:
+    return enrich.index_direction(B.index_bars(M.ticks(s, d), "60minute", F.lit("IDX")))
+
+
+def sector_dirs(s: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    m = M.regions(s, d)
+    t = M.ticks(s, d).join(F.broadcast(m), "symbol")
+    return enrich.sector_directions(B.index_bars(t, "60minute", F.col("sector")), rows, m)
+
+
+def rows_of(s: SparkSession, d: str) -> DataFrame:
+    return signals(s, d).where("error is null")
+
+
+def scan(s: SparkSession, d: str) -> DataFrame:
+    rows = rows_of(s, d)
+    setups = journal.setup_confidence(paper_resolved(s, d))
+    return enrich.enrich(rows, P60, index_dir(s, d), M.regions(s, d), sector_dirs(s, d, rows), weights(s, d), setups, oi.oi_state(OI(s, d)))
+
+
+def paper(s: SparkSession, d: str) -> DataFrame:
+    """A paper trade for each replay trade, ten bars long."""
+    v = replay.nofm_signal(series(s, d).where("error is null"), CROSSES, 1, P60, "60minute")
+    t = replay.forward_returns(replay.entries(v)).where("entry and entry_price is not null and size(returns) > 0")
+    t = t.withColumn("vol_confirmed", replay.volume_hot(P60)).withColumn("aligned", (2 + (F.col("bull") + F.col("bear")) % 3).cast("int"))
+    t = t.withColumns({f: F.lit(None).cast("boolean") for f in journal.FACTORS if f != "vol_confirmed"})
+    return journal.log_trades(t, "60minute", 10, 0.03, 0.01).withColumn("logged_at", F.col("signal_time") + F.make_dt_interval(hours=F.lit(1)))
+
+
+def paper_resolved(s: SparkSession, d: str) -> DataFrame:
+    return journal.forward_resolve(paper(s, d), bars(s, d, "60minute"))
+
+
+_BULL = "CASE WHEN direction = 'Bullish' THEN bullish_pct ELSE bearish_pct END"
+register("index_filter", lambda s, d: enrich.index_filter(rows_of(s, d), index_dir(s, d), P60).select("symbol", "index_direction", "index_agrees"), query("SELECT symbol, index_direction, coalesce(index_direction = direction, true) AS index_agrees FROM sig JOIN idx_dir ON true"))
+register("join_index_direction", lambda s, d: index_dir(s, d), query("SELECT * FROM idx_dir"))
+register("sector_filter", lambda s, d: enrich.sector_filter(rows_of(s, d), M.regions(s, d), sector_dirs(s, d, rows_of(s, d)), P60).select("symbol", "sector", "sector_direction", "sector_agrees"), query("SELECT g.symbol, m.sector, sector_direction, coalesce(sector_direction = direction, true) AS sector_agrees FROM sig g LEFT JOIN sector_map m ON m.symbol = g.symbol LEFT JOIN sec_dir x ON x.sector = m.sector"))
+register("join_sector", lambda s, d: sector_dirs(s, d, rows_of(s, d)), query("SELECT * FROM sec_dir"))
+register("breadth", lambda s, d: enrich.breadth(signals(s, d)), query("SELECT * FROM breadth"))
+register("breadth_filter", lambda s, d: enrich.breadth_filter(rows_of(s, d), enrich.breadth(rows_of(s, d)), P60).select("symbol", "breadth_agrees"), query(f"SELECT symbol, coalesce({_BULL} >= 30, true) AS breadth_agrees FROM sig JOIN breadth ON true"))
+register("param_tier", lambda s, d: enrich.param_tier(rows_of(s, d)).select("symbol", "param_tier"), query("SELECT symbol, aligned AS param_tier FROM sig"))
+register("volume_flow_filter", lambda s, d: enrich.volume_flow_filter(rows_of(s, d), Params(require_flow=True)).select("symbol", "signal_confirmed"), query("SELECT symbol, signal_confirmed AND flow_agrees AS signal_confirmed FROM sig"))
+register("candle_filter", lambda s, d: enrich.candle_filter(rows_of(s, d), Params(require_candle=True)).select("symbol", "signal_confirmed"), query("SELECT symbol, signal_confirmed AND candle_agrees AS signal_confirmed FROM sig"))
+_SCORE = "round((CASE WHEN rsi_state = direction THEN w1 ELSE 0 END + CASE WHEN macd_state = direction THEN w2 ELSE 0 END + CASE WHEN ema_bb_state = direction THEN w3 ELSE 0 END + CASE WHEN vol_confirmed THEN w4 ELSE 0 END) * 100, 1)"
+register("weighted_score", lambda s, d: enrich.weighted_score(rows_of(s, d), weights(s, d)).select("symbol", "weighted_score"), query(f"SELECT symbol, {_SCORE} AS weighted_score FROM sig JOIN wide ON true"))
+register("market_hours", lambda s, d: bars(s, d, "15minute").groupBy("symbol", enrich.market_hours(F.col("ts")).alias("open_now")).agg(F.count("*").alias("n")), query("SELECT symbol, isodow(ts) <= 5 AND CAST(ts AS TIME) BETWEEN TIME '09:15:00' AND TIME '15:30:00' AS open_now, count(*) AS n FROM bars15 GROUP BY 1, 2"))
+_POS = "aligned >= 2 AND coalesce(structure = CASE WHEN direction = 'Bullish' THEN 'Long Buildup' ELSE 'Short Buildup' END, false) AND coalesce(index_direction = direction, true)"
+_CONV = f"coalesce(({_POS}) AND aligned = 4 AND break_signal = CASE WHEN direction = 'Bullish' THEN 'Break Up' ELSE 'Break Down' END AND vol_multiple >= 1.5 AND vs_vwap = CASE WHEN direction = 'Bullish' THEN 'Above' ELSE 'Below' END, false)"
+_SCAN = "FROM sig g LEFT JOIN oi_last o ON o.symbol = g.symbol JOIN idx_dir ON true"
+register("positional_qualified", lambda s, d: scan(s, d).select("symbol", "positional_qualified"), query(f"SELECT g.symbol, {_POS} AS positional_qualified {_SCAN}"))
+register("high_conviction", lambda s, d: scan(s, d).select("symbol", "high_conviction"), query(f"SELECT g.symbol, {_CONV} AS high_conviction {_SCAN}"))
+register("oi_move_max", lambda s, d: out(enrich.oi_move_max(scan(s, d)), "symbol oi_move_max"), query(f"SELECT g.symbol, round(greatest(abs(chg_15), abs(chg_30), abs(chg_60), abs(oi_chg_today)), 6) AS oi_move_max {_SCAN}"))
+register("oi_screener", lambda s, d: out(enrich.oi_screener(scan(s, d)), "symbol param_tier structure trend_label oi_chg_today"), query(f"SELECT g.symbol, aligned AS param_tier, structure, coalesce(accel_label, 'New') AS trend_label, round(oi_chg_today, 6) AS oi_chg_today {_SCAN}"))
+register("oi_screener_filter", lambda s, d: enrich.oi_screener_filter(scan(s, d), "s", has_move=True, least_move=0.1).select("symbol", "structure"), query(f"SELECT g.symbol, structure {_SCAN} WHERE greatest(abs(chg_15), abs(chg_30), abs(chg_60), abs(oi_chg_today)) >= 0.1"))
+register("screener_sort", lambda s, d: out(enrich.screener_sort(scan(s, d)), "symbol oi_chg_today"), query(f"SELECT g.symbol, round(oi_chg_today, 6) AS oi_chg_today {_SCAN} ORDER BY oi_chg_today DESC NULLS LAST, g.symbol"))
+register("screener_tiles", lambda s, d: enrich.screener_tiles(scan(s, d)), query(f"SELECT count(*) FILTER (structure = 'Long Buildup') AS long_buildup, count(*) FILTER (structure = 'Short Buildup') AS short_buildup, count(*) FILTER (structure = 'Short Covering') AS short_covering, count(*) FILTER (structure = 'Long Unwinding') AS long_unwinding, count(*) FILTER ({_CONV}) AS high_conviction, count(*) AS symbols {_SCAN}"))
+register("alert_text", lambda s, d: enrich.alert_text(rows_of(s, d)).select("symbol", F.regexp_replace("alert", " at .* ", " ").alias("alert")), query("SELECT symbol, symbol || ' ' || direction || ' (' || aligned || '/4)' AS alert FROM sig"))
+register("scan_digest", lambda s, d: enrich.scan_digest(rows_of(s, d)), query("SELECT string_agg(symbol || ': ' || direction || ' ' || aligned || '/4', chr(10) ORDER BY symbol) AS digest FROM sig"))
+
+# the journal
+_JSTATS = "count(*) AS trades, round(avg(CAST(return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(return_pct), 3) AS avg_return"
+_SETUP = f"SELECT direction, aligned, {_JSTATS} FROM res WHERE return_pct IS NOT NULL GROUP BY 1, 2"
+register("forward_resolve", lambda s, d: out(paper_resolved(s, d), "id entry_price exit_price return_pct status"), query("SELECT id, entry_price, CASE WHEN exit_price IS NOT NULL THEN exit_price END AS exit_price, return_pct, CASE WHEN return_pct IS NULL THEN 'open' ELSE 'resolved' END AS status FROM res"))
+register("journal_scoreboard", lambda s, d: journal.scoreboard(paper_resolved(s, d)), query("SELECT coalesce(lower(direction), 'all') AS grp, count(*) FILTER (return_pct IS NULL) AS open, count(return_pct) AS trades, round(avg(CAST(return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(return_pct), 3) AS avg_return FROM res GROUP BY GROUPING SETS ((), (direction))"))
+register("confidence_by_setup", lambda s, d: journal.confidence_by_setup(paper_resolved(s, d)), query(f"SELECT *, trades < 5 AS low_sample FROM ({_SETUP})"))
+register("setup_confidence", lambda s, d: journal.setup_confidence(paper_resolved(s, d)), query(f"SELECT *, trades < 5 AS low_sample FROM ({_SETUP}) WHERE trades >= 5"))
+register("confidence_by_factor", lambda s, d: journal.confidence_by_factor(paper_resolved(s, d)), query(f"SELECT 'vol_confirmed' AS factor, vol_confirmed AS value, {_JSTATS} FROM res WHERE return_pct IS NOT NULL GROUP BY 1, 2"))
+register("join_setup_confidence", lambda s, d: enrich.join_setup_confidence(rows_of(s, d), journal.setup_confidence(paper_resolved(s, d))).select("symbol", "journal_confidence"), query(f"SELECT g.symbol, x.win_rate AS journal_confidence FROM sig g LEFT JOIN (SELECT * FROM ({_SETUP}) WHERE trades >= 5) x ON x.direction = g.direction AND x.aligned = g.aligned"))
+register("risk_budget", lambda s, d: journal.risk_budget(paper_resolved(s, d), _lit_day(), P60), query(f"SELECT trades_today, open_positions, trades_today * 1.0::DOUBLE AS risk_pct, trades_today * 1.0 > 3 AS risk_exceeded, open_positions > 5 AS positions_exceeded FROM (SELECT count(*) FILTER (CAST(logged_at AS DATE) = DATE '{LAST_DAY}') AS trades_today, count(*) FILTER (return_pct IS NULL) AS open_positions FROM res)"))
+register("sector_concentration", lambda s, d: journal.sector_concentration(paper_resolved(s, d), M.regions(s, d), _lit_day()), query(f"SELECT sector, count(*) AS trades FROM res JOIN sector_map USING (symbol) WHERE CAST(logged_at AS DATE) = DATE '{LAST_DAY}' GROUP BY 1 HAVING count(*) >= 2"))
+register("journal_delete", lambda s, d: journal.delete_trades(paper(s, d), paper(s, d).where("symbol = 'S1'")).select("id", "symbol"), query("SELECT id, symbol FROM paper WHERE symbol <> 'S1'"))
+register("journal_log", lambda s, d: out(paper(s, d), "id symbol direction aligned signal_time"), query(f"SELECT id, symbol, direction, aligned, {ts('signal_time')} FROM paper"))
+
+# news and alerts
+register("news_flatten", lambda s, d: news.news_flatten(M.articles(s, d), M.watchlist(s, d)).select("uuid", "symbol", "sentiment"), query("SELECT uuid, symbol, CAST(sentiment AS DOUBLE) AS sentiment FROM flat"))
+register("news_dedupe", lambda s, d: news.news_dedupe(news.news_flatten(M.articles(s, d), M.watchlist(s, d)), M.watchlist(s, d)).select("uuid", "symbol"), query("SELECT uuid, min(symbol) AS symbol FROM flat GROUP BY 1"))
+register("news_top3", lambda s, d: news.news_top(news.news_flatten(M.articles(s, d), M.watchlist(s, d))).select("symbol", "rank", "uuid"), query("SELECT symbol, CAST(rank AS INTEGER) AS rank, uuid FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY uuid) AS rank FROM flat) WHERE rank <= 3"))
+register(
+    "alert_dedupe",
+    lambda s, d: out(news.alert_dedupe(replay.entries(voted(s, d)).withColumn("fresh_signal", F.when(F.col("entry"), F.col("direction"))).withColumn("vol_confirmed", replay.volume_hot(P60)).withColumn("htf_agrees", F.lit(True))), "symbol ts direction"),
+    sql("symbol ts direction", "a_ret", "", "entry AND vol_confirmed"),
+)
+
+# charts
+LINES = ("rsi", "rsi_smooth", "macd", "macd_signal", "ema", "bb_mid", "bb_upper", "bb_lower", "vwap")
+
+
+def chart_lines(s: SparkSession, d: str) -> DataFrame:
+    """The points of each line of each symbol, rounded, nulls left out."""
+    own = series(s, d).select("symbol", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("time"), *(F.round(c, 3).alias(c) for c in LINES))
+    return own.unpivot(["symbol", "time"], list(LINES), "line", "value").where("value is not null")
+
+
+register("chart_series", chart_lines, query("SELECT symbol, time, line, value FROM (UNPIVOT (SELECT symbol, CAST(floor(epoch(ts)) AS BIGINT) AS time, " + ", ".join(f"round({c}, 3) AS {c}" for c in LINES) + " FROM h_ind) ON " + ", ".join(LINES) + " INTO NAME line VALUE value)"))
+
+# the 3-minute engine
+register("scalp_series", lambda s, d: out(scalp.scalp_series(index3(s, d)), "symbol ts ema_fast ema_slow rsi vwap atr"), query(f"SELECT symbol, {ts()}, round(f_line, 6) AS ema_fast, round(s_line, 6) AS ema_slow, round(rsi, 6) AS rsi, round(vwap, 6) AS vwap, round(atr, 6) AS atr FROM x_ind"))
+register("scalp_htf", lambda s, d: scalp.scalp_htf(index3(s, d)), query("SELECT symbol, CASE WHEN n_bars >= 18 THEN CASE WHEN coalesce(f_line - s_line > 1e-9 * greatest(1.0, abs(f_line), abs(s_line)), false) THEN 'Bullish' ELSE 'Bearish' END END AS htf_direction FROM y_ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"))
+register("scalp_signal", lambda s, d: scalp.scalp_signal(index3(s, d)).select("symbol", "votes", "direction", "vol_confirmed"), query("SELECT symbol, votes, CASE WHEN votes >= 2 THEN 'Bullish' ELSE 'Bearish' END AS direction, coalesce(round(rel_volume, 2) >= 1.5, false) AS vol_confirmed FROM (SELECT *, CAST(f_line > s_line AS INTEGER) + CAST(close > vwap AS INTEGER) + CAST(coalesce(rsi > 50, false) AS INTEGER) AS votes FROM x_ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"))
+register("scalp_levels", lambda s, d: scalp.scalp_signal(index3(s, d)).select("symbol", "stop", "target", "risk_reward"), query("SELECT symbol, round(close - sign * 0.75 * atr, 2) AS stop, round(close + sign * 1.5 * atr, 2) AS target, CAST(2 AS DOUBLE) AS risk_reward FROM (SELECT *, CASE WHEN CAST(f_line > s_line AS INTEGER) + CAST(close > vwap AS INTEGER) + CAST(coalesce(rsi > 50, false) AS INTEGER) >= 2 THEN 1.0 ELSE -1.0 END AS sign FROM x_ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"))
+
+
+# streams, run until their input ends
+def _folder(s: SparkSession) -> str:
+    root = s.sparkContext.getCheckpointDir() or s.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="spark-")
+    return f"{root}/stream-{uuid.uuid4().hex}"
+
+
+def streamed_bars(s: SparkSession, d: str) -> DataFrame:
+    folder = _folder(s)
+    jobs.write_batches(jobs.stream_bars(jobs.tick_stream(s, f"{d}/events.parquet"), 60), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return jobs.latest(s, f"{folder}/out", "symbol", "timeframe", "ts")
+
+
+register("stream_bars", lambda s, d: out(streamed_bars(s, d), BAR), sql(BAR, "bars60", BAR_D))
+
+
+def _lit_day():
+    return F.lit(LAST_DAY).cast("date")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in _Q.items()}
 

@@ -73,7 +73,7 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oi_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open interest at the last tick of each 3 minutes; every 50th sample of a symbol is blank."""
     w = Window.partitionBy("symbol").orderBy("ts", "event_id")
-    t = ticks(spark, sf_dir).withColumn("oi", 100000.0 + F.sum(F.col("sgn") * F.col("qty")).over(w))
+    t = ticks(spark, sf_dir).withColumn("oi", 2000.0 + F.sum(F.col("sgn") * F.col("qty")).over(w))
     t = t.withColumn("bin", F.window("ts", "3 minutes").start)
     s = t.groupBy("symbol", "bin").agg(F.max_by(F.struct("ts", "oi", "price"), F.struct("ts", "event_id")).alias("x"))
     s = s.select("symbol", F.col("x.ts").alias("ts"), F.col("x.oi").alias("oi"), F.col("x.price").alias("close"))
