@@ -53,7 +53,7 @@ def forward_resolve(trades: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def _stats() -> list:
-    return [F.count("*").alias("trades"), F.round(F.avg((F.col("return_pct") > 0).cast("double")) * 100, 1).alias("win_rate"), F.round(F.avg("return_pct"), 3).alias("avg_return")]
+    return [F.count("*").alias("trades"), F.round(F.avg((F.col("return_pct") > 0).cast("double")) * 100, 1).alias("win_rate"), F.round(F.avg("return_pct"), 6).alias("avg_return")]
 
 
 def scoreboard(journal: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def scoreboard(journal: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "open").alias("open"),
         F.count_if(F.col("status") == "resolved").alias("trades"),
         F.round(F.avg(F.when(F.col("status") == "resolved", (F.col("return_pct") > 0).cast("double"))) * 100, 1).alias("win_rate"),
-        F.round(F.avg(F.when(F.col("status") == "resolved", F.col("return_pct"))), 3).alias("avg_return"),
+        F.round(F.avg(F.when(F.col("status") == "resolved", F.col("return_pct"))), 6).alias("avg_return"),
     )
     return out.withColumn("grp", F.coalesce(F.lower("direction"), F.lit("all"))).select("grp", "open", "trades", "win_rate", "avg_return")
 

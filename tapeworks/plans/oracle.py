@@ -139,7 +139,8 @@ def replayed(p: str, source: str, votes: list[tuple[str, str]], required: int, g
     """CTEs <p>sig and <p>trades: signals of an indicator CTE, and the trades from their rising edges."""
     bull, bear = (" + ".join(f"CAST({v[i]} AS INTEGER)" for v in votes) for i in (0, 1))
     ahead = f"OVER ({_w} ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING)"
-    returns = ", ".join(f"round(sign * (lead(close, {1 + h}) OVER ({_w}) - ep) / ep * 100, 3) AS r{h}" for h in (5, 10, 20))
+    gain = lambda h: f"sign * (lead(close, {1 + h}) OVER ({_w}) - ep) / ep * 100"
+    returns = ", ".join(f"CASE WHEN abs({gain(h)}) < 0.0005 THEN 0.0 ELSE round({gain(h)}, 3) END AS r{h}" for h in (5, 10, 20))
     return {
         f"{p}vote": f"SELECT *, {bull} AS bull, {bear} AS bear FROM {source} WHERE NOT short",
         f"{p}dir": f"SELECT *, CASE WHEN bull >= {required} AND bear < {required} THEN 'Bullish' ELSE 'Bearish' END AS direction, (bull >= {required}) <> (bear >= {required}) AS raw FROM {p}vote",

@@ -295,10 +295,10 @@ register("alert_text", lambda s, d: enrich.alert_text(rows_of(s, d)).select("sym
 register("scan_digest", lambda s, d: enrich.scan_digest(rows_of(s, d)), query("SELECT string_agg(symbol || ': ' || direction || ' ' || aligned || '/4', chr(10) ORDER BY symbol) AS digest FROM sig"))
 
 # the journal
-_JSTATS = "count(*) AS trades, round(avg(CAST(return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(return_pct), 3) AS avg_return"
+_JSTATS = "count(*) AS trades, round(avg(CAST(return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(return_pct), 6) AS avg_return"
 _SETUP = f"SELECT direction, aligned, {_JSTATS} FROM res WHERE return_pct IS NOT NULL GROUP BY 1, 2"
 register("forward_resolve", lambda s, d: out(paper_resolved(s, d), "id entry_price exit_price return_pct status"), query("SELECT id, entry_price, CASE WHEN exit_price IS NOT NULL THEN exit_price END AS exit_price, return_pct, CASE WHEN return_pct IS NULL THEN 'open' ELSE 'resolved' END AS status FROM res"))
-register("journal_scoreboard", lambda s, d: journal.scoreboard(paper_resolved(s, d)), query("SELECT coalesce(lower(direction), 'all') AS grp, count(*) FILTER (return_pct IS NULL) AS open, count(return_pct) AS trades, round(avg(CAST(return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(return_pct), 3) AS avg_return FROM res GROUP BY GROUPING SETS ((), (direction))"))
+register("journal_scoreboard", lambda s, d: journal.scoreboard(paper_resolved(s, d)), query("SELECT coalesce(lower(direction), 'all') AS grp, count(*) FILTER (return_pct IS NULL) AS open, count(return_pct) AS trades, round(avg(CAST(return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(return_pct), 6) AS avg_return FROM res GROUP BY GROUPING SETS ((), (direction))"))
 register("confidence_by_setup", lambda s, d: journal.confidence_by_setup(paper_resolved(s, d)), query(f"SELECT *, trades < 5 AS low_sample FROM ({_SETUP})"))
 register("setup_confidence", lambda s, d: journal.setup_confidence(paper_resolved(s, d)), query(f"SELECT *, trades < 5 AS low_sample FROM ({_SETUP}) WHERE trades >= 5"))
 register("confidence_by_factor", lambda s, d: journal.confidence_by_factor(paper_resolved(s, d)), query(f"SELECT 'vol_confirmed' AS factor, vol_confirmed AS value, {_JSTATS} FROM res WHERE return_pct IS NOT NULL GROUP BY 1, 2"))
@@ -323,12 +323,12 @@ LINES = ("rsi", "rsi_smooth", "macd", "macd_signal", "ema", "bb_mid", "bb_upper"
 
 
 def chart_lines(s: SparkSession, d: str) -> DataFrame:
-    """The points of each line of each symbol, rounded, nulls left out."""
-    own = series(s, d).select("symbol", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("time"), *(F.round(c, 3).alias(c) for c in LINES))
+    """The points of each line of each symbol, rounded to three places (halves up), nulls left out."""
+    own = series(s, d).select("symbol", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("time"), *((F.floor(F.col(c) * 1000 + 0.5000001) / 1000).alias(c) for c in LINES))
     return own.unpivot(["symbol", "time"], list(LINES), "line", "value").where("value is not null")
 
 
-register("chart_series", chart_lines, query("SELECT symbol, time, line, value FROM (UNPIVOT (SELECT symbol, CAST(floor(epoch(ts)) AS BIGINT) AS time, " + ", ".join(f"round({c}, 3) AS {c}" for c in LINES) + " FROM h_ind) ON " + ", ".join(LINES) + " INTO NAME line VALUE value)"))
+register("chart_series", chart_lines, query("SELECT symbol, time, line, value FROM (UNPIVOT (SELECT symbol, CAST(floor(epoch(ts)) AS BIGINT) AS time, " + ", ".join(f"floor({c} * 1000 + 0.5000001) / 1000 AS {c}" for c in LINES) + " FROM h_ind) ON " + ", ".join(LINES) + " INTO NAME line VALUE value)"))
 
 # the 3-minute engine
 register("scalp_series", lambda s, d: out(scalp.scalp_series(index3(s, d)), "symbol ts ema_fast ema_slow rsi vwap atr"), query(f"SELECT symbol, {ts()}, round(f_line, 6) AS ema_fast, round(s_line, 6) AS ema_slow, round(rsi, 6) AS rsi, round(vwap, 6) AS vwap, round(atr, 6) AS atr FROM x_ind"))

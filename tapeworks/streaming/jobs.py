@@ -21,7 +21,9 @@ LATE = "10 minutes"
 def tick_stream(spark: SparkSession, path: str, late: str = LATE, files_per_batch: int = 1) -> DataFrame:
     """Ticks from a folder (or file) of events, with a watermark on their time."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    e = reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else reader.parquet(path)
     return e.select(
         F.concat(F.lit("S"), (F.col("user_id") % 10).cast("string")).alias("symbol"),
         "event_id",
