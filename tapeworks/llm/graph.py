@@ -31,7 +31,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = e.select(ways.alias("e")).select(F.col("e.u").alias("u"), F.col("e.v").alias("v"))
         least = _least(both, "large")
         e = both.join(least, both.u == least.large).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        e = cut(e.distinct())  # every edge goes from u to a smaller v
+        e = e.distinct()  # every edge goes from u to a smaller v
         least = _least(e, "small")
         down = e.join(least, e.u == least.small).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(down.unionByName(least.select(F.col("small").alias("u"), F.col("m").alias("v"))).distinct())

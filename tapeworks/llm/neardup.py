@@ -7,10 +7,10 @@ texts agree in a register with the probability Jaccard similarity of their weigh
 
 Texts that agree in all registers of a band are candidates.  Exact copies are one node.  Candidates are verified by the
 exact Jaccard similarity of their sets of elements, 0.8 or more, and the classes are the connected components of the
-links.  Within a bucket not all pairs are formed: first every node is held against the one hub with which it shares
-most bands; then, bucket by bucket, only pairs of nodes whose components still differ and whose registers agree in
-number are, first the best for each node and component, at last all that remain.  So no link between nodes that share
-a bucket is lost to the components.  Buckets are worked on in blocks of ``BUCKET_BLOCK`` nodes.
+links.  Within a bucket not all pairs are formed: first every node is held against the hubs with which it shares
+most bands; then, bucket by bucket, all pairs of nodes whose components still differ and whose registers agree in
+number.  So no link between nodes that share a bucket is lost to the components.  Buckets are worked on in blocks of
+``BUCKET_BLOCK`` nodes.
 
 A null text is an empty one; empty texts are copies of each other.  A text of fewer than five words is one element.
 Each row gets a class, repeated rows and rows without an id too; a class id is the smallest id in the class.
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.llm.graph import components, parted_anew
@@ -31,9 +31,9 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Registers that must agree before a pair is verified: four standard deviations below the similarity.
 LEAST_AGREE = int(BANDS * ROWS * (SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5))
-BUCKET_BLOCK = 64
-#: Best pairs of a node with another component that a round verifies; the last round takes all.
-ROUNDS = (1, 8, BUCKET_BLOCK)
+#: Hubs (of the two in each of its buckets) that a node is held against first: those with which it shares most bands.
+HUBS = 3
+BUCKET_BLOCK = 128
 _STEP, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -128,57 +128,51 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return replace_columns(both, "elements_a", {"similarity": "double"}, _similar).select("a", "b", "similarity")
 
 
-def _close_pairs(best: int):
-    """For rows with a bucket's block (or two): pairs across components, the best ones of each node and component."""
-
-    def run(batches):
-        for batch in batches:
-            a_out, b_out = [], []
-            for row in batch.column("nodes").to_pylist():
-                ids = np.array([r["id"] for r in row])
-                comp = np.array([r["comp"] for r in row])
-                side = np.array([r["side"] for r in row])
-                sig = np.frombuffer(b"".join(r["sig"] for r in row), dtype="<u4").reshape(len(row), -1)
-                cross = bool(side.any())
-                for i in range(len(row)):
-                    if cross and side[i]:
-                        continue
-                    other = (comp != comp[i]) & (side == 1 if cross else ids > ids[i])
-                    at = np.flatnonzero(other)
-                    if not len(at):
-                        continue
-                    agree = (sig[at] == sig[i]).sum(axis=1)
-                    at, agree = at[agree >= LEAST_AGREE], agree[agree >= LEAST_AGREE]
-                    if not len(at):
-                        continue
-                    order = np.lexsort((-agree, comp[at]))
-                    at = at[order]
-                    start = np.flatnonzero(np.r_[True, comp[at][1:] != comp[at][:-1]])
-                    rank = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
-                    at = at[rank < best]
-                    a_out.append(np.minimum(ids[i], ids[at]))
-                    b_out.append(np.maximum(ids[i], ids[at]))
-            none = np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a_out])), pa.array(np.concatenate([none, *b_out]))], ["a", "b"])
-
-    return run
-
-
-def _remaining(buckets: DataFrame, nodes: DataFrame, comps: DataFrame, best: int) -> DataFrame:
-    """Pairs (a, b) in a bucket whose components differ and whose registers agree in LEAST_AGREE places or more."""
+def _close_pairs(batches):
+    """For rows with a bucket's blocks: pairs of its side 1 with side 0 that differ in component and nearly agree."""
+    for batch in batches:
+        a_out, b_out = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for row in batch.column("nodes"):
+            own = row.values
+            ids, comp, side = (own.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            sig = np.frombuffer(b"".join(own.field(3).to_pylist()), dtype="<u4").reshape(len(ids), -1)
+            zero = np.flatnonzero(side == 0)
+            for i in np.flatnonzero(side == 1):
+                at = zero[comp[zero] != comp[i]]
+                at = at[(sig[at] == sig[i]).sum(axis=1) >= LEAST_AGREE]
+                a_out.append(np.minimum(ids[i], ids[at]))
+                b_out.append(np.maximum(ids[i], ids[at]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(id, comp): nodes of one comp are known to be connected, though a component may have several comps.
+
+    A node's comp is the hub of its hub, which one join finds; components come later, once for all links.
+    """
+    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")), F.struct(F.col("a").alias("u"), F.col("a").alias("v")), F.struct(F.col("b").alias("u"), F.col("b").alias("v"))))
+    first = links.select(ends.alias("e")).groupBy(F.col("e.u").alias("id")).agg(F.min(F.struct(F.xxhash64("e.v").alias("h"), F.col("e.v").alias("v"))).alias("x"))
+    first = cut(first.select("id", F.col("x.v").alias("hub")))
+    return first.join(first.select(F.col("id").alias("at"), F.col("hub").alias("comp")), F.col("hub") == F.col("at")).select("id", "comp")
+
+
+def _remaining(buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (a, b) in a bucket whose components differ and whose registers agree in LEAST_AGREE places or more.
+
+    In each bucket the nodes outside its largest component (side 1) meet all of its nodes (side 0), in blocks.
+    """
     own = buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = own.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
-    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
-    own = own.join(parted_anew(mixed.select("b", "n"), "b"), "b").withColumn("blocks", blocks)
-    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # block i meets every block j >= i: as side 0 of (i, j), as side 1 of (j, i)
-    own = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lo, hi = F.least("block", "with"), F.greatest("block", "with")
-    own = own.select("b", "id", "comp", lo.alias("lo"), hi.alias("hi"), (F.col("block") > F.col("with")).cast("int").alias("side"))
-    own = own.join(nodes.select("id", "sig"), "id")
-    lists = own.groupBy("b", "lo", "hi").agg(F.collect_list(F.struct("id", "comp", "side", "sig")).alias("nodes"))
-    lists = lists.where(F.size("nodes") > 1).select("nodes")
-    return lists.mapInArrow(_close_pairs(best), "a long, b long").distinct()
+    sizes = own.groupBy("b", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("b").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", "n").alias("main"), F.count("*").alias("comps")).where("comps > 1 and n > 2")
+    mixed = mixed.select("b", "main", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BUCKET_BLOCK).cast("int").alias("others"))
+    own = own.join(parted_anew(mixed, "b"), "b")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    zero = own.select("b", "id", "comp", F.lit(0).alias("side"), deal("blocks").alias("i"), every("others").alias("j"))
+    one = own.where("comp <> main").select("b", "id", "comp", F.lit(1).alias("side"), every("blocks").alias("i"), deal("others").alias("j"))
+    both = zero.unionByName(one).join(nodes.select("id", "sig"), "id")
+    lists = both.groupBy("b", "i", "j").agg(F.collect_list(F.struct("id", "comp", "side", "sig")).alias("nodes")).select("nodes")
+    return lists.mapInArrow(_close_pairs, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,20 +182,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     nodes = signatures(own, "t").groupBy("key").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
     rows = nodes.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("b"))
-    hubs = rows.groupBy("b").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"))).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    buckets = cut(rows.join(parted_anew(hubs.select("b", F.col("hub.id").alias("hub")), "b"), "b"))
+    order = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
+    hubs = rows.groupBy("b").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).where("n > 1")
+    hubs = parted_anew(hubs.select("b", F.array("lo.id", "hi.id").alias("hubs")), "b")
+    buckets = cut(rows.join(hubs, "b"))
     need = nodes.join(buckets.select("id").distinct(), "id").select("key", "id", "doc")
     sets = own.join(need, (own.key == need.key) & own.doc.eqNullSafe(need.doc)).select("id", "t")
     sets = cut(element_sets(sets, "t").drop("t"))
-    shared = buckets.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
-    pairs = shared.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    shared = buckets.select("id", F.explode("hubs").alias("hub")).where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.col("n").desc(), "hub"))
+    pairs = shared.withColumn("rank", best).where(F.col("rank") <= HUBS).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
     links = cut(verified(pairs, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"))
-    comps = components(links)
-    for best in ROUNDS:
-        more = cut(verified(_remaining(buckets.select("b", "id"), nodes, comps, best), sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = components(links)
+    more = verified(_remaining(buckets.select("b", "id"), nodes, _joined(links)), sets)
+    comps = components(links.unionByName(more.where(F.col("similarity") >= SIMILARITY).select("a", "b")))
     of = nodes.select("id", "key", "doc").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = parted_anew(of.groupBy("comp").agg(F.min("doc").alias("class_id")), "comp")
     of = of.join(least, "comp").select("key", "class_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,19 @@ def use_shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffles and checkpoints that nothing refers to any more.
+
+    The cleaner acts when the driver's JVM collects its garbage, which may not happen for long while disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder until nothing refers to it."""
     use_shared_folder(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint()
 
 
