@@ -42,3 +42,8 @@ def pct_change(now: Column, before: Column) -> Column:
 def epoch(ts: Column) -> Column:
     """Seconds of an exchange-local time, read as UTC."""
     return F.unix_micros(ts.cast("timestamp")) / 1_000_000
+
+
+def cents(x: Column) -> Column:
+    """x to two places; half cents go up whatever noise is below a millionth."""
+    return F.round(F.round(x, 6), 2)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tapeworks.functions.columns import above, agrees, side, yes
+from tapeworks.functions.columns import above, agrees, cents, side, yes
 from tapeworks.functions.ewm import ewm, span_alpha
 from tapeworks.functions.indicators import atr, crossings, rsi, session_vwap, volumes
 from tapeworks.operators.bars import resample
@@ -50,5 +50,5 @@ def scalp_signal(bars: DataFrame) -> DataFrame:
 def scalp_levels(df: DataFrame) -> DataFrame:
     c, sign = F.col, F.when(F.col("direction") == "Bullish", 1.0).otherwise(-1.0)
     ok = c("atr") > 0
-    df = df.withColumn("stop", F.when(ok, F.round(c("close") - sign * STOP * c("atr"), 2))).withColumn("target", F.when(ok, F.round(c("close") + sign * TARGET * c("atr"), 2)))
+    df = df.withColumn("stop", F.when(ok, cents(c("close") - sign * STOP * c("atr")))).withColumn("target", F.when(ok, cents(c("close") + sign * TARGET * c("atr"))))
     return df.withColumn("risk_reward", F.when(ok, F.lit(TARGET / STOP)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import agrees, side, yes
+from tapeworks.functions.columns import agrees, cents, side, yes
 from tapeworks.functions.indicators import INTRADAY, indicator_series, regime
 from tapeworks.operators.bars import HIGHER, resample
 from tapeworks.params import Params
@@ -80,7 +80,7 @@ def levels(df: DataFrame, p: Params) -> DataFrame:
     c, sign = F.col, F.when(F.col("direction") == "Bullish", 1.0).otherwise(-1.0)
     df = df.withColumn("atr", F.round("atr", 2))
     ok = c("atr") > 0
-    df = df.withColumn("stop", F.when(ok, F.round(c("close") - sign * p.atr_stop * c("atr"), 2))).withColumn("target", F.when(ok, F.round(c("close") + sign * p.atr_target * c("atr"), 2)))
+    df = df.withColumn("stop", F.when(ok, cents(c("close") - sign * p.atr_stop * c("atr")))).withColumn("target", F.when(ok, cents(c("close") + sign * p.atr_target * c("atr"))))
     df = df.withColumn("risk_reward", F.when(ok, F.round(F.lit(p.atr_target / p.atr_stop), 2)))
     risk = F.nullif(F.abs(c("close") - c("stop")), F.lit(0.0))
     qty = F.nullif(F.floor(p.capital * p.risk_pct / 100 / risk), F.lit(0).cast("long"))

@@ -130,7 +130,7 @@ CTES |= {
     "s_two": f"SELECT *, {side('votes >= 2')} AS direction, {_regime} AS regime, CASE WHEN ups >= 2 THEN 'Bullish' WHEN dns >= 2 THEN 'Bearish' END AS fresh_signal, round(1.2 * CASE WHEN adx <= 18 THEN 1.3 ELSE 1.0 END, 3) AS vol_threshold, CASE WHEN cmf > 0 THEN 'Bullish' WHEN cmf < 0 THEN 'Bearish' END AS flow_direction FROM s_one",
     "s_three": "SELECT *, coalesce(vol_multiple >= vol_threshold, false) AS vol_confirmed, coalesce(flow_direction = direction, true) AS flow_agrees, coalesce(candle_direction = direction, true) AS candle_agrees, coalesce(htf_direction = direction, true) AS htf_agrees, CASE WHEN close > vwap THEN 'Above' WHEN vwap IS NOT NULL THEN 'Below' END AS vs_vwap, CASE WHEN close > avwap THEN 'Above' WHEN avwap IS NOT NULL THEN 'Below' END AS vs_avwap, "
     "CASE WHEN close > bb_upper THEN 'Breakout' WHEN close < bb_lower THEN 'Breakdown' END AS breakout_state, CASE WHEN direction = 'Bullish' THEN 1.0 ELSE -1.0 END AS sign FROM s_two",
-    "s_four": "SELECT *, greatest(votes, 3 - votes) + CAST(vol_confirmed AS INTEGER) AS aligned, CASE WHEN atr > 0 THEN round(close - sign * 1.5 * atr, 2) END AS stop, CASE WHEN atr > 0 THEN round(close + sign * 3.0 * atr, 2) END AS target, CASE WHEN atr > 0 THEN round(CAST(2.0 AS DOUBLE), 2) END AS risk_reward FROM s_three",
+    "s_four": "SELECT *, greatest(votes, 3 - votes) + CAST(vol_confirmed AS INTEGER) AS aligned, CASE WHEN atr > 0 THEN CAST(round(CAST(close - sign * 1.5 * atr AS DECIMAL(18, 6)), 2) AS DOUBLE) END AS stop, CASE WHEN atr > 0 THEN CAST(round(CAST(close + sign * 3.0 * atr AS DECIMAL(18, 6)), 2) AS DOUBLE) END AS target, CASE WHEN atr > 0 THEN round(CAST(2.0 AS DOUBLE), 2) END AS risk_reward FROM s_three",
     "sig": "SELECT *, (aligned >= 2) AND htf_agrees AS signal_confirmed, nullif(CAST(floor(1000.0 / nullif(abs(close - stop), 0)) AS BIGINT), 0) AS position_qty, round(nullif(CAST(floor(1000.0 / nullif(abs(close - stop), 0)) AS BIGINT), 0) * nullif(abs(close - stop), 0), 2) AS position_risk FROM s_four",
 }
 

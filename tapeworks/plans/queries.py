@@ -334,7 +334,7 @@ register("chart_series", chart_lines, query("SELECT symbol, time, line, value FR
 register("scalp_series", lambda s, d: out(scalp.scalp_series(index3(s, d)), "symbol ts ema_fast ema_slow rsi vwap atr"), query(f"SELECT symbol, {ts()}, round(f_line, 6) AS ema_fast, round(s_line, 6) AS ema_slow, round(rsi, 6) AS rsi, round(vwap, 6) AS vwap, round(atr, 6) AS atr FROM x_ind"))
 register("scalp_htf", lambda s, d: scalp.scalp_htf(index3(s, d)), query("SELECT symbol, CASE WHEN n_bars >= 18 THEN CASE WHEN coalesce(f_line - s_line > 1e-9 * greatest(1.0, abs(f_line), abs(s_line)), false) THEN 'Bullish' ELSE 'Bearish' END END AS htf_direction FROM y_ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"))
 register("scalp_signal", lambda s, d: scalp.scalp_signal(index3(s, d)).select("symbol", "votes", "direction", "vol_confirmed"), query("SELECT symbol, votes, CASE WHEN votes >= 2 THEN 'Bullish' ELSE 'Bearish' END AS direction, coalesce(round(rel_volume, 2) >= 1.5, false) AS vol_confirmed FROM (SELECT *, CAST(f_line > s_line AS INTEGER) + CAST(close > vwap AS INTEGER) + CAST(coalesce(rsi > 50, false) AS INTEGER) AS votes FROM x_ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"))
-register("scalp_levels", lambda s, d: scalp.scalp_signal(index3(s, d)).select("symbol", "stop", "target", "risk_reward"), query("SELECT symbol, round(close - sign * 0.75 * atr, 2) AS stop, round(close + sign * 1.5 * atr, 2) AS target, CAST(2 AS DOUBLE) AS risk_reward FROM (SELECT *, CASE WHEN CAST(f_line > s_line AS INTEGER) + CAST(close > vwap AS INTEGER) + CAST(coalesce(rsi > 50, false) AS INTEGER) >= 2 THEN 1.0 ELSE -1.0 END AS sign FROM x_ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"))
+register("scalp_levels", lambda s, d: scalp.scalp_signal(index3(s, d)).select("symbol", "stop", "target", "risk_reward"), query("SELECT symbol, CAST(round(CAST(close - sign * 0.75 * atr AS DECIMAL(18, 6)), 2) AS DOUBLE) AS stop, CAST(round(CAST(close + sign * 1.5 * atr AS DECIMAL(18, 6)), 2) AS DOUBLE) AS target, CAST(2 AS DOUBLE) AS risk_reward FROM (SELECT *, CASE WHEN CAST(f_line > s_line AS INTEGER) + CAST(close > vwap AS INTEGER) + CAST(coalesce(rsi > 50, false) AS INTEGER) >= 2 THEN 1.0 ELSE -1.0 END AS sign FROM x_ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"))
 
 
 # streams, run until their input ends
