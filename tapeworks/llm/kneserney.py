@@ -24,27 +24,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import cut
+from tapeworks.llm.shared import cut, release
 from tapeworks.llm.words import gather, split_words
 
 FOLDS, HELD = 7, 2
 #: Bytes of text in a block.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 5_000_000
 END = np.uint64(0x8F1BBCDC5A827999)
-#: Bits of a follower's hash that are left out; what is known of a word follows from those that stay.
-_CUT = np.uint64(16)
+#: Bits of a follower's hash that are left out; 40 stay, so that of a billion words one in a thousand shares them.
+_CUT = np.uint64(24)
 
 
-def pack(*arrays, names: tuple[str, ...] | None = None) -> bytes:
+def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length as one compressed Arrow stream."""
-    arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in arrays]
-    batch = pa.RecordBatch.from_arrays(arrays, list(names or map(str, range(len(arrays)))))
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], [str(i) for i in range(len(arrays))])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
+def pack_sorted(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as compressed differences, by byte place, so that the high bytes compress."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64)[:, 0], dtype=np.uint64)
+
+
 def unpack(raw: bytes) -> list[np.ndarray]:
     """The arrays again, as views of Arrow's buffers."""
     with pa.ipc.open_stream(pa.py_buffer(raw)) as source:
@@ -68,7 +81,9 @@ class Block:
     """The tokens of a block by their place in its sorted vocabulary, and its distinct bigrams in order."""
 
     def __init__(self, raw: bytes):
-        self.docs = pa.ipc.open_stream(pa.py_buffer(raw)).read_all().combine_chunks()
+        import zstandard
+
+        self.docs = pa.ipc.open_stream(pa.py_buffer(zstandard.ZstdDecompressor().decompress(raw))).read_all().combine_chunks()
         token, self.text = block_tokens(self.docs.column("text").chunk(0))
         self.train = ~self.docs.column("held").to_numpy()[self.text]
         self.vocabulary = np.unique(np.append(token, END))
@@ -93,8 +108,13 @@ def make_blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     )
 
     def run(batches):
+        import zstandard
+
         for block in gather(batches, "text", limit):
-            yield pa.RecordBatch.from_arrays([pa.array([pack(*(block.column(c) for c in ("doc_id", "text", "held")), names=("doc_id", "text", "held"))], pa.binary())], ["docs"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block.schema) as stream:
+                stream.write_batch(block)
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=9).compress(sink.getvalue())], pa.binary())], ["docs"])
 
     return own.mapInArrow(run, "docs binary").withColumn("block", F.monotonically_increasing_id())
 
@@ -122,11 +142,11 @@ def _asks(shards: int, pairs: bool):
                     on = order[edge[s] : edge[s + 1]]
                     if pairs:
                         heads, n = np.unique(first[on], return_counts=True)
-                        data = [pack(b.vocabulary[heads], n.astype(np.uint32)), pack((follower[on] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (follower[on] >> np.uint64(32)).astype(np.uint16), count[on])]
+                        data = [pack_sorted(b.vocabulary[heads]), pack(n.astype(np.uint32)), pack((follower[on] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (follower[on] >> np.uint64(32)).astype(np.uint8), count[on])]
                     else:
-                        data = [pack(b.vocabulary[on], count[on]), None]
+                        data = [pack_sorted(b.vocabulary[on]), pack(count[on]), None]
                     out.append((block, int(s), *data))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "shard", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "shard", "keys", "data", "followers"])
 
     return run
 
@@ -137,7 +157,13 @@ def _sums(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [unique, *(np.bincount(inverse, weights=x, minlength=len(unique)).astype(np.int64) for x in values)]
 
 
-_P1 = "kind string, block long, shard int, data binary"
+_SENT = "kind string, block long, shard int, keys binary, data binary"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    """Rows (kind, block, shard, keys, data) as a table."""
+    types = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["kind", "block", "shard", "keys", "data"])
 
 
 def _merge_pairs(shards: int):
@@ -146,8 +172,8 @@ def _merge_pairs(shards: int):
     def run(table: pa.Table) -> pa.Table:
         shard, out = table.column("shard")[0].as_py(), []
         heads, followers, asked, edge = [], [], [], [0]
-        for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
-            (head, n), (low, high, count) = unpack(a), unpack(b)
+        for keys, data, pairs in zip(*(table.column(c).to_pylist() for c in ("keys", "data", "followers"))):
+            head, (n,), (low, high, count) = unpack_sorted(keys), unpack(data), unpack(pairs)
             heads.append(np.repeat(head, n))
             followers.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
             asked.append(count)
@@ -162,16 +188,17 @@ def _merge_pairs(shards: int):
         back = np.empty(len(order), dtype=np.int64)
         back[order] = total[group]
         for i, block in enumerate(table.column("block").to_pylist()):
-            out.append(("pairs", block, shard, pack(back[edge[i] : edge[i + 1]].astype(np.uint32))))
+            out.append(("pairs", block, shard, None, pack(back[edge[i] : edge[i + 1]].astype(np.uint32))))
         h, f = h[new][total > 0], f[new][total > 0]
         total = total[total > 0]
-        out.append(("context", -1, shard, pack(*_sums(h, total, total == 1, total == 2, total > 2))))
+        h, *sums = _sums(h, total, total == 1, total == 2, total > 2)
+        out.append(("context", -1, shard, pack_sorted(h), pack(*(x.astype(np.uint32) for x in sums))))
         word, n = np.unique(f, return_counts=True)
         to = (word % np.uint64(shards)).astype(np.int64)
         for s in np.unique(to):
-            out.append(("follows", -1, int(s), pack(word[to == s], n[to == s].astype(np.uint32))))
-        out.append(("of counts", -1, shard, pack(np.bincount(np.minimum(total, 5), minlength=6)[1:5])))
-        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.binary()))], ["kind", "block", "shard", "data"])
+            out.append(("follows", -1, int(s), pack_sorted(word[to == s]), pack(n[to == s].astype(np.uint32))))
+        out.append(("of counts", -1, shard, None, pack(np.bincount(np.minimum(total, 5), minlength=6)[1:5])))
+        return _table(out)
 
     return run
 
@@ -180,18 +207,18 @@ def _merge_words(table: pa.Table) -> pa.Table:
     """One shard's words: count, context sums and number of words before, for each block that asked; totals."""
     shard, out = table.column("shard")[0].as_py(), []
     asks, words, counts, heads, sums, followers, before = [], [], [], [], [], [], []
-    for kind, block, data in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "data"))):
-        got = unpack(data)
+    for kind, block, keys, data in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "keys", "data"))):
+        keys, got = unpack_sorted(keys), unpack(data)
         if kind == "words":
-            asks.append((block, got[0]))
-            words.append(got[0])
-            counts.append(got[1])
+            asks.append((block, keys))
+            words.append(keys)
+            counts.append(got[0])
         elif kind == "context":
-            heads.append(got[0])
-            sums.append(np.stack(got[1:]))
+            heads.append(keys)
+            sums.append(np.stack(got))
         elif kind == "follows":
-            followers.append(got[0])
-            before.append(got[1])
+            followers.append(keys)
+            before.append(got[0])
     if words:
         word, count = _sums(np.concatenate(words), np.concatenate(counts))
         info = np.zeros((6, len(word)), dtype=np.int64)
@@ -203,10 +230,10 @@ def _merge_words(table: pa.Table) -> pa.Table:
             at = np.minimum(np.searchsorted(f, word >> _CUT), len(f) - 1)
             info[5] = np.where(f[at] == word >> _CUT, n[at], 0)
         for block, asked in asks:
-            out.append(("info", block, shard, pack(*info[:, np.searchsorted(word, asked)].astype(np.uint32))))
+            out.append(("info", block, shard, None, pack(*info[:, np.searchsorted(word, asked)].astype(np.uint32))))
         known = info[5][info[5] > 0]
-        out.append(("totals", -1, shard, pack(np.array([count.sum(), (count > 0).sum(), known.sum(), len(known), *np.bincount(np.minimum(known, 5), minlength=6)[1:5]], dtype=np.int64))))
-    return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.binary()))], ["kind", "block", "shard", "data"])
+        out.append(("totals", -1, shard, None, pack(np.array([count.sum(), (count > 0).sum(), known.sum(), len(known), *np.bincount(np.minimum(known, 5), minlength=6)[1:5]], dtype=np.int64))))
+    return _table(out)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -280,11 +307,12 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """
     blocks = cut(make_blocks(docs, block_bytes))
     shards = max(1, blocks.count())  # a shard holds about as much as a block
-    asks = "block long, shard int, a binary, b binary"
-    pairs = blocks.mapInArrow(_asks(shards, True), asks).groupBy("shard").applyInArrow(_merge_pairs(shards), _P1)
+    asks = "block long, shard int, keys binary, data binary, followers binary"
+    pairs = blocks.mapInArrow(_asks(shards, True), asks).groupBy("shard").applyInArrow(_merge_pairs(shards), _SENT)
     pairs = cut(pairs)
-    words = blocks.mapInArrow(_asks(shards, False), asks).select(F.lit("words").alias("kind"), "block", "shard", F.col("a").alias("data"))
-    words = cut(words.unionByName(pairs.where(F.col("kind").isin("context", "follows"))).groupBy("shard").applyInArrow(_merge_words, _P1))
+    words = blocks.mapInArrow(_asks(shards, False), asks).select(F.lit("words").alias("kind"), "block", "shard", "keys", "data")
+    words = cut(words.unionByName(pairs.where(F.col("kind").isin("context", "follows"))).groupBy("shard").applyInArrow(_merge_words, _SENT))
+    release(docs.sparkSession)
     total = {"pairs": np.zeros(4), "n": 0, "v": 0, "before": 0, "unigrams": np.zeros(4), "unigram_kinds": np.zeros(3)}
     for r in pairs.where("kind = 'of counts'").select("data").toLocalIterator():  # four numbers from each shard
         total["pairs"] += unpack(r.data)[0]
@@ -293,7 +321,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         total["n"], total["v"], total["before"] = total["n"] + n, total["v"] + v, total["before"] + before
         total["unigrams"] += ones
         total["unigram_kinds"] += [ones[0], ones[1], known - ones[0] - ones[1]]
-    rows = blocks.select(F.lit("docs").alias("kind"), "block", F.lit(-1).alias("shard"), F.col("docs").alias("data"))
+    rows = blocks.select(F.lit("docs").alias("kind"), "block", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("keys"), F.col("docs").alias("data"))
     rows = rows.unionByName(pairs.where("kind = 'pairs'")).unionByName(words.where("kind = 'info'"))
     return rows.groupBy("block").applyInArrow(_score_block(shards, total), SCORES)
 
