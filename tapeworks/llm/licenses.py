@@ -2,7 +2,8 @@
 
 A text becomes its lower-cased words joined by single blanks.  Every family of licenses gives several signature rules
 (an SPDX tag, a notice, a versioned name, an address, a bare mention), in order of priority.  A rule is tried only if
-its keyword occurs, which one Aho-Corasick pass over the text decides for all rules.  Detections are taken by priority,
+one of its keywords occurs (every wording that it matches holds one), which one Aho-Corasick pass over the text decides
+for all rules.  Detections are taken by priority,
 then length; one whose interval lies within that of a detection already taken is suppressed.
 
 The base phrases are counted and labelled whatever the rules find.  A null or empty text has no words, no labels and
@@ -22,10 +23,11 @@ from tapeworks.llm.words import append_columns
 #: Phrases that are always counted, and their labels.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: label, keyword, name as a pattern over words, address as words (or none).
+#: label, keywords (one for each wording of the name), name as a pattern over words, address as words (or none).
+#: A keyword of more than three letters may start a word; a shorter one is a whole word.  Patterns see UTF-8 as Latin-1.
 FAMILIES = (
     ("apache", "apache", "apache(?: software)?", "apache org licenses"),
-    ("mit", "mit", "mit|expat", "opensource org licenses mit"),
+    ("mit", "mit|expat", "mit|expat", "opensource org licenses mit"),
     ("bsd", "bsd", "(?:(?:new|modified|revised|simplified|original|[0234] clause) )?bsd(?: [0234] clause)?", "opensource org licenses bsd"),
     ("isc", "isc", "isc", "opensource org licenses isc"),
     ("lgpl", "lesser", "(?:gnu )?lesser general public", "gnu org licenses lgpl"),
@@ -34,7 +36,7 @@ FAMILIES = (
     ("agpl", "affero", "(?:gnu )?affero general public", "gnu org licenses agpl"),
     ("agpl", "agpl", "(?:gnu )?agpl(?:v3)?", None),
     ("gpl", "general", "(?:gnu )?general public", "gnu org licenses gpl"),
-    ("gpl", "gpl", "(?:gnu )?gpl(?:v[123])?", "gnu org copyleft gpl"),
+    ("gpl", "gpl|gplv", "(?:gnu )?gpl(?:v[123])?", "gnu org copyleft gpl"),
     ("gfdl", "documentation", "(?:gnu )?free documentation", "gnu org licenses fdl"),
     ("mpl", "mozilla", "mozilla public", "mozilla org mpl"),
     ("mpl", "mpl", "mpl", None),
@@ -54,13 +56,13 @@ FAMILIES = (
     ("cc-by-nc-nd", "nd", "(?:cc|creative commons) by nc nd", "creativecommons org licenses by nc nd"),
     ("cc-by-nc-sa", "sa", "(?:cc|creative commons) by nc sa", "creativecommons org licenses by nc sa"),
     ("cc-by-nc", "nc", "(?:cc|creative commons) by nc(?! (?:sa|nd) )", "creativecommons org licenses by nc [0-9]"),
-    ("cc-by-nc-nd", "noderivatives", "(?:creative commons )?attribution non ?commercial no ?derivatives|attribution noncommercial noderivatives", None),
-    ("cc-by-nc-sa", "sharealike", "(?:creative commons )?attribution non ?commercial share ?alike", None),
-    ("cc-by-nc", "noncommercial", "(?:creative commons )?attribution non ?commercial(?! (?:share|no))", None),
+    ("cc-by-nc-nd", "noderivatives|no derivatives", "(?:creative commons )?attribution non ?commercial no ?derivatives|attribution noncommercial noderivatives", None),
+    ("cc-by-nc-sa", "sharealike|share alike", "(?:creative commons )?attribution non ?commercial share ?alike", None),
+    ("cc-by-nc", "noncommercial|non commercial", "(?:creative commons )?attribution non ?commercial(?! (?:share|no))", None),
     ("cc-by-nd", "nd", "(?:cc|creative commons) by nd", "creativecommons org licenses by nd"),
-    ("cc-by-nd", "noderivatives", "(?:creative commons )?attribution no ?derivatives", None),
+    ("cc-by-nd", "noderivatives|no derivatives", "(?:creative commons )?attribution no ?derivatives", None),
     ("cc-by-sa", "sa", "(?:cc|creative commons) by sa", "creativecommons org licenses by sa"),
-    ("cc-by-sa", "sharealike", "(?:creative commons )?attribution share ?alike", None),
+    ("cc-by-sa", "sharealike|share alike", "(?:creative commons )?attribution share ?alike", None),
     ("cc-by", "cc", "cc by(?! (?:nc|nd|sa) )", "creativecommons org licenses by [0-9]"),
     ("cc-by", "attribution", "creative commons attribution(?! (?:non|no|share))", None),
     ("public-domain", "domain", "public domain", None),
@@ -75,7 +77,7 @@ FAMILIES = (
     ("cecill", "cecill", "cecill(?: [bc])?", "cecill info licences"),
     ("ms-pl", "microsoft", "microsoft public", "opensource org licenses ms pl"),
     ("ms-rl", "reciprocal", "microsoft reciprocal", None),
-    ("python", "python", "python software foundation|psf", "python org psf license"),
+    ("python", "python|psf", "python software foundation|psf", "python org psf license"),
     ("php", "php", "php", "php net license"),
     ("ruby", "ruby", "ruby", None),
     ("openssl", "openssl", "openssl", "openssl org source license"),
@@ -92,9 +94,9 @@ FAMILIES = (
     ("busl", "business", "business source", "mariadb com bsl11"),
     ("elastic", "elastic", "elastic", "elastic co licensing elastic license"),
     ("llama", "llama", "llama [0-9]+(?: community)?", None),
-    ("rail", "rail", "(?:bigscience |creativeml )?open ?rail(?: m)?", None),
+    ("rail", "rail|openrail", "(?:bigscience |creativeml )?open ?rail(?: m)?", None),
     ("polyform", "polyform", "polyform (?:noncommercial|strict|shield|perimeter|small business)", "polyformproject org licenses"),
-    ("reserved", "reserved", "all rights reserved|tous droits reserves|alle rechte vorbehalten|todos los derechos reservados", None),
+    ("reserved", "reserved|tous droits|vorbehalten|reservados", "all rights reserved|tous droits r(?:e|\xc3[\xa9\x89])serv(?:e|\xc3[\xa9\x89])s|alle rechte vorbehalten|todos los derechos reservados", None),
     ("proprietary", "proprietary", "proprietary(?: and confidential)?", None),
 )
 _LICENSE = "(?: licen[sc]es?)"
@@ -106,9 +108,9 @@ KINDS = (("tag", 0, 0.98), ("notice", 1, 0.9), ("versioned", 2, 0.8), ("address"
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[tuple[str, str, int, float, re.Pattern], ...]:
-    """(label, keyword, priority, sureness, pattern), by priority, then in the order of the families."""
+    """(label, keywords, priority, sureness, pattern), by priority, then in the order of the families."""
     out = []
-    for label, keyword, name, address in FAMILIES:
+    for label, keywords, name, address in FAMILIES:
         named, optional = f"(?:{name})", "?" if label in _NAMED else ""
         bodies = {
             "tag": f"spdx license identifier {named}(?: licen[sc]e)?(?:{_VERSION})?",
@@ -119,7 +121,7 @@ def rules() -> tuple[tuple[str, str, int, float, re.Pattern], ...]:
         }
         for kind, priority, sure in KINDS:
             if bodies[kind]:
-                out.append((label, address.split()[0] if kind == "address" else keyword, priority, sure, re.compile(f"(?<= )(?:{bodies[kind]})(?= )")))
+                out.append((label, address.split()[0] if kind == "address" else keywords, priority, sure, re.compile(f"(?<= )(?:{bodies[kind]})(?= )")))
     return tuple(sorted(out, key=lambda r: r[2]))
 
 
@@ -130,7 +132,8 @@ def prefilter():
 
     by: dict[str, list[int]] = {}
     for i, r in enumerate(rules()):
-        by.setdefault(r[1], []).append(i)
+        for k in r[1].split("|"):
+            by.setdefault(k, []).append(i)
     out = ahocorasick.Automaton()
     for k, at in by.items():
         out.add_word(f" {k}" if len(k) > 3 else f" {k} ", tuple(at))
@@ -159,9 +162,12 @@ def base_places(joined: str) -> list[tuple[str, int]]:
     return out
 
 
-def detect(joined: str) -> list[tuple[str, int, int, float]]:
-    """(label, first character, character after the last, sureness) of the detections that stay."""
-    tried = sorted({i for _, at in prefilter().iter(joined) for i in at})
+def detect(joined: str, every: bool = False) -> list[tuple[str, int, int, float]]:
+    """(label, first character, character after the last, sureness) of the detections that stay.
+
+    every: all rules are tried, without the keywords; the result is the same.
+    """
+    tried = range(len(rules())) if every else sorted({i for _, at in prefilter().iter(joined) for i in at})
     found = []
     for i in tried:
         label, _, priority, sure, pattern = rules()[i]

@@ -295,3 +295,44 @@ def test_licenses(spark, docs, texts):
         assert r.base_labels == ",".join(sorted({x for x, _ in base})) and 0 <= r.score <= 1 and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
     assert [got[1000 + i].labels for i in range(6)] == ["apache-2.0", "mit", "cc-by,cc-by-nc-4.0,reserved", "gpl,gpl-3", "", ""]
     assert len(licenses.rules()) > 200 and licenses.op10_license_rules(empty(docs)).count() == 0
+
+
+def wordings(pattern):
+    """Every text that a pattern of alternatives, options and sets matches; digits stand for one, repeats for the least and one more."""
+
+    def ways(node):
+        out = [""]
+        for op, x in node:
+            op = str(op)
+            if op == "LITERAL":
+                own = [chr(x)]
+            elif op == "IN":
+                own = [chr(v) if str(k) == "LITERAL" else c for k, v in x for c in ([None] if str(k) == "LITERAL" else [chr(v[0]), chr(v[1])])]
+            elif op == "BRANCH":
+                own = [y for branch in x[1] for y in ways(branch)]
+            elif op == "SUBPATTERN":
+                own = ways(x[-1])
+            elif op == "MAX_REPEAT":
+                own = [y * n for n in (x[0], x[0] + 1) for y in ways(x[2])]
+            else:
+                assert op == "ASSERT_NOT", op
+                own = [""]
+            out = [a + b for a in out for b in own]
+        return out
+
+    return sorted(set(ways(re._parser.parse(pattern))))
+
+
+def test_license_keywords_lose_no_wording():
+    for label, _, name, address in licenses.FAMILIES:
+        for phrase in wordings(name) + (wordings(address) if address else []):
+            for text in (f"{phrase}", f"{phrase} license", f"{phrase} licence version 2", f"spdx license identifier {phrase}", f"code released under the {phrase} license 3 0 and so on"):
+                joined = f" so {text} x "
+                assert licenses.detect(joined) == licenses.detect(joined, every=True), joined
+    found = {
+        "GPLv2": "gpl", "GNU GPLv3 only": "gpl", "Expat license": "mit", "the PSF License": "python", "Alle Rechte vorbehalten": "reserved", "Todos los derechos reservados": "reserved",
+        "Tous droits reserves": "reserved", "Tous droits réservés": "reserved", "TOUS DROITS RÉSERVÉS": "reserved", "OpenRAIL-M license": "rail", "Creative Commons Attribution-Non-Commercial": "cc-by-nc",
+        "Creative Commons Attribution-Non-Commercial-Share-Alike": "cc-by-nc-sa", "Creative Commons Attribution-Non-Commercial-No Derivatives": "cc-by-nc-nd", "Attribution-Share Alike license": "cc-by-sa", "Attribution No Derivatives license": "cc-by-nd",
+    }
+    for text, label in found.items():
+        assert [x[0] for x in licenses.detect(licenses.words_of(text)[1])] == [label], text
