@@ -1,9 +1,11 @@
 """Operator 2: near-duplicate detection by ProbMinHash, banding and verification.
 
-A text's elements are its runs of five words, weighted by 1 + log2 of how often they occur.  For each element points
+A text's elements are its runs of five words, weighted by how often they occur, from 1 to ``HEAVIEST``.  For each element points
 arrive in a Poisson process whose rate is its weight; each point falls on a register, and a register keeps its earliest
 point's element.  An element whose next point is later than all registers' is done (early termination).  Two
-texts agree in a register with the probability Jaccard similarity of their weights.
+texts agree in a register with the probability Jaccard similarity of their weights.  No weight is more than HEAVIEST
+times another, so this is the Jaccard similarity of the sets divided by HEAVIEST at least, also for texts that differ in
+a line that one of them repeats; the bands and ``LEAST_AGREE`` are made for that.
 
 Texts that agree in all registers of a band are candidates.  Exact copies are one node.  Candidates are verified by the
 exact Jaccard similarity of their sets of elements, 0.8 or more, and the classes are the connected components of the
@@ -29,8 +31,12 @@ from tapeworks.llm.words import append_columns, mix, replace_columns, split_word
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
-#: Registers that must agree before a pair is verified: four standard deviations below the similarity.
-LEAST_AGREE = int(BANDS * ROWS * (SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5))
+#: Weight that an element approaches as it is repeated; once is 1.
+HEAVIEST = 1.1
+#: The least probability Jaccard similarity of texts whose sets are as similar as SIMILARITY.
+LEAST_LIKELY = SIMILARITY / HEAVIEST
+#: Registers that must agree before a pair is verified: four standard deviations below the least.
+LEAST_AGREE = int(BANDS * ROWS * (LEAST_LIKELY - 4 * (LEAST_LIKELY * (1 - LEAST_LIKELY) / (BANDS * ROWS)) ** 0.5))
 #: Hubs (of the two in each of its buckets) that a node is held against first: those with which it shares most bands.
 HUBS = 3
 BUCKET_BLOCK = 128
@@ -57,6 +63,11 @@ def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[at], h[at], count
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    """Weights of elements that occur so often."""
+    return HEAVIEST - (HEAVIEST - 1) / count
+
+
 def prob_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_texts: int, m: int) -> np.ndarray:
     """Elements of the m registers of each text, as uint64 (0 where a text has no elements)."""
     first = np.full(n_texts * m, np.inf)
@@ -83,7 +94,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     def work(texts: pa.Array) -> list:
         n = len(texts)
         of, element, count = elements(texts)
-        who = prob_minhash(of, element, 1 + np.log2(count), n, BANDS * ROWS)
+        who = prob_minhash(of, element, weights(count), n, BANDS * ROWS)
         some = np.bincount(of, minlength=n) > 0
         own = np.full((n, BANDS), _PLACE)
         for i in range(ROWS):

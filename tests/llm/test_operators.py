@@ -336,3 +336,27 @@ def test_license_keywords_lose_no_wording():
     }
     for text, label in found.items():
         assert [x[0] for x in licenses.detect(licenses.words_of(text)[1])] == [label], text
+
+
+def test_near_copies_that_differ_by_a_repeated_line(spark):
+    rng = random.Random(21)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for i in range(0, 60, 2):
+        body, line = fresh(200), fresh(30)
+        rows += [(i, body), (i + 1, body + f"\n{line}" * 200)]
+    own = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, words(t)) for i, t in rows)}
+    assert all(5 * len(own[i] & own[i + 1]) >= 4 * len(own[i] | own[i + 1]) for i in range(0, 60, 2))
+    got = {r.doc_id: r.class_id for r in neardup.op2_prob_minhash(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
+def test_weights_keep_the_probability_jaccard_near_that_of_sets():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n, a, b = rng.integers(20, 80), *rng.integers(0, 8, 2)
+        x, y = (neardup.weights(rng.choice([1, 1, 2, 50, 10**6], n + a + b).astype(float)) for _ in "xy")
+        x[n + a :], y[n : n + a] = 0, 0
+        likely = sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in range(n))
+        assert likely >= n / (n + a + b) / neardup.HEAVIEST
+    assert neardup.LEAST_AGREE < neardup.BANDS * neardup.ROWS * neardup.SIMILARITY / neardup.HEAVIEST
