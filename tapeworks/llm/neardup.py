@@ -10,8 +10,8 @@ a line that one of them repeats; the bands and ``LEAST_AGREE`` are made for that
 Texts that agree in all registers of a band are candidates.  Exact copies are one node.  Candidates are verified by the
 exact Jaccard similarity of their sets of elements, 0.8 or more, and the classes are the connected components of the
 links.  Within a bucket not all pairs are formed: first every node is held against the hubs with which it shares
-most bands; then, bucket by bucket, all pairs of nodes whose components still differ and whose registers agree in
-number.  So no link between nodes that share a bucket is lost to the components.  Buckets are worked on in blocks of
+most bands, and both nodes of each bucket of two against each other; then, in larger buckets, all pairs of nodes whose
+components still differ and whose registers agree in number.  So no link between nodes that share a bucket is lost to the components.  Buckets are worked on in blocks of
 ``BUCKET_BLOCK`` nodes.
 
 A null text is an empty one; empty texts are copies of each other.  A text of fewer than five words is one element.
@@ -167,10 +167,17 @@ def _joined(links: DataFrame) -> DataFrame:
     return first.join(first.select(F.col("id").alias("at"), F.col("hub").alias("comp")), F.col("hub") == F.col("at")).select("id", "comp")
 
 
+def _hub_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node and the HUBS hubs with which it shares most bands, and of the nodes of each bucket of two."""
+    shared = buckets.select("id", "two", F.explode("hubs").alias("hub")).where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"), F.max("two").alias("two"))
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.col("n").desc(), "hub"))
+    return shared.withColumn("rank", best).where((F.col("rank") <= HUBS) | F.col("two")).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+
+
 def _remaining(buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs (a, b) in a bucket whose components differ and whose registers agree in LEAST_AGREE places or more.
 
-    In each bucket the nodes outside its largest component (side 1) meet all of its nodes (side 0), in blocks.
+    In each bucket of three nodes or more (``_hub_pairs`` has the pair of a bucket of two) the nodes outside its largest component (side 1) meet all of its nodes (side 0), in blocks.
     """
     own = buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = own.groupBy("b", "comp").agg(F.count("*").alias("n"))
@@ -195,15 +202,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     rows = nodes.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("b"))
     order = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
     hubs = rows.groupBy("b").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).where("n > 1")
-    hubs = parted_anew(hubs.select("b", F.array("lo.id", "hi.id").alias("hubs")), "b")
+    hubs = parted_anew(hubs.select("b", F.array("lo.id", "hi.id").alias("hubs"), (F.col("n") == 2).alias("two")), "b")
     buckets = cut(rows.join(hubs, "b"))
     need = nodes.join(buckets.select("id").distinct(), "id").select("key", "id", "doc")
     sets = own.join(need, (own.key == need.key) & own.doc.eqNullSafe(need.doc)).select("id", "t")
     sets = cut(element_sets(sets, "t").drop("t"))
-    shared = buckets.select("id", F.explode("hubs").alias("hub")).where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
-    best = F.row_number().over(Window.partitionBy("id").orderBy(F.col("n").desc(), "hub"))
-    pairs = shared.withColumn("rank", best).where(F.col("rank") <= HUBS).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-    links = cut(verified(pairs, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"))
+    links = cut(verified(_hub_pairs(buckets), sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"))
     more = verified(_remaining(buckets.select("b", "id"), nodes, _joined(links)), sets)
     comps = components(links.unionByName(more.where(F.col("similarity") >= SIMILARITY).select("a", "b")))
     of = nodes.select("id", "key", "doc").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))

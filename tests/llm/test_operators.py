@@ -360,3 +360,10 @@ def test_weights_keep_the_probability_jaccard_near_that_of_sets():
         likely = sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in range(n))
         assert likely >= n / (n + a + b) / neardup.HEAVIEST
     assert neardup.LEAST_AGREE < neardup.BANDS * neardup.ROWS * neardup.SIMILARITY / neardup.HEAVIEST
+
+
+def test_nodes_that_share_a_bucket_of_two_alone_meet(spark):
+    closer = [(node, 10 * node + k, bucket) for node in (1, 2) for k in range(neardup.HUBS + 1) for bucket in range(3)]
+    rows = [(i, [node, hub], False) for node, hub, _ in closer for i in (node, hub)] + [(1, [1, 2], True), (2, [1, 2], True)]
+    got = {(r.a, r.b) for r in neardup._hub_pairs(spark.createDataFrame(rows, "id long, hubs array<long>, two boolean")).collect()}
+    assert (2, 1) in got and len(got & {(10, 1), (11, 1), (12, 1)}) == 3
