@@ -21,10 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest id (of repeated ids, one row)."""
-    (first,) = free_name(docs, "class_id")
-    kept = neardup.classes(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(first)).distinct()
-    return docs.join(kept, docs.doc_id == kept[first], "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate class: the one with the smallest id, then text digest; those without an id rank last.
+
+    Rows of one id are told apart by their texts; of rows with the same id and text one stays.
+    """
+    digest, key, first = free_name(docs, "__digest", "__key", "__first")
+    kept = neardup.representatives(docs.select("doc_id", "text")).select(F.col("key").alias(key), F.col("doc").alias(first))
+    own = docs.withColumn(digest, neardup.digest("text"))
+    same = (own[digest] == kept[key]) & own.doc_id.cast("long").eqNullSafe(kept[first])
+    return own.join(kept, same, "left_semi").dropDuplicates([digest]).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

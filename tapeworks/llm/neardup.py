@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.llm.graph import components, parted_anew
@@ -193,10 +193,14 @@ def _remaining(buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFr
     return lists.mapInArrow(_close_pairs, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the text, with ``class_id``: the smallest id among the documents of the class."""
-    key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"), key.alias("key"))
+def digest(text: str) -> Column:
+    """What tells texts apart; a null text is an empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(key, doc, comp): the digest of each text, its smallest id, and the component that it is in."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"), digest(text).alias("key"))
     nodes = signatures(own, "t").groupBy("key").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
     rows = nodes.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("b"))
@@ -210,12 +214,24 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     links = cut(verified(_hub_pairs(buckets), sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"))
     more = verified(_remaining(buckets.select("b", "id"), nodes, _joined(links)), sets)
     comps = components(links.unionByName(more.where(F.col("similarity") >= SIMILARITY).select("a", "b")))
-    of = nodes.select("id", "key", "doc").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    return nodes.select("id", "key", "doc").join(comps, "id", "left").select("key", "doc", F.coalesce("comp", "id").alias("comp"))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, doc): digest and id of one text of each class: the smallest id, then digest; without an id if none has one."""
+    order = F.struct(F.col("doc").isNull().alias("last"), F.col("doc"), F.col("key"))
+    first = _grouped(docs, doc_id, text).groupBy("comp").agg(F.min(order).alias("x"))
+    return first.select("x.key", "x.doc")
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the text, with ``class_id``: the smallest id among the documents of the class."""
+    of = _grouped(docs, doc_id, text)
     least = parted_anew(of.groupBy("comp").agg(F.min("doc").alias("class_id")), "comp")
     of = of.join(least, "comp").select("key", "class_id")
     (name,) = free_name(docs, "__key")
     of = of.select(F.concat("key", F.lit(b"")).alias(name), "class_id")
-    out = docs.drop("class_id").withColumn(name, key).drop(text)
+    out = docs.drop("class_id").withColumn(name, digest(text)).drop(text)
     return out.join(of, name).drop(name)
 
 

@@ -49,3 +49,15 @@ def test_run(spark):
     out = cp.run(spark, DATA).toPandas()
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near copies", "repeats", "personal data", "packing"]
     assert (out.groupby("sequence_id").length.sum() <= 4096).all() and out.doc_id.nunique() > 100
+
+
+def test_one_document_of_each_class_stays_with_null_and_repeated_ids(spark):
+    rng = random.Random(31)
+    a, b, c, d, e = (sentence(rng, 100) for _ in range(5))
+    near = " ".join([*b.split()[:-1], "changed"])
+    rows = [(3, b), (5, a), (5, near), (None, c), (None, c), (None, near), (7, d), (7, d), (7, e), (None, e + " more")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    for n in (1, 7):
+        got = cp.drop_near_copies(spark, docs.repartition(n), "")
+        assert got.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(3, b), (5, a), (0, c), (7, d), (7, e)])
