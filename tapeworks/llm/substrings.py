@@ -1,9 +1,12 @@
 """Operator 6: substring dedup by hashing lines and passages.
 
 Units are of two kinds.  Lines of ``LINE_WORDS`` words or more are units as they stand.  As passages also repeat within
-lines, each line is parted after sentences and after words that their own hash chooses (about one in ``PART``), the
-same wherever a passage stands, and every run of parts with ``PASSAGE_WORDS`` words or more is a unit that starts with its first part.  Words
-are lower-cased and white space doesn't count, so units are normalised before they are hashed to 128 bits.
+lines, each text is parted after sentences and at words that winnowing chooses (the least hash of each ``WINDOW`` words, the
+last of equal ones; about two in WINDOW + 1), the same wherever a passage stands, and from every part on the run of parts
+with ``PASSAGE_WORDS`` words or more is a unit.  So every shared stretch of PASSAGE_WORDS + 2 * WINDOW - 1 words holds a
+shared unit for certain, however its lines are broken.  The same runs are also made with parts that end with lines, for
+shorter passages that are lines of their own.  A passage's words before its first unit and after its last one stay:
+fewer than WINDOW before, fewer than 2 * WINDOW after.  Words are lower-cased and white space doesn't count, so units are normalised before they are hashed to 128 bits.
 
 Digests are grouped globally; the occurrence that ranks earliest (by id, then position) is kept and the others are
 removed.  Within a block of documents only the first occurrence of a digest leaves for the global grouping: later ones
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from tapeworks.llm.shared import free_name
 from tapeworks.llm.words import gather, mix, replace_columns, split_words
 
-LINE_WORDS, PART, PASSAGE_WORDS = 8, 6, 20
+LINE_WORDS, WINDOW, PASSAGE_WORDS = 8, 11, 20
 #: Text of a block of documents within which repeats are told apart at once.
 BLOCK_BYTES = 4_000_000
 _ENDS = np.zeros(256, dtype=bool)
@@ -45,6 +48,31 @@ def _run_hash(h: np.ndarray, first: np.ndarray, end: np.ndarray, base: np.uint64
     return mix((total[end] - total[first]) * _power(inverse, len(h) + 1)[first] + (end - first).astype(np.uint64))
 
 
+def _chosen(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether a word has the least hash of some WINDOW words of its text, the last of equal ones."""
+    out = np.zeros(len(h), dtype=bool)
+    m = len(h) - WINDOW + 1
+    if m > 0:
+        least, at = h[:m].copy(), np.arange(m)
+        for i in range(1, WINDOW):
+            on = np.flatnonzero(h[i : i + m] <= least)
+            least[on] = h[i + on]
+            at[on] = i + on
+        out[at[text[:m] == text[WINDOW - 1 :]]] = True
+    return out
+
+
+def _runs(new_part: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word, and the word after the last, of the run of parts from each part that has enough words, all of one text."""
+    part_first = np.flatnonzero(new_part)
+    part_end = np.append(part_first[1:], len(text))
+    j = np.searchsorted(part_end, part_first + PASSAGE_WORDS)
+    fits = j < len(part_end)
+    first, end = part_first[fits], part_end[j[fits]]
+    same = text[first] == text[end - 1]
+    return first[same], end[same]
+
+
 def units(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """For each unit: index of its text, first byte and the byte after its last, and two hashes; in order of place."""
     w = split_words(texts)
@@ -55,19 +83,15 @@ def units(texts: pa.Array) -> tuple[np.ndarray, ...]:
     lines = np.cumsum(np.concatenate([[0], (w.data == 10).astype(np.int64)]))
     new_line = np.ones(n, dtype=bool)  # the word starts a line
     new_line[1:] = (lines[w.start[1:]] != lines[w.end[:-1]]) | (w.text[1:] != w.text[:-1])
-    new_part = new_line.copy()
-    new_part[1:] |= ((mix(w.hash[:-1]) % np.uint64(PART)) == 0) | _ENDS[w.data[w.end[:-1] - 1]]
+    new_part = _chosen(w.hash, w.text)  # wherever the passage stands
+    new_part[0] = True
+    new_part[1:] |= (w.text[1:] != w.text[:-1]) | _ENDS[w.data[w.end[:-1] - 1]]
     line_first = np.flatnonzero(new_line)
     line_end = np.append(line_first[1:], n)
     long = line_end - line_first >= LINE_WORDS
-    part_first = np.flatnonzero(new_part)
-    part_end = np.append(part_first[1:], n)
-    # the part with which a run from each part has enough words; it must be of the same text
-    j = np.searchsorted(part_end, part_first + PASSAGE_WORDS)
-    fits = j < len(part_end)
-    run_first, run_end = part_first[fits], part_end[j[fits]]
-    same = w.text[run_first] == w.text[run_end - 1]
-    run_first, run_end = run_first[same], run_end[same]
+    both = [_runs(new_part, w.text), _runs(new_part | new_line, w.text)]
+    run = np.unique(np.concatenate([a * (n + 1) + b for a, b in both]))
+    run_first, run_end = run // (n + 1), run % (n + 1)
     first = np.concatenate([line_first[long], run_first])
     end = np.concatenate([line_end[long], run_end])
     kind = np.repeat(np.array([1, 2], dtype=np.uint64), [long.sum(), len(run_first)])

@@ -367,3 +367,18 @@ def test_nodes_that_share_a_bucket_of_two_alone_meet(spark):
     rows = [(i, [node, hub], False) for node, hub, _ in closer for i in (node, hub)] + [(1, [1, 2], True), (2, [1, 2], True)]
     got = {(r.a, r.b) for r in neardup._hub_pairs(spark.createDataFrame(rows, "id long, hubs array<long>, two boolean")).collect()}
     assert (2, 1) in got and len(got & {(10, 1), (11, 1), (12, 1)}) == 3
+
+
+def test_every_shared_passage_holds_a_unit_wherever_it_stands():
+    rng = random.Random(13)
+    least = substrings.PASSAGE_WORDS + 2 * substrings.WINDOW - 1
+    assert least <= 51
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    for kinds in (10**9, 10, 2, 1):
+        for _ in range(300):
+            few = [f"v{rng.randrange(10**9)}" for _ in range(min(kinds, least))]
+            passage = few if kinds > least else [rng.choice(few) for _ in range(least)]
+            wrapped = "\n".join(" ".join(passage[i : i + 7]) for i in range(0, least, 7))
+            a = substrings.units(pa.array([f"{fresh(rng.randrange(30))} {' '.join(passage)} {fresh(rng.randrange(30))}"]))
+            b = substrings.units(pa.array(["other", f"{fresh(rng.randrange(30))} {wrapped} {fresh(rng.randrange(30))}"]))
+            assert set(zip(a[3], a[4])) & set(zip(b[3], b[4])), passage
