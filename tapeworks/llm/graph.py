@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import cut
+from tapeworks.llm.shared import cut, drop_cut
 
 
 def parted_anew(df: DataFrame, key: str) -> DataFrame:
@@ -18,6 +18,11 @@ def _least(edges: DataFrame, name: str) -> DataFrame:
     return parted_anew(edges.select(F.col("u").alias(name), "v").groupBy(name).agg(F.min("v").alias("m")), name)
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number and checksum of the edges."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp) for every id in the links; comp is the smallest id of its component.
 
@@ -25,19 +30,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     size, and each node of it costs a row a round.  Links to null or to itself are left out.
     """
     e = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
+    before, state = None, _state(e)
+    while state != before:
         ways = F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
         both = e.select(ways.alias("e")).select(F.col("e.u").alias("u"), F.col("e.v").alias("v"))
         least = _least(both, "large")
-        e = both.join(least, both.u == least.large).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        e = e.distinct()  # every edge goes from u to a smaller v
-        least = _least(e, "small")
-        down = e.join(least, e.u == least.small).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(down.unionByName(least.select(F.col("small").alias("u"), F.col("m").alias("v"))).distinct())
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        down = both.join(least, both.u == least.large).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        down = down.distinct()  # every edge goes from u to a smaller v
+        least = _least(down, "small")
+        on = down.join(least, down.u == least.small).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = cut(on.unionByName(least.select(F.col("small").alias("u"), F.col("m").alias("v"))).distinct())
+        drop_cut(e)
+        e, before, state = new, state, _state(new)
     own = e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-    return cut(own.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("comp"))).distinct())
+    return own.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())

@@ -5,17 +5,25 @@ arrive in a Poisson process whose rate is its weight; each point falls on a regi
 point's element.  An element whose next point is later than all registers' is done (early termination).  Two
 texts agree in a register with the probability Jaccard similarity of their weights.  No weight is more than HEAVIEST
 times another, so this is the Jaccard similarity of the sets divided by HEAVIEST at least, also for texts that differ in
-a line that one of them repeats; the bands and ``LEAST_AGREE`` are made for that.
+a line that one of them repeats; the bands are made for that: a pair at the limit shares none of them once in 1400 times.
 
-Texts that agree in all registers of a band are candidates.  Exact copies are one node.  Candidates are verified by the
-exact Jaccard similarity of their sets of elements, 0.8 or more, and the classes are the connected components of the
-links.  Within a bucket not all pairs are formed: first every node is held against the hubs with which it shares
-most bands, and both nodes of each bucket of two against each other; then, in larger buckets, all pairs of nodes whose
-components still differ and whose registers agree in number.  So no link between nodes that share a bucket is lost to the components.  Buckets are worked on in blocks of
-``BUCKET_BLOCK`` nodes.
+Texts that agree in all registers of a band share a bucket and are candidates.  Exact copies are one node.  Candidates
+are verified by the exact Jaccard similarity of their sets of elements, 0.8 or more, and the classes are the connected
+components of the links.  Pairs are never rows.  What buckets connect is a cluster:
+
+* A cluster of at most ``BLOCK_BYTES`` and ``BLOCK_NODES`` meets in one task, which holds all of its pairs against each
+  other and puts out one link for each node at most.
+* In a larger cluster every node is first held against the ``HUBS`` hubs with which it shares most bands.  The
+  components of these links are known before anything else is compared.  Then the nodes outside a cluster's largest
+  component meet all of its nodes, block by block; a block joins components as it goes and puts out only the links that
+  joined some.  The blocks are those of the cluster or of its buckets, whichever move fewer rows.
+
+So no link between nodes that share a bucket is lost to the components, and only nodes that are like many others but
+linked to few of them cost more than their number.
 
 A null text is an empty one; empty texts are copies of each other.  A text of fewer than five words is one element.
 Each row gets a class, repeated rows and rows without an id too; a class id is the smallest id in the class.
+Very long texts are split into words a slice at a time; an element takes eight bytes.
 """
 
 from __future__ import annotations
@@ -33,13 +41,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Weight that an element approaches as it is repeated; once is 1.
 HEAVIEST = 1.1
-#: The least probability Jaccard similarity of texts whose sets are as similar as SIMILARITY.
-LEAST_LIKELY = SIMILARITY / HEAVIEST
-#: Registers that must agree before a pair is verified: four standard deviations below the least.
-LEAST_AGREE = int(BANDS * ROWS * (LEAST_LIKELY - 4 * (LEAST_LIKELY * (1 - LEAST_LIKELY) / (BANDS * ROWS)) ** 0.5))
-#: Hubs (of the two in each of its buckets) that a node is held against first: those with which it shares most bands.
+#: Hubs (one in each of its buckets) that a node of a large cluster is held against first: those with which it shares most bands.
 HUBS = 3
-BUCKET_BLOCK = 128
+#: What a task holds against each other at once: bytes of elements, and nodes.
+BLOCK_BYTES, BLOCK_NODES = 2_000_000, 1000
 _STEP, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -89,7 +94,7 @@ def prob_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_te
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``bands`` (array of long; empty without elements) and ``sig`` (binary, registers of four bytes)."""
+    """docs with ``bands`` (array of long; empty without elements): a hash of the registers of each band."""
 
     def work(texts: pa.Array) -> list:
         n = len(texts)
@@ -99,10 +104,9 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
         own = np.full((n, BANDS), _PLACE)
         for i in range(ROWS):
             own = mix(own * _STEP + who.reshape(n, BANDS, ROWS)[:, :, i])
-        sig = (who >> np.uint64(32)).astype("<u4")
-        return [[b.view(np.int64) if s else [] for b, s in zip(own, some)], pa.array([r.tobytes() for r in sig], pa.binary())]
+        return [[b.view(np.int64) if s else [] for b, s in zip(own, some)]]
 
-    return append_columns(docs, text, {"bands": "array<bigint>", "sig": "binary"}, work)
+    return append_columns(docs, text, {"bands": "array<bigint>"}, work)
 
 
 def element_sets(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -139,58 +143,88 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return replace_columns(both, "elements_a", {"similarity": "double"}, _similar).select("a", "b", "similarity")
 
 
-def _close_pairs(batches):
-    """For rows with a bucket's blocks: pairs of its side 1 with side 0 that differ in component and nearly agree."""
-    for batch in batches:
-        a_out, b_out = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for row in batch.column("nodes"):
-            own = row.values
-            ids, comp, side = (own.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            sig = np.frombuffer(b"".join(own.field(3).to_pylist()), dtype="<u4").reshape(len(ids), -1)
-            zero = np.flatnonzero(side == 0)
-            for i in np.flatnonzero(side == 1):
-                at = zero[comp[zero] != comp[i]]
-                at = at[(sig[at] == sig[i]).sum(axis=1) >= LEAST_AGREE]
-                a_out.append(np.minimum(ids[i], ids[at]))
-                b_out.append(np.maximum(ids[i], ids[at]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
-
+def joining_links(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between nodes of one block that join components: nodes of side 1 or 2 are held against those of side 0 or 2.
 
-def _joined(links: DataFrame) -> DataFrame:
-    """(id, comp): nodes of one comp are known to be connected, though a component may have several comps.
-
-    A node's comp is the hub of its hub, which one join finds; components come later, once for all links.
+    Every pair whose components differ at its turn is verified, by counting shared elements for all partners at once.
     """
-    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")), F.struct(F.col("a").alias("u"), F.col("a").alias("v")), F.struct(F.col("b").alias("u"), F.col("b").alias("v"))))
-    first = links.select(ends.alias("e")).groupBy(F.col("e.u").alias("id")).agg(F.min(F.struct(F.xxhash64("e.v").alias("h"), F.col("e.v").alias("v"))).alias("x"))
-    first = cut(first.select("id", F.col("x.v").alias("hub")))
-    return first.join(first.select(F.col("id").alias("at"), F.col("hub").alias("comp")), F.col("hub") == F.col("at")).select("id", "comp")
+    size = np.array([len(x) for x in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    edge = np.concatenate([[0], np.cumsum(size)])
+    label = np.unique(comp, return_inverse=True)[1]
+    partner = np.flatnonzero(side != 1)
+    flat, starts = np.concatenate([code[edge[y] : edge[y + 1]] for y in partner]), np.concatenate([[0], np.cumsum(size[partner])[:-1]])
+    mark = np.zeros(code.max() + 1, dtype=bool)
+    out = []
+    for x in np.flatnonzero(side != 0):
+        meet = (label[partner] != label[x]) & (5 * np.minimum(size[partner], size[x]) >= 4 * np.maximum(size[partner], size[x]))
+        if side[x] == 2:
+            meet &= partner > x
+        if not meet.any():
+            continue
+        own = code[edge[x] : edge[x + 1]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+        mark[own] = False
+        for y in partner[meet & (5 * shared >= 4 * (size[partner] + size[x] - shared))]:
+            if label[y] != label[x]:
+                out.append((int(ids[x]), int(ids[y])))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def _join_bin(table: pa.Table) -> pa.Table:
+    """Links (a, b) from the groups of a bin."""
+    group, ids, comp, side = (table.column(c).to_numpy() for c in ("g", "id", "comp", "side"))
+    sets = [np.frombuffer(x, dtype="<u8") for x in table.column("elements").to_pylist()]
+    order = np.argsort(group, kind="stable")
+    out = []
+    for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        if len(at) > 1 and (side[at] != 1).any() and (side[at] != 0).any():
+            out += joining_links(ids[at], comp[at], side[at], [sets[i] for i in at])
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each node and the HUBS hubs with which it shares most bands, and of the nodes of each bucket of two."""
-    shared = buckets.select("id", "two", F.explode("hubs").alias("hub")).where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"), F.max("two").alias("two"))
+    """Pairs (a, b) of each node and the HUBS hubs with which it shares most bands."""
+    shared = buckets.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.col("n").desc(), "hub"))
-    return shared.withColumn("rank", best).where((F.col("rank") <= HUBS) | F.col("two")).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+    return shared.withColumn("rank", best).where(F.col("rank") <= HUBS).select(F.col("id").alias("a"), F.col("hub").alias("b"))
 
 
-def _remaining(buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (a, b) in a bucket whose components differ and whose registers agree in LEAST_AGREE places or more.
+def _blocks(nodes: str, size: str) -> Column:
+    return F.ceil(F.greatest(F.col(nodes) / BLOCK_NODES, F.col(size) / BLOCK_BYTES)).cast("int")
 
-    In each bucket of three nodes or more (``_hub_pairs`` has the pair of a bucket of two) the nodes outside its largest component (side 1) meet all of its nodes (side 0), in blocks.
-    """
-    own = buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    sizes = own.groupBy("b", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("b").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", "n").alias("main"), F.count("*").alias("comps")).where("comps > 1 and n > 2")
-    mixed = mixed.select("b", "main", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BUCKET_BLOCK).cast("int").alias("others"))
-    own = own.join(parted_anew(mixed, "b"), "b")
+
+def _mixed(own: DataFrame) -> DataFrame:
+    """For each group g of own (g, cluster, id, comp, size) with several components: the largest, blocks, and rows to move."""
+    parts = own.groupBy("g", "cluster", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    whole = parts.groupBy("g", "cluster").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "comp", "size")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    whole = whole.select("g", "cluster", F.col("m.comp").alias("main"), "n", "size", (F.col("n") - F.col("m.n")).alias("n_others"), (F.col("size") - F.col("m.size")).alias("size_others"))
+    whole = whole.select("g", "cluster", "main", "n", "n_others", _blocks("n", "size").alias("blocks"), _blocks("n_others", "size_others").alias("others"))
+    return whole.withColumn("moved", F.col("n") * F.col("others") + F.col("n_others") * F.col("blocks"))
+
+
+def _large_links(large: DataFrame, buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the nodes of large clusters (id, cluster, size): those to hubs, and those that blocks find between their components."""
+    own = buckets.join(large.select("id", "cluster", "size"), "id")
+    links = cut(verified(_hub_pairs(own), sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"))
+    comps = components(links)
+    known = lambda df: df.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    by_bucket = cut(known(own.select(F.col("b").alias("g"), "cluster", "id", "size")))
+    by_cluster = cut(known(large.select(F.col("cluster").alias("g"), "cluster", "id", "size")))
+    of_bucket, of_cluster = _mixed(by_bucket), _mixed(by_cluster)
+    dear = of_bucket.groupBy("cluster").agg(F.sum("moved").alias("by_bucket")).join(of_cluster.select("cluster", "moved"), "cluster").where("by_bucket < moved").select("cluster")
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    zero = own.select("b", "id", "comp", F.lit(0).alias("side"), deal("blocks").alias("i"), every("others").alias("j"))
-    one = own.where("comp <> main").select("b", "id", "comp", F.lit(1).alias("side"), every("blocks").alias("i"), deal("others").alias("j"))
-    both = zero.unionByName(one).join(nodes.select("id", "sig"), "id")
-    lists = both.groupBy("b", "i", "j").agg(F.collect_list(F.struct("id", "comp", "side", "sig")).alias("nodes")).select("nodes")
-    return lists.mapInArrow(_close_pairs, "a long, b long").distinct()
+    items = []
+    for rows, groups, how in ((by_cluster, of_cluster, "left_anti"), (by_bucket, of_bucket, "left_semi")):
+        met = rows.join(parted_anew(groups.join(dear, "cluster", how).drop("cluster"), "g"), "g")
+        zero = met.select("g", "id", "comp", F.lit(0).alias("side"), deal("blocks").alias("i"), every("others").alias("j"))
+        one = met.where("comp <> main").select("g", "id", "comp", F.lit(1).alias("side"), every("blocks").alias("i"), deal("others").alias("j"))
+        items.append(zero.unionByName(one))
+    both = items[0].unionByName(items[1]).join(sets, "id").withColumn("bin", F.xxhash64("g", "i", "j"))
+    return links.unionByName(both.select("bin", "g", "id", "comp", "side", "elements").groupBy("bin").applyInArrow(_join_bin, "a long, b long"))
 
 
 def digest(text: str) -> Column:
@@ -201,19 +235,29 @@ def digest(text: str) -> Column:
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(key, doc, comp): the digest of each text, its smallest id, and the component that it is in."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"), digest(text).alias("key"))
-    nodes = signatures(own, "t").groupBy("key").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = signatures(own, "t").groupBy("key").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"))
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
     rows = nodes.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("b"))
-    order = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
-    hubs = rows.groupBy("b").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).where("n > 1")
-    hubs = parted_anew(hubs.select("b", F.array("lo.id", "hi.id").alias("hubs"), (F.col("n") == 2).alias("two")), "b")
+    first = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"))).alias("first")
+    hubs = parted_anew(rows.groupBy("b").agg(first, F.count("*").alias("n")).where("n > 1").select("b", F.col("first.id").alias("hub")), "b")
     buckets = cut(rows.join(hubs, "b"))
-    need = nodes.join(buckets.select("id").distinct(), "id").select("key", "id", "doc")
-    sets = own.join(need, (own.key == need.key) & own.doc.eqNullSafe(need.doc)).select("id", "t")
+    clusters = components(buckets.select("id", "hub"), "id", "hub").select("id", F.col("comp").alias("cluster"))
+    need = nodes.join(clusters, "id").select("key", "id", "doc", "cluster")
+    sets = own.join(need, (own.key == need.key) & own.doc.eqNullSafe(need.doc)).select("id", "cluster", "t").dropDuplicates(["id"])
     sets = cut(element_sets(sets, "t").drop("t"))
-    links = cut(verified(_hub_pairs(buckets), sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"))
-    more = verified(_remaining(buckets.select("b", "id"), nodes, _joined(links)), sets)
-    comps = components(links.unionByName(more.where(F.col("similarity") >= SIMILARITY).select("a", "b")))
+    light = sets.select("id", "cluster", F.length("elements").alias("size"))
+    sizes = light.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("bytes"))
+    sizes = cut(sizes.withColumn("large", _blocks("n", "bytes") > 1))
+    total = sizes.agg(F.max("large").alias("large"), F.sum(F.when(~F.col("large"), F.col("bytes"))).alias("bytes")).first()
+    of_size = lambda large: parted_anew(sizes.where(F.col("large") == large).select("cluster"), "cluster")
+    bins = (total.bytes or 0) // BLOCK_BYTES + 1
+    small = sets.join(of_size(False), "cluster").select(
+        F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("bin"), F.col("cluster").alias("g"), "id", F.col("id").alias("comp"), F.lit(2).alias("side"), "elements"
+    )
+    links = small.groupBy("bin").applyInArrow(_join_bin, "a long, b long")
+    if total.large:
+        links = links.unionByName(_large_links(cut(light.join(of_size(True), "cluster")), buckets, sets.select("id", "elements")))
+    comps = components(links)
     return nodes.select("id", "key", "doc").join(comps, "id", "left").select("key", "doc", F.coalesce("comp", "id").alias("comp"))
 
 

@@ -2,35 +2,36 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def use_shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; only where none is set (tests), one of our own."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    have = spark.sparkContext.getCheckpointDir()
-    if not have:
-        spark.sparkContext.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder that the session names in ``spark.checkpoint.dir``, or the one set for its context (tests do that)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffles and checkpoints that nothing refers to any more.
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once: a table written to the shared folder, where lost executors don't matter, and read again.
 
-    The cleaner acts when the driver's JVM collects its garbage, which may not happen for long while disks fill.
+    A table also has sizes that Spark knows, while a checkpoint keeps the estimates of its plan, which joins multiply.
+    The table stays until it is dropped or the folder is cleared.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    path = f"{use_shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder until nothing refers to it."""
-    use_shared_folder(df.sparkSession)
-    release(df.sparkSession)
-    return df.checkpoint()
+def drop_cut(df: DataFrame) -> None:
+    """Removes the table that cut has written for df; nothing may read it later."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
