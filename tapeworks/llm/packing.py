@@ -1,25 +1,27 @@
 """Operator 4: packing of token sequences by non-negative least squares.
 
 Every document's ids (and an end id) fill whole windows first; what remains, its tail, is shorter than a window.
-Combinations ``k`` tails of length a and one of length b with ``k * a + b = window`` are enumerated for all a (about
-window * ln(window) of them).  Projected gradient steps solve for how often each is used against the histogram of
-tail lengths; the counts are rounded down and held to what is there.  Tails that no combination takes are laid end
-to end and cut at window borders, so only the very last sequence can hold padding.
-
-The histogram has at most ``window`` rows whatever the input, and so has the plan at most two rows for each
-combination; these are all that the driver sees, and all that is broadcast.  Ranks and running totals are computed in
-two levels (within salted groups, then over the groups' totals), so that neither a common length nor the order of all
-rows meets in one task.
+Tails are counted by bins of ``WIDTH`` ids.  Shallow combinations, up to ``DEPTH`` bins whose upper ends add up to the
+window, are enumerated over the bins that have tails; projected gradient steps solve for how often each is used against
+the histogram, the counts are rounded down, then up where tails are left, and what no combination takes is solved for
+again.  So most tails are placed whole; a sequence has room for less than ``WIDTH`` ids for each of them.  The residual
+tails are packed greedily: they fill the rooms one after the other, and then sequences of their own, and are cut only
+where a room ends.  If they are fewer than the rooms, some planned sequences are given up, so that only the very last
+sequence can hold padding.
+
+The histogram has at most ``window`` rows whatever the input, and the plan's size depends on the window alone; these are
+all that the driver sees, and all that is broadcast.  Ranks and running totals are computed in two levels (within
+salted groups, then over the groups' totals), so that neither a common length nor the order of all rows meets in one task.
 
 A null text is an empty one: only its end id is packed.  Repeated rows are packed each for itself.  An empty table
-gives no pieces.  Columns other than ``doc_id`` and ``text`` play no part.
+gives no pieces.  A very long text is encoded by itself; its whole windows leave as checksums.  Columns other than
+``doc_id`` and ``text`` play no part.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import unicodedata
 import zlib
 
 import numpy as np
@@ -34,6 +36,8 @@ from tapeworks.llm.words import append_columns, finder, per_worker, split_words
 
 WINDOW = 4096
 END_ID = 2
+#: Ids in a bin of tail lengths, and the most tails in a combination.
+WIDTH, DEPTH = 64, 6
 #: Groups that rows of one tail length are dealt to.
 SALTS = 256
 #: Rows that one group of a running total holds, about, and the least number of groups.
@@ -43,8 +47,7 @@ CACHE_WORDS = 1_200_000
 
 
 class WordIds:
-    """ids of white-space separated words, for a tokenizer file that lower-cases, drops white space and marks the ends
-    of the pieces that its first pre-tokenizer's pattern finds, and so encodes each word by itself.
+    """ids of white-space separated words, for a tokenizer file that drops white space, and so encodes each word by itself.
 
     Words are known by their 64-bit hash in a sorted array; only words not met before reach the library.
     """
@@ -54,42 +57,53 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as f:
             split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = finder(split)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.known, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Splits the words as the tokenizer does, and has it encode their distinct pieces in one text."""
-        pieces = [self.find(unicodedata.normalize("NFC", w).replace("\u03a3", "\u03c3").lower()) for w in words]
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of ASCII words without special tokens, and how many each has: their distinct pieces are encoded in one text."""
+        pieces = [self.find(w.lower()) for w in words]
         code: dict[str, int] = {}
         of = np.array([code.setdefault(p, len(code)) for x in pieces for p in x], dtype=np.int64)
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(code)], add_special_tokens=False)[0].ids, dtype=np.uint32)
         end = np.flatnonzero(self.ends[ids]) + 1
         if len(end) != len(code):
-            raise ValueError("the tokenizer doesn't mark the end of each piece")
+            return self._each(words)
         start = np.concatenate([[0], end])[:-1].astype(np.int64)
-        n, begin = (end - start)[of], start[of]
+        n = (end - start)[of]
         edge = np.concatenate([[0], np.cumsum(n)])
-        flat = ids[np.repeat(begin - edge[:-1], n) + np.arange(edge[-1])]
-        first = edge[np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)]
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.at = np.concatenate([self.at, first[:-1] + len(self.flat)])[order]
-        self.n = np.concatenate([self.n, np.diff(first)])[order]
-        self.known, self.flat = known[order], np.concatenate([self.flat, flat])
+        flat = ids[np.repeat(start[of] - edge[:-1], n) + np.arange(edge[-1])]
+        return flat, np.diff(edge[np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)])
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the words, each encoded as a text, and how many each has."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        plain = np.array([w.isascii() and not any(t in w for t in self.special) for w in words])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        parts = [f([words[i] for i in on]) for f, on in ((self._plain, np.flatnonzero(plain)), (self._each, np.flatnonzero(~plain))) if len(on)]
+        n = np.concatenate([self.n, *(x[1] for x in parts)])
+        known = np.concatenate([self.known, hashes[order]])
+        start = len(self.flat) + np.concatenate([[0], np.cumsum(n[len(self.n) :])])[:-1]
+        by_hash = np.argsort(known, kind="stable")
+        self.at, self.n, self.known = np.concatenate([self.at, start])[by_hash], n[by_hash], known[by_hash]
+        self.flat = np.concatenate([self.flat, *(x[0] for x in parts)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and where each text's begin."""
-        w = split_words(texts)
+        w = split_words(texts, lower=False)
         unique, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_WORDS:
             self.clear()
@@ -129,76 +143,124 @@ def token_windows(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     return append_columns(docs, "text", fields, work, lambda: per_worker(WordIds, path)).drop("text")
 
 
-def combinations(window: int) -> np.ndarray:
-    """Rows (a, k, b) with k * a + b = window; b is 0 or at most a, so that each set of lengths comes once."""
-    out = [(a, k, window - k * a) for a in range(1, window) for k in range(1, window // a + 1)]
-    out = np.array([x for x in out if x[0] != x[2]], dtype=np.int64)
-    return out[(out[:, 1] > 1) | (out[:, 2] == 0) | (out[:, 0] > out[:, 2])]
+def combinations(whole: int, depth: int, bins: list[int]) -> np.ndarray:
+    """Rows of at most depth of the bins (descending, then zeros) that add up to whole."""
+    out: list[tuple[int, ...]] = []
+    bins = sorted(bins, reverse=True)
 
+    def add(chosen: tuple[int, ...], at: int, left: int) -> None:
+        if not left:
+            out.append(chosen + (0,) * (depth - len(chosen)))
+        elif len(chosen) < depth:
+            for i in range(at, len(bins)):
+                if bins[i] * (depth - len(chosen)) < left:
+                    break
+                if bins[i] <= left:
+                    add((*chosen, bins[i]), i, left - bins[i])
 
-def solve(combos: np.ndarray, have: np.ndarray, steps: int = 400) -> np.ndarray:
-    """x >= 0 that brings sum of x over the combinations' lengths near the histogram: accelerated projected gradient.
+    add((), 0, whole)
+    return np.array(out, dtype=np.int64).reshape(-1, depth)
+
+
+def solve(combos: np.ndarray, have: np.ndarray, steps: int = 300) -> np.ndarray:
+    """x >= 0 that brings sum of x over the combinations' bins near the histogram: accelerated projected gradient.
 
     Rows are scaled by the square root of the histogram, columns by their norm.
     """
-    a, k, b = combos.T
-    weight = 1 / np.sqrt(np.maximum(have, 1.0))
-    usable = (have[a] > 0) & ((have[b] > 0) | (b == 0))
-    wa, wb = k * weight[a], np.where(b > 0, weight[b], 0.0)
-    norm = np.sqrt(wa**2 + wb**2)
-    wa, wb = np.where(usable, wa / norm, 0), np.where(usable, wb / norm, 0)
+    weight = np.where(have > 0, 1 / np.sqrt(np.maximum(have, 1.0)), 0.0)
+    weight[0] = 0
+    norm = np.sqrt(sum(weight[c] ** 2 * (combos == c[:, None]).sum(axis=1) for c in combos.T))  # a bin that comes twice counts twice
     target = have * weight
-    target[0] = 0
 
     def forward(y):
-        out = np.bincount(a, wa * y, len(have)) + np.bincount(b, wb * y, len(have))
-        out[0] = 0
-        return out
+        return np.bincount(combos.T.ravel(), np.tile(y / norm, combos.shape[1]), len(have)) * weight
 
     def back(r):
-        return wa * r[a] + wb * r[b]
+        return (r * weight)[combos].sum(axis=1) / norm
 
-    v = np.random.default_rng(0).random(len(a))
+    v = np.random.default_rng(0).random(len(combos))
     for _ in range(30):  # the largest eigenvalue, for the step
         v = back(forward(v))
         v /= max(np.linalg.norm(v), 1e-300)
     step = 1 / max(1.05 * np.linalg.norm(back(forward(v))), 1e-300)
-    x = y = np.zeros(len(a))
+    x = y = np.zeros(len(combos))
     t = 1.0
     for _ in range(steps):
         new = np.maximum(y - step * back(forward(y) - target), 0)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t2 * (new - x)
         x, t = new, t2
-    return np.where(usable, x / norm, 0)
-
-
-def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple], int]:
-    """Rows (length, rank from, rank to, first sequence, tails in a sequence, place of the first) and the sequences."""
-    have = np.zeros(window + 1)
+    return x / norm
+
+
+def _times(have: np.ndarray, whole: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Combinations, and how often each is used: solved, rounded, and solved again for what is left."""
+    left = have.copy()
+    combos = combinations(whole, depth, np.flatnonzero(have).tolist())
+    times = np.zeros(len(combos), dtype=np.int64)
+    if not len(combos):
+        return combos, times
+    need = np.stack([np.bincount(c[c > 0], minlength=len(have)) for c in combos])
+    while True:
+        on = np.flatnonzero((need <= left).all(axis=1))
+        if not len(on):
+            return combos, times
+        x, before = solve(combos[on], left.astype(float)), times.sum()
+        for i, n in [*((i, int(v)) for i, v in zip(on, x)), *((on[j], 1) for j in np.argsort(np.floor(x) - x, kind="stable"))]:
+            n = min(n, int((left[need[i] > 0] // need[i][need[i] > 0]).min())) if n else 0
+            if n > 0:
+                times[i] += n
+                left -= n * need[i]
+        if times.sum() == before:
+            return combos, times
+
+
+def plan(histogram: dict[int, int], window: int = WINDOW, depth: int = DEPTH) -> tuple[list[tuple], int]:
+    """Rows (length, rank from, rank to, first sequence, tails of the row in a sequence, slot, number before) and the sequences."""
+    width = max(1, min(WIDTH, window // 64))
+    whole = window // width
+    have = np.zeros(whole + 1, dtype=np.int64)
     for n, c in histogram.items():
-        have[n] = c
-    combos = combinations(window)
-    x = solve(combos, have)
-    left = have.astype(np.int64)
-    used = np.zeros(window + 1, dtype=np.int64)
-    rows, sequences = [], 0
-    for i in np.argsort(-x, kind="stable"):
-        if x[i] < 1:
-            break
-        a, k, b = (int(v) for v in combos[i])
-        m = int(min(np.floor(x[i]), left[a] // k, left[b] if b else 2**62))
-        if m < 1:
-            continue
-        rows.append((a, int(used[a]), int(used[a]) + m * k, sequences, k, 0))
-        used[a] += m * k
-        left[a] -= m * k
-        if b:
-            rows.append((b, int(used[b]), int(used[b]) + m, sequences, 1, k * a))
-            used[b] += m
-            left[b] -= m
+        have[-(-n // width)] += c
+    combos, times = _times(have, whole, depth)
+    total = sum(n * c for n, c in histogram.items())
+    drawn = [(i, int(times[i])) for i in np.argsort(-times, kind="stable") if times[i]]
+    while True:
+        rows, sequences, tokens = _draw(histogram, combos, drawn, width)
+        spare = (sequences * window - tokens) - (total - tokens)  # rooms without residual ids
+        if spare <= 0 or not drawn:
+            return rows, sequences
+        give_up = -(-spare // window)
+        while give_up > 0 and drawn:
+            i, n = drawn.pop()
+            if n > give_up:
+                drawn.append((i, n - give_up))
+            give_up -= n
+
+
+def _draw(histogram: dict[int, int], combos: np.ndarray, drawn: list[tuple[int, int]], width: int) -> tuple[list[tuple], int, int]:
+    """Rows of a plan that takes each bin's tails in order of length and rank; its sequences, and the ids placed."""
+    queue: dict[int, list[list[int]]] = {}
+    for n in sorted(histogram):
+        queue.setdefault(-(-n // width), []).append([n, 0, histogram[n]])
+    rows, sequences, tokens = [], 0, 0
+    for i, m in drawn:
+        slot = 0
+        for b in sorted({x for x in combos[i].tolist() if x}, reverse=True):
+            k = int((combos[i] == b).sum())
+            done = 0
+            while done < m * k:
+                n, at, end = head = queue[b][0]
+                take = min(end - at, m * k - done)
+                rows.append((n, at, at + take, sequences, k, slot, done))
+                head[1] += take
+                done += take
+                tokens += n * take
+                if head[1] == end:
+                    queue[b].pop(0)
+            slot += k
         sequences += m
-    return rows, sequences
+    return rows, sequences, tokens
 
 
 def running_total(df: DataFrame, value: str, row: str, name: str, groups: int) -> DataFrame:
@@ -230,33 +292,41 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     tokens = token_windows(docs.select("doc_id", "text"), path, window, end_id).withColumn("row", F.monotonically_increasing_id())
     tokens = cut(tokens)
     light = tokens.select("row", "doc_id", "n_ids", "tail_n", "tail_crc")
-    histogram = {r.tail_n: r.n for r in tokens.where("tail_n > 0").groupBy("tail_n").agg(F.count("*").alias("n")).collect()}
+    histogram = {r.tail_n: r.n for r in tokens.where("tail_n > 0").groupBy("tail_n").agg(F.count("*").alias("n")).collect()}  # a row for each length
     rows, sequences = plan(histogram, window)
     groups = max(RUN_GROUPS, sum(histogram.values()) // RUN_ROWS)
-    schema = T._parse_datatype_string("tail_n int, rank_from long, rank_to long, first long, each long, place long")
-    slots = F.broadcast(spark.createDataFrame(rows, schema))  # at most two rows for each combination
+    schema = T._parse_datatype_string("tail_n int, rank_from long, rank_to long, first long, each long, slot long, before long")
+    slots = F.broadcast(spark.createDataFrame(rows, schema))  # its size depends on the window alone
     tails = ranked(light.where("tail_n > 0"), "tail_n", "row", "rank")
     placed = tails.join(slots, (tails.tail_n == slots.tail_n) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")), "left").drop(slots.tail_n)
-    j = F.col("rank") - F.col("rank_from")
+    j = F.col("before") + F.col("rank") - F.col("rank_from")
+    placed = cut(placed.select(*light.columns, (F.col("first") + F.floor(j / F.col("each"))).alias("seq"), (F.col("slot") + j % F.col("each")).alias("slot")))
     start = (F.col("n_ids") - F.col("tail_n")).cast("long")
     common = lambda s, n, crc, seq, at: [
         "doc_id", s.cast("long").alias("start"), n.cast("long").alias("length"), crc.cast("long").alias("ids_crc32"),
         F.col("n_ids").alias("doc_tokens"), seq.cast("long").alias("sequence_id"), at.cast("long").alias("offset"),
     ]
-    fitted = placed.where("first is not null").select(*common(start, F.col("tail_n"), F.col("tail_crc"), F.col("first") + F.floor(j / F.col("each")), F.col("place") + j % F.col("each") * F.col("tail_n")))
-    rest = running_total(placed.where("first is null").select(*light.columns), "tail_n", "row", "at", groups)
-    at, room = F.col("at") % window, window - F.col("at") % window
-    sequence = sequences + F.floor(F.col("at") / window)
-    whole = rest.where(F.col("tail_n") <= room).select(*common(start, F.col("tail_n"), F.col("tail_crc"), sequence, at))
-    parts = rest.where(F.col("tail_n") > room).withColumn("part", F.explode(F.array(F.lit(0), F.lit(1)))).join(tokens.select("row", "tail"), "row")
-    second = F.col("part") == 1
-    skip, n = F.when(second, room).otherwise(0), F.when(second, F.col("tail_n") - room).otherwise(room)
-    parts = parts.withColumns({"skip": skip, "n": n}).select(*common(start + F.col("skip"), F.col("n"), _crc_of("tail", "skip", "n"), sequence + F.col("part"), F.when(second, 0).otherwise(at)))
+    before = F.coalesce(F.sum("tail_n").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fitted = placed.where("seq is not null").withColumn("at", before).select(*common(start, F.col("tail_n"), F.col("tail_crc"), F.col("seq"), F.col("at")))
+    # rooms of the planned sequences, then sequences of residual tails alone, as one line that the residual tails are laid along
+    filled = placed.where("seq is not null").groupBy("seq").agg(F.sum("tail_n").alias("filled"))
+    rooms = running_total(filled.select("seq", "filled", (window - F.col("filled")).alias("room")).where("room > 0"), "room", "seq", "from", groups)
+    in_plan = sum(n * (to - at) for n, at, to, *_ in rows)
+    free, left = sequences * window - in_plan, sum(n * c for n, c in histogram.items()) - in_plan
+    own = max(0, -(-(left - free) // window))
+    more = spark.range(own).select((sequences + F.col("id")).alias("seq"), F.lit(0).cast("long").alias("filled"), F.lit(window).cast("long").alias("room"), (free + F.col("id") * window).alias("from"))
+    rooms = rooms.select("seq", F.col("filled").cast("long"), F.col("room").cast("long"), F.col("from").cast("long")).unionByName(more)
+    rest = running_total(placed.where("seq is null").select(*light.columns), "tail_n", "row", "at", groups)
+    cells = lambda at, n: F.explode(F.sequence(F.floor(F.col(at) / window), F.floor((F.col(at) + F.col(n) - 1) / window)))
+    rooms, laid = rooms.withColumn("cell", cells("from", "room")), rest.withColumn("cell", cells("at", "tail_n"))
+    begin, end = F.greatest("at", "from"), F.least(F.col("at") + F.col("tail_n"), F.col("from") + F.col("room"))
+    parts = laid.join(rooms, (laid["cell"] == rooms["cell"]) & (begin < end) & (F.floor(begin / window) == laid["cell"])).drop("cell")
+    parts = parts.withColumns({"skip": begin - F.col("at"), "n": end - begin, "to": F.col("filled") + begin - F.col("from")})
+    parts = parts.join(tokens.select("row", "tail"), "row").select(*common(start + F.col("skip"), F.col("n"), _crc_of("tail", "skip", "n"), F.col("seq"), F.col("to")))
     long = running_total(tokens.where(F.size("full") > 0).select("row", "doc_id", "n_ids", "full", F.size("full").alias("n_full")), "n_full", "row", "at", groups)
-    left = sum(n * c for n, c in histogram.items()) - sequences * window
-    base = sequences + -(-left // window)
+    base = sequences + own
     full = long.select("doc_id", "n_ids", "at", F.posexplode("full").alias("i", "crc")).select(*common(F.col("i") * window, F.lit(window), F.col("crc"), base + F.col("at") + F.col("i"), F.lit(0)))
-    return fitted.unionByName(whole).unionByName(parts).unionByName(full)
+    return fitted.unionByName(parts).unionByName(full)
 
 
 def op4_packing(docs: DataFrame, path: str) -> DataFrame:

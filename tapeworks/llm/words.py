@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a slice of texts, in order."""
 
-    data: np.ndarray  # lower-cased bytes of the slice
+    data: np.ndarray  # bytes of the slice, lower-cased if asked for
     n_texts: int
     text_start: np.ndarray  # byte at which each text starts, and the end
     start: np.ndarray  # first byte of each word
@@ -62,15 +62,16 @@ class Words:
     hash: np.ndarray  # uint64
 
 
-def split_words(texts: pa.StringArray | pa.LargeStringArray) -> Words:
-    """Words and their hashes; a null text has none."""
+def split_words(texts: pa.StringArray | pa.LargeStringArray, lower: bool = True) -> Words:
+    """Words and their hashes, lower-cased unless told otherwise; a null text has none."""
     texts = pa.array([], pa.large_string()) if not len(texts) else texts.cast(pa.large_string()).fill_null("")
     texts = pa.concat_arrays([texts]) if texts.offset else texts
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=n + 1 + texts.offset)[texts.offset :] if n else np.zeros(1, np.int64)
     lo, hi = int(offsets[0]), int(offsets[-1])
     raw = texts.buffers()[2] if n else None
-    data = _LOWER[np.frombuffer(raw, dtype=np.uint8, count=hi)[lo:]] if hi > lo else np.zeros(0, np.uint8)
+    data = np.frombuffer(raw, dtype=np.uint8, count=hi)[lo:] if hi > lo else np.zeros(0, np.uint8)
+    data = _LOWER[data] if lower else data
     at = offsets - lo
     word = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
