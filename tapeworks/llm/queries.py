@@ -31,7 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": _byte_bpe,
         "op6_line_hashes": lambda s, d: substrings.op6_line_hashes(table(s, d, "documents")),
         "op7_pii": lambda s, d: pii.op7_pii(table(s, d, "documents")),
-        "op8_compression_bands": lambda s, d: quality.op8_compression_bands(table(s, d, "documents")),
+        "op8_compression_bands": lambda s, d: quality.op8_compression_bands(table(s, d, "documents"), table(s, d, "labels")),
         "op9_toxicity": lambda s, d: toxicity.op9_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op10_license_rules": lambda s, d: licenses.op10_license_rules(table(s, d, "documents")),
     }
