@@ -20,30 +20,42 @@ def span_alpha(span: int) -> float:
     return 2.0 / (span + 1)
 
 
-def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """df with a column for each spec: name -> (column, a, least)."""
+def ewm(df: DataFrame, specs: dict[str, tuple], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """df with a column for each spec: name -> (column, a, least[, counter]).
+
+    counter: a column with nulls in the same rows, the column itself if left out.  Specs with one counter share their
+    blocks, and so a window, where the shortest block still leaves nothing of what is two blocks back.
+    """
+    specs = {name: (*spec, spec[0])[:4] for name, spec in specs.items()}
     w = by_time(*keys)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    decay = {name: -math.log1p(-a) for name, (_, a, _) in specs.items() if a < 1}
+    decay = {name: -math.log1p(-spec[1]) for name, spec in specs.items() if spec[1] < 1}
     size = {name: int(600 / q) for name, q in decay.items()}
-    number = {name: f"__n_{c}" for name, (c, _, _) in specs.items()}
-    df = df.withColumns({f"__n_{c}": F.count(c).over(w) - 1 for c, _, _ in specs.values()})
-    df = df.withColumns({f"__b_{name}": F.floor(F.col(number[name]) / size[name]) for name in decay})
+    number = {name: f"__n_{spec[3]}" for name, spec in specs.items()}
+    block = {name: f"__b_{name}" for name in decay}
+    for counter in {spec[3] for spec in specs.values()}:
+        own = [name for name in decay if specs[name][3] == counter]
+        if own and min(size[x] for x in own) * min(decay[x] for x in own) >= 40:
+            shortest = min(size[x] for x in own)
+            size |= {x: shortest for x in own}
+            block |= {x: block[own[0]] for x in own}
+    df = df.withColumns({f"__n_{spec[3]}": F.count(spec[3]).over(w) - 1 for spec in specs.values()})
+    df = df.withColumns({block[name]: F.floor(F.col(number[name]) / size[name]) for name in decay})
     inside = {}
     for name, q in decay.items():
-        c, a, _ = specs[name]
+        c, a = specs[name][:2]
         n = F.col(number[name])
         k = n % size[name]
-        total = F.sum(F.when(n == 0, 1.0).otherwise(a) * F.col(c) * F.exp(k * q)).over(Window.partitionBy(*keys, f"__b_{name}").orderBy("ts"))
+        total = F.sum(F.when(n == 0, 1.0).otherwise(a) * F.col(c) * F.exp(k * q)).over(Window.partitionBy(*keys, block[name]).orderBy("ts"))
         inside[f"__p_{name}"] = total * F.exp(-k * q)
     df = df.withColumns(inside)
     result = {}
-    for name, (c, a, least) in specs.items():
+    for name, (c, a, least, _) in specs.items():
         n, value = F.col(number[name]), F.col(c)
         if a < 1:
             k, p = n % size[name], F.col(f"__p_{name}")
             carried = F.last(F.when(k == size[name] - 1, p), ignorenulls=True).over(before)
             value = p + F.coalesce(carried, F.lit(0.0)) * F.exp(-(k + 1) * decay[name])
         result[name] = F.when((n + 1 >= least) & F.col(c).isNotNull(), value)
-    temporary = {*number.values(), *(f"__{x}_{name}" for x in "bp" for name in decay)}
+    temporary = {*number.values(), *block.values(), *inside}
     return df.withColumns(result).drop(*temporary)

@@ -179,16 +179,37 @@ def least_bars(p: Params) -> int:
     return max(p.bb_length, 35) + 2
 
 
+def means(df: DataFrame, p: Params) -> DataFrame:
+    """df with rsi, macd, macd_signal, macd_hist, ema, tr, atr and adx: all first means in one pass, the means of means in a second."""
+    fast, slow, signal = p.macd_spans()
+    up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
+    d = F.col("close") - lag("close")
+    df = df.withColumns({
+        "tr": true_range(), "__up": F.greatest(d, F.when(d.isNotNull(), 0.0)), "__down": F.greatest(-d, F.when(d.isNotNull(), 0.0)),
+        "__plus": F.when(yes((up > down) & (up > 0)), up).otherwise(0.0), "__minus": F.when(yes((down > up) & (down > 0)), down).otherwise(0.0),
+    })
+    r, t, x = 1 / p.rsi_length, 1 / p.atr_length, 1 / p.adx_length
+    df = ewm(df, {
+        "__gain": ("__up", r, p.rsi_length), "__loss": ("__down", r, p.rsi_length, "__up"), "__fast": ("close", span_alpha(fast), 1), "__slow": ("close", span_alpha(slow), 1), "ema": ("close", span_alpha(p.ema_length), 1),
+        "atr": ("tr", t, p.atr_length, "close"), "__str": ("tr", x, p.adx_length, "close"), "__sp": ("__plus", x, p.adx_length, "close"), "__sm": ("__minus", x, p.adx_length, "close"),
+    })
+    total = F.nullif("__str", F.lit(0.0))
+    plus, minus = 100 * F.col("__sp") / total, 100 * F.col("__sm") / total
+    df = df.withColumns({
+        "rsi": 100 - 100 / (1 + F.col("__gain") / F.nullif("__loss", F.lit(0.0))), "macd": F.col("__fast") - F.col("__slow"),
+        "__dx": 100 * F.abs(plus - minus) / F.nullif(plus + minus, F.lit(0.0)),
+    })
+    df = ewm(df, {"macd_signal": ("macd", span_alpha(signal), 1, "close"), "adx": ("__dx", x, p.adx_length)})
+    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__up", "__down", "__plus", "__minus", "__gain", "__loss", "__fast", "__slow", "__str", "__sp", "__sm", "__dx")
+
+
 def indicator_series(bars: DataFrame, p: Params = Params()) -> DataFrame:
     """All indicator columns; ``error`` names what is missing where a symbol has too few bars."""
     df = bars.withColumn("n_bars", F.count("*").over(Window.partitionBy("symbol")))
     df = df.withColumn("error", F.when(F.col("n_bars") < least_bars(p), "not enough candles"))
-    df = rsi(df, p.rsi_length)
+    df = means(df, p)
     df = df.withColumn("rsi_smooth", full_mean("rsi", p.rsi_smooth))
-    df = macd(df, *p.macd_spans())
-    df = ewm(df, {"ema": ("close", span_alpha(p.ema_length), 1)})
-    df = volumes(bollinger(df, p.bb_length))
-    df = cmf(adx(atr(df, p.atr_length), p.adx_length))
+    df = cmf(volumes(bollinger(df, p.bb_length)))
     df = crossings(df, {"rsi": ("rsi", "rsi_smooth"), "macd": ("macd", "macd_signal"), "ema": ("ema", "bb_mid")})
     df = candle_pattern(session_vwap(df))
     return anchored_vwap(trend_anchor(align_count(df)))

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import agrees, yes
-from tapeworks.functions.indicators import price_change
-from tapeworks.operators.signal import latest_bar, time_of_day
+from tapeworks.operators.signal import direction_of, latest_bar, time_of_day
 from tapeworks.params import Params
 
 WEIGHTED = ("rsi_state", "macd_state", "ema_bb_state", "vol_confirmed")
@@ -26,10 +25,9 @@ def _revoke(rows: DataFrame, flag: str, required: bool) -> DataFrame:
     return rows.withColumn("signal_confirmed", F.col("signal_confirmed") & F.col(flag)) if required else rows
 
 
-def index_direction(index_bars: DataFrame) -> DataFrame:
-    """One row: the direction of the index's latest change."""
-    last = latest_bar(price_change(index_bars))
-    return last.select(F.when(F.col("price_change") > 0, "Bullish").when(F.col("price_change") < 0, "Bearish").alias("index_direction"))
+def index_direction(index_bars: DataFrame, p: Params) -> DataFrame:
+    """One row: how the index's latest bar leans, by the same votes as any symbol's; null where it has too few bars."""
+    return direction_of(index_bars, p).agg(F.max("direction").alias("index_direction"))
 
 
 def index_filter(rows: DataFrame, index: DataFrame, p: Params) -> DataFrame:
@@ -46,11 +44,11 @@ def candle_filter(rows: DataFrame, p: Params) -> DataFrame:
     return _revoke(rows, "candle_agrees", p.require_candle)
 
 
-def sector_directions(sector_bars: DataFrame, rows: DataFrame, sector_map: DataFrame) -> DataFrame:
-    """(sector, sector_direction) of the sectors that occur in the rows."""
+def sector_directions(sector_bars: DataFrame, rows: DataFrame, sector_map: DataFrame, p: Params) -> DataFrame:
+    """(sector, sector_direction) of the sectors that occur in the rows, by the same votes as any symbol's."""
     present = sector_map.join(rows.select("symbol"), "symbol", "left_semi").select("sector").distinct()
-    last = latest_bar(price_change(sector_bars.join(present.withColumnRenamed("sector", "symbol"), "symbol", "left_semi")))
-    return last.select(F.col("symbol").alias("sector"), F.when(F.col("price_change") > 0, "Bullish").when(F.col("price_change") < 0, "Bearish").alias("sector_direction"))
+    own = direction_of(sector_bars.join(present.withColumnRenamed("sector", "symbol"), "symbol", "left_semi"), p)
+    return present.join(own.select(F.col("symbol").alias("sector"), F.col("direction").alias("sector_direction")), "sector", "left")
 
 
 def sector_filter(rows: DataFrame, sector_map: DataFrame, directions: DataFrame, p: Params) -> DataFrame:
@@ -91,9 +89,9 @@ def join_oi_state(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def positional_qualified(rows: DataFrame, p: Params) -> DataFrame:
-    """Rows need index_agrees, structure and in_opening_window."""
+    """Rows need index_agrees (which counts only if p requires it), structure and in_opening_window."""
     agree = yes(F.col("structure") == F.when(F.col("direction") == "Bullish", "Long Buildup").otherwise("Short Buildup"))
-    return rows.withColumn("positional_qualified", yes((F.col("aligned") >= p.min_required) & agree & ~F.col("in_opening_window") & F.col("index_agrees")))
+    return rows.withColumn("positional_qualified", yes((F.col("aligned") >= p.min_required) & agree & ~F.col("in_opening_window") & (F.col("index_agrees") if p.require_index else F.lit(True))))
 
 
 def high_conviction(rows: DataFrame) -> DataFrame:

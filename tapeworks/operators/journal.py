@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from tapeworks.params import Params
 
-FACTORS = ("vol_confirmed", "htf_agrees", "flow_agrees", "candle_agrees", "index_agrees", "sector_agrees")
+FACTORS = ("signal_confirmed", "sector_agrees", "breadth_agrees", "candle_agrees", "flow_agrees", "htf_agrees")
+EXPORTED = (
+    "id", "symbol", "timeframe", "direction", "horizon_bars", "status", "signal_time", "entry_time", "entry_price", "exit_time", "exit_price",
+    "return_pct", "mae_pct", "outcome", "cost_pct", "slippage_pct", "logged_at",
+)
 LOW_SAMPLE = 5
 
 
@@ -29,31 +33,44 @@ def delete_trades(journal: DataFrame, ids: DataFrame) -> DataFrame:
 def forward_resolve(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """Trades with entry, exit, net return, mae and status; those without enough later bars stay open.
 
-    Bars are numbered by symbol.  A trade's entry is the bar after the last one at or before its signal: trades and
-    bars are merged by one window, so no range join is needed; its exit is an equi-join on the number.
+    Each bar carries what a trade entered at its open would have come to, for each horizon that occurs (100 at most).
+    Trades and bars are merged by one window in the order of time, backwards, in which a trade's entry bar is the last
+    bar before it; so there is no range join and no row for each bar of a trade.
     """
-    n = bars.withColumn("n", F.row_number().over(Window.partitionBy("symbol", "timeframe").orderBy("ts")))
-    marks = n.select("symbol", "timeframe", F.col("ts").alias("at"), "n").unionByName(trades.select("symbol", "timeframe", F.col("signal_time").alias("at"), "id"), allowMissingColumns=True)
-    w = Window.partitionBy("symbol", "timeframe").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = marks.withColumn("e", F.coalesce(F.max("n").over(w), F.lit(0)) + 1).where("id is not null").select("id", "e")
-    t = trades.join(placed, "id").withColumn("x", F.col("e") + F.col("horizon_bars"))
     keys = ["symbol", "timeframe"]
-    entry = n.select(*keys, F.col("n").alias("e"), F.round("open", 2).alias("entry_price"), F.col("ts").alias("entry_time"))
-    leave = n.select(*keys, F.col("n").alias("x"), F.round("close", 2).alias("exit_price"), F.col("ts").alias("exit_time"))
-    span = t.select("id", *keys, "direction", F.explode(F.sequence("e", "x")).alias("n")).join(n.select(*keys, "n", "high", "low"), [*keys, "n"])
-    worst = span.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    t = t.join(entry, [*keys, "e"], "left").join(leave, [*keys, "x"], "left").join(worst, "id", "left")
+    horizons = sorted(r.h for r in trades.select(F.col("horizon_bars").alias("h")).distinct().collect() if r.h is not None)  # log_trades allows 1 to 100
+    w = Window.partitionBy(*keys).orderBy("ts")
+    ends = [F.struct(F.lead("close", h).over(w).alias("close"), F.lead("ts", h).over(w).alias("ts"), F.min("low").over(w.rowsBetween(0, h)).alias("low"), F.max("high").over(w.rowsBetween(0, h)).alias("high")) for h in horizons]
+    if not ends:
+        ends = [F.struct(*(F.lit(None).cast(t).alias(c) for c, t in (("close", "double"), ("ts", "timestamp_ntz"), ("low", "double"), ("high", "double"))))]
+    marks = bars.select(*keys, F.col("ts").alias("at"), F.lit(0).alias("trade"), F.struct("open", "ts", F.array(*ends).alias("ends")).alias("bar"))
+    own = trades.select(*keys, F.col("signal_time").alias("at"), F.lit(1).alias("trade"), F.struct(*trades.columns).alias("t"))
+    later = Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("trade").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    met = marks.unionByName(own, allowMissingColumns=True).withColumn("e", F.last("bar", ignorenulls=True).over(later)).where("trade = 1")
+    t = met.select("t.*", F.round("e.open", 2).alias("entry_price"), F.col("e.ts").alias("entry_time"), F.get("e.ends", F.array_position(F.array(*map(F.lit, horizons or [0])), F.col("t.horizon_bars")).cast("int") - 1).alias("x"))
     sign = F.when(F.col("direction") == "Bullish", 1.0).otherwise(-1.0)
-    price = F.nullif("entry_price", F.lit(0.0))
-    value = F.round(sign * (F.col("exit_price") - price) / price * 100 - (F.col("cost_pct") + 2 * F.col("slippage_pct")), 3)
-    adverse = F.when(F.col("direction") == "Bullish", F.col("low")).otherwise(F.col("high"))
-    done = F.col("exit_price").isNotNull()
-    t = t.withColumn("return_pct", F.when(done, value)).withColumn("mae", F.when(done, F.round(F.least(sign * (adverse - price) / price * 100, F.lit(0.0)), 3)))
-    return t.withColumn("status", F.when(F.col("return_pct").isNotNull(), "resolved").otherwise("open")).withColumn("win", F.col("return_pct") > 0).drop("e", "x", "low", "high")
+    price, done = F.nullif("entry_price", F.lit(0.0)), F.col("x.close").isNotNull()
+    value = F.round(sign * (F.col("x.close") - price) / price * 100 - (F.col("cost_pct") + 2 * F.col("slippage_pct")), 3)
+    adverse = F.when(F.col("direction") == "Bullish", F.col("x.low")).otherwise(F.col("x.high"))
+    t = t.withColumns({"exit_price": F.when(done, F.round("x.close", 2)), "exit_time": F.when(done, F.col("x.ts")), "return_pct": F.when(done, value)})
+    t = t.withColumn("mae", F.when(done, F.round(F.least(sign * (adverse - price) / price * 100, F.lit(0.0)), 3) + F.lit(0.0)))
+    return t.withColumn("status", F.when(F.col("return_pct").isNotNull(), "resolved").otherwise("open")).withColumn("win", F.col("return_pct") > 0).drop("x")
+
+
+def export_rows(journal: DataFrame) -> DataFrame:
+    """The 17 columns of a journal's export, newest first; what the journal doesn't have yet is null."""
+    own = journal.withColumn("mae_pct", F.col("mae")).withColumn("outcome", F.when(F.col("win"), "win").when(~F.col("win"), "loss")) if "mae" in journal.columns else journal
+    have = {c: F.col(c) for c in own.columns}
+    return newest_first(own).select(*(have.get(c, F.lit(None).cast("string")).alias(c) for c in EXPORTED))
+
+
+def export_csv(journal: DataFrame, folder: str) -> None:
+    """The export as CSV with a header."""
+    export_rows(journal).write.mode("overwrite").option("header", True).csv(folder)
 
 
 def _stats() -> list:
-    return [F.count("*").alias("trades"), F.round(F.avg((F.col("return_pct") > 0).cast("double")) * 100, 1).alias("win_rate"), F.round(F.avg("return_pct"), 6).alias("avg_return")]
+    return [F.count("*").alias("trades"), F.round(F.avg((F.col("return_pct") > 0).cast("double")) * 100, 1).alias("win_rate"), F.round(F.avg("return_pct"), 3).alias("avg_return")]
 
 
 def scoreboard(journal: DataFrame) -> DataFrame:
@@ -62,7 +79,7 @@ def scoreboard(journal: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "open").alias("open"),
         F.count_if(F.col("status") == "resolved").alias("trades"),
         F.round(F.avg(F.when(F.col("status") == "resolved", (F.col("return_pct") > 0).cast("double"))) * 100, 1).alias("win_rate"),
-        F.round(F.avg(F.when(F.col("status") == "resolved", F.col("return_pct"))), 6).alias("avg_return"),
+        F.round(F.avg(F.when(F.col("status") == "resolved", F.col("return_pct"))), 3).alias("avg_return"),
     )
     return out.withColumn("grp", F.coalesce(F.lower("direction"), F.lit("all"))).select("grp", "open", "trades", "win_rate", "avg_return")
 
@@ -74,7 +91,7 @@ def confidence_by_setup(journal: DataFrame) -> DataFrame:
 
 def confidence_by_factor(journal: DataFrame) -> DataFrame:
     long = journal.where("status = 'resolved'").select("return_pct", F.explode(F.create_map(*(x for f in FACTORS for x in (F.lit(f), F.col(f))))).alias("factor", "value"))
-    return long.where("value is not null").groupBy("factor", "value").agg(*_stats())
+    return long.where("value is not null").groupBy("factor", "value").agg(*_stats()).withColumn("low_sample", F.col("trades") < LOW_SAMPLE)
 
 
 def setup_confidence(journal: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tapeworks.functions.columns import pct_change
 
 KEPT_MINUTES, FLAT_PCT = 150, 0.05
-ACCELERATING = ("Strong Acceleration", "Moderate Acceleration")
+#: Fixed values.
+ACCELERATING = ("Strong acceleration", "Moderate acceleration")
+LEAVING = "Possible exit/unwinding"
 
 
 def asof_lookback(samples: DataFrame, minutes: tuple[int, ...] = (15, 30, 60, 120)) -> DataFrame:
@@ -30,7 +32,7 @@ def acceleration(samples: DataFrame) -> DataFrame:
 
 
 def accel_label(a: Column) -> Column:
-    return F.when(a > 2, ACCELERATING[0]).when(a >= 0.5, ACCELERATING[1]).when(a >= -0.3, "Stable").when(a >= -2, "Weakening").when(a.isNotNull(), "Exit")
+    return F.when(a > 2, ACCELERATING[0]).when(a >= 0.5, ACCELERATING[1]).when(a >= -0.3, "Stable").when(a >= -2, "Weakening").when(a.isNotNull(), LEAVING)
 
 
 def structure(price_chg: Column, oi_chg: Column) -> Column:
@@ -61,8 +63,8 @@ def oi_state(samples: DataFrame) -> DataFrame:
     before = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     last = lambda x: F.last(x, ignorenulls=True).over(before)
     df = df.withColumn("__s", last("structure")).withColumn("__l", last("accel_label"))
-    df = df.withColumn("stage", F.when(F.col("structure").isNull(), None).when(c("__s").isNotNull() & (c("__s") != c("structure")), "New").otherwise("Continuing"))
+    df = df.withColumn("stage", F.when(c("__s").isNotNull() & (c("__s") != c("structure")), "New"))
     fast = c("accel_label").isin(*ACCELERATING)
     df = df.withColumn("break_signal", F.when((c("structure") == "Long Buildup") & fast, "Break Up").when((c("structure") == "Short Buildup") & fast, "Break Down"))
-    turned = F.coalesce(fast & c("__l").isNotNull() & ~c("__l").isin(*ACCELERATING), F.lit(False))
+    turned = F.coalesce(fast & F.coalesce(~c("__l").isin(*ACCELERATING), F.lit(True)), F.lit(False))  # a first label turns too
     return df.withColumn("accel_event", turned).drop("__s", "__l")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import replace
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.columns import above, agrees, by_time, side, yes
@@ -36,8 +39,8 @@ def votes(hot: Column) -> dict[str, tuple[Column, Column]]:
 
 
 def htf_buckets(bars: DataFrame, timeframe: str, p: Params) -> DataFrame:
-    """(symbol, bucket, htf_direction): lean of the bucket before, which is closed; null until it is warm."""
-    s = indicator_series(resample(bars, HIGHER[timeframe]), p)
+    """(symbol, bucket, htf_direction): lean of the bucket before, which is closed, by the buckets' own spans; null until it is warm."""
+    s = indicator_series(resample(bars, HIGHER[timeframe]), replace(p, timeframe=HIGHER[timeframe]))
     warm = F.col("align").isNotNull()
     s = s.withColumn("__lean", F.when(warm & F.col("error").isNull(), side(F.col("align") >= 2)))
     return s.select("symbol", F.col("ts").alias("bucket"), F.lag("__lean").over(by_time()).alias("htf_direction"))
@@ -131,7 +134,7 @@ def recent_trades(t: DataFrame, n: int = SHOWN_TRADES) -> DataFrame:
 def horizon_stats(t: DataFrame) -> DataFrame:
     """Five groups (all, by direction, by volume) and each horizon: trades, win rate, mean, best, worst return."""
     long = t.select("direction", "vol_confirmed", F.explode("returns").alias("horizon", "r"))
-    stats = [F.count("*").alias("trades"), F.round(F.avg((F.col("r") > 0).cast("double")) * 100, 2).alias("win_rate"), F.round(F.avg("r"), 3).alias("avg_return"), F.max("r").alias("best"), F.min("r").alias("worst")]
+    stats = [F.count("*").alias("trades"), F.round(F.avg((F.col("r") > 0).cast("double")) * 100, 1).alias("win_rate"), F.round(F.avg("r"), 3).alias("avg_return"), F.max("r").alias("best"), F.min("r").alias("worst")]
     out = long.groupingSets([["horizon"], ["horizon", "direction"], ["horizon", "vol_confirmed"]], "horizon", "direction", "vol_confirmed").agg(F.grouping_id().alias("gid"), *stats)
     return out.select(group_name(), "horizon", "trades", "win_rate", "avg_return", "best", "worst")
 
@@ -154,19 +157,27 @@ def coverage(universe: DataFrame, bars: DataFrame, t: DataFrame, least: int = 37
     return universe.select("symbol").distinct().join(n, "symbol", "left").join(k, "symbol", "left").select("symbol", F.coalesce("n_trades", F.lit(0)).cast("long").alias("n_trades"), reason.alias("skipped"))
 
 
-def param_win_rates(bars: DataFrame, timeframe: str, p: Params, horizon: int = 5) -> DataFrame:
-    """(param, trades, win_rate) for each crossover alone, and volume: that of confirmed 2-of-3 trades."""
-    series = indicator_series(bars, p).where("error is null")
-    parts = []
-    for name, params, required in (("rsi_cross", ("rsi_cross",), 1), ("macd_cross", ("macd_cross",), 1), ("ema_bb_cross", ("ema_bb_cross",), 1), ("rel_volume", ("rsi_cross", "macd_cross", "ema_bb_cross"), 2)):
-        t = trades(nofm_signal(series, params, required, p, timeframe), p, (horizon,))
-        if name == "rel_volume":
-            t = t.where("vol_confirmed")
-        parts.append(t.select(F.lit(name).alias("param"), F.try_element_at("returns", F.lit(horizon)).alias("r")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("param").agg(F.count("*").alias("trades"), F.round(F.avg((F.col("r") > 0).cast("double")) * 100, 2).alias("win_rate"))
+def param_win_rates(bars: DataFrame, timeframe: str, p: Params, horizon: int = 10) -> DataFrame:
+    """(param, trades, win_rate, without_volume, lift) for each crossover alone, and volume: that of confirmed 2-of-3 trades.
+
+    without_volume is the win rate of the 2-of-3 trades that volume didn't confirm, lift what volume adds to it.  The
+    series is computed once; each row of it is held against the four rules.
+    """
+    cross = ("rsi_cross", "macd_cross", "ema_bb_cross")
+    rules = {c: ((c,), 1) for c in cross} | {"rel_volume": (cross, 2)}
+    df = indicator_series(bars, p).where("error is null").withColumn("__hot", volume_hot(p))
+    for name, (params, required) in rules.items():
+        own = nofm_signal(df, params, required, p, timeframe)
+        df = own.withColumn(f"__s_{name}", F.when(F.col("has_signal"), F.col("direction"))).drop("bull", "bear", "direction", "has_signal")
+    w = by_time()
+    price = F.nullif(F.lead("open").over(w), F.lit(0.0))
+    df = df.withColumn("__entry", price).withColumn("__out", F.lead("close", 1 + horizon).over(w)).withColumns({f"__e_{n}": F.col(f"__s_{n}").isNotNull() & F.lag(f"__s_{n}").over(w).isNull() for n in rules})
+    gain = lambda n: F.round(F.when(F.col(f"__s_{n}") == "Bullish", 1.0).otherwise(-1.0) * (F.col("__out") - F.col("__entry")) / F.col("__entry") * 100, 3)
+    each = F.array(*(F.struct(F.lit(n).alias("param"), F.when(F.col(f"__e_{n}"), gain(n)).alias("r"), (F.col("__hot") if n == "rel_volume" else F.lit(True)).alias("counts")) for n in rules))
+    long = df.select(F.explode(each).alias("x")).select("x.*").where("r is not null")
+    rate = lambda on: F.round(F.avg(F.when(on, (F.col("r") > 0).cast("double"))) * 100, 1)
+    out = long.groupBy("param").agg(F.count_if("counts").alias("trades"), rate(F.col("counts")).alias("win_rate"), rate(~F.col("counts")).alias("without_volume"))
+    return out.withColumn("lift", F.round(F.col("win_rate") - F.col("without_volume"), 1)).where("trades > 0")
 
 
 def param_weights(rates: DataFrame, params: DataFrame) -> DataFrame:
@@ -175,3 +186,22 @@ def param_weights(rates: DataFrame, params: DataFrame) -> DataFrame:
     raw = params.join(rates, "param", "left").withColumn("raw", F.coalesce(F.col("win_rate") / 100, F.lit(0.25)))
     n, total = F.count("*").over(all_rows), F.nullif(F.sum("raw").over(all_rows), F.lit(0.0))
     return raw.select("param", F.round(0.2 / n + 0.8 * F.coalesce(F.col("raw") / total, F.lit(0.0)), 4).alias("weight"))
+
+
+def backtest_universe(watchlist: DataFrame, universe: str = "watchlist") -> DataFrame:
+    """(symbol): the watchlist, or one index alone; what isn't known is the watchlist."""
+    alone = {"nifty50": "NIFTY 50", "sensex": "SENSEX"}.get(universe)
+    return watchlist.select("symbol") if alone is None else watchlist.sparkSession.createDataFrame([(alone,)], "symbol string")
+
+
+def store_weights(weights: DataFrame, folder: str) -> None:
+    """Keeps the weights (param, weight) for later scans; a new set replaces the old one."""
+    weights.coalesce(1).write.mode("overwrite").parquet(folder)  # one row for each parameter
+
+
+def load_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored weights; no rows, which count evenly, where none are stored yet."""
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], "param string, weight double")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import agrees, cents, side, yes
-from tapeworks.functions.indicators import INTRADAY, indicator_series, regime
+from tapeworks.functions.columns import above, agrees, cents, side, yes
+from tapeworks.functions.indicators import indicator_series, regime
 from tapeworks.operators.bars import HIGHER, resample
 from tapeworks.params import Params
 
@@ -33,21 +35,22 @@ def four_hour_warmup(now: Column, timeframe: Column) -> Column:
     return yes((timeframe == "4hour") & (m.between(9 * 60 + 15, 9 * 60 + 44) | m.between(13 * 60 + 15, 13 * 60 + 44)))
 
 
+def direction_of(bars: DataFrame, p: Params) -> DataFrame:
+    """(symbol, direction): how each symbol's latest bar leans; symbols with too few bars have no row."""
+    s = latest_bar(indicator_series(bars, p)).where("error is null")
+    votes = sum(above(F.col(a), F.col(b)).cast("int") for a, b in (("rsi", "rsi_smooth"), ("macd", "macd_signal"), ("ema", "bb_mid")))
+    return s.select("symbol", side(votes >= 2).alias("direction"))
+
+
 def higher_direction(bars: DataFrame, timeframe: str, p: Params) -> DataFrame:
-    """(symbol, htf_direction): lean of the last bucket of the higher timeframe, the forming one included."""
+    """(symbol, htf_direction): lean of the last bucket of the higher timeframe, the forming one included, by that timeframe's spans."""
     if timeframe not in HIGHER:
         return bars.select("symbol").distinct().withColumn("htf_direction", F.lit(None).cast("string"))
-    s = latest_bar(indicator_series(resample(bars, HIGHER[timeframe]), p)).where("error is null")
-    from tapeworks.functions.columns import above
-
-    votes = sum(above(F.col(a), F.col(b)).cast("int") for a, b in (("rsi", "rsi_smooth"), ("macd", "macd_signal"), ("ema", "bb_mid")))
-    return s.select("symbol", side(votes >= 2).alias("htf_direction"))
+    return direction_of(resample(bars, HIGHER[timeframe]), replace(p, timeframe=HIGHER[timeframe])).withColumnRenamed("direction", "htf_direction")
 
 
 def signal_columns(latest: DataFrame, p: Params, now: Column | None = None) -> DataFrame:
     """The fields of the signal row, from the latest bar with its indicators and htf_direction."""
-    from tapeworks.functions.columns import above
-
     c = F.col
     need = min(p.min_required, 3)
     ups, downs = (sum(c(f"{n}_{d}").cast("int") for n in ("rsi", "macd", "ema")) for d in ("up", "dn"))
@@ -96,8 +99,8 @@ SIGNAL = (
 
 def screener(bars: DataFrame, watchlist: DataFrame, p: Params, now: Column | None = None) -> DataFrame:
     """One row for each symbol of the watchlist: its signal, or an error."""
-    latest = latest_bar(indicator_series(bars, p))
-    ok = signal_columns(latest.where("error is null").join(higher_direction(bars, p.timeframe, p), "symbol", "left"), p, now)
-    rows = watchlist.join(latest.select("symbol", F.col("error").alias("__short"), F.lit(1).alias("__has")), "symbol", "left")
-    error = F.when(F.col("__has").isNull(), "symbol not found").otherwise(F.col("__short"))
-    return rows.withColumn("error", error).drop("__short", "__has").join(ok.select(*SIGNAL), "symbol", "left")
+    latest = signal_columns(latest_bar(indicator_series(bars, p)).join(higher_direction(bars, p.timeframe, p), "symbol", "left"), p, now)
+    values = [F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in SIGNAL if c != "symbol"]
+    rows = watchlist.join(latest.select("symbol", F.coalesce("error", F.lit("")).alias("__error"), *values), "symbol", "left")
+    error = F.when(F.col("__error").isNull(), "symbol not found").otherwise(F.nullif("__error", F.lit("")))
+    return rows.select(*watchlist.columns, error.alias("error"), *(c for c in SIGNAL if c != "symbol"))

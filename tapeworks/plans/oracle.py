@@ -65,12 +65,12 @@ _look = ", ".join(f"last_value(oi IGNORE NULLS) OVER (PARTITION BY symbol ORDER
 CTES |= {
     "oi_look": f"SELECT *, {_look} FROM oi_samples",
     "oi_chg": "SELECT *, (oi - oi_15) / nullif(oi_15, 0) * 100 AS chg_15, (oi - oi_30) / nullif(oi_30, 0) * 100 AS chg_30, (oi - oi_60) / nullif(oi_60, 0) * 100 AS chg_60, (oi_30 - oi_60) / nullif(oi_60, 0) * 100 AS prior_30, (oi_60 - oi_120) / nullif(oi_120, 0) * 100 AS prior_60 FROM oi_look",
-    "oi_accel": "SELECT *, CASE WHEN accel > 2 THEN 'Strong Acceleration' WHEN accel >= 0.5 THEN 'Moderate Acceleration' WHEN accel >= -0.3 THEN 'Stable' WHEN accel >= -2 THEN 'Weakening' WHEN accel IS NOT NULL THEN 'Exit' END AS accel_label FROM (SELECT *, chg_30 - prior_30 AS accel FROM oi_chg)",
+    "oi_accel": "SELECT *, CASE WHEN accel > 2 THEN 'Strong acceleration' WHEN accel >= 0.5 THEN 'Moderate acceleration' WHEN accel >= -0.3 THEN 'Stable' WHEN accel >= -2 THEN 'Weakening' WHEN accel IS NOT NULL THEN 'Possible exit/unwinding' END AS accel_label FROM (SELECT *, chg_30 - prior_30 AS accel FROM oi_chg)",
     "oi_base": "SELECT *, lag(last_oi) OVER (PARTITION BY symbol ORDER BY day) AS prev_oi FROM (SELECT symbol, CAST(ts AS DATE) AS day, first(oi ORDER BY ts) AS base_oi, first(close ORDER BY ts) AS base_close, last(oi ORDER BY ts) AS last_oi FROM oi_samples WHERE oi IS NOT NULL AND close IS NOT NULL GROUP BY 1, 2)",
     "oi_today": "SELECT a.*, b.base_oi, b.base_close, b.prev_oi, (close - base_close) / nullif(base_close, 0) * 100 AS price_chg_today, (oi - base_oi) / nullif(base_oi, 0) * 100 AS oi_chg_today, (oi - prev_oi) / nullif(prev_oi, 0) * 100 AS oi_day_chg FROM oi_accel a LEFT JOIN oi_base b ON a.symbol = b.symbol AND CAST(a.ts AS DATE) = b.day",
     "oi_struct": "SELECT *, CASE WHEN price_chg_today IS NULL OR oi_chg_today IS NULL THEN NULL WHEN price_chg_today > 0.05 AND oi_chg_today > 0.05 THEN 'Long Buildup' WHEN price_chg_today < -0.05 AND oi_chg_today > 0.05 THEN 'Short Buildup' WHEN price_chg_today > 0.05 AND oi_chg_today < -0.05 THEN 'Short Covering' WHEN price_chg_today < -0.05 AND oi_chg_today < -0.05 THEN 'Long Unwinding' ELSE 'Neutral' END AS structure FROM oi_today",
-    "oi_prev": "SELECT *, last_value(structure IGNORE NULLS) OVER w AS prev_s, last_value(accel_label IGNORE NULLS) OVER w AS prev_l, accel_label IN ('Strong Acceleration', 'Moderate Acceleration') AS fast FROM oi_struct WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
-    "oi_state": "SELECT *, CASE WHEN structure IS NULL THEN NULL WHEN prev_s IS NOT NULL AND prev_s <> structure THEN 'New' ELSE 'Continuing' END AS stage, CASE WHEN structure = 'Long Buildup' AND fast THEN 'Break Up' WHEN structure = 'Short Buildup' AND fast THEN 'Break Down' END AS break_signal, coalesce(fast AND prev_l IS NOT NULL AND prev_l NOT IN ('Strong Acceleration', 'Moderate Acceleration'), false) AS accel_event FROM oi_prev",
+    "oi_prev": "SELECT *, last_value(structure IGNORE NULLS) OVER w AS prev_s, last_value(accel_label IGNORE NULLS) OVER w AS prev_l, accel_label IN ('Strong acceleration', 'Moderate acceleration') AS fast FROM oi_struct WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    "oi_state": "SELECT *, CASE WHEN prev_s IS NOT NULL AND prev_s <> structure THEN 'New' END AS stage, CASE WHEN structure = 'Long Buildup' AND fast THEN 'Break Up' WHEN structure = 'Short Buildup' AND fast THEN 'Break Down' END AS break_signal, coalesce(fast AND coalesce(prev_l NOT IN ('Strong acceleration', 'Moderate acceleration'), true), false) AS accel_event FROM oi_prev",
 }
 
 
@@ -117,7 +117,8 @@ def indicators(p: str, source: str, fast: int, slow: int, n_rsi: int = 9) -> dic
 
 CTES |= indicators("h_", "bars60", 12, 26)  # 60-minute bars
 CTES |= indicators("q_", "bars15", 3, 8)  # 15-minute bars
-CTES |= indicators("f_", "bars4h15", 3, 8)  # their 4-hour buckets, with the same parameters
+CTES |= indicators("f_", "bars4h15", 12, 26)  # their 4-hour buckets, with the spans of 4 hours
+CTES |= indicators("i_", "idx60", 12, 26) | indicators("z_", "sec60", 12, 26)  # the index and the sectors
 CTES |= indicators("l_", "hbars", 12, 26)  # the long history
 CTES |= indicators("d_", "hday", 12, 26)
 _w = "PARTITION BY symbol ORDER BY ts"
@@ -159,26 +160,43 @@ HOT = ("coalesce(rel_volume > 1.2, false)",) * 2
 CTES |= replayed("t_", "h_ind", [RSI, MACD, EMA], 1)
 CTES |= replayed("a_", "h_ind", [RSI, MACD, EMA, LEVEL, HOT, FLOW, CANDLE], 3)
 CTES |= replayed("v1_", "h_ind", [RSI], 1) | replayed("v2_", "h_ind", [MACD], 1) | replayed("v3_", "h_ind", [EMA], 1) | replayed("v4_", "h_ind", [RSI, MACD, EMA], 2)
+CTES |= replayed("r_", "h_ind", [RSI, MACD, EMA, LEVEL, ("coalesce(rel_volume > 1.2 * CASE WHEN adx <= 18 THEN 1.3 ELSE 1.0 END, false)",) * 2, FLOW, CANDLE], 3)
 CTES["f_lean"] = f"SELECT symbol, ts AS bucket, lag(CASE WHEN align IS NOT NULL AND NOT short THEN {side('align >= 2')} END) OVER ({_w}) AS htf_direction FROM f_ind"
 CTES["q_htf"] = f"SELECT q.*, b.htf_direction FROM (SELECT *, {BUCKETS['4hour']} AS bucket FROM q_ind) q LEFT JOIN f_lean b ON q.symbol = b.symbol AND q.bucket = b.bucket"
 CTES |= replayed("g_", "q_htf", [RSI, MACD, EMA], 1, "coalesce(htf_direction = direction, true) AND NOT (hour(ts) = 9 AND minute(ts) BETWEEN 15 AND 29) AND coalesce(CASE WHEN cmf > 0 THEN 'Bullish' WHEN cmf < 0 THEN 'Bearish' END = direction, true) AND coalesce(candle_direction = direction, true)")
 CTES["t_long"] = "SELECT direction, vol_confirmed, h AS horizon, r FROM (SELECT direction, vol_confirmed, unnest([5, 10, 20]) AS h, unnest([r5, r10, r20]) AS r FROM t_trades) WHERE r IS NOT NULL"
-CTES["rates"] = " UNION ALL ".join(f"SELECT '{n}' AS param, count(*) AS trades, round(avg(CAST(r5 > 0 AS INTEGER)) * 100, 2) AS win_rate FROM {p}trades{c} HAVING count(*) > 0" for n, p, c in (("rsi_cross", "v1_", ""), ("macd_cross", "v2_", ""), ("ema_bb_cross", "v3_", ""), ("rel_volume", "v4_", " WHERE vol_confirmed")))
+CTES["rates"] = "SELECT *, round(win_rate - without_volume, 1) AS lift FROM (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS param, count(r10) FILTER ({c}) AS trades, round(avg(CAST(r10 > 0 AS INTEGER)) FILTER ({c}) * 100, 1) AS win_rate, round(avg(CAST(r10 > 0 AS INTEGER)) FILTER (NOT ({c})) * 100, 1) AS without_volume FROM {p}trades HAVING count(r10) FILTER ({c}) > 0"
+    for n, p, c in (("rsi_cross", "v1_", "true"), ("macd_cross", "v2_", "true"), ("ema_bb_cross", "v3_", "true"), ("rel_volume", "v4_", "vol_confirmed"))
+) + ")"
 CTES["weights"] = "SELECT p.param, round(0.2 / count(*) OVER () + 0.8 * coalesce(coalesce(win_rate / 100, 0.25) / nullif(sum(coalesce(win_rate / 100, 0.25)) OVER (), 0), 0), 4) AS weight FROM (SELECT unnest(['rsi_cross', 'macd_cross', 'ema_bb_cross', 'rel_volume']) AS param) p LEFT JOIN rates r ON p.param = r.param"
 
 CTES |= {
-    "idx_dir": "SELECT CASE WHEN chg > 0 THEN 'Bullish' WHEN chg < 0 THEN 'Bearish' END AS index_direction FROM (SELECT ts, round((close - lag(close) OVER (ORDER BY ts)) / nullif(lag(close) OVER (ORDER BY ts), 0) * 100, 2) AS chg FROM idx60) ORDER BY ts DESC LIMIT 1",
-    "sec_dir": "SELECT symbol AS sector, CASE WHEN chg > 0 THEN 'Bullish' WHEN chg < 0 THEN 'Bearish' END AS sector_direction FROM (SELECT symbol, ts, round((close - lag(close) OVER w) / nullif(lag(close) OVER w, 0) * 100, 2) AS chg FROM sec60 WINDOW w AS (PARTITION BY symbol ORDER BY ts)) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1",
+    "lean_idx": f"SELECT symbol, {side('CAST(rs AS INTEGER) + CAST(ms AS INTEGER) + CAST(es AS INTEGER) >= 2')} AS direction FROM i_ind WHERE NOT short QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1",
+    "lean_sec": f"SELECT symbol, {side('CAST(rs AS INTEGER) + CAST(ms AS INTEGER) + CAST(es AS INTEGER) >= 2')} AS direction FROM z_ind WHERE NOT short QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1",
+    "idx_dir": "SELECT max(direction) AS index_direction FROM lean_idx",
+    "sec_dir": "SELECT m.sector, l.direction AS sector_direction FROM (SELECT DISTINCT sector FROM sector_map JOIN sig USING (symbol)) m LEFT JOIN lean_sec l ON l.symbol = m.sector",
     "breadth": "SELECT bullish, bearish, round(bullish / nullif(bullish + bearish, 0) * 100, 1) AS bullish_pct, round(bearish / nullif(bullish + bearish, 0) * 100, 1) AS bearish_pct FROM (SELECT count(*) FILTER (direction = 'Bullish') AS bullish, count(*) FILTER (direction = 'Bearish') AS bearish FROM sig)",
     "wide": "SELECT max(CASE WHEN param = 'rsi_cross' THEN weight END) AS w1, max(CASE WHEN param = 'macd_cross' THEN weight END) AS w2, max(CASE WHEN param = 'ema_bb_cross' THEN weight END) AS w3, max(CASE WHEN param = 'rel_volume' THEN weight END) AS w4 FROM weights",
     "oi_last": "SELECT * FROM oi_state QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1",
-    "paper": "SELECT md5(symbol || '|60minute|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || direction) AS id, symbol, direction, ts AS signal_time, entry_time, ep, sign, 10 AS h, ts + INTERVAL '1 hour' AS logged_at, vol_confirmed, CAST(2 + (bull + bear) % 3 AS INTEGER) AS aligned FROM t_trades",
+    "paper": "SELECT md5(symbol || '|60minute|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || direction) AS id, symbol, direction, ts AS signal_time, entry_time, ep, sign, 10 AS h, ts + INTERVAL '1 hour' AS logged_at, CAST(CASE WHEN direction = 'Bullish' THEN align ELSE 3 - align END + CAST(vol_confirmed AS INTEGER) AS INTEGER) AS aligned, coalesce(CASE WHEN cmf > 0 THEN 'Bullish' WHEN cmf < 0 THEN 'Bearish' END = direction, true) AS flow_agrees, coalesce(candle_direction = direction, true) AS candle_agrees, htf_direction FROM t_trades LEFT JOIN h_lean USING (symbol, ts)",
+    "h_day": "SELECT symbol, bucket, lag(lean) OVER (PARTITION BY symbol ORDER BY bucket) AS htf_direction FROM (SELECT symbol, ts AS bucket, " + f"CASE WHEN align IS NOT NULL AND NOT short THEN {side('align >= 2')} END AS lean FROM e_ind)",
+    "h_lean": "SELECT b.symbol, b.ts, d.htf_direction FROM bars60 b LEFT JOIN h_day d ON d.symbol = b.symbol AND d.bucket = CAST(CAST(b.ts AS DATE) AS TIMESTAMP)",
     "num": "SELECT symbol, ts, open, high, low, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars60",
     "res_e": "SELECT p.*, e.n AS en, e.open AS eopen FROM paper p JOIN num s ON s.symbol = p.symbol AND s.ts = p.signal_time LEFT JOIN num e ON e.symbol = p.symbol AND e.n = s.n + 1",
-    "res": "SELECT r.*, round(eopen, 2) AS entry_price, round(x.close, 2) AS exit_price, round(sign * (round(x.close, 2) - round(eopen, 2)) / nullif(round(eopen, 2), 0) * 100 - (0.03 + 2 * 0.01), 3) AS return_pct FROM res_e r LEFT JOIN num x ON x.symbol = r.symbol AND x.n = r.en + 10",
+    "res": "SELECT r.*, round(eopen, 2) AS entry_price, round(x.close, 2) AS exit_price, round(sign * (x.close - round(eopen, 2)) / nullif(round(eopen, 2), 0) * 100 - (0.03 + 2 * 0.01), 3) AS return_pct, "
+    "CASE WHEN x.close IS NOT NULL THEN round(least(sign * (CASE WHEN direction = 'Bullish' THEN (SELECT min(low) FROM num y WHERE y.symbol = r.symbol AND y.n BETWEEN r.en AND r.en + 10) ELSE (SELECT max(high) FROM num y WHERE y.symbol = r.symbol AND y.n BETWEEN r.en AND r.en + 10) END - round(eopen, 2)) / nullif(round(eopen, 2), 0) * 100, 0.0), 3) + 0.0 END AS mae "
+    "FROM res_e r LEFT JOIN num x ON x.symbol = r.symbol AND x.n = r.en + 10",
     "arts": "SELECT md5(CAST(d.doc_id AS VARCHAR)) AS uuid, d.doc_id, unnest(['S' || (d.doc_id % 10), 'S' || ((d.doc_id + 3) % 10), 'X' || (d.doc_id % 7) || '.US']) AS symbol, coalesce(l.quality * 1.0, 0.0) AS sentiment FROM documents d LEFT JOIN labels l USING (doc_id)",
     "flat": "SELECT a.* FROM arts a WHERE symbol IN (SELECT symbol FROM watchlist)",
 }
+CTES["h_sig"] = (
+    f"SELECT symbol, direction, aligned, aligned >= 2 AND coalesce(htf_direction = direction, true) AS signal_confirmed FROM (SELECT *, greatest(votes, 3 - votes) + CAST(coalesce(round(rel_volume, 2) >= round(1.2 * CASE WHEN round(adx, 1) <= 18 THEN 1.3 ELSE 1.0 END, 3), false) AS INTEGER) AS aligned, {side('votes >= 2')} AS direction "
+    "FROM (SELECT h.*, x.htf_direction, CAST(rs AS INTEGER) + CAST(ms AS INTEGER) + CAST(es AS INTEGER) AS votes FROM h_ind h LEFT JOIN e_last x USING (symbol) WHERE NOT h.short QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1))"
+)
+CTES["e_last"] = f"SELECT symbol, {side('CAST(rs AS INTEGER) + CAST(ms AS INTEGER) + CAST(es AS INTEGER) >= 2')} AS htf_direction FROM e_ind WHERE NOT short QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"
+CTES["h60day"] = resampled("bars60", "day")
+CTES |= indicators("e_", "h60day", 12, 26)  # daily buckets of 60-minute bars
 CTES |= indicators("x_", "idx3", 5, 13, 7)
 CTES |= indicators("y_", "bars15m3", 5, 13)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.functions import indicators as ind
-from tapeworks.functions.columns import by_time
+from tapeworks.functions.columns import agrees, yes
 from tapeworks.functions.ewm import ewm, span_alpha
 from tapeworks.operators import bars as B
 from tapeworks.operators import enrich, journal, lookups, news, oi, replay, scalp, signal
 from tapeworks.params import Params
-from tapeworks.plans.oracle import BUCKETS, query, ts
+from tapeworks.plans.oracle import BUCKETS, query, side, ts
 from tapeworks.sources import market as M
 from tapeworks.streaming import jobs
 
@@ -94,8 +93,8 @@ register(
 )
 register(
     "candle_scan",
-    lambda s, d: out(B.candle_scan(bars(s, d, "15minute"), M.watchlist(s, d).where("pos < 5"), F.lit("2024-01-25 12:00:00").cast("timestamp_ntz"), "15minute"), BAR),
-    sql(BAR, "bars15", BAR_D, "ts BETWEEN TIMESTAMP '2024-01-10 12:00:00' AND TIMESTAMP '2024-01-25 12:00:00' AND symbol IN (SELECT symbol FROM watchlist WHERE pos < 5)"),
+    lambda s, d: out(B.candle_scan(bars(s, d, "15minute"), M.watchlist(s, d), F.lit("2024-01-25 12:00:00").cast("timestamp_ntz"), "15minute"), BAR),
+    sql(BAR, "bars15", BAR_D, "ts BETWEEN TIMESTAMP '2024-01-10 12:00:00' AND TIMESTAMP '2024-01-25 12:00:00' AND symbol IN (SELECT symbol FROM watchlist)"),
 )
 register("equity_instruments", lambda s, d: lookups.equity_instruments(M.instruments(s, d)), query("SELECT tradingsymbol AS symbol, instrument_token FROM instruments WHERE segment = 'NSE'"))
 register("futures_universe", lambda s, d: lookups.futures_universe(M.instruments(s, d), lookups.index_names(M.instruments(s, d))), query("SELECT DISTINCT name FROM instruments WHERE instrument_type = 'FUT' AND upper(name) <> 'NIFTY'"))
@@ -157,6 +156,7 @@ for _name, _cols in (
 ):
     register(_name, lambda s, d, c=_cols: out(signals(s, d).where("error is null"), f"symbol {c}"), sql(f"symbol {_cols}", "sig", SIG_D))
 register("htf_direction_live", lambda s, d: signal.higher_direction(long_bars(s, d), "60minute", P60), query("SELECT symbol, htf_direction FROM d_last"))
+register("htf_direction_live_15m", lambda s, d: signal.higher_direction(bars(s, d, "15minute"), "15minute", P15), query("SELECT symbol, " + side("CAST(rs AS INTEGER) + CAST(ms AS INTEGER) + CAST(es AS INTEGER) >= 2") + " AS htf_direction FROM f_ind WHERE NOT short QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"))
 register("opening_window", lambda s, d: bars(s, d, "15minute").groupBy("symbol", signal.opening_window(F.col("ts"), F.col("timeframe")).alias("on")).agg(F.count("*").alias("n")), query('SELECT symbol, hour(ts) = 9 AND minute(ts) BETWEEN 15 AND 29 AS "on", count(*) AS n FROM bars15 GROUP BY 1, 2'))
 register(
     "four_hour_warmup",
@@ -187,7 +187,7 @@ def gated(s: SparkSession, d: str) -> DataFrame:
 register("trades", lambda s, d: long_trades(cross_trades(s, d)), trades_sql("t_"))
 register("backtest", lambda s, d: long_trades(replay.backtest(bars(s, d, "60minute"), "60minute", replay.PARAMETERS, 3, P60)), trades_sql("a_"))
 register("gates", lambda s, d: long_trades(gated(s, d)), trades_sql("g_"))
-register("recent_trades", lambda s, d: long_trades(replay.recent_trades(cross_trades(s, d), 50)), trades_sql("t_", "ORDER BY t_trades.entry_time DESC, symbol LIMIT 50"))
+register("recent_trades", lambda s, d: long_trades(replay.recent_trades(cross_trades(s, d))), trades_sql("t_", "ORDER BY t_trades.entry_time DESC, symbol LIMIT 500"))
 register("asof_htf", lambda s, d: out(replay.asof_htf(bars(s, d, "15minute"), "15minute", P15), "symbol ts htf_direction"), sql("symbol ts htf_direction", "q_htf"))
 
 
@@ -198,10 +198,10 @@ def voted(s: SparkSession, d: str) -> DataFrame:
 register("param_votes", lambda s, d: out(voted(s, d), "symbol ts bull bear"), sql("symbol ts bull bear", "a_vote"))
 register("nofm_signal", lambda s, d: out(voted(s, d), "symbol ts direction has_signal"), sql("symbol ts direction has_signal", "a_sig"))
 register("entries", lambda s, d: out(replay.entries(voted(s, d)).where("entry"), "symbol ts direction"), sql("symbol ts direction", "a_edge", "", "entry"))
-register("forward_returns", lambda s, d: out(replay.forward_returns(replay.entries(voted(s, d))).withColumn("r5", F.try_element_at("returns", F.lit(5))), "symbol ts r5"), sql("symbol ts r5", "a_ret"))
+register("forward_returns", lambda s, d: out(replay.forward_returns(replay.entries(voted(s, d))).withColumns({f"r{h}": F.try_element_at("returns", F.lit(h)) for h in replay.HORIZONS}), "symbol ts r5 r10 r20"), sql("symbol ts r5 r10 r20", "a_ret"))
 register("mae", lambda s, d: out(replay.forward_returns(replay.entries(voted(s, d))), "symbol ts mae"), sql("symbol ts mae", "a_ret"))
 register("regime_volume_hot", lambda s, d: series(s, d).where("error is null").groupBy("symbol", replay.volume_hot(P60, True).alias("hot")).agg(F.count("*").alias("n")), query("SELECT symbol, coalesce(rel_volume > 1.2 * CASE WHEN adx <= 18 THEN 1.3 ELSE 1.0 END, false) AS hot, count(*) AS n FROM h_ind WHERE NOT short GROUP BY 1, 2"))
-_STATS = "count(*) AS trades, round(avg(CAST(r > 0 AS INTEGER)) * 100, 2) AS win_rate, round(avg(r), 3) AS avg_return, max(r) AS best, min(r) AS worst"
+_STATS = "count(*) AS trades, round(avg(CAST(r > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(r), 3) AS avg_return, max(r) AS best, min(r) AS worst"
 _GRP = "coalesce(lower(direction), CASE WHEN vol_confirmed THEN 'vol_confirmed' WHEN NOT vol_confirmed THEN 'vol_not_confirmed' END, 'all') AS grp"
 register("backtest_summary", lambda s, d: replay.horizon_stats(cross_trades(s, d)), query(f"SELECT {_GRP}, CAST(horizon AS INTEGER) AS horizon, trades, win_rate, avg_return, best, worst FROM (SELECT horizon, direction, vol_confirmed, {_STATS} FROM t_long GROUP BY GROUPING SETS ((horizon), (horizon, direction), (horizon, vol_confirmed)))"))
 register("horizon_stats", lambda s, d: replay.horizon_stats(cross_trades(s, d)).where("grp = 'all'").drop("grp"), query(f"SELECT CAST(horizon AS INTEGER) AS horizon, {_STATS} FROM t_long GROUP BY horizon"))
@@ -236,13 +236,13 @@ register("oi_accel_events", lambda s, d: out(oi.oi_state(OI(s, d)).where("accel_
 
 # the scan's context
 def index_dir(s: SparkSession, d: str) -> DataFrame:
-    return enrich.index_direction(B.index_bars(M.ticks(s, d), "60minute", F.lit("IDX")))
+    return enrich.index_direction(B.index_bars(M.ticks(s, d), "60minute", F.lit("IDX")), P60)
 
 
 def sector_dirs(s: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     m = M.regions(s, d)
     t = M.ticks(s, d).join(F.broadcast(m), "symbol")
-    return enrich.sector_directions(B.index_bars(t, "60minute", F.col("sector")), rows, m)
+    return enrich.sector_directions(B.index_bars(t, "60minute", F.col("sector")), rows, m, P60)
 
 
 def rows_of(s: SparkSession, d: str) -> DataFrame:
@@ -257,10 +257,13 @@ def scan(s: SparkSession, d: str) -> DataFrame:
 
 def paper(s: SparkSession, d: str) -> DataFrame:
     """A paper trade for each replay trade, ten bars long."""
-    v = replay.nofm_signal(series(s, d).where("error is null"), CROSSES, 1, P60, "60minute")
+    v = replay.nofm_signal(replay.asof_htf(series(s, d).where("error is null"), "60minute", P60), CROSSES, 1, P60, "60minute")
     t = replay.forward_returns(replay.entries(v)).where("entry and entry_price is not null and size(returns) > 0")
-    t = t.withColumn("vol_confirmed", replay.volume_hot(P60)).withColumn("aligned", (2 + (F.col("bull") + F.col("bear")) % 3).cast("int"))
-    t = t.withColumns({f: F.lit(None).cast("boolean") for f in journal.FACTORS if f != "vol_confirmed"})
+    bull, none = F.col("direction") == "Bullish", F.lit(None).cast("boolean")
+    t = t.withColumn("aligned", (F.when(bull, F.col("align")).otherwise(3 - F.col("align")) + replay.volume_hot(P60).cast("int")).cast("int"))
+    t = t.withColumn("flow_agrees", agrees(F.when(F.col("cmf") > 0, "Bullish").when(F.col("cmf") < 0, "Bearish"), F.col("direction")))
+    t = t.withColumns({"candle_agrees": agrees(F.col("candle_direction"), F.col("direction")), "htf_agrees": agrees(F.col("htf_direction"), F.col("direction"))})
+    t = t.withColumns({"signal_confirmed": yes((F.col("aligned") >= 2) & F.col("htf_agrees")), "sector_agrees": none, "breadth_agrees": none})
     return journal.log_trades(t, "60minute", 10, 0.03, 0.01).withColumn("logged_at", F.col("signal_time") + F.make_dt_interval(hours=F.lit(1)))
 
 
@@ -281,7 +284,7 @@ register("candle_filter", lambda s, d: enrich.candle_filter(rows_of(s, d), Param
 _SCORE = "round((CASE WHEN rsi_state = direction THEN w1 ELSE 0 END + CASE WHEN macd_state = direction THEN w2 ELSE 0 END + CASE WHEN ema_bb_state = direction THEN w3 ELSE 0 END + CASE WHEN vol_confirmed THEN w4 ELSE 0 END) * 100, 1)"
 register("weighted_score", lambda s, d: enrich.weighted_score(rows_of(s, d), weights(s, d)).select("symbol", "weighted_score"), query(f"SELECT symbol, {_SCORE} AS weighted_score FROM sig JOIN wide ON true"))
 register("market_hours", lambda s, d: bars(s, d, "15minute").groupBy("symbol", enrich.market_hours(F.col("ts")).alias("open_now")).agg(F.count("*").alias("n")), query("SELECT symbol, isodow(ts) <= 5 AND CAST(ts AS TIME) BETWEEN TIME '09:15:00' AND TIME '15:30:00' AS open_now, count(*) AS n FROM bars15 GROUP BY 1, 2"))
-_POS = "aligned >= 2 AND coalesce(structure = CASE WHEN direction = 'Bullish' THEN 'Long Buildup' ELSE 'Short Buildup' END, false) AND coalesce(index_direction = direction, true)"
+_POS = "aligned >= 2 AND coalesce(structure = CASE WHEN direction = 'Bullish' THEN 'Long Buildup' ELSE 'Short Buildup' END, false)"
 _CONV = f"coalesce(({_POS}) AND aligned = 4 AND break_signal = CASE WHEN direction = 'Bullish' THEN 'Break Up' ELSE 'Break Down' END AND vol_multiple >= 1.5 AND vs_vwap = CASE WHEN direction = 'Bullish' THEN 'Above' ELSE 'Below' END, false)"
 _SCAN = "FROM sig g LEFT JOIN oi_last o ON o.symbol = g.symbol JOIN idx_dir ON true"
 register("positional_qualified", lambda s, d: scan(s, d).select("symbol", "positional_qualified"), query(f"SELECT g.symbol, {_POS} AS positional_qualified {_SCAN}"))
@@ -291,17 +294,18 @@ register("oi_screener", lambda s, d: out(enrich.oi_screener(scan(s, d)), "symbol
 register("oi_screener_filter", lambda s, d: enrich.oi_screener_filter(scan(s, d), "s", has_move=True, least_move=0.1).select("symbol", "structure"), query(f"SELECT g.symbol, structure {_SCAN} WHERE greatest(abs(chg_15), abs(chg_30), abs(chg_60), abs(oi_chg_today)) >= 0.1"))
 register("screener_sort", lambda s, d: out(enrich.screener_sort(scan(s, d)), "symbol oi_chg_today"), query(f"SELECT g.symbol, round(oi_chg_today, 6) AS oi_chg_today {_SCAN} ORDER BY oi_chg_today DESC NULLS LAST, g.symbol"))
 register("screener_tiles", lambda s, d: enrich.screener_tiles(scan(s, d)), query(f"SELECT count(*) FILTER (structure = 'Long Buildup') AS long_buildup, count(*) FILTER (structure = 'Short Buildup') AS short_buildup, count(*) FILTER (structure = 'Short Covering') AS short_covering, count(*) FILTER (structure = 'Long Unwinding') AS long_unwinding, count(*) FILTER ({_CONV}) AS high_conviction, count(*) AS symbols {_SCAN}"))
-register("alert_text", lambda s, d: enrich.alert_text(rows_of(s, d)).select("symbol", F.regexp_replace("alert", " at .* ", " ").alias("alert")), query("SELECT symbol, symbol || ' ' || direction || ' (' || aligned || '/4)' AS alert FROM sig"))
+register("alert_text", lambda s, d: enrich.alert_text(rows_of(s, d)).select("symbol", "alert"), query("SELECT symbol, symbol || ' ' || direction || ' at ' || CAST(round(close, 2) AS VARCHAR) || ' (' || aligned || '/4)' AS alert FROM sig"))
 register("scan_digest", lambda s, d: enrich.scan_digest(rows_of(s, d)), query("SELECT string_agg(symbol || ': ' || direction || ' ' || aligned || '/4', chr(10) ORDER BY symbol) AS digest FROM sig"))
 
 # the journal
-_JSTATS = "count(*) AS trades, round(avg(CAST(return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(return_pct), 6) AS avg_return"
-_SETUP = f"SELECT direction, aligned, {_JSTATS} FROM res WHERE return_pct IS NOT NULL GROUP BY 1, 2"
-register("forward_resolve", lambda s, d: out(paper_resolved(s, d), "id entry_price exit_price return_pct status"), query("SELECT id, entry_price, CASE WHEN exit_price IS NOT NULL THEN exit_price END AS exit_price, return_pct, CASE WHEN return_pct IS NULL THEN 'open' ELSE 'resolved' END AS status FROM res"))
-register("journal_scoreboard", lambda s, d: journal.scoreboard(paper_resolved(s, d)), query("SELECT coalesce(lower(direction), 'all') AS grp, count(*) FILTER (return_pct IS NULL) AS open, count(return_pct) AS trades, round(avg(CAST(return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(return_pct), 6) AS avg_return FROM res GROUP BY GROUPING SETS ((), (direction))"))
+_JSTATS = "count(*) AS trades, round(avg(CAST(return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(return_pct), 3) AS avg_return"
+_FACTOR_ROWS = " UNION ALL ".join(f"SELECT '{n}' AS factor, coalesce({c}, false) AS value, return_pct FROM res WHERE return_pct IS NOT NULL" for n, c in (("signal_confirmed", "aligned >= 2 AND coalesce(htf_direction = direction, true)"), ("candle_agrees", "candle_agrees"), ("flow_agrees", "flow_agrees"), ("htf_agrees", "coalesce(htf_direction = direction, true)")))
+_SETUP = f"SELECT direction, aligned, {_JSTATS} FROM res WHERE return_pct IS NOT NULL AND aligned BETWEEN 2 AND 4 GROUP BY 1, 2"
+register("forward_resolve", lambda s, d: out(paper_resolved(s, d), "id entry_price exit_price return_pct mae win status"), query("SELECT id, entry_price, exit_price, return_pct, mae, return_pct > 0 AS win, CASE WHEN return_pct IS NULL THEN 'open' ELSE 'resolved' END AS status FROM res"))
+register("journal_scoreboard", lambda s, d: journal.scoreboard(paper_resolved(s, d)), query("SELECT coalesce(lower(direction), 'all') AS grp, count(*) FILTER (return_pct IS NULL) AS open, count(return_pct) AS trades, round(avg(CAST(return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(return_pct), 3) AS avg_return FROM res GROUP BY GROUPING SETS ((), (direction))"))
 register("confidence_by_setup", lambda s, d: journal.confidence_by_setup(paper_resolved(s, d)), query(f"SELECT *, trades < 5 AS low_sample FROM ({_SETUP})"))
 register("setup_confidence", lambda s, d: journal.setup_confidence(paper_resolved(s, d)), query(f"SELECT *, trades < 5 AS low_sample FROM ({_SETUP}) WHERE trades >= 5"))
-register("confidence_by_factor", lambda s, d: journal.confidence_by_factor(paper_resolved(s, d)), query(f"SELECT 'vol_confirmed' AS factor, vol_confirmed AS value, {_JSTATS} FROM res WHERE return_pct IS NOT NULL GROUP BY 1, 2"))
+register("confidence_by_factor", lambda s, d: journal.confidence_by_factor(paper_resolved(s, d)), query(f"SELECT *, trades < 5 AS low_sample FROM (SELECT factor, value, {_JSTATS} FROM ({_FACTOR_ROWS}) GROUP BY 1, 2)"))
 register("join_setup_confidence", lambda s, d: enrich.join_setup_confidence(rows_of(s, d), journal.setup_confidence(paper_resolved(s, d))).select("symbol", "journal_confidence"), query(f"SELECT g.symbol, x.win_rate AS journal_confidence FROM sig g LEFT JOIN (SELECT * FROM ({_SETUP}) WHERE trades >= 5) x ON x.direction = g.direction AND x.aligned = g.aligned"))
 register("risk_budget", lambda s, d: journal.risk_budget(paper_resolved(s, d), _lit_day(), P60), query(f"SELECT trades_today, open_positions, trades_today * 1.0::DOUBLE AS risk_pct, trades_today * 1.0 > 3 AS risk_exceeded, open_positions > 5 AS positions_exceeded FROM (SELECT count(*) FILTER (CAST(logged_at AS DATE) = DATE '{LAST_DAY}') AS trades_today, count(*) FILTER (return_pct IS NULL) AS open_positions FROM res)"))
 register("sector_concentration", lambda s, d: journal.sector_concentration(paper_resolved(s, d), M.regions(s, d), _lit_day()), query(f"SELECT sector, count(*) AS trades FROM res JOIN sector_map USING (symbol) WHERE CAST(logged_at AS DATE) = DATE '{LAST_DAY}' GROUP BY 1 HAVING count(*) >= 2"))
@@ -318,6 +322,41 @@ register(
     sql("symbol ts direction", "a_ret", "", "entry AND vol_confirmed"),
 )
 
+register("news_scope_join", lambda s, d: news.join_news(M.watchlist(s, d), news.news_top(news.news_flatten(M.articles(s, d), M.watchlist(s, d)))).select("symbol", F.size("news").alias("n"), F.array_join("news", "|").alias("news")), query("SELECT w.symbol, CAST(count(f.uuid) AS INTEGER) AS n, string_agg(f.title, '|' ORDER BY f.rank) AS news FROM watchlist w LEFT JOIN (SELECT f.*, left(d.text, 80) AS title, row_number() OVER (PARTITION BY symbol ORDER BY uuid) AS rank FROM flat f JOIN documents d USING (doc_id) QUALIFY rank <= 3) f ON f.symbol = w.symbol GROUP BY 1").replace("CAST(count(f.uuid) AS INTEGER)", "CASE WHEN count(f.uuid) = 0 THEN NULL ELSE CAST(count(f.uuid) AS INTEGER) END"))
+register(
+    "article_scan",
+    lambda s, d: news.article_scan(M.articles(s, d).select(F.to_json(F.struct(F.array(F.struct("uuid", "title", "source", "entities")).alias("data"))).alias("value"))).select("uuid", "source", F.size("entities").alias("n_entities")),
+    query("SELECT md5(CAST(doc_id AS VARCHAR)) AS uuid, source, CAST(3 AS INTEGER) AS n_entities FROM documents"),
+)
+_ALERTS = "FROM a_ret WHERE entry AND vol_confirmed"
+
+
+def alerts(s: SparkSession, d: str) -> DataFrame:
+    own = replay.entries(voted(s, d)).withColumn("fresh_signal", F.when(F.col("entry"), F.col("direction"))).withColumn("vol_confirmed", replay.volume_hot(P60))
+    return news.alert_dedupe(own.withColumn("htf_agrees", F.lit(True)))
+
+
+register("newest_alerts", lambda s, d: out(news.newest(alerts(s, d)), "symbol ts direction"), query(f"SELECT symbol, {ts()}, direction {_ALERTS} ORDER BY a_ret.ts DESC, symbol LIMIT 20"))
+register("journal_newest", lambda s, d: out(journal.newest_first(paper(s, d)).limit(100), "id symbol logged_at").withColumn("logged_at", F.col("logged_at").cast("long")), query("SELECT id, symbol, CAST(floor(epoch(logged_at)) AS BIGINT) AS logged_at FROM paper ORDER BY paper.logged_at DESC, id LIMIT 100"))
+register(
+    "journal_csv",
+    lambda s, d: out(journal.export_rows(paper_resolved(s, d)), "id symbol direction horizon_bars status signal_time entry_time entry_price exit_price return_pct mae_pct outcome cost_pct slippage_pct"),
+    query(f"SELECT id, symbol, direction, h AS horizon_bars, CASE WHEN return_pct IS NULL THEN 'open' ELSE 'resolved' END AS status, {ts('signal_time')}, {ts('entry_time')}, entry_price, exit_price, return_pct, mae AS mae_pct, CASE WHEN return_pct > 0 THEN 'win' WHEN return_pct <= 0 THEN 'loss' END AS outcome, 0.03::DOUBLE AS cost_pct, 0.01::DOUBLE AS slippage_pct FROM res"),
+)
+register("backtest_universe", lambda s, d: replay.backtest_universe(M.watchlist(s, d)), query("SELECT symbol FROM watchlist"))
+_START = "2024-01-15 00:00:00"
+register("warmup_trim", lambda s, d: long_trades(replay.backtest(bars(s, d, "60minute"), "60minute", CROSSES, 1, P60, start=F.lit(_START).cast("timestamp_ntz"))), trades_sql("t_", f"WHERE t_trades.ts >= TIMESTAMP '{_START}'"))
+register("gates_regime_volume", lambda s, d: long_trades(replay.backtest(bars(s, d, "60minute"), "60minute", replay.PARAMETERS, 3, P60, gates=("regime_volume",))), trades_sql("r_"))
+
+
+def stored_weights(s: SparkSession, d: str) -> DataFrame:
+    folder = f"{_folder(s)}/weights"
+    replay.store_weights(weights(s, d), folder)
+    return replay.load_weights(s, folder)
+
+
+register("weights_table", stored_weights, query("SELECT * FROM weights"))
+
 # charts
 LINES = ("rsi", "rsi_smooth", "macd", "macd_signal", "ema", "bb_mid", "bb_upper", "bb_lower", "vwap")
 
@@ -339,9 +378,9 @@ register("scalp_levels", lambda s, d: scalp.scalp_signal(index3(s, d)).select("s
 
 # streams, run until their input ends
 def _folder(s: SparkSession) -> str:
-    root = s.sparkContext.getCheckpointDir() or s.conf.get("spark.checkpoint.dir", None)
+    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
@@ -354,6 +393,74 @@ def streamed_bars(s: SparkSession, d: str) -> DataFrame:
 register("stream_bars", lambda s, d: out(streamed_bars(s, d), BAR), sql(BAR, "bars60", BAR_D))
 
 
+def _batches(s: SparkSession, df: DataFrame, n: int, order: str) -> tuple[DataFrame, str]:
+    """A stream over the rows of df in n batches by the order of a column (a number or time), and a folder of its own."""
+    folder = _folder(s)
+    key = F.col(order).cast("timestamp").cast("double") if "timestamp" in dict(df.dtypes)[order] else F.col(order).cast("double")
+    edges = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000).alias("e")).first().e or []
+    part = sum(((key > F.lit(e)).cast("int") for e in edges), F.lit(0))
+    for i in range(n):  # one after the other: a file source takes files by the time at which they were written
+        df.where(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+
+
+def streamed_scan(s: SparkSession, d: str) -> DataFrame:
+    trigger, folder = _batches(s, M.watchlist(s, d), 2, "pos")
+    jobs.stream_scan(trigger, lambda: long_bars(s, d), M.watchlist(s, d), P60, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return jobs.latest(s, f"{folder}/out", "symbol")
+
+
+def streamed_oi(s: SparkSession, d: str) -> DataFrame:
+    own, folder = _batches(s, OI(s, d).withColumn("ts", F.col("ts").cast("timestamp")), 3, "ts")
+    own = own.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    jobs.stream_oi_state(own, f"{folder}/past", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return jobs.latest(s, f"{folder}/out", "symbol", "ts")
+
+
+def streamed_resolve(s: SparkSession, d: str) -> DataFrame:
+    trigger, folder = _batches(s, M.watchlist(s, d), 2, "pos")
+    jobs.journal_resolve_stream(trigger, lambda: paper(s, d), lambda: bars(s, d, "60minute"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return jobs.latest(s, f"{folder}/out", "id")
+
+
+def streamed_frames(s: SparkSession, d: str) -> DataFrame:
+    trigger, folder = _batches(s, M.watchlist(s, d), 2, "pos")
+    index = lambda tf: B.index_bars(M.ticks(s, d), tf, F.lit("IDX"))
+    for q in jobs.stream_multi_timeframe(trigger, lambda tf: bars(s, d, tf), index, M.watchlist(s, d), f"{folder}/out", f"{folder}/state", {"60minute": None, "15minute": None}):
+        q.awaitTermination()
+    return jobs.latest(s, f"{folder}/out/60minute", "symbol").select(F.lit("60minute").alias("timeframe"), "symbol", "direction", "param_tier", "index_agrees", "signal_confirmed")
+
+
+def streamed_scalp(s: SparkSession, d: str) -> DataFrame:
+    trigger, folder = _batches(s, M.watchlist(s, d), 2, "pos")
+    jobs.stream_scalp(trigger, lambda: index3(s, d), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return jobs.latest(s, f"{folder}/out", "symbol")
+
+
+def streamed_oi_events(s: SparkSession, d: str) -> DataFrame:
+    own, folder = _batches(s, OI(s, d).withColumn("ts", F.col("ts").cast("timestamp")), 3, "ts")
+    own = own.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    jobs.oi_event_log(own, f"{folder}/past", f"{folder}/out", f"{folder}/state", "60minute").awaitTermination()
+    return s.read.parquet(f"{folder}/out")
+
+
+def published_scan(s: SparkSession, d: str) -> DataFrame:
+    folder = f"{_folder(s)}/scans"
+    rows = signals(s, d).select("symbol", "error", "direction")
+    jobs.publish(rows.limit(1), folder, "2024-01-29T1000")
+    jobs.publish(rows, folder, "2024-01-29T1003")
+    return jobs.published(s, folder)
+
+
+register("result_sink", lambda s, d: published_scan(s, d), query("SELECT '2024-01-29T1003' AS scan, w.symbol, CASE WHEN l.symbol IS NULL THEN 'symbol not found' WHEN l.short THEN 'not enough candles' END AS error, direction FROM watchlist w LEFT JOIN l_last l ON w.symbol = l.symbol LEFT JOIN sig x ON w.symbol = x.symbol"))
+register("stream_scan", lambda s, d: streamed_scan(s, d).select("symbol", "error", "direction", "aligned", "signal_confirmed"), query("SELECT w.symbol, CASE WHEN l.symbol IS NULL THEN 'symbol not found' WHEN l.short THEN 'not enough candles' END AS error, direction, aligned, signal_confirmed FROM watchlist w LEFT JOIN l_last l ON w.symbol = l.symbol LEFT JOIN sig x ON w.symbol = x.symbol"))
+register("stream_oi_state", lambda s, d: out(streamed_oi(s, d), "symbol ts chg_30 accel_label structure stage oi_day_chg"), sql("symbol ts chg_30 accel_label structure stage oi_day_chg", "oi_state", "chg_30 oi_day_chg"))
+register("journal_resolve_stream", lambda s, d: out(streamed_resolve(s, d), "id return_pct mae status"), query("SELECT id, return_pct, mae, CASE WHEN return_pct IS NULL THEN 'open' ELSE 'resolved' END AS status FROM res"))
+register("oi_event_log", lambda s, d: out(streamed_oi_events(s, d), "symbol ts accel_label"), sql("symbol ts accel_label", "oi_state", "", "accel_event"))
+register("stream_multi_timeframe", streamed_frames, query(f"SELECT '60minute' AS timeframe, w.symbol, h.direction, CASE WHEN h.aligned >= 2 THEN h.aligned END AS param_tier, coalesce(index_direction = h.direction, true) AS index_agrees, h.signal_confirmed FROM watchlist w LEFT JOIN h_sig h ON w.symbol = h.symbol JOIN idx_dir ON true"))
+register("stream_scalp", lambda s, d: streamed_scalp(s, d).select("symbol", "votes", "direction", "action", "vol_confirmed"), None)
+
+
 def _lit_day():
     return F.lit(LAST_DAY).cast("date")
 

@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tapeworks.operators import journal, oi, signal
+from tapeworks.operators import enrich, journal, oi, scalp, signal
 from tapeworks.params import Params
 
 LATE = "10 minutes"
@@ -74,26 +75,69 @@ def stream_scan(trigger: DataFrame, read_bars: Callable[[], DataFrame], watchlis
     return write_batches(trigger, folder, checkpoint, lambda _: signal.screener(read_bars(), watchlist, p), interval)
 
 
-def stream_multi_timeframe(trigger: DataFrame, read_bars: Callable[[str], DataFrame], watchlist: DataFrame, folder: str, checkpoint: str, intervals: dict[str, str | None]) -> list[StreamingQuery]:
+def frame_scan(bars: DataFrame, index_bars: DataFrame, watchlist: DataFrame, p: Params) -> DataFrame:
+    """One timeframe's rows: the screener, then tier, index, volume flow and candle filters."""
+    rows = enrich.index_filter(enrich.param_tier(signal.screener(bars, watchlist, p)), enrich.index_direction(index_bars, p), p)
+    return enrich.candle_filter(enrich.volume_flow_filter(rows, p), p)
+
+
+def stream_multi_timeframe(trigger: DataFrame, read_bars: Callable[[str], DataFrame], read_index: Callable[[str], DataFrame], watchlist: DataFrame, folder: str, checkpoint: str, intervals: dict[str, str | None]) -> list[StreamingQuery]:
     """A scan of its own for each timeframe."""
     return [
-        write_batches(trigger, f"{folder}/{tf}", f"{checkpoint}/{tf}", lambda _, tf=tf: signal.screener(read_bars(tf), watchlist, Params(timeframe=tf)), every)
+        write_batches(trigger, f"{folder}/{tf}", f"{checkpoint}/{tf}", lambda _, tf=tf: frame_scan(read_bars(tf), read_index(tf), watchlist, Params(timeframe=tf)), every)
         for tf, every in intervals.items()
     ]
 
 
-def stream_oi_state(samples: DataFrame, history: str, folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """New samples join the table at history; their state is computed from it and written for the new samples alone."""
+def stream_scalp(trigger: DataFrame, read_bars: Callable[[], DataFrame], folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Every micro-batch of the trigger reads the 3-minute bars anew and writes the engine's signal."""
+    return write_batches(trigger, folder, checkpoint, lambda _: scalp.scalp_signal(read_bars()), interval)
+
+
+def _oi_batches(samples: DataFrame, history: str, folder: str, checkpoint: str, interval: str | None, pick: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """New samples join the table at history; their state is computed from it and what pick takes of it is written.
+
+    A state needs the samples of the day and of the 150 minutes before, and the last ones of the days before: a
+    sample's structure and label are compared with the last that its symbol had, and its day with the last reading.
+    So a batch reads the days from its first sample's on, and of each symbol the last day before them.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        past = batch.sparkSession.read.parquet(history).where(F.col("batch") <= number).drop("batch")
-        state = oi.oi_state(past).join(batch.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
-        state.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        past = batch.sparkSession.read.schema(T.StructType([*batch.schema, T.StructField("batch", T.LongType())])).parquet(history).where(F.col("batch") <= number).drop("batch")
+        first = batch.agg(F.to_date(F.min("ts")).alias("d")).first().d
+        if first is None:  # an empty batch
+            return
+        before = past.where(F.to_date("ts") < F.lit(first)).groupBy("symbol").agg(F.max(F.to_date("ts")).alias("last_day"))
+        near = past.join(before, "symbol", "left").where((F.to_date("ts") >= F.lit(first)) | (F.to_date("ts") >= F.date_sub("last_day", 1))).drop("last_day")
+        state = oi.oi_state(near).join(batch.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
+        pick(state).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return samples.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def stream_oi_state(samples: DataFrame, history: str, folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """The state of each new sample."""
+    return _oi_batches(samples, history, folder, checkpoint, interval, lambda state: state)
+
+
+def oi_event_log(samples: DataFrame, history: str, folder: str, checkpoint: str, timeframe: str, interval: str | None = None) -> StreamingQuery:
+    """An append-only log of the samples at which open interest has started to accelerate."""
+    events = lambda state: state.where("accel_event").select("symbol", F.lit(timeframe).alias("timeframe"), "ts", "close", "oi", "oi_chg_today", "accel", "accel_label", "break_signal")
+    return _oi_batches(samples, history, folder, checkpoint, interval, events)
+
+
+def publish(rows: DataFrame, folder: str, at: str) -> None:
+    """Result sink: a scan's rows as the version named at (a time that sorts); publishing it again replaces it."""
+    rows.write.mode("overwrite").parquet(f"{folder}/scan={at}")
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """Result source: the rows of the latest version, with its name as scan."""
+    rows = spark.read.parquet(folder).withColumn("scan", F.col("scan").cast("string"))
+    return rows.join(F.broadcast(rows.agg(F.max("scan").alias("scan"))), "scan")  # one row
+
+
 def journal_resolve_stream(trigger: DataFrame, read_open: Callable[[], DataFrame], read_bars: Callable[[], DataFrame], folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     return write_batches(trigger, folder, checkpoint, lambda _: journal.forward_resolve(read_open(), read_bars()), interval)
