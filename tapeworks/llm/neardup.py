@@ -173,18 +173,40 @@ def joining_links(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: lis
     return out
 
 
-def _join_bin(table: pa.Table) -> pa.Table:
-    """Links (a, b) from the groups of a bin."""
+def _groups(table: pa.Table):
+    """(ids, comp, side, sets) of each group of a bin that has something to hold against each other."""
     group, ids, comp, side = (table.column(c).to_numpy() for c in ("g", "id", "comp", "side"))
     sets = [np.frombuffer(x, dtype="<u8") for x in table.column("elements").to_pylist()]
     order = np.argsort(group, kind="stable")
-    out = []
     for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
         if len(at) > 1 and (side[at] != 1).any() and (side[at] != 0).any():
-            out += joining_links(ids[at], comp[at], side[at], [sets[i] for i in at])
+            yield ids[at], comp[at], side[at], [sets[i] for i in at]
+
+
+def _join_bin(table: pa.Table) -> pa.Table:
+    """Links (a, b) from the groups of a bin."""
+    out = [link for group in _groups(table) for link in joining_links(*group)]
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
+def _solve_bin(table: pa.Table) -> pa.Table:
+    """(id, comp) of the nodes of a bin's whole clusters that have a link; comp is the smallest id of the component."""
+    of: dict[int, int] = {}
+    for group in _groups(table):
+        own: dict[int, int] = {}
+
+        def root(i: int, own: dict[int, int] = own) -> int:
+            while own.get(i, i) != i:
+                i = own[i]
+            return i
+
+        for a, b in joining_links(*group):
+            a, b = root(a), root(b)
+            own[max(a, b)] = own[min(a, b)] = min(a, b)
+        of |= {i: root(i) for i in own}
+    return pa.table({"id": pa.array(list(of), pa.int64()), "comp": pa.array(list(of.values()), pa.int64())})
+
+
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
     """Pairs (a, b) of each node and the HUBS hubs with which it shares most bands."""
     shared = buckets.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
@@ -240,9 +262,9 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = nodes.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("b"))
     first = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"))).alias("first")
     hubs = parted_anew(rows.groupBy("b").agg(first, F.count("*").alias("n")).where("n > 1").select("b", F.col("first.id").alias("hub")), "b")
-    buckets = cut(rows.join(hubs, "b"))
+    buckets = cut(rows.join(hubs.hint("merge"), "b"))
     clusters = components(buckets.select("id", "hub"), "id", "hub").select("id", F.col("comp").alias("cluster"))
-    need = nodes.join(clusters, "id").select("key", "id", "doc", "cluster")
+    need = nodes.join(clusters.hint("merge"), "id").select("key", "id", "doc", "cluster")
     sets = own.join(need, (own.key == need.key) & own.doc.eqNullSafe(need.doc)).select("id", "cluster", "t").dropDuplicates(["id"])
     sets = cut(element_sets(sets, "t").drop("t"))
     light = sets.select("id", "cluster", F.length("elements").alias("size"))
@@ -254,10 +276,10 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     small = sets.join(of_size(False), "cluster").select(
         F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("bin"), F.col("cluster").alias("g"), "id", F.col("id").alias("comp"), F.lit(2).alias("side"), "elements"
     )
-    links = small.groupBy("bin").applyInArrow(_join_bin, "a long, b long")
+    comps = small.groupBy("bin").applyInArrow(_solve_bin, "id long, comp long")
     if total.large:
-        links = links.unionByName(_large_links(cut(light.join(of_size(True), "cluster")), buckets, sets.select("id", "elements")))
-    comps = components(links)
+        comps = comps.unionByName(components(_large_links(cut(light.join(of_size(True), "cluster")), buckets, sets.select("id", "elements"))))
+    comps = comps.hint("merge")
     return nodes.select("id", "key", "doc").join(comps, "id", "left").select("key", "doc", F.coalesce("comp", "id").alias("comp"))
 
 

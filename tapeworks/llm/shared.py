@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def use_shared_folder(spark: SparkSession) -> str:
@@ -26,6 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+    """As cut, with aggregates (named columns) over df's rows that the same job finds."""
+    seen = Observation()
+    out = cut(df.observe(seen, *metrics))
+    return out, seen.get
+
+
 def drop_cut(df: DataFrame) -> None:
     """Removes the table that cut has written for df; nothing may read it later."""
     spark = df.sparkSession
