@@ -6,11 +6,13 @@ last of equal ones; about two in WINDOW + 1), the same wherever a passage stands
 with ``PASSAGE_WORDS`` words or more is a unit.  So every shared stretch of PASSAGE_WORDS + 2 * WINDOW - 1 words holds a
 shared unit for certain, however its lines are broken.  The same runs are also made with parts that end with lines, for
 shorter passages that are lines of their own.  A passage's words before its first unit and after its last one stay:
-fewer than WINDOW before, fewer than 2 * WINDOW after.  Words are lower-cased and white space doesn't count, so units are normalised before they are hashed to 128 bits.
+fewer than WINDOW before, fewer than 2 * WINDOW after.  Words are lower-cased and white space doesn't count, so units are normalised before they are hashed.
 
-Digests are grouped globally; the occurrence that ranks earliest (by id, then position) is kept and the others are
-removed.  Within a block of documents only the first occurrence of a digest leaves for the global grouping: later ones
-are known to be repeats, so a line that stands in a third of all documents arrives once for each block.
+Digests (96 bits) are grouped globally; the occurrence that ranks earliest (by id, then position) is kept and the others
+are removed.  Within a block of documents only the first occurrence of a digest leaves for the global grouping: later
+ones are known to be repeats.  A task also remembers the digests that a block has held ``OFTEN`` times, and lets go of a
+later block's occurrence only if it ranks before; so a line that stands in a third of all documents arrives about once
+for each task.
 
 Removed spans are given as code points of the original text, merged where they touch or overlap; the text that stays
 keeps everything else.  Null texts are empty.  A document whose id is null ranks last; documents of one id rank by a
@@ -30,6 +32,9 @@ from tapeworks.llm.words import gather, mix, replace_columns, split_words
 LINE_WORDS, WINDOW, PASSAGE_WORDS = 8, 11, 20
 #: Text of a block of documents within which repeats are told apart at once.
 BLOCK_BYTES = 4_000_000
+#: Occurrences in a block from which a task remembers a digest, and how many digests it remembers.
+OFTEN, REMEMBERED = 4, 500_000
+_KNOWN = -(2**63)
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 _BASE1, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -105,12 +110,12 @@ def units(texts: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def _first_in_block(batches):
-    """Rows (doc, crc, h1, h2, at, to, known) from rows (doc, crc, t).
+    """Rows (doc, h1, rest, span) from rows (doc, crc, t): rest holds 32 bits of the second hash, then crc; span holds at, then to.
 
-    known: an occurrence of the digest ranks before in the same block; such a row's digest is made up, as it needs no
-    more grouping and all rows of a common digest would meet.
+    span is negative if an occurrence of the digest is known that ranks before; such a row's digest is made up, as it
+    needs no more grouping and all rows of a common digest would meet.  Four numbers keep the shuffled rows small.
     """
-    names = ["doc", "crc", "h1", "h2", "at", "to", "known"]
+    earliest: dict[tuple[int, int], tuple[int, int, int]] = {}
     for block in gather(batches, "t", BLOCK_BYTES):
         ids, crc = (block.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "crc"))
         rank = np.lexsort((crc, ids))
@@ -119,16 +124,28 @@ def _first_in_block(batches):
         if not len(which):
             continue
         doc, crc = ids[which], crc[which]
+        h2 = h2.view(np.uint64) >> np.uint64(32)
         order = np.lexsort((h2, h1))  # stable, so by rank within a digest
         a, b = h1[order], h2[order]
         new = np.ones(len(a), dtype=bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        starts = np.flatnonzero(new)
+        first = order[starts[np.cumsum(new) - 1]]
         known = np.zeros(len(a), dtype=bool)
         known[order] = (doc[order] != doc[first]) | (crc[order] != crc[first]) | (at[order] != at[first])
+        often = np.diff(np.append(starts, len(a))) >= OFTEN
+        if earliest:
+            often |= np.isin(a[starts], np.fromiter((k[0] for k in earliest), np.int64, len(earliest)))
+        for i in order[starts[often]].tolist():
+            key, own = (int(h1[i]), int(h2[i])), (int(doc[i]), int(crc[i]), int(at[i]))
+            if key in earliest and earliest[key] < own:
+                known[i] = True
+            elif key in earliest or len(earliest) < REMEMBERED:
+                earliest[key] = own
         own = mix(doc.view(np.uint64) ^ mix(at.view(np.uint64) + crc.view(np.uint64) * _BASE2)).view(np.int64)
-        h1 = np.where(known, own, h1)
-        out = pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, crc, h1, h2, at.astype(np.int32), to.astype(np.int32), known)], names)
+        rest = (h2 << np.uint64(32) | crc.view(np.uint64)).view(np.int64)
+        span = (at << 32 | to) | np.where(known, _KNOWN, 0)
+        out = pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, np.where(known, own, h1), rest, span)], ["doc", "h1", "rest", "span"])
         for i in range(0, out.num_rows, 20_000):
             yield out.slice(i, 20_000)
 
@@ -158,7 +175,9 @@ def _cut(texts: pa.Array, spans: pa.Array) -> list:
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, crc, spans): byte spans to remove from the text of each document that has some."""
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.crc32(F.col(text).cast("binary")).alias("crc"), F.col(text).alias("t"))
-    rows = own.where(F.length("t") > 0).mapInArrow(_first_in_block, "doc long, crc long, h1 long, h2 long, at int, to int, known boolean")
+    rows = own.where(F.length("t") > 0).mapInArrow(_first_in_block, "doc long, h1 long, rest long, span long").repartition("h1")
+    low = 2**32 - 1
+    rows = rows.select("doc", "h1", F.shiftrightunsigned("rest", 32).alias("h2"), F.col("rest").bitwiseAND(F.lit(low)).alias("crc"), F.shiftright(F.col("span").bitwiseAND(F.lit(2**63 - 1)), 32).cast("int").alias("at"), F.col("span").bitwiseAND(F.lit(low)).cast("int").alias("to"), (F.col("span") < 0).alias("known"))
     order = Window.partitionBy("h1", "h2").orderBy("doc", "crc", "at")
     again = rows.withColumn("rank", F.rank().over(order)).where((F.col("rank") > 1) | F.col("known"))
     return again.groupBy("doc", "crc").agg(F.collect_list(F.struct("at", "to")).alias("spans"))
