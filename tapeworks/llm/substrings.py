@@ -31,7 +31,7 @@ from tapeworks.llm.words import gather, mix, replace_columns, split_words
 
 LINE_WORDS, WINDOW, PASSAGE_WORDS = 8, 11, 20
 #: Text of a block of documents within which repeats are told apart at once.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 #: Occurrences in a block from which a task remembers a digest, and how many digests it remembers.
 OFTEN, REMEMBERED = 4, 500_000
 _KNOWN = -(2**63)

@@ -6,12 +6,15 @@ their Euclidean distances to a fixed number of pivots.  For a query q and a cand
 (|q|^2 + |x|^2 - bound^2) / 2 is an upper bound of the score.  Candidates of a batch are evaluated in the order of
 their bounds until the next bound is below the k-th best score so far; a first k-th best comes from the pivots' sample.
 
-Queries are taken in blocks of ``BLOCK`` (a size that doesn't grow with the data); each block goes over all
-candidates once, gives k rows for each query and partition at most, and the best k of these are kept.
+Queries are taken in blocks of ``BLOCK_BYTES`` (a size that doesn't grow with the data), which the driver passes on one
+by one and lets go of; each block goes over all candidates once, without a shuffle of them, gives k rows for each query
+and partition at most, and the best k of these are kept.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, as neither do rows without an id;
 a vector of another length than a query's isn't its candidate.  Equal scores go to the smaller id; repeated ids are
-candidates each for itself, but a query never finds its own id.  An empty table gives no rows.
+candidates each for itself, but a query never finds its own id.  Different vectors of one query id share one ranking: a
+candidate's score is the best that any of them gives it.  Sums of products must stay below 2**63.  An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import types as T
 from tapeworks.llm.shared import cut
 
 SCALE, K, PIVOTS, SAMPLE = 1024, 10, 24, 512
-#: Queries that are searched for at once.
-BLOCK = 4096
+#: Bytes of the queries that are searched for at once.
+BLOCK_BYTES = 8_000_000
 #: Candidates of a batch that are evaluated before the bound is looked at again.
 STEP = 64
 _EXACT, _NONE = 2**53, -(2**63 - 1)
@@ -141,7 +144,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS
         first, once = np.unique(s_ids, return_index=True)  # a repeated id counts once for the floor
         table = _pivots(s, pivots)
         queries = own.where(is_query).dropDuplicates()
-        for ids, v in _blocks(queries, BLOCK):
+        size = max(1, BLOCK_BYTES // (8 * dim))
+        for ids, v in _blocks(queries, size):
             sent = spark.sparkContext.broadcast((ids, v, table, first_floor(ids, v, first, s[once], k), k))
 
             def run(batches, sent=sent):
@@ -154,8 +158,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS
 
             part = own.select("vec_id", "v").mapInArrow(run, schema)
             order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+            part = part.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) if len(set(ids.tolist())) < len(ids) else part
             part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            out.append(part if len(ids) < BLOCK else cut(part))
+            out.append(cut(part))
+            sent.destroy()
     if not out:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     whole = out[0]

@@ -7,7 +7,8 @@ through a logistic curve that documents set aside from the counts have fitted.
 
 The alphabet is the most frequent bytes of the sample and one symbol for the rest, so that the difference of both
 models is one dense table of a fixed size, and a text costs one lookup for each byte.  ``MAX_DOCS`` labelled documents
-of each class at most (those with the smallest hashes) are learnt from; this is all that one task and the driver see.
+of each class at most (those with the smallest hashes) are learnt from.  Their n-grams are counted by ``PARTS`` tasks, a
+slice of text at a time; one task adds the counts, and the driver sees five features of each document set aside.
 
 Null and empty texts have a likelihood ratio of 0 and so the score that the classes' shares give.  Rows without an id
 or a label teach nothing; a repeated id is toxic if one of its labels is.  Without labels of both classes the score
@@ -23,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.llm.shared import cut, drop_cut
 from tapeworks.llm.words import _LOWER, _SPACE, append_columns, slices
 
 #: Labelled documents of each class that are learnt from at most.
 MAX_DOCS = 4000
+#: Tasks that count the n-grams of the learnt documents.
+PARTS = 8
 SYMBOLS, ORDER = 40, 4
 #: From which log-likelihood ratio a word counts as an expression of its own; features of a text.
 STRONG, FEATURES = 4.5, 5
@@ -119,6 +123,102 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def ratios(gram: np.ndarray) -> np.ndarray:
+    """The difference of both classes' models from their 4-gram counts; nothing where a class has none."""
+    if not gram[0].any() or not gram[1].any():
+        return np.zeros(SYMBOLS**ORDER, dtype=np.float32)
+    both = (gram[0] + gram[1]).reshape(-1, SYMBOLS).sum(axis=0) + 1.0
+    shared = both / both.sum()
+    return kneser_ney(gram[1], shared) - kneser_ney(gram[0], shared)
+
+
+def _byte_counts(batches):
+    counts = np.zeros(256, dtype=np.int64)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            counts += np.bincount(np.frombuffer("".join(t or "" for t in part.column("text").to_pylist()).encode(), dtype=np.uint8), minlength=256)
+    yield pa.RecordBatch.from_pydict({"n": [counts.tobytes()]})
+
+
+def _gram_counts(symbol: np.ndarray):
+    """Rows (toxic, grams, n): the 4-grams of a class in a task, and how often each occurs."""
+
+    def run(batches):
+        gram = np.zeros((2, SYMBOLS**ORDER), dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, "text", 4_000_000):
+                toxic = part.column("toxic").to_numpy()
+                for c in (0, 1):
+                    own = part.column("text").filter(pa.array(toxic == c))
+                    if len(own):
+                        gram[c] += np.bincount(codes(own, symbol)[0], minlength=SYMBOLS**ORDER)
+        at = [np.flatnonzero(g) for g in gram]
+        yield pa.RecordBatch.from_pydict({"toxic": pa.array([0, 1], pa.int32()), "grams": [x.astype(np.int32).tobytes() for x in at], "n": [g[x].tobytes() for g, x in zip(gram, at)]})
+
+    return run
+
+
+def _add_counts(batches):
+    """The ratio table from the counts of all tasks, PARTS rows of bounded size for each class."""
+    gram = np.zeros((2, SYMBOLS**ORDER), dtype=np.int64)
+    for batch in batches:
+        for toxic, at, n in zip(*(batch.column(c).to_pylist() for c in ("toxic", "grams", "n"))):
+            gram[toxic, np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+    yield pa.RecordBatch.from_pydict({"ratio": [ratios(gram).tobytes()]})
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
+    """The model from the labelled documents outside the held-out ones."""
+    own = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
+    own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    n = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
+    prior = float(np.log(share / (1 - share)))
+    order = F.xxhash64("doc_id")
+    picked = [own.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(max_docs) for c in (0, 1)]
+    ids = F.broadcast(picked[0].unionByName(picked[1]))  # max_docs rows of each class at most
+    sample = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    sample = sample.select("text", "toxic", (F.crc32(F.concat(F.lit("aside"), F.col("doc_id").cast("string")).cast("binary")) % ASIDE == 0).alias("aside"))
+    sample = cut(sample.repartition(PARTS))
+    symbol = alphabet(sum((np.frombuffer(r.n, np.int64) for r in sample.select("text").mapInArrow(_byte_counts, "n binary").collect()), np.zeros(256, dtype=np.int64)))
+    counts = sample.where("not aside").select("text", "toxic").mapInArrow(_gram_counts(symbol), "toxic int, grams binary, n binary")
+    got = counts.repartition(1).mapInArrow(_add_counts, "ratio binary").collect()
+    model = Model(symbol, np.frombuffer(got[0].ratio, np.float32) if got else np.zeros(SYMBOLS**ORDER, np.float32), np.eye(FEATURES)[0] * prior)
+    tests = {r.toxic for r in sample.where("aside").select("toxic").distinct().collect()}
+    sent = docs.sparkSession.sparkContext.broadcast((model.symbol, model.ratio))  # of fixed size
+
+    def features(batches):
+        m = Model(*sent.value, np.zeros(FEATURES))
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(list(m.features(part.column("text"))), pa.list_(pa.float64()))], ["toxic", "x"])
+
+    some = sample.where("aside") if len(tests) == 2 else sample
+    rows = some.select("text", "toxic").mapInArrow(features, "toxic int, x array<double>").collect() if model.ratio.any() else []
+    sent.destroy()
+    drop_cut(sample)
+    if rows:
+        rows.sort(key=lambda r: (r.toxic, r.x))  # the sums don't depend on which task came first
+        y = np.array([r.toxic for r in rows], dtype=float)
+        model.weights = logistic(np.array([r.x for r in rows]), y)
+        model.weights[0] += prior - np.log(max(y.sum(), 1) / max((1 - y).sum(), 1))
+    return model
+
+
+def score(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -40, 40)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights by Newton steps; the ridge keeps classes that are parted completely finite."""
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + ridge * w
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+    return w
+
+
 def fit(sample: pa.Table, share: float) -> Model:
     """The model from a table of text, toxic and aside; share: the toxic part of all labelled rows."""
     prior = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
