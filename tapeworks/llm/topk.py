@@ -121,13 +121,13 @@ def _pivots(v: np.ndarray, n: int) -> np.ndarray:
 
 
 def _blocks(queries: DataFrame, size: int) -> Iterable[tuple[np.ndarray, np.ndarray]]:
-    """The queries, one block at a time; the driver holds no more than a block and one partition of the queries."""
+    """The queries, one block of about size rows at a time, each id in one block; the driver holds a block and one partition."""
     held: list = []
-    for r in queries.toLocalIterator():
-        held.append(r)
-        if len(held) == size:
+    for r in queries.repartition("vec_id").sortWithinPartitions("vec_id").toLocalIterator():
+        if len(held) >= size and r.vec_id != held[-1].vec_id:
             yield np.array([r.vec_id for r in held]), np.array([r.v for r in held], dtype=np.int64)
             held = []
+        held.append(r)
     if held:
         yield np.array([r.vec_id for r in held]), np.array([r.v for r in held], dtype=np.int64)
 
