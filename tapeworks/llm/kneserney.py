@@ -36,14 +36,21 @@ _CUT = np.uint64(24)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as one compressed Arrow stream."""
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], [str(i) for i in range(len(arrays))])
+    """Arrays of one length as one Arrow stream; whole numbers are cut to the bytes that their largest value needs, up to eight."""
+    batch = pa.RecordBatch.from_arrays([pa.array(_narrow(x)) for x in arrays], [str(i) for i in range(len(arrays))])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """x in the smallest unsigned type that holds it; nothing here is negative."""
+    if not len(x) or x.dtype.kind != "i":
+        return x
+    return x.astype(np.min_scalar_type(int(x.max())))
+
+
 def pack_sorted(hashes: np.ndarray) -> bytes:
     """Sorted hashes as compressed differences, by byte place, so that the high bytes compress."""
     import zstandard
@@ -92,7 +99,7 @@ class Block:
         self.pairs, self.pair = np.unique(self.before * len(self.vocabulary) + self.token, return_inverse=True)
 
     def counts(self, of: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(of, weights=self.train, minlength=n).astype(np.uint32)
+        return np.bincount(of[self.train], minlength=n)
 
     def shards(self, n: int) -> np.ndarray:
         """The shard of each word of the vocabulary."""
@@ -188,15 +195,15 @@ def _merge_pairs(shards: int):
         back = np.empty(len(order), dtype=np.int64)
         back[order] = total[group]
         for i, block in enumerate(table.column("block").to_pylist()):
-            out.append(("pairs", block, shard, None, pack(back[edge[i] : edge[i + 1]].astype(np.uint32))))
+            out.append(("pairs", block, shard, None, pack(back[edge[i] : edge[i + 1]])))
         h, f = h[new][total > 0], f[new][total > 0]
         total = total[total > 0]
         h, *sums = _sums(h, total, total == 1, total == 2, total > 2)
-        out.append(("context", -1, shard, pack_sorted(h), pack(*(x.astype(np.uint32) for x in sums))))
+        out.append(("context", -1, shard, pack_sorted(h), pack(*sums)))
         word, n = np.unique(f, return_counts=True)
         to = (word % np.uint64(shards)).astype(np.int64)
         for s in np.unique(to):
-            out.append(("follows", -1, int(s), pack_sorted(word[to == s]), pack(n[to == s].astype(np.uint32))))
+            out.append(("follows", -1, int(s), pack_sorted(word[to == s]), pack(n[to == s])))
         out.append(("of counts", -1, shard, None, pack(np.bincount(np.minimum(total, 5), minlength=6)[1:5])))
         return _table(out)
 
@@ -230,7 +237,7 @@ def _merge_words(table: pa.Table) -> pa.Table:
             at = np.minimum(np.searchsorted(f, word >> _CUT), len(f) - 1)
             info[5] = np.where(f[at] == word >> _CUT, n[at], 0)
         for block, asked in asks:
-            out.append(("info", block, shard, None, pack(*info[:, np.searchsorted(word, asked)].astype(np.uint32))))
+            out.append(("info", block, shard, None, pack(*info[:, np.searchsorted(word, asked)])))
         known = info[5][info[5] > 0]
         out.append(("totals", -1, shard, None, pack(np.array([count.sum(), (count > 0).sum(), known.sum(), len(known), *np.bincount(np.minimum(known, 5), minlength=6)[1:5]], dtype=np.int64))))
     return _table(out)
@@ -290,18 +297,19 @@ def _score_block(shards: int, total: dict):
                 "n_known": per(c[b.token] > 0).astype(np.int64),
                 "train_tokens": np.full(texts, n, dtype=np.int64),
                 "base_score": per(base[b.token]),
-                "score": per(np.log10(p)[b.pair]),
+                "score": (logs := per(np.log10(p)[b.pair])),
+                "perplexity": 10.0 ** np.minimum(-logs / np.maximum(np.bincount(b.text, minlength=texts), 1), 300),
             }
         )
 
     return run
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of docs (doc_id, text).
 
     perplexity is 10 ** (-score / n_tokens).
     """
