@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from tapeworks.functions.ewm import ewm
 from tapeworks.functions.indicators import candle_pattern, indicator_series
 from tapeworks.operators import bars as B
-from tapeworks.operators import journal, oi, replay, signal
+from tapeworks.operators import enrich, journal, oi, replay, signal
 from tapeworks.params import Params
 from tapeworks.plans.queries import oracles, registered
 from tapeworks.streaming import jobs
 from tests.conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ORACLED = ("ticks_to_bars", "resample_week", "indicator_series", "screener", "trades", "asof_htf", "backtest_summary", "param_weights", "oi_stage", "forward_resolve", "near_month_contract", "scalp_signal", "stream_bars")
+ORACLED = ("ticks_to_bars", "resample_week", "indicator_series", "screener", "trades", "asof_htf", "backtest_summary", "param_weights", "oi_stage", "forward_resolve", "near_month_contract", "scalp_signal", "stream_bars", "join_index_direction", "confidence_by_factor", "param_win_rates", "result_sink")
 
 
 def frame(spark, closes, symbol="A", minutes=60, volume=100):
@@ -131,3 +131,96 @@ def test_stream_in_batches_equals_batch(spark, tmp_path):
 
     want = B.ticks_to_bars(ticks(spark, DATA), "60minute")
     assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+# rules by hand-computed rows
+
+
+def test_index_and_sectors_lean_by_votes_not_by_the_last_change(spark):
+    up = 50 + 0.02 * np.arange(80) ** 2 + 0.3 * (np.arange(80) % 2)
+    up[-1] = up[-2] - 0.1  # rises ever faster, and falls in the last bar
+    bars = frame(spark, up, "IDX").unionByName(frame(spark, 300 - up, "DOWN")).unionByName(frame(spark, walk(20), "SHORT"))
+    p = Params()
+    assert enrich.index_direction(bars.where("symbol = 'IDX'"), p).first().index_direction == "Bullish"
+    assert enrich.index_direction(bars.where("symbol = 'SHORT'"), p).first().index_direction is None
+    m = spark.createDataFrame([("A", "IDX"), ("B", "DOWN"), ("C", "SHORT"), ("D", "OTHER")], "symbol string, sector string")
+    got = {r.sector: r.sector_direction for r in enrich.sector_directions(bars, m.where("symbol <> 'D'").select("symbol"), m, p).collect()}
+    assert got == {"IDX": "Bullish", "DOWN": "Bearish", "SHORT": None}
+
+
+def test_positional_needs_the_index_only_if_required(spark):
+    rows = spark.sql("select 'Bullish' direction, 3 aligned, 'Long Buildup' structure, false in_opening_window, false index_agrees")
+    assert enrich.positional_qualified(rows, Params()).first().positional_qualified
+    assert not enrich.positional_qualified(rows, Params(require_index=True)).first().positional_qualified
+
+
+def test_higher_timeframe_takes_its_own_spans(spark):
+    assert Params(timeframe="15minute").macd_spans() == (3, 8, 9)
+    b = frame(spark, walk(2600, 5), minutes=15)
+    from dataclasses import replace as with_
+
+    four = B.resample(b, "4hour")
+    p = Params(timeframe="15minute")
+    want = {r.ts: r.align for r in indicator_series(four, with_(p, timeframe="4hour")).select("ts", "align").collect()}
+    times = sorted(want)
+    got = {r.bucket: r.htf_direction for r in replay.htf_buckets(b, "15minute", p).collect()}
+    for before, now in zip(times, times[1:]):
+        assert got[now] == (None if want[before] is None else "Bullish" if want[before] >= 2 else "Bearish")
+
+
+def test_win_rates_have_one_place_and_weights_read_ten_bars(spark):
+    t = spark.createDataFrame([("Bullish", True, {5: 1.0}), ("Bullish", True, {5: -1.0}), ("Bullish", True, {5: 2.0})], "direction string, vol_confirmed boolean, returns map<int,double>")
+    assert {r.win_rate for r in replay.horizon_stats(t).collect()} == {66.7}
+    b = frame(spark, walk(300, 9))
+    p = Params()
+    series = indicator_series(b, p).where("error is null")
+    trades = replay.trades(replay.nofm_signal(series, ("rsi_cross",), 1, p, "60minute"), p)
+    r10 = [r.returns[10] for r in trades.collect() if 10 in r.returns]
+    got = {r.param: r for r in replay.param_win_rates(b, "60minute", p).collect()}
+    assert got["rsi_cross"].trades == len(r10) and got["rsi_cross"].win_rate == round(sum(x > 0 for x in r10) / len(r10) * 100, 1)
+
+
+def test_first_and_turned_labels_are_events_and_stage_is_new_or_null(spark):
+    def samples(values):
+        times = pd.date_range("2024-01-02 10:00", periods=len(values), freq="30min")
+        return spark.createDataFrame(pd.DataFrame({"symbol": "A", "ts": times, "oi": values, "close": np.linspace(100, 110, len(values))}), "symbol string, ts timestamp_ntz, oi double, close double")
+
+    got = oi.oi_state(samples([100.0, 100.0, 103.0, 103.0, 103.0, 80.0])).orderBy("ts").collect()
+    assert [r.accel_label for r in got] == [None, None, "Strong acceleration", "Possible exit/unwinding", "Stable", "Possible exit/unwinding"]
+    assert [r.accel_event for r in got] == [False, False, True, False, False, False]
+    assert [r.structure for r in got] == ["Neutral", "Neutral", "Long Buildup", "Long Buildup", "Long Buildup", "Short Covering"]
+    assert [r.stage for r in got] == [None, None, "New", None, None, "New"]
+
+
+def test_journal_returns_from_the_raw_close_and_averages_to_three_places(spark):
+    b = frame(spark, [10.0, 30.0, 31.0, 31.12345, 33.0])
+    t = spark.sql("select 'x' id, 'A' symbol, '60minute' timeframe, 'Bullish' direction, 2 horizon_bars, 0D cost_pct, 0D slippage_pct, timestamp_ntz '2024-01-01 00:00:00' signal_time")
+    r = journal.forward_resolve(t, b).first()
+    assert (r.entry_price, r.exit_price, r.return_pct, r.win) == (30.0, 31.12, round((31.12345 - 30) / 30 * 100, 3), True) and r.mae == round((29 - 30) / 30 * 100, 3)
+    j = spark.createDataFrame([(1.0,), (2.0,), (2.0,)], "return_pct double").withColumns({"status": F.lit("resolved"), "direction": F.lit("Bullish"), "aligned": F.lit(3), **{f: F.lit(f == "htf_agrees") for f in journal.FACTORS}})
+    assert journal.FACTORS == ("signal_confirmed", "sector_agrees", "breadth_agrees", "candle_agrees", "flow_agrees", "htf_agrees")
+    assert {(r.factor, r.value, r.low_sample, r.avg_return) for r in journal.confidence_by_factor(j).collect()} == {(f, f == "htf_agrees", True, 1.667) for f in journal.FACTORS}
+    assert journal.forward_resolve(t, b.where("false")).first().status == "open" and journal.forward_resolve(t.where("false"), b).count() == 0
+    assert journal.export_rows(journal.forward_resolve(t.withColumn("logged_at", F.col("signal_time")), b)).columns == list(journal.EXPORTED)
+
+
+def test_weights_are_stored_and_even_where_none_are(spark, tmp_path):
+    assert replay.load_weights(spark, str(tmp_path / "none")).count() == 0
+    for w in (0.1, 0.4):
+        replay.store_weights(spark.createDataFrame([("rsi_cross", w)], "param string, weight double"), str(tmp_path / "w"))
+    assert [tuple(r) for r in replay.load_weights(spark, str(tmp_path / "w")).collect()] == [("rsi_cross", 0.4)]
+
+
+def test_oi_stream_goes_on_after_a_restart(spark, tmp_path):
+    from tapeworks.sources.market import oi_samples
+
+    own = oi_samples(spark, DATA).cache()
+    edge = own.agg(F.percentile_approx(F.unix_seconds(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    late = F.unix_seconds(F.col("ts").cast("timestamp")) > edge
+    stream = lambda: spark.readStream.schema(own.schema).parquet(str(tmp_path / "in"))
+    for part in (~late, late):
+        own.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.stream_oi_state(stream(), str(tmp_path / "past"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    cols = ["symbol", "ts", "accel_label", "structure", "stage", "accel_event", "oi_day_chg"]
+    got, want = jobs.latest(spark, str(tmp_path / "out"), "symbol", "ts").select(cols), oi.oi_state(own).select(cols)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
