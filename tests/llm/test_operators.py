@@ -236,6 +236,39 @@ def test_repeated_passages_go_and_the_rest_stays(spark):
     assert substrings.op6_line_hashes(d.where("false")).count() == 0
 
 
+def test_repeats_equal_brute_force(spark, docs, texts, monkeypatch):
+    """Units by their words instead of hashes, the earliest of each kept; in one block and in blocks of a text each."""
+    rng = random.Random(77)
+    line = " ".join(f"common{i}" for i in range(12))
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(70))
+    rows = [(r, t) for r, t in enumerate(texts)] + [(100 + i, f"{sentence(rng, 20)}\n{line}\n{sentence(rng, 15)} {passage if i % 3 == 0 else ''} {sentence(rng, 9)}") for i in range(40)] + [(None, line), (7, line), (7, line)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    distinct = sorted({(2**63 - 1 if i is None else i, zlib.crc32((t or "").encode()), t or "") for i, t in rows})
+    seen, want = set(), {}
+    for i, crc, t in distinct:
+        gone = np.zeros(len(t.encode()), dtype=bool)
+        raw = t.encode()
+        own = substrings.units(pa.array([t]))
+        kinds = [tuple(raw[a:b].lower().split()) for a, b in zip(own[1], own[2])]
+        whole_line = {(a, b) for a, b in zip(own[1].tolist(), own[2].tolist())}
+        assert len(whole_line) <= len(kinds)
+        for key, h1, h2, a, b in zip(kinds, own[3].tolist(), own[4].tolist(), own[1], own[2]):
+            unit = (key, h1, h2 >> 32)
+            if unit in seen:
+                gone[a:b] = True
+            seen.add(unit)
+        want[i, t] = gone
+    for size in (2_000_000, 1):
+        monkeypatch.setattr(substrings, "BLOCK_BYTES", size)
+        for r in substrings.dedupe(d.withColumn("before", F.col("text"))).collect():
+            t = r.before or ""
+            gone = want[2**63 - 1 if r.doc_id is None else r.doc_id, t]
+            char = np.cumsum((np.frombuffer(t.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1 if t else np.zeros(0, int)
+            cut = {int(c) for c in char[gone]}
+            spans = {k for a, b in ((x["start"], x["end"]) for x in r.removed) for k in range(a, b)}
+            assert cut <= spans and all(t[k].isspace() for k in spans - cut) and r.text == "".join(c for k, c in enumerate(t) if k not in spans)
+
+
 def test_units_hash_alike_wherever_they_stand():
     rng = random.Random(2)
     passage = " ".join(f"{rng.choice(WORDS)}{rng.randrange(99)}" for _ in range(90))
@@ -275,7 +308,7 @@ def test_pii_equals_brute_force(spark):
 
 
 def test_quality_counts(spark, docs, texts):
-    for r in quality.op8_compression_bands(docs).collect():
+    for r in quality.rules(docs.select("doc_id", "text")).collect():
         t = texts[r.doc_id] or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -285,10 +318,41 @@ def test_quality_counts(spark, docs, texts):
         assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)))
         assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
-    noise = "".join(chr(33 + random.Random(1).randrange(90)) for _ in range(1)) + " ".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(200))
-    same = spark.createDataFrame([(1, noise), (2, "the quick brown fox jumps over it again " * 80 + sentence(random.Random(1), 60))], "doc_id long, text string")
-    assert {r.doc_id: r.kept for r in quality.op8_compression_bands(same).collect()}[2] is False
-    assert quality.op8_compression_bands(empty(docs)).count() == 0
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    assert quality.op8_compression_bands(docs, labels).count() == len(texts)
+    assert quality.op8_compression_bands(empty(docs), labels).count() == 0
+
+
+def test_quality_bands_equal_brute_force(spark):
+    import zstandard
+
+    rng = random.Random(14)
+    fresh = [f"{rng.choice(WORDS)}{rng.randrange(4000)}" for _ in range(6000)]
+    few = [f"{w}###" for w in WORDS]
+    rows, labels = [], []
+    for i in range(500):
+        good = i % 5 != 0
+        n = int(rng.lognormvariate(5.3, 0.7)) + 60
+        rows.append((i, " ".join(rng.choice(fresh if good else few) for _ in range(n))))
+        labels.append((i, int(good), 0))
+    noise = " ".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(300))
+    mixed = " ".join(rng.choice(fresh) for _ in range(1500)) + " " + " ".join(rng.choice(few) + str(rng.randrange(3)) for _ in range(1500))
+    rows += [(900, noise), (901, mixed), (902, None), (903, "")]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    bands = quality.fit_bands(d, lab)
+    assert bands != quality.DEFAULT and quality.fit_bands(d, lab.where("false")) == quality.DEFAULT
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    usual = lambda size: float(np.interp(math.log2(size), bands.knots, bands.usual))
+    got = {r.doc_id: r for r in quality.op8_compression_bands(d, lab).collect()}
+    for i, t in rows:
+        raw = (t or "").encode()
+        chunks = [raw[k : k + quality.CHUNK_BYTES] for k in range(0, len(raw), quality.CHUNK_BYTES)]
+        parts = [len(c) / len(compress(c)) / usual(len(c)) for c in chunks if len(c) >= quality.CHUNK_BYTES // 2]
+        whole = not raw or math.log2(len(raw)) > bands.longest or bands.whole[0] <= len(raw) / len(compress(raw)) / usual(len(raw)) <= bands.whole[1]
+        assert got[i].kept == (not got[i].base_failed and whole and all(bands.chunk[0] <= x <= bands.chunk[1] for x in parts)), i
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 == 0 and not got[i].base_failed]
+    assert all(got[i].kept for i in held if i % 5) and not any(got[i].kept for i in held if i % 5 == 0)
+    assert not got[900].kept and not got[901].kept
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -447,3 +511,22 @@ def test_every_shared_passage_holds_a_unit_wherever_it_stands():
             a = substrings.units(pa.array([f"{fresh(rng.randrange(30))} {' '.join(passage)} {fresh(rng.randrange(30))}"]))
             b = substrings.units(pa.array(["other", f"{fresh(rng.randrange(30))} {wrapped} {fresh(rng.randrange(30))}"]))
             assert set(zip(a[3], a[4])) & set(zip(b[3], b[4])), passage
+
+
+def test_added_personal_data_needs_checks_and_context(spark):
+    dni = lambda n: f"{n}{'TRWAGMYFPDXBNJZSQVHLCKE'[n % 23]}"
+    cases = {
+        "iban GB82 WEST 1234 5698 7654 32 ok": ["iban"], "iban GB83 WEST 1234 5698 7654 32 bad": [], "ssn 219-09-9999": ["ssn"], "part 219-09-9999": [], "ssn 000-12-3456": [],
+        f"DNI {dni(12345678)}": ["dni"], f"x {dni(12345678)[:-1]}A": [], "mac 00:1A:2b:3c:4d:5e.": ["mac"], "00:00:00:00:00:00": [], "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334": ["ipv6"],
+        "routing 021000021": ["route"], "number 021000021": [], "routing 021000022": [], 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"': ["secret"], 'commit "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"': [], "token aaaaaaaaaaaaaaaaaaaaaaaaaaaa": [],
+    }
+    d = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").withColumn("__gaps_email", F.lit(1))
+    found = pii.find(d)
+    assert "__gaps_email" in found.columns
+    for r in found.collect():
+        assert [x.kind for x in r.pii] == cases[r.text], r.text
+        assert all(0 < x.score <= 1 for x in r.pii)
+    many = "é " + " ".join(f"a{i}@b.com +4912345678{i % 10}" for i in range(3000)) + " end"
+    r = pii.redact(pii.find(spark.createDataFrame([(1, many)], "doc_id long, text string"))).first()
+    assert r.text == "é " + " ".join("[EMAIL] [PHONE]" for _ in range(3000)) + " end"
+    assert pii.redact(pii.find(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))).count() == 2

@@ -61,3 +61,55 @@ def test_one_document_of_each_class_stays_with_null_and_repeated_ids(spark):
         got = cp.drop_near_copies(spark, docs.repartition(n), "")
         assert got.columns == docs.columns
         assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(3, b), (5, a), (0, c), (7, d), (7, e)])
+
+
+def test_stages_equal_brute_force(spark, planted):
+    """Each stage on what the one before has kept, against plain Python."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tapeworks.llm import toxicity
+    from tests.llm.test_operators import base_spans, words
+
+    docs = spark.read.parquet(f"{planted}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{planted}/labels.parquet"))
+    clean = cp.drop_toxic(spark, docs, planted)
+    import pyarrow as pa
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    scores = dict(zip(texts, model.score(pa.array(list(texts.values()), pa.string()))))
+    assert {r.doc_id for r in clean.collect()} == {i for i, x in scores.items() if x < 0.5}
+    single = cp.drop_near_copies(spark, clean, planted)
+    own = {r.doc_id: r.text for r in clean.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in ((i, words(t)) for i, t in own.items())}
+    link = {i: {j for j in own if own[j] == own[i] or (sets[j] != {()} and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))} for i in own}
+    stay, seen = set(), set()
+    for i in sorted(own):
+        if i not in seen:
+            stay.add(i)
+            reach, todo = {i}, [i]
+            while todo:
+                todo += (new := link[todo.pop()] - reach)
+                reach |= new
+            seen |= reach
+    assert {r.doc_id for r in single.collect()} == stay
+    hidden = {r.doc_id: r.text for r in cp.redact(spark, single, planted).collect()}
+    for r in single.collect():
+        t, at = r.text or "", 0
+        spans = sorted((int(x.split(":")[1]), int(x.split(":")[2]), x.split(":")[0]) for x in base_spans(r.text))
+        out = ""
+        for a, b, k in spans:
+            if a >= at:
+                out += t[at:a] + f"[{k.upper()}]"
+            at = max(at, b)
+        assert (hidden[r.doc_id] or "") == out + t[at:]
+    pieces = cp.pack(spark, single, planted).toPandas()
+    tok = Tokenizer.from_file(public_tokenizers.path(cp.TOKENIZER))
+    for r in single.collect():
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        for x in pieces[pieces.doc_id == r.doc_id].itertuples():
+            assert x.ids_crc32 == zlib.crc32(ids[x.start : x.start + x.length].tobytes())
+        assert pieces[pieces.doc_id == r.doc_id].length.sum() == len(ids)
