@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import cut
+from tapeworks.llm.shared import cut, small_batches
 from tapeworks.llm.words import gather, split_words
 
 FOLDS, HELD = 7, 2
@@ -123,7 +123,7 @@ def make_blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
                 stream.write_batch(block)
             yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=9).compress(sink.getvalue())], pa.binary())], ["docs"])
 
-    return own.mapInArrow(run, "docs binary").withColumn("block", F.monotonically_increasing_id())
+    return small_batches(own).mapInArrow(run, "docs binary").withColumn("block", F.monotonically_increasing_id())
 
 
 def _asks(shards: int, pairs: bool):

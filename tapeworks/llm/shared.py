@@ -15,6 +15,19 @@ def use_shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of an Arrow batch; ten times as many are Spark's default, which texts make far larger than a worker should hold.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, once its session's Arrow batches are no longer than BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once: a table written to the shared folder, where lost executors don't matter, and read again.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import free_name
+from tapeworks.llm.shared import free_name, small_batches
 from tapeworks.llm.words import gather, mix, replace_columns, split_words
 
 LINE_WORDS, WINDOW, PASSAGE_WORDS = 8, 11, 20
@@ -175,7 +175,7 @@ def _cut(texts: pa.Array, spans: pa.Array) -> list:
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, crc, spans): byte spans to remove from the text of each document that has some."""
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.crc32(F.col(text).cast("binary")).alias("crc"), F.col(text).alias("t"))
-    rows = own.where(F.length("t") > 0).mapInArrow(_first_in_block, "doc long, h1 long, rest long, span long").repartition("h1")
+    rows = small_batches(own).where(F.length("t") > 0).mapInArrow(_first_in_block, "doc long, h1 long, rest long, span long").repartition("h1")
     low = 2**32 - 1
     rows = rows.select("doc", "h1", F.shiftrightunsigned("rest", 32).alias("h2"), F.col("rest").bitwiseAND(F.lit(low)).alias("crc"), F.shiftright(F.col("span").bitwiseAND(F.lit(2**63 - 1)), 32).cast("int").alias("at"), F.col("span").bitwiseAND(F.lit(low)).cast("int").alias("to"), (F.col("span") < 0).alias("known"))
     order = Window.partitionBy("h1", "h2").orderBy("doc", "crc", "at")

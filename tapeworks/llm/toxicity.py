@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import cut, drop_cut
+from tapeworks.llm.shared import cut, drop_cut, small_batches
 from tapeworks.llm.words import _LOWER, _SPACE, append_columns, slices
 
 #: Labelled documents of each class that are learnt from at most.
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # max_docs rows of each class at most
     sample = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     sample = sample.select("text", "toxic", (F.crc32(F.concat(F.lit("aside"), F.col("doc_id").cast("string")).cast("binary")) % ASIDE == 0).alias("aside"))
-    sample = cut(sample.repartition(PARTS))
+    sample = cut(small_batches(sample).repartition(PARTS))
     symbol = alphabet(sum((np.frombuffer(r.n, np.int64) for r in sample.select("text").mapInArrow(_byte_counts, "n binary").collect()), np.zeros(256, dtype=np.int64)))
     counts = sample.where("not aside").select("text", "toxic").mapInArrow(_gram_counts(symbol), "toxic int, grams binary, n binary")
     got = counts.repartition(1).mapInArrow(_add_counts, "ratio binary").collect()

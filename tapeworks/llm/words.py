@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from tapeworks.llm.shared import small_batches
+
 _RNG = np.random.default_rng(20240229)
 _VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -202,7 +204,7 @@ def replace_columns(df, text: str, fields: dict[str, str], work, setup=None, lim
                 del got, made
         pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *new]))
+    return small_batches(df).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *new]))
 
 
 def append_columns(df, text: str, fields: dict[str, str], work, setup=None, limit: int = SLICE_BYTES):
