@@ -5,7 +5,8 @@ the split pattern is encoded on its own; a task keeps the ids of the pieces it h
 piece once.  Decoding reverses the byte table; a token that holds part of a character gives bytes that only complete
 with its neighbours, so decoding returns bytes, and text only through ``errors="replace"``.
 
-Nulls and empty texts have no ids; ids that the vocabulary lacks raise an error on decoding.
+Nulls and empty texts have no ids; ids that the vocabulary lacks raise an error on decoding.  A very long text is a
+slice of its own, whose pieces a worker holds at once; repeated rows and rows without an id are encoded each for itself.
 """
 
 from __future__ import annotations
