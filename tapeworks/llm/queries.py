@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import bpe, kneserney, licenses, neardup, packing, pii, quality, substrings, topk, toxicity
+from tapeworks.llm import audit, bpe, kneserney, licenses, neardup, packing, pii, quality, resampling, simhash, substrings, topk, toxicity
 from tapeworks.llm.shared import table
 
 
@@ -34,8 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_compression_bands": lambda s, d: quality.op8_compression_bands(table(s, d, "documents"), table(s, d, "labels")),
         "op9_toxicity": lambda s, d: toxicity.op9_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op10_license_rules": lambda s, d: licenses.op10_license_rules(table(s, d, "documents")),
+        "op11_importance_resampling": lambda s, d: resampling.op11_importance_resampling(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op12_filter_audit": lambda s, d: audit.op12_filter_audit(table(s, d, "documents"), table(s, d, "labels")),
+        "op13_simhash_anchors": lambda s, d: simhash.op13_simhash_anchors(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": topk.ORACLE_SQL}
+    return {"op1_pivot_topk": topk.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL, "op12_filter_audit": audit.ORACLE_SQL}

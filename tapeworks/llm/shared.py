@@ -32,13 +32,20 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once: a table written to the shared folder, where lost executors don't matter, and read again.
 
     A table also has sizes that Spark knows, while a checkpoint keeps the estimates of its plan, which joins multiply.
-    The table stays until it is dropped or the folder is cleared.
+    The table stays until it is dropped or the application ends, as results may still read it.
     """
     path = f"{use_shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def cut_counted(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
     """As cut, with aggregates (named columns) over df's rows that the same job finds."""
     seen = Observation()
