@@ -10,13 +10,14 @@ fewer than WINDOW before, fewer than 2 * WINDOW after.  Words are lower-cased an
 
 Digests (96 bits) are grouped globally; the occurrence that ranks earliest (by id, then position) is kept and the others
 are removed.  Within a block of documents only the first occurrence of a digest leaves for the global grouping: later
-ones are known to be repeats.  A task also remembers the digests that a block has held ``OFTEN`` times, and lets go of a
-later block's occurrence only if it ranks before; so a line that stands in a third of all documents arrives about once
-for each task.
+ones are known to be repeats.  A task also remembers the digests that a block has held ``OFTEN`` times or that the block
+before held as well, and lets go of a later block's occurrence only if it ranks before; so a line that stands in a third of all
+documents, or in a few of each block, arrives about once or twice for each task.
 
 Removed spans are given as code points of the original text, merged where they touch or overlap; the text that stays
-keeps everything else.  Null texts are empty.  A document whose id is null ranks last; documents of one id rank by a
-checksum of their text, and rows with the same id and text are one document, which is cut alike in each of them.
+keeps everything else.  Null texts are empty.  A document whose id is null ranks last.  Texts without an id, and those of
+an id that several rows have, are told apart and ranked by a digest of 128 bits, so rows with the same id and text are one document,
+which is cut alike in each of them.  Very long texts are blocks of their own; no rows give none.
 """
 
 from __future__ import annotations
@@ -109,21 +110,28 @@ def units(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return text, w.start[first] - at, w.end[end - 1] - at, h1.view(np.int64), h2.view(np.int64)
 
 
+def _ties(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each digest, in the order of the digests; 0 for those that are empty."""
+    both = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in column.to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def _first_in_block(batches):
-    """Rows (doc, h1, rest, span) from rows (doc, crc, t): rest holds 32 bits of the second hash, then crc; span holds at, then to.
+    """Rows (doc, tie, h1, h2, span) from rows (doc, tie, t): h2 holds 32 bits of the second hash, span holds at, then to.
 
     span is negative if an occurrence of the digest is known that ranks before; such a row's digest is made up, as it
-    needs no more grouping and all rows of a common digest would meet.  Four numbers keep the shuffled rows small.
+    needs no more grouping and all rows of a common digest would meet.  Most rows have no tie, so that shuffled rows are small.
     """
-    earliest: dict[tuple[int, int], tuple[int, int, int]] = {}
+    earliest: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    before = np.zeros(0, dtype=np.int64)  # first hashes of the block before
     for block in gather(batches, "t", BLOCK_BYTES):
-        ids, crc = (block.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "crc"))
-        rank = np.lexsort((crc, ids))
-        ids, crc = ids[rank], crc[rank]
+        ids, (tie1, tie2) = block.column("doc").to_numpy(), _ties(block.column("tie"))
+        rank = np.lexsort((tie2, tie1, ids))
+        ids, tie1, tie2, ties = ids[rank], tie1[rank], tie2[rank], block.column("tie").take(pa.array(rank))
         which, at, to, h1, h2 = units(block.column("t").take(pa.array(rank)))
         if not len(which):
             continue
-        doc, crc = ids[which], crc[which]
+        doc, tie1, tie2 = ids[which], tie1[which], tie2[which]
         h2 = h2.view(np.uint64) >> np.uint64(32)
         order = np.lexsort((h2, h1))  # stable, so by rank within a digest
         a, b = h1[order], h2[order]
@@ -132,20 +140,21 @@ def _first_in_block(batches):
         starts = np.flatnonzero(new)
         first = order[starts[np.cumsum(new) - 1]]
         known = np.zeros(len(a), dtype=bool)
-        known[order] = (doc[order] != doc[first]) | (crc[order] != crc[first]) | (at[order] != at[first])
-        often = np.diff(np.append(starts, len(a))) >= OFTEN
+        known[order] = (doc[order] != doc[first]) | (tie1[order] != tie1[first]) | (tie2[order] != tie2[first]) | (at[order] != at[first])
+        often = (np.diff(np.append(starts, len(a))) >= OFTEN) | np.isin(a[starts], before)
+        before = a[starts]
         if earliest:
             often |= np.isin(a[starts], np.fromiter((k[0] for k in earliest), np.int64, len(earliest)))
         for i in order[starts[often]].tolist():
-            key, own = (int(h1[i]), int(h2[i])), (int(doc[i]), int(crc[i]), int(at[i]))
+            key, own = (int(h1[i]), int(h2[i])), (int(doc[i]), int(tie1[i]), int(tie2[i]), int(at[i]))
             if key in earliest and earliest[key] < own:
                 known[i] = True
             elif key in earliest or len(earliest) < REMEMBERED:
                 earliest[key] = own
-        own = mix(doc.view(np.uint64) ^ mix(at.view(np.uint64) + crc.view(np.uint64) * _BASE2)).view(np.int64)
-        rest = (h2 << np.uint64(32) | crc.view(np.uint64)).view(np.int64)
+        own = mix(doc.view(np.uint64) ^ mix(at.view(np.uint64) + tie1 * _BASE2)).view(np.int64)
         span = (at << 32 | to) | np.where(known, _KNOWN, 0)
-        out = pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, np.where(known, own, h1), rest, span)], ["doc", "h1", "rest", "span"])
+        columns = [pa.array(doc), ties.take(pa.array(which)), *(pa.array(x) for x in (np.where(known, own, h1), h2.view(np.int64), span))]
+        out = pa.RecordBatch.from_arrays(columns, ["doc", "tie", "h1", "h2", "span"])
         for i in range(0, out.num_rows, 20_000):
             yield out.slice(i, 20_000)
 
@@ -172,15 +181,27 @@ def _cut(texts: pa.Array, spans: pa.Array) -> list:
     return [merged_out, kept_out]
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, crc, spans): byte spans to remove from the text of each document that has some."""
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.crc32(F.col(text).cast("binary")).alias("crc"), F.col(text).alias("t"))
-    rows = small_batches(own).where(F.length("t") > 0).mapInArrow(_first_in_block, "doc long, h1 long, rest long, span long").repartition("h1")
-    low = 2**32 - 1
-    rows = rows.select("doc", "h1", F.shiftrightunsigned("rest", 32).alias("h2"), F.col("rest").bitwiseAND(F.lit(low)).alias("crc"), F.shiftright(F.col("span").bitwiseAND(F.lit(2**63 - 1)), 32).cast("int").alias("at"), F.col("span").bitwiseAND(F.lit(low)).cast("int").alias("to"), (F.col("span") < 0).alias("known"))
-    order = Window.partitionBy("h1", "h2").orderBy("doc", "crc", "at")
+def _keyed(docs: DataFrame, doc_id: str, text: str, doc: str, tie: str) -> DataFrame:
+    """docs with columns doc (the id; those without one rank last) and tie: a digest of the text where the id doesn't name one row."""
+    own = docs.withColumn(doc, F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)))
+    shared = own.groupBy(doc).agg(F.count(F.lit(1)).alias(tie)).where(F.col(tie) > 1)
+    if shared.isEmpty():  # each row has an id of its own, as documents should
+        return own.withColumn(tie, F.lit(b""))
+    (mark,) = free_name(own, "__mark")
+    shared = shared.select(F.col(doc).bitwiseXOR(F.lit(0).cast("long")).alias(doc), F.lit(True).alias(mark))  # a new key: the join can split a hot one
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return own.join(shared, doc, "left").withColumn(tie, F.when(F.col(mark), digest).otherwise(F.lit(b""))).drop(mark)
+
+
+def repeats(keyed: DataFrame, doc: str, tie: str, text: str = "text") -> DataFrame:
+    """(doc, tie, spans): byte spans to remove from the text of each document that has some."""
+    own = keyed.select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), F.col(text).alias("t"))
+    rows = small_batches(own).where(F.length("t") > 0).mapInArrow(_first_in_block, "doc long, tie binary, h1 long, h2 long, span long").repartition("h1")
+    at = F.shiftright(F.col("span").bitwiseAND(F.lit(2**63 - 1)), 32).cast("int").alias("at")
+    rows = rows.select("doc", "tie", "h1", "h2", at, F.col("span").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("to"), (F.col("span") < 0).alias("known"))
+    order = Window.partitionBy("h1", "h2").orderBy("doc", "tie", "at")
     again = rows.withColumn("rank", F.rank().over(order)).where((F.col("rank") > 1) | F.col("known"))
-    return again.groupBy("doc", "crc").agg(F.collect_list(F.struct("at", "to")).alias("spans"))
+    return again.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "to")).alias("spans"))
 
 
 def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,10 +210,10 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     A column of docs named removed is replaced; other columns stay as they are.
     """
     docs = docs.drop("removed")
-    doc, crc, spans = free_name(docs, "__doc", "__crc", "__spans")
-    found = repeats(docs, doc_id, text).select(F.col("doc").alias(doc), F.col("crc").alias(crc), F.col("spans").alias(spans))
-    keyed = docs.withColumn(doc, F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))).withColumn(crc, F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)))
-    joined = keyed.join(found, [doc, crc], "left").select(*docs.columns, spans)
+    doc, tie, spans = free_name(docs, "__doc", "__tie", "__spans")
+    keyed = _keyed(docs, doc_id, text, doc, tie)
+    found = repeats(keyed, doc, tie, text).select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("spans").alias(spans))
+    joined = keyed.join(found, [doc, tie], "left").select(*docs.columns, spans)
 
     def work(batch: pa.RecordBatch) -> list:
         return _cut(batch.column(text), batch.column(spans))
