@@ -11,7 +11,8 @@ of each class at most (those with the smallest hashes) are learnt from.  Their n
 slice of text at a time; one task adds the counts, and the driver sees five features of each document set aside.
 
 Null and empty texts have a likelihood ratio of 0 and so the score that the classes' shares give.  Rows without an id
-or a label teach nothing; a repeated id is toxic if one of its labels is.  Without labels of both classes the score
+or a label teach nothing; a repeated id is toxic if one of its labels is, and teaches by the least of its texts.  Very long texts
+are counted like others, a text at a time.  Without labels of both classes the score
 is the toxic share (half a document of each class is added to it).  Repeated documents get the same score.
 """
 
@@ -101,7 +102,7 @@ class Model:
         n = np.maximum(np.diff(edge), 1)
         llr = total[edge[1:]] - total[edge[:-1]]
         blank = code % SYMBOLS == 0
-        blank[edge[1:-1] - 1] = True  # a word ends with its text
+        blank[edge[1:][edge[1:] > 0] - 1] = True  # a word ends with its text
         ends = np.flatnonzero(blank)
         word = np.diff(total[ends + 1], prepend=0.0)
         strong = np.concatenate([[0.0], np.cumsum(np.maximum(word - STRONG, 0))])
@@ -205,71 +206,6 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
     return model
 
 
-def score(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -40, 40)))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights by Newton steps; the ridge keeps classes that are parted completely finite."""
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
-    return w
-
-
-def fit(sample: pa.Table, share: float) -> Model:
-    """The model from a table of text, toxic and aside; share: the toxic part of all labelled rows."""
-    prior = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
-    counts = np.zeros(256)
-    for batch in sample.to_batches():
-        for part in slices(batch, "text"):
-            counts += np.bincount(np.frombuffer("".join(t or "" for t in part.column("text").to_pylist()).encode(), dtype=np.uint8), minlength=256)
-    symbol = alphabet(counts)
-    gram = np.zeros((2, SYMBOLS**ORDER), dtype=np.int64)
-    toxic, aside = sample.column("toxic").to_numpy(), sample.column("aside").to_numpy()
-    for c in (0, 1):
-        for batch in sample.filter(pa.array((toxic == c) & ~aside)).to_batches():
-            for part in slices(batch, "text", 4_000_000):
-                gram[c] += np.bincount(codes(part.column("text"), symbol)[0], minlength=SYMBOLS**ORDER)
-    if not gram[0].any() or not gram[1].any():
-        return Model(symbol, np.zeros(SYMBOLS**ORDER, dtype=np.float32), np.eye(FEATURES)[0] * prior)
-    both = (gram[0] + gram[1]).reshape(-1, SYMBOLS).sum(axis=0) + 1.0
-    shared = both / both.sum()
-    model = Model(symbol, kneser_ney(gram[1], shared) - kneser_ney(gram[0], shared), np.zeros(FEATURES))
-    tests = sample.filter(pa.array(aside)) if len(set(toxic[aside])) == 2 else sample
-    x = np.concatenate([model.features(part.column("text")) for b in tests.to_batches() for part in slices(b, "text")])
-    y = tests.column("toxic").to_numpy().astype(float)
-    model.weights = logistic(x, y)
-    model.weights[0] += prior - np.log(max(y.sum(), 1) / max((1 - y).sum(), 1))
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
-    """The model from the labelled documents outside the held-out ones."""
-    own = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    n = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
-    order = F.xxhash64("doc_id")
-    picked = [own.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(max_docs) for c in (0, 1)]
-    ids = F.broadcast(picked[0].unionByName(picked[1]))  # max_docs rows of each class at most
-    sample = docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"])
-    sample = sample.select("text", "toxic", (F.crc32(F.concat(F.lit("aside"), F.col("doc_id").cast("string")).cast("binary")) % ASIDE == 0).alias("aside"))
-
-    def run(batches):
-        batches = list(batches)
-        table = pa.Table.from_batches(batches) if batches else pa.table({"text": pa.array([], pa.string()), "toxic": pa.array([], pa.int32()), "aside": pa.array([], pa.bool_())})
-        m = fit(table, share)
-        yield pa.RecordBatch.from_pydict({"symbol": [m.symbol.tobytes()], "ratio": [m.ratio.tobytes()], "weights": [m.weights.tobytes()]})
-
-    got = sample.repartition(1).mapInArrow(run, "symbol binary, ratio binary, weights binary").collect()
-    if not got:
-        return fit(pa.table({"text": pa.array([], pa.string()), "toxic": pa.array([], pa.int32()), "aside": pa.array([], pa.bool_())}), share)
-    return Model(np.frombuffer(got[0].symbol, np.uint8), np.frombuffer(got[0].ratio, np.float32), np.frombuffer(got[0].weights))
-
-
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with ``score`` (double, 0 to 1) and ``predicted`` (int); columns of docs with these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast((model.symbol, model.ratio, model.weights))  # of fixed size
