@@ -236,37 +236,89 @@ def test_repeated_passages_go_and_the_rest_stays(spark):
     assert substrings.op6_line_hashes(d.where("false")).count() == 0
 
 
+def brute_units(t):
+    """(kind, words), first byte and the byte after the last of each unit, by plain Python; only a word's hash is the operator's."""
+    raw = t.encode()
+    at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    own = [raw[x:y].lower() for x, y in at]
+    distinct = sorted(set(own))
+    value = dict(zip(distinct, substrings.split_words(pa.array([w.decode() for w in distinct], pa.string())).hash.tolist()))
+    h, n = [value[w] for w in own], len(own)
+    line = [i == 0 or b"\n" in raw[at[i - 1][1] : at[i][0]] for i in range(n)]
+    part = [i == 0 or own[i - 1][-1:] in (b".", b"!", b"?") for i in range(n)]
+    for i in range(n - substrings.WINDOW + 1):
+        window = h[i : i + substrings.WINDOW]
+        part[i + max(k for k, x in enumerate(window) if x == min(window))] = True
+    out = set()
+    starts = [i for i in range(n) if line[i]] + [n]
+    out |= {(1, x, y) for x, y in zip(starts, starts[1:]) if y - x >= substrings.LINE_WORDS}
+    for edge in (part, [x or y for x, y in zip(part, line)]):
+        starts = [i for i in range(n) if edge[i]] + [n]
+        for x in starts[:-1]:
+            out |= {(2, x, y) for y in [next((y for y in starts if y >= x + substrings.PASSAGE_WORDS), None)] if y}
+    return [((kind, tuple(own[x:y])), at[x][0], at[y - 1][1]) for kind, x, y in sorted(out, key=lambda u: (u[1], u[2]))]
+
+
+def brute_repeats(rows):
+    """For each (id, text) of rows: which bytes of the text go."""
+    several = {i for i, n in collections.Counter(i for i, _ in rows).items() if n > 1}
+    tie = lambda i, t: hashlib.md5(t.encode()).digest() if i is None or i in several else b""
+    first, want = {}, {}
+    ranked = sorted({(i is None, i or 0, tie(i, t or ""), t or "") for i, t in rows})
+    for none, i, _, t in ranked:
+        gone = np.zeros(len(t.encode()), dtype=bool)
+        mine = {}
+        for unit, x, y in brute_units(t):
+            if unit in first or unit in mine:
+                gone[x:y] |= (first.get(unit) or mine[unit]) != (none, i, t, x)
+            mine.setdefault(unit, (none, i, t, x))
+        first = mine | first
+        want[None if none else i, t] = gone
+    return want
+
+
+def assert_cut(want, before, removed, text):
+    """removed and text are what is left of a text whose bytes in want go, with the blanks between them."""
+    char = np.cumsum((np.frombuffer(before.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1 if before else np.zeros(0, int)
+    cut = {int(c) for c in char[want]}
+    spans = {k for x, y in removed for k in range(x, y)}
+    assert cut <= spans and all(before[k].isspace() for k in spans - cut) and text == "".join(c for k, c in enumerate(before) if k not in spans)
+
+
 def test_repeats_equal_brute_force(spark, docs, texts, monkeypatch):
-    """Units by their words instead of hashes, the earliest of each kept; in one block and in blocks of a text each."""
+    """The earliest occurrence of each unit stays; in one block and in blocks of a text each."""
     rng = random.Random(77)
     line = " ".join(f"common{i}" for i in range(12))
     passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(70))
     rows = [(r, t) for r, t in enumerate(texts)] + [(100 + i, f"{sentence(rng, 20)}\n{line}\n{sentence(rng, 15)} {passage if i % 3 == 0 else ''} {sentence(rng, 9)}") for i in range(40)] + [(None, line), (7, line), (7, line)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    distinct = sorted({(2**63 - 1 if i is None else i, zlib.crc32((t or "").encode()), t or "") for i, t in rows})
-    seen, want = set(), {}
-    for i, crc, t in distinct:
-        gone = np.zeros(len(t.encode()), dtype=bool)
-        raw = t.encode()
-        own = substrings.units(pa.array([t]))
-        kinds = [tuple(raw[a:b].lower().split()) for a, b in zip(own[1], own[2])]
-        whole_line = {(a, b) for a, b in zip(own[1].tolist(), own[2].tolist())}
-        assert len(whole_line) <= len(kinds)
-        for key, h1, h2, a, b in zip(kinds, own[3].tolist(), own[4].tolist(), own[1], own[2]):
-            unit = (key, h1, h2 >> 32)
-            if unit in seen:
-                gone[a:b] = True
-            seen.add(unit)
-        want[i, t] = gone
+    want = brute_repeats(rows)
     for size in (2_000_000, 1):
         monkeypatch.setattr(substrings, "BLOCK_BYTES", size)
         for r in substrings.dedupe(d.withColumn("before", F.col("text"))).collect():
             t = r.before or ""
-            gone = want[2**63 - 1 if r.doc_id is None else r.doc_id, t]
-            char = np.cumsum((np.frombuffer(t.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1 if t else np.zeros(0, int)
-            cut = {int(c) for c in char[gone]}
-            spans = {k for a, b in ((x["start"], x["end"]) for x in r.removed) for k in range(a, b)}
-            assert cut <= spans and all(t[k].isspace() for k in spans - cut) and r.text == "".join(c for k, c in enumerate(t) if k not in spans)
+            assert_cut(want[r.doc_id, t], t, [(x["start"], x["end"]) for x in r.removed], r.text)
+    assert substrings.op6_line_hashes(d.where("false")).count() == 0
+
+
+def test_texts_without_an_id_of_their_own_are_told_apart(spark):
+    """Two texts of one crc32 and different lengths, once without an id and once with the same one; rows of them twice."""
+    line = " ".join(f"shared{i}" for i in range(30))
+    seen = {}
+    for k in range(10**6):
+        t = f"{line}\n{k} " + "tail " * (150 * (k % 2))
+        other = seen.setdefault(zlib.crc32(t.encode()), t)
+        if len(other) != len(t):
+            break
+    assert zlib.crc32(t.encode()) == zlib.crc32(other.encode())
+    for doc in (None, 4):
+        rows = [(1, "words before\n" + line), (doc, t), (doc, other), (doc, t), (doc, "a text of its own")]
+        want = brute_repeats(rows)
+        got = substrings.dedupe(spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("before", F.col("text"))).collect()
+        assert len(got) == 5
+        for r in got:
+            assert_cut(want[r.doc_id, r.before], r.before, [(x["start"], x["end"]) for x in r.removed], r.text)
+            assert line not in r.text or r.doc_id == 1
 
 
 def test_units_hash_alike_wherever_they_stand():
@@ -373,6 +425,53 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.op9_toxicity(d.where("false"), lab).count() == 0
 
 
+def test_toxicity_models_equal_brute_force(spark):
+    """Counts of all tasks against plain counting, and Kneser-Ney probabilities against their definition; the least text of a repeated id."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["you", "Fool", "kind", "été", "x"]) for _ in range(rng.randrange(30)))) for i in range(60)] + [(3, "a twice used id"), (5, None), (None, "no id")]
+    labels = [(i, i % 2, int(i % 3 == 0)) for i in range(60)] + [(6, 1, 0)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(d, lab)
+    toxic = {i: max(t for j, _, t in labels if j == i) for i, _, _ in labels}
+    learnt = {i: min(t for j, t in rows if j == i and t is not None) for i in toxic if zlib.crc32(str(i).encode()) % 5}
+    counts = collections.Counter(b for t in learnt.values() for b in t.encode())
+    assert (model.symbol == toxicity.alphabet(np.array([counts[b] for b in range(256)]))).all()
+    grams = [collections.Counter(), collections.Counter()]
+    for i, t in learnt.items():
+        if zlib.crc32(f"aside{i}".encode()) % toxicity.ASIDE:
+            s = [0] * 3 + [int(model.symbol[b]) for b in t.encode()]
+            grams[toxic[i]].update(tuple(s[k : k + 4]) for k in range(len(s) - 3))
+    both = collections.Counter(g[-1] for c in grams for g in c.elements())
+    total = sum(both.values()) + toxicity.SYMBOLS
+    shared = lambda x: (both[x] + 1) / total
+
+    def levels(c):
+        out = [c]
+        for _ in range(2):
+            out.append(collections.Counter(g[1:] for g in out[-1]))
+        return out
+
+    def p(own, gram):
+        if not own:
+            return shared(gram[-1])
+        c, rest = own[0], own[1:]
+        ones, twos = (sum(n == k for n in c.values()) for k in (1, 2))
+        less = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+        after = [n for g, n in c.items() if g[:-1] == gram[:-1]]
+        lower = p(rest, gram[1:])
+        return (max(c[gram] - less, 0) + less * len(after) * lower) / sum(after) if after else lower
+
+    for gram in rng.sample(sorted(grams[0] | grams[1]), 60) + [(1, 2, 3, 39), (0, 0, 0, 0)]:
+        at = sum(x * toxicity.SYMBOLS ** (3 - k) for k, x in enumerate(gram))
+        want = math.log(p(levels(grams[1]), gram)) - math.log(p(levels(grams[0]), gram))
+        assert model.ratio[at] == pytest.approx(want, abs=1e-4)
+    texts = ["", "fool you", None, "", "kind x été", "Fool fool", ""]
+    alone = np.concatenate([model.score(pa.array([t], pa.string())) for t in texts])
+    assert model.score(pa.array(texts, pa.string())) == pytest.approx(alone, abs=1e-9)
+    again = toxicity.train(d.repartition(2), lab)
+    assert (again.ratio == model.ratio).all() and (again.weights == model.weights).all()
+
+
 def test_licenses(spark, docs, texts):
     own = ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: MIT", "This is CC BY-NC 4.0; all rights reserved.", "GNU General Public License, version 3. general public\nlicense", "summit committed", None]
     d = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(own)], "doc_id long, text string"))

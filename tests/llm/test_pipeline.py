@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.conftest import DATA
@@ -72,7 +73,7 @@ def test_stages_equal_brute_force(spark, planted):
     from tokenizers import Tokenizer
 
     from tapeworks.llm import toxicity
-    from tests.llm.test_operators import base_spans, words
+    from tests.llm.test_operators import base_spans, brute_repeats, words
 
     docs = spark.read.parquet(f"{planted}/documents.parquet")
     model = toxicity.train(docs, spark.read.parquet(f"{planted}/labels.parquet"))
@@ -96,6 +97,16 @@ def test_stages_equal_brute_force(spark, planted):
                 reach |= new
             seen |= reach
     assert {r.doc_id for r in single.collect()} == stay
+    line = "a line of more than eight words that many documents of a corpus share"
+    shared = single.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n" + line))).when(F.col("doc_id") == 7, F.lit(line)).otherwise(F.col("text")))
+    shared = shared.withColumn("n_chars", F.length("text").cast("long"))
+    left = {r.doc_id: r for r in cp.cut_repeats(spark, shared, planted).collect()}
+    for i, gone in brute_repeats([(r.doc_id, r.text) for r in shared.collect()]).items():
+        raw = np.frombuffer(i[1].encode(), np.uint8)
+        if gone.any() and not raw[~gone].tobytes().strip():
+            assert i[0] not in left
+        else:
+            assert left[i[0]].text.split() == raw[~gone].tobytes().decode().split() and left[i[0]].n_chars == len(left[i[0]].text)
     hidden = {r.doc_id: r.text for r in cp.redact(spark, single, planted).collect()}
     for r in single.collect():
         t, at = r.text or "", 0
@@ -113,3 +124,20 @@ def test_stages_equal_brute_force(spark, planted):
         for x in pieces[pieces.doc_id == r.doc_id].itertuples():
             assert x.ids_crc32 == zlib.crc32(ids[x.start : x.start + x.length].tobytes())
         assert pieces[pieces.doc_id == r.doc_id].length.sum() == len(ids)
+
+
+def test_stages_of_empty_tables_nulls_ties_and_very_long_texts(spark, planted):
+    rng = random.Random(4)
+    long = sentence(rng, 60_000)
+    rows = [(1, None), (2, ""), (3, long), (3, long), (None, long), (None, None), (9, "tie"), (10, "tie"), (11, "pad " * 30_000)]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = docs
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.where("false"), planted).count() == 0, name
+        out = stage(spark, kept, planted)
+        if name == "near copies":
+            assert sorted(r.doc_id for r in out.collect()) == [1, 3, 9, 11]
+        if name != "packing":
+            assert out.columns == docs.columns
+            kept = out
+    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {1, 3, 9, 11}
