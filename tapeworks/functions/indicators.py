@@ -6,6 +6,8 @@ Bars hold symbol, timeframe, ts, open, high, low, close and volume.  All windows
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +40,6 @@ def rsi(df: DataFrame, length: int, name: str = "rsi") -> DataFrame:
     return df.withColumn(name, value).drop("__up", "__down", "__gain", "__loss")
 
 
-def macd(df: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
-    df = ewm(df, {"__fast": ("close", span_alpha(fast), 1), "__slow": ("close", span_alpha(slow), 1)})
-    df = ewm(df.withColumn("macd", F.col("__fast") - F.col("__slow")), {"macd_signal": ("macd", span_alpha(signal), 1)})
-    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__fast", "__slow")
-
-
 def bollinger(df: DataFrame, n: int) -> DataFrame:
     std = F.when(F.count("close").over(rolling(n)) == n, F.stddev_samp("close").over(rolling(n)))
     df = df.withColumn("bb_mid", full_mean("close", n)).withColumn("__std", std)
@@ -65,18 +61,6 @@ def atr(df: DataFrame, length: int) -> DataFrame:
     return ewm(df.withColumn("tr", true_range()), {"atr": ("tr", 1 / length, length)})
 
 
-def adx(df: DataFrame, length: int) -> DataFrame:
-    up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
-    df = df.withColumn("__tr", true_range())
-    df = df.withColumn("__plus", F.when(yes((up > down) & (up > 0)), up).otherwise(0.0)).withColumn("__minus", F.when(yes((down > up) & (down > 0)), down).otherwise(0.0))
-    a = 1 / length
-    df = ewm(df, {"__str": ("__tr", a, length), "__sp": ("__plus", a, length), "__sm": ("__minus", a, length)})
-    total = F.nullif("__str", F.lit(0.0))
-    plus, minus = 100 * F.col("__sp") / total, 100 * F.col("__sm") / total
-    df = df.withColumn("__dx", 100 * F.abs(plus - minus) / F.nullif(plus + minus, F.lit(0.0)))
-    return ewm(df, {"adx": ("__dx", a, length)}).drop("__tr", "__plus", "__minus", "__str", "__sp", "__sm", "__dx")
-
-
 def regime(adx: Column) -> Column:
     return F.when(adx >= TRENDING_FROM, "Trending").when(adx <= RANGING_TO, "Ranging").when(adx.isNotNull(), "Transitional")
 
@@ -179,7 +163,7 @@ def least_bars(p: Params) -> int:
     return max(p.bb_length, 35) + 2
 
 
-def means(df: DataFrame, p: Params) -> DataFrame:
+def means(df: DataFrame, p: Params, mean: Callable[[DataFrame, dict], DataFrame] = ewm) -> DataFrame:
     """df with rsi, macd, macd_signal, macd_hist, ema, tr, atr and adx: all first means in one pass, the means of means in a second."""
     fast, slow, signal = p.macd_spans()
     up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
@@ -189,7 +173,7 @@ def means(df: DataFrame, p: Params) -> DataFrame:
         "__plus": F.when(yes((up > down) & (up > 0)), up).otherwise(0.0), "__minus": F.when(yes((down > up) & (down > 0)), down).otherwise(0.0),
     })
     r, t, x = 1 / p.rsi_length, 1 / p.atr_length, 1 / p.adx_length
-    df = ewm(df, {
+    df = mean(df, {
         "__gain": ("__up", r, p.rsi_length), "__loss": ("__down", r, p.rsi_length, "__up"), "__fast": ("close", span_alpha(fast), 1), "__slow": ("close", span_alpha(slow), 1), "ema": ("close", span_alpha(p.ema_length), 1),
         "atr": ("tr", t, p.atr_length, "close"), "__str": ("tr", x, p.adx_length, "close"), "__sp": ("__plus", x, p.adx_length, "close"), "__sm": ("__minus", x, p.adx_length, "close"),
     })
@@ -199,7 +183,7 @@ def means(df: DataFrame, p: Params) -> DataFrame:
         "rsi": 100 - 100 / (1 + F.col("__gain") / F.nullif("__loss", F.lit(0.0))), "macd": F.col("__fast") - F.col("__slow"),
         "__dx": 100 * F.abs(plus - minus) / F.nullif(plus + minus, F.lit(0.0)),
     })
-    df = ewm(df, {"macd_signal": ("macd", span_alpha(signal), 1, "close"), "adx": ("__dx", x, p.adx_length)})
+    df = mean(df, {"macd_signal": ("macd", span_alpha(signal), 1, "close"), "adx": ("__dx", x, p.adx_length)})
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__up", "__down", "__plus", "__minus", "__gain", "__loss", "__fast", "__slow", "__str", "__sp", "__sm", "__dx")
 
 

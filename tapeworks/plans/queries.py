@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.functions import indicators as ind
+from tapeworks.functions.blocks import indicator_series_blocks, mean_of_blocks
 from tapeworks.functions.columns import agrees, yes
 from tapeworks.functions.ewm import ewm, span_alpha
+from tapeworks.functions.tables import own_folder
 from tapeworks.operators import bars as B
 from tapeworks.operators import enrich, journal, lookups, news, oi, replay, scalp, signal
 from tapeworks.params import Params
@@ -134,6 +135,11 @@ for _name, _cols, _doubles in (
 ):
     register(_name, lambda s, d, c=_cols: out(series(s, d), f"symbol ts {c}"), sql(f"symbol ts {_cols}", "h_ind", _doubles))
 register("ewm", lambda s, d: out(ewm(bars(s, d, "60minute"), {"y": ("close", span_alpha(9), 1)}), "symbol ts y"), query(f"SELECT symbol, {ts()}, round(ema, 6) AS y FROM h_ind"))
+#: So short that each symbol has several blocks; users keep the default.
+SHORT_BLOCKS = 200
+register("ewm_blocks", lambda s, d: out(mean_of_blocks(bars(s, d, "60minute"), {"y": ("close", span_alpha(9), 1)}, "60minute", SHORT_BLOCKS), "symbol ts y"), query(f"SELECT symbol, {ts()}, round(ema, 6) AS y FROM h_ind"))
+_SERIES = "close rsi rsi_smooth macd macd_signal ema bb_mid atr adx cmf vwap avwap"
+register("indicator_series_blocks", lambda s, d: out(indicator_series_blocks(bars(s, d, "60minute"), P60, SHORT_BLOCKS), f"symbol ts {_SERIES} align candle_direction anchor"), sql(f"symbol ts {_SERIES} align candle_direction anchor", "h_ind", _SERIES))
 register("macd_params", lambda s, d: out(series(s, d, "15minute"), "symbol ts macd macd_signal"), sql("symbol ts macd macd_signal", "q_ind", "macd macd_signal"))
 register("regime", lambda s, d: series(s, d).groupBy("symbol", ind.regime(F.col("adx")).alias("regime")).agg(F.count("*").alias("n")), query("SELECT symbol, CASE WHEN adx >= 25 THEN 'Trending' WHEN adx <= 18 THEN 'Ranging' WHEN adx IS NOT NULL THEN 'Transitional' END AS regime, count(*) AS n FROM h_ind GROUP BY 1, 2"))
 register("price_change", lambda s, d: out(ind.price_change(bars(s, d, "60minute")), "symbol ts price_change"), query(f"SELECT symbol, {ts()}, round((close - lag(close) OVER w) / nullif(lag(close) OVER w, 0) * 100, 2) AS price_change FROM bars60 WINDOW w AS (PARTITION BY symbol ORDER BY ts)"))
@@ -378,10 +384,7 @@ register("scalp_levels", lambda s, d: scalp.scalp_signal(index3(s, d)).select("s
 
 # streams, run until their input ends
 def _folder(s: SparkSession) -> str:
-    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return own_folder(s, "stream")
 
 
 def streamed_bars(s: SparkSession, d: str) -> DataFrame:
