@@ -116,11 +116,11 @@ def _ties(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _first_in_block(batches):
-    """Rows (doc, tie, h1, h2, span) from rows (doc, tie, t): h2 holds 32 bits of the second hash, span holds at, then to.
+def _first_in_block(batches, tied: bool):
+    """Rows (tie if tied, doc, h1, h2, span) from rows (doc, tie, t): h2 holds 32 bits of the second hash, span holds at, then to.
 
     span is negative if an occurrence of the digest is known that ranks before; such a row's digest is made up, as it
-    needs no more grouping and all rows of a common digest would meet.  Most rows have no tie, so that shuffled rows are small.
+    needs no more grouping and all rows of a common digest would meet.  Four numbers keep the shuffled rows small.
     """
     earliest: dict[tuple[int, int], tuple[int, int, int, int]] = {}
     before = np.zeros(0, dtype=np.int64)  # first hashes of the block before
@@ -153,8 +153,8 @@ def _first_in_block(batches):
                 earliest[key] = own
         own = mix(doc.view(np.uint64) ^ mix(at.view(np.uint64) + tie1 * _BASE2)).view(np.int64)
         span = (at << 32 | to) | np.where(known, _KNOWN, 0)
-        columns = [pa.array(doc), ties.take(pa.array(which)), *(pa.array(x) for x in (np.where(known, own, h1), h2.view(np.int64), span))]
-        out = pa.RecordBatch.from_arrays(columns, ["doc", "tie", "h1", "h2", "span"])
+        columns = {"doc": pa.array(doc), "h1": pa.array(np.where(known, own, h1)), "h2": pa.array(h2.view(np.int64)), "span": pa.array(span)}
+        out = pa.RecordBatch.from_pydict({"tie": ties.take(pa.array(which)), **columns} if tied else columns)
         for i in range(0, out.num_rows, 20_000):
             yield out.slice(i, 20_000)
 
@@ -186,7 +186,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, doc: str, tie: str) -> DataF
     own = docs.withColumn(doc, F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)))
     shared = own.groupBy(doc).agg(F.count(F.lit(1)).alias(tie)).where(F.col(tie) > 1)
     if shared.isEmpty():  # each row has an id of its own, as documents should
-        return own.withColumn(tie, F.lit(b""))
+        return own.withColumn(tie, F.lit(b"").alias(tie, metadata={"none": True}))
     (mark,) = free_name(own, "__mark")
     shared = shared.select(F.col(doc).bitwiseXOR(F.lit(0).cast("long")).alias(doc), F.lit(True).alias(mark))  # a new key: the join can split a hot one
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
@@ -196,7 +196,10 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, doc: str, tie: str) -> DataF
 def repeats(keyed: DataFrame, doc: str, tie: str, text: str = "text") -> DataFrame:
     """(doc, tie, spans): byte spans to remove from the text of each document that has some."""
     own = keyed.select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), F.col(text).alias("t"))
-    rows = small_batches(own).where(F.length("t") > 0).mapInArrow(_first_in_block, "doc long, tie binary, h1 long, h2 long, span long").repartition("h1")
+    tied = not own.schema["tie"].metadata.get("none")
+    schema = f"{'tie binary, ' if tied else ''}doc long, h1 long, h2 long, span long"
+    rows = small_batches(own).where(F.length("t") > 0).mapInArrow(lambda batches: _first_in_block(batches, tied), schema).repartition("h1")
+    rows = rows if tied else rows.withColumn("tie", F.lit(b""))
     at = F.shiftright(F.col("span").bitwiseAND(F.lit(2**63 - 1)), 32).cast("int").alias("at")
     rows = rows.select("doc", "tie", "h1", "h2", at, F.col("span").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("to"), (F.col("span") < 0).alias("known"))
     order = Window.partitionBy("h1", "h2").orderBy("doc", "tie", "at")
