@@ -22,6 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +96,7 @@ class Model:
     symbol: np.ndarray
     ratio: np.ndarray  # log p(toxic) - log p(ordinary) of each 4-gram
     weights: np.ndarray  # of the constant and of the features
+    sent: Broadcast | None = None  # symbol and ratio (compressed), of fixed size, as tasks get them
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """1, the ratio over the length, and the ratio over the length's square root, for each text."""
@@ -165,7 +168,11 @@ def _add_counts(batches):
     for batch in batches:
         for toxic, at, n in zip(*(batch.column(c).to_pylist() for c in ("toxic", "grams", "n"))):
             gram[toxic, np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
-    yield pa.RecordBatch.from_pydict({"ratio": [ratios(gram).tobytes()]})
+    yield pa.RecordBatch.from_pydict({"ratio": [zstandard.compress(ratios(gram).tobytes())]})
+
+
+def _ratio(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
@@ -184,19 +191,19 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
     symbol = alphabet(sum((np.frombuffer(r.n, np.int64) for r in sample.select("text").mapInArrow(_byte_counts, "n binary").collect()), np.zeros(256, dtype=np.int64)))
     counts = sample.where("not aside").select("text", "toxic").mapInArrow(_gram_counts(symbol), "toxic int, grams binary, n binary")
     got = counts.repartition(1).mapInArrow(_add_counts, "ratio binary").collect()
-    model = Model(symbol, np.frombuffer(got[0].ratio, np.float32) if got else np.zeros(SYMBOLS**ORDER, np.float32), np.eye(FEATURES)[0] * prior)
+    packed = got[0].ratio if got else zstandard.compress(bytes(4 * SYMBOLS**ORDER))
+    sent = docs.sparkSession.sparkContext.broadcast((symbol, bytes(packed)))
+    model = Model(symbol, _ratio(packed), np.eye(FEATURES)[0] * prior, sent)
     tests = {r.toxic for r in sample.where("aside").select("toxic").distinct().collect()}
-    sent = docs.sparkSession.sparkContext.broadcast((model.symbol, model.ratio))  # of fixed size
 
     def features(batches):
-        m = Model(*sent.value, np.zeros(FEATURES))
+        m = Model(sent.value[0], _ratio(sent.value[1]), np.zeros(FEATURES))
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(list(m.features(part.column("text"))), pa.list_(pa.float64()))], ["toxic", "x"])
 
     some = sample.where("aside") if len(tests) == 2 else sample
     rows = some.select("text", "toxic").mapInArrow(features, "toxic int, x array<double>").collect() if model.ratio.any() else []
-    sent.destroy()
     drop_cut(sample)
     if rows:
         rows.sort(key=lambda r: (r.toxic, r.x))  # the sums don't depend on which task came first
@@ -208,13 +215,17 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with ``score`` (double, 0 to 1) and ``predicted`` (int); columns of docs with these names are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.symbol, model.ratio, model.weights))  # of fixed size
+    sent, weights = model.sent, model.weights
+
+    def setup() -> Model:
+        symbol, packed = sent.value
+        return Model(symbol, _ratio(packed), weights)
 
-    def work(texts: pa.Array) -> list:
-        got = Model(*sent.value).score(texts)
+    def work(texts: pa.Array, own: Model) -> list:
+        got = own.score(texts)
         return [pa.array(got), pa.array((got >= 0.5).astype(np.int32))]
 
-    return append_columns(docs, text, {"score": "double", "predicted": "int"}, work)
+    return append_columns(docs, text, {"score": "double", "predicted": "int"}, work, setup)
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
