@@ -84,7 +84,7 @@ def join_setup_confidence(rows: DataFrame, setups: DataFrame) -> DataFrame:
 
 
 def join_oi_state(rows: DataFrame, state: DataFrame) -> DataFrame:
-    own = latest_bar(state).select("symbol", "chg_15", "chg_30", "chg_60", "accel_label", "trend_label", "oi_chg_today", "price_chg_today", "structure", "stage", "break_signal")
+    own = latest_bar(state).select("symbol", "chg_15", "chg_30", "chg_60", "accel", "accel_label", "trend_label", "oi_chg_today", "oi_day_chg", "price_chg_today", "structure", "stage", "break_signal")
     return rows.join(own, "symbol", "left")
 
 
@@ -124,9 +124,20 @@ def oi_screener_filter(rows: DataFrame, symbol: str = "", structure: str | None
     return out if least_move is None else out.where(F.col("oi_move_max") >= least_move)
 
 
-def screener_sort(rows: DataFrame, column: str = "oi_chg_today", descending: bool = True) -> DataFrame:
-    c = F.col(column)
-    return rows.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), "symbol")
+#: Columns of the screener's table, whether they are text, and whether they sort downwards at first.
+SORTED = {
+    "symbol": (True, False), "close": (False, False), "price_chg_today": (False, False), "oi": (False, True), "oi_day_chg": (False, True), "chg_15": (False, True), "chg_30": (False, True),
+    "chg_60": (False, True), "accel": (False, True), "trend_label": (True, False), "structure": (True, False), "vol_multiple": (False, False), "direction": (True, False), "param_tier": (False, True),
+}
+
+
+def screener_sort(rows: DataFrame, column: str = "oi_day_chg", descending: bool | None = None) -> DataFrame:
+    """The table by one of its columns, in the column's own direction unless told otherwise; what is missing counts as an empty text, so as the least."""
+    text, down = SORTED[column]
+    value = F.coalesce(column, F.lit("Neutral")) if column == "structure" else F.col(column)
+    keys = [F.lower(value), value] if text else [value]
+    down = down if descending is None else descending
+    return rows.orderBy(*(k.desc_nulls_last() if down else k.asc_nulls_first() for k in keys), *([] if column == "symbol" else ["symbol"]))
 
 
 def screener_tiles(rows: DataFrame) -> DataFrame:
@@ -135,15 +146,60 @@ def screener_tiles(rows: DataFrame) -> DataFrame:
     return rows.agg(*(count(F.col("structure") == k, v) for k, v in kinds.items()), count(yes(F.col("high_conviction")), "high_conviction"), F.count("*").alias("symbols"))
 
 
-def alert_text(rows: DataFrame) -> DataFrame:
-    text = F.format_string("%s %s at %s (%d/4)", "symbol", "direction", F.round("close", 2).cast("string"), F.col("aligned").cast("int"))
-    return rows.withColumn("alert", text)
+def _or(c: str | Column, text: Column) -> Column:
+    """text, or nothing where c is null."""
+    return F.when((F.col(c) if isinstance(c, str) else c).isNotNull(), text).otherwise("")
+
+
+def alert_text(rows: DataFrame, timeframe: str) -> DataFrame:
+    """rows with ``alert``, the message of a fresh signal (null without one)."""
+    c = F.col
+    arrow = F.when(c("fresh_signal") == "Bullish", "\U0001f53a").otherwise("\U0001f53b")
+    volume = F.coalesce(F.concat(F.lit("Vol "), c("vol_multiple").cast("string"), F.lit("x")), F.lit("Vol confirmed"))
+    head = F.concat(arrow, F.lit(" "), "symbol", F.lit(" - "), "fresh_signal", F.lit(f" confluence on {timeframe} (confirmed: "), volume, _or("htf_direction", F.lit(", higher-timeframe trend agrees")), F.lit(")"))
+    state = lambda name, value, side: F.concat(F.lit(f"{name} "), value, F.lit(" ("), side, F.lit(")"))
+    values = [F.concat(F.lit("Close: "), c("close").cast("string")), state("RSI", _text("rsi"), c("rsi_state")), state("MACD", c("macd_params"), c("macd_state"))]
+    values += [F.concat(F.lit("EMA/BB ("), "ema_bb_state", F.lit(")")), F.concat(F.lit("Aligned "), c("aligned").cast("string"), F.lit("/4"))]
+    return rows.withColumn("alert", F.concat(head, F.lit("\n"), F.concat_ws(" | ", *values)))
+
+
+def _signed(c: str, places: int) -> Column:
+    """A number to so many places, which keeps its sign where nothing else is left of it."""
+    shown = F.round(F.round(c, 6), places)  # so that halves go up whatever noise is below a millionth
+    return F.when((shown == 0) & (F.col(c) < 0), F.lit(-0.0)).otherwise(shown)
+
+
+def _text(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+
+
+def oi_alert_text(events: DataFrame, timeframe: str) -> DataFrame:
+    """events (of the open interest's state, with ``direction``) with ``alert``."""
+    c = F.col
+    today = _or("oi_chg_today", F.format_string(", %+.1f%% today", _signed("oi_chg_today", 1)))
+    fast = _or("accel", F.format_string(" - accel %+.2fpp (30m)", _signed("accel", 2)))
+    label = F.coalesce("accel_label", F.lit("Accelerating"))
+    parts = [F.lit("\U0001f4c8 "), c("symbol"), F.lit(" OI just started "), label, _or("break_signal", F.concat(F.lit(" - "), "break_signal")), today, fast]
+    parts += [_or("direction", F.concat(F.lit(" ("), "direction", F.lit(" confluence)"))), F.lit(f" on {timeframe}")]
+    return events.withColumn("alert", F.concat(*parts))
+
+
+def news_alert_text(news: DataFrame) -> DataFrame:
+    """news (symbol, title, source, url, sentiment) with ``alert``."""
+    mood = _or("sentiment", F.format_string(" (sentiment %+.2f)", _signed("sentiment", 2)))
+    known = lambda c: F.coalesce(c, F.lit("None"))
+    return news.withColumn("alert", F.concat(F.lit("\U0001f4f0 "), "symbol", F.lit(": "), known("title"), mood, F.lit("\n"), F.coalesce("source", F.lit("news")), F.lit(" \u2014 "), known("url")))
 
 
 def scan_digest(rows: DataFrame) -> DataFrame:
-    """One text over the usable rows of a scan: bounded by the watchlist."""
-    line = F.format_string("%s: %s %d/4", "symbol", "direction", F.col("aligned").cast("int"))
-    return rows.where("error is null").agg(F.concat_ws("\n", F.sort_array(F.collect_list(line))).alias("digest"))
+    """One text over the usable rows of a scan (with pos, oi, oi_day_high and oi_day_low): bounded by the watchlist."""
+    whole = lambda c: F.col(c).cast("long").cast("string")
+    days = F.when(F.col("oi_day_low").isNotNull() & F.col("oi_day_high").isNotNull(), F.concat(F.lit(" (day range "), whole("oi_day_low"), F.lit("-"), whole("oi_day_high"), F.lit(")"))).otherwise("")
+    parts = [F.lit("- "), F.col("symbol"), F.lit(": close="), F.col("close").cast("string"), F.lit(", RSI="), _text("rsi"), F.lit(" ("), F.col("rsi_state"), F.lit("), MACD "), F.col("macd_params"), F.lit(" (")]
+    parts += [F.col("macd_state"), F.lit("), EMA9-vs-BBmid ("), F.col("ema_bb_state"), F.lit("), aligned="), F.col("aligned").cast("string"), F.lit("/4, fresh_signal="), F.coalesce("fresh_signal", F.lit("none"))]
+    line = F.concat(*parts, _or("oi", F.concat(F.lit(", OI="), whole("oi"), days)))
+    lines = F.transform(F.sort_array(F.collect_list(F.when(F.col("error").isNull(), F.struct("pos", "symbol", line.alias("line"))))), lambda x: x["line"])
+    return rows.agg(F.when(F.size(lines) > 0, F.concat_ws("\n", lines)).otherwise("(no usable data in this scan yet)").alias("digest"))
 
 
 def enrich(rows: DataFrame, p: Params, index: DataFrame, sector_map: DataFrame, directions: DataFrame, weights: DataFrame, setups: DataFrame, oi: DataFrame) -> DataFrame:

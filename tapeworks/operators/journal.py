@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.params import Params
 
+#: Agreements whose worth the journal measures, its export's columns, and what is kept of a signal (name in the snapshot: column).
 FACTORS = ("signal_confirmed", "sector_agrees", "breadth_agrees", "candle_agrees", "flow_agrees", "htf_agrees")
 EXPORTED = (
     "id", "symbol", "timeframe", "direction", "horizon_bars", "status", "signal_time", "entry_time", "entry_price", "exit_time", "exit_price",
     "return_pct", "mae_pct", "outcome", "cost_pct", "slippage_pct", "logged_at",
 )
-LOW_SAMPLE = 5
-
-
-def log_trades(rows: DataFrame, timeframe: str, horizon_bars: int, cost_pct: float = 0.0, slippage_pct: float = 0.0) -> DataFrame:
-    """Open trades from signal rows."""
-    if not 1 <= horizon_bars <= 100 or cost_pct < 0 or slippage_pct < 0:
-        raise ValueError("horizon_bars: 1 to 100; costs: at least 0")
+SNAPSHOT = {
+    "rsi": "double", "rsi_state": "string", "macd_state": "string", "ema_bb_state": "string", "aligned": "int",
+    "vol_multiple": "double", "vol_confirmed": "boolean", "cmf": "double", "vol_flow_direction": "string",
+    "candle_pattern": "string", "candle_direction": "string", "htf_direction": "string", "adx": "double", "regime": "string",
+    "signal_confirmed": "boolean", "weighted_score": "double", "in_opening_window": "boolean",
+    "sector_agrees": "boolean", "breadth_agrees": "boolean", "candle_agrees": "boolean", "vol_flow_agrees": "boolean", "htf_agrees": "boolean",
+    "sector": "string",
+}
+OURS = {"vol_flow_direction": "flow_direction", "vol_flow_agrees": "flow_agrees"}
+LOW_SAMPLE, HORIZON, LONGEST = 5, 10, 100
+
+
+def log_trades(rows: DataFrame, timeframe: str, horizon_bars: int | None = None, cost_pct: float | None = None, slippage_pct: float | None = None) -> DataFrame:
+    """Open trades from signal rows: horizons are brought within 1 to 100 bars, costs to 0 at least; what a row lacks of the snapshot is null.
+
+    Rows without a symbol, a direction or a time aren't logged.
+    """
+    horizon = max(1, min(HORIZON if horizon_bars is None else int(horizon_bars), LONGEST))
+    cost, slippage = (max(0.0, float(x or 0.0)) for x in (cost_pct, slippage_pct))
+    have = {c.lower() for c in rows.columns}
+    kept = [(F.col(own) if (own := OURS.get(name, name)) in have else F.lit(None)).cast(kind).alias(name) for name, kind in SNAPSHOT.items()]
+    factors = [F.col(c) if c in have else F.lit(None).cast("boolean").alias(c) for c in FACTORS]
     key = F.md5(F.concat_ws("|", "symbol", F.lit(timeframe), F.col("ts").cast("string"), "direction").cast("binary"))
-    return rows.select(
-        key.alias("id"), "symbol", F.lit(timeframe).alias("timeframe"), "direction", "aligned", F.lit(horizon_bars).alias("horizon_bars"), F.lit(cost_pct).alias("cost_pct"),
-        F.lit(slippage_pct).alias("slippage_pct"), F.col("ts").alias("signal_time"), F.lit("open").alias("status"), *FACTORS,
+    usable = rows.where("symbol is not null and direction in ('Bullish', 'Bearish') and ts is not null")
+    return usable.select(
+        key.alias("id"), "symbol", F.lit(timeframe).alias("timeframe"), "direction", "aligned", F.lit(horizon).alias("horizon_bars"), F.lit(cost).alias("cost_pct"),
+        F.lit(slippage).alias("slippage_pct"), F.col("ts").alias("signal_time"), (F.col("close") if "close" in have else F.lit(None).cast("double")).alias("logged_close"), F.lit("open").alias("status"), *factors, F.struct(*kept).alias("snapshot"),
     )
 
 
@@ -65,8 +82,16 @@ def export_rows(journal: DataFrame) -> DataFrame:
 
 
 def export_csv(journal: DataFrame, folder: str) -> None:
-    """The export as CSV with a header."""
-    export_rows(journal).write.mode("overwrite").option("header", True).csv(folder)
+    """The export as CSV with a header, newest first: the parts follow each other in the order of their names."""
+    export_rows(journal).write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(folder)
+
+
+def read_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """An export as a table of its columns."""
+    numbers, times = {"horizon_bars": "int"}, ("signal_time", "entry_time", "exit_time", "logged_at")
+    kind = lambda c: numbers.get(c) or ("timestamp_ntz" if c in times else "double" if c.endswith(("_pct", "_price")) else "string")
+    schema = ", ".join(f"{c} {kind(c)}" for c in EXPORTED)
+    return spark.read.schema(schema).option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(folder)
 
 
 def _stats() -> list:
@@ -98,11 +123,15 @@ def setup_confidence(journal: DataFrame) -> DataFrame:
     return confidence_by_setup(journal).where(F.col("trades") >= LOW_SAMPLE)
 
 
-def risk_budget(journal: DataFrame, today, p: Params) -> DataFrame:
-    """One row: trades and risk of the day, open positions, and which limits they exceed."""
+def risk_budget(journal: DataFrame, sector_map: DataFrame, today, p: Params) -> DataFrame:
+    """One row: trades and risk of the day, open positions, their limits and whether they are exceeded, and the sectors with two or more of the day's trades."""
     own = journal.agg(F.count_if(F.to_date("logged_at") == today).alias("trades_today"), F.count_if(F.col("status") == "open").alias("open_positions"))
-    own = own.withColumn("risk_pct", F.col("trades_today") * p.risk_pct)
-    return own.withColumn("risk_exceeded", F.col("risk_pct") > p.max_daily_risk_pct).withColumn("positions_exceeded", F.col("open_positions") > p.max_positions)
+    sectors = sector_concentration(journal, sector_map, today).agg(F.array_sort(F.collect_list("sector")).alias("concentrated_sectors"))  # one row
+    out = own.withColumn("committed_risk_pct", F.round(F.col("trades_today") * p.risk_pct, 2))
+    limits = {"max_daily_risk_pct": p.max_daily_risk_pct, "max_concurrent_positions": p.max_positions, "risk_per_trade_pct": p.risk_pct, "account_capital": p.capital}
+    out = out.withColumns({k: F.lit(v) for k, v in limits.items()})
+    out = out.withColumn("risk_budget_exceeded", F.col("committed_risk_pct") > p.max_daily_risk_pct).withColumn("position_limit_exceeded", F.col("open_positions") > p.max_positions)
+    return out.crossJoin(sectors)
 
 
 def sector_concentration(journal: DataFrame, sector_map: DataFrame, today) -> DataFrame:

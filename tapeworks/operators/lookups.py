@@ -23,15 +23,20 @@ def index_names(instruments: DataFrame) -> DataFrame:
     return spark.createDataFrame([(n,) for n in INDEX_NAMES], "name string")
 
 
-def near_month_contract(instruments: DataFrame, today: Column) -> DataFrame:
-    """For each underlying the future with the nearest expiry from today on; the smallest token wins ties."""
-    own = instruments.where("instrument_type = 'FUT'").where(F.col("expiry") >= today)
-    own = own.groupBy(F.trim("name").alias("name")).agg(F.min_by(F.struct("tradingsymbol", "instrument_token", "expiry"), F.struct("expiry", "instrument_token")).alias("x"))
+def _nearest(instruments: DataFrame, today: Column) -> DataFrame:
+    """For each underlying the future with the nearest expiry from today on; the first row of the dump wins ties."""
+    own = instruments.where("instrument_type = 'FUT' and trim(name) <> ''").where(F.col("expiry") >= today)
+    own = own.groupBy(F.trim("name").alias("name")).agg(F.min_by(F.struct("tradingsymbol", "instrument_token", "expiry"), F.struct("expiry", "row_id")).alias("x"))
     return own.select("name", "x.*")
 
 
+def near_month_contract(instruments: DataFrame, today: Column) -> DataFrame:
+    """The nearest future of each stock; indices are left out."""
+    return _nearest(instruments.where(~F.upper(F.trim("name")).isin(*INDEX_NAMES)), today)
+
+
 def index_future_contract(instruments: DataFrame, today: Column, index: str) -> DataFrame:
-    return near_month_contract(instruments.where(F.upper(F.trim("name")) == index.upper()), today)
+    return _nearest(instruments.where(F.upper(F.trim("name")) == index.upper()), today)
 
 
 def index_lookup(instruments: DataFrame, wanted: DataFrame) -> DataFrame:

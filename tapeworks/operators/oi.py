@@ -13,13 +13,20 @@ ACCELERATING = ("Strong acceleration", "Moderate acceleration")
 LEAVING = "Possible exit/unwinding"
 
 
-def asof_lookback(samples: DataFrame, minutes: tuple[int, ...] = (15, 30, 60, 120)) -> DataFrame:
-    """samples with oi_<n>: the last reading at or before n minutes ago, of the 150 minutes that are kept."""
+def asof_lookback(samples: DataFrame, minutes: tuple[int, ...] = (15, 30, 60, 120), span_minutes: int = 1440) -> DataFrame:
+    """samples with oi_<n>: the last reading at or before n minutes ago, of the 150 minutes that are kept.
+
+    A symbol's samples are parted into spans of time, so that a hot symbol has as many tasks as spans; a span also gets the samples of the
+    150 minutes before it, which only lend their readings.
+    """
+    kept, span = KEPT_MINUTES * 60_000_000, max(span_minutes, KEPT_MINUTES) * 60_000_000
+    us, own = F.col("__us"), F.floor(F.col("__us") / span)
     df = samples.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
-    for n in minutes:
-        w = Window.partitionBy("symbol").orderBy("__us").rangeBetween(-KEPT_MINUTES * 60_000_000, -n * 60_000_000)
-        df = df.withColumn(f"oi_{n}", F.last("oi", ignorenulls=True).over(w))
-    return df.drop("__us")
+    spans = F.when(F.floor((us + kept) / span) > own, F.array(own, own + 1)).otherwise(F.array(own))
+    df = df.withColumn("__span", F.explode(spans))
+    w = Window.partitionBy("symbol", "__span").orderBy("__us")
+    df = df.withColumns({f"oi_{n}": F.last("oi", ignorenulls=True).over(w.rangeBetween(-kept, -n * 60_000_000)) for n in minutes})
+    return df.where(F.col("__span") == own).drop("__us", "__span")
 
 
 def acceleration(samples: DataFrame) -> DataFrame:
@@ -48,9 +55,15 @@ def structure(price_chg: Column, oi_chg: Column) -> Column:
 
 
 def day_baseline(samples: DataFrame) -> DataFrame:
-    """(symbol, day, base_oi, base_close, prev_oi): the first complete sample of each day, and the last oi before it."""
-    known = samples.where("oi is not null and close is not null").withColumn("day", F.to_date("ts"))
-    d = known.groupBy("symbol", "day").agg(F.min_by("oi", "ts").alias("base_oi"), F.min_by("close", "ts").alias("base_close"), F.max_by("oi", "ts").alias("__last"))
+    """(symbol, day, base_oi, base_close, prev_oi): the first complete sample of each day, and the last oi of the day before that has one.
+
+    A day's last oi is any reading from its first complete sample on, with or without a close.
+    """
+    complete = F.col("oi").isNotNull() & F.col("close").isNotNull()
+    first = F.min_by(F.struct("oi", "close"), F.when(complete, F.col("ts"))).alias("__first")
+    last = F.max_by("oi", F.when(F.col("oi").isNotNull(), F.col("ts"))).alias("__last")
+    d = samples.groupBy("symbol", F.to_date("ts").alias("day")).agg(first, last).where("__first is not null")
+    d = d.select("symbol", "day", F.col("__first.oi").alias("base_oi"), F.col("__first.close").alias("base_close"), "__last")
     return d.withColumn("prev_oi", F.lag("__last").over(Window.partitionBy("symbol").orderBy("day"))).drop("__last")
 
 
@@ -58,7 +71,9 @@ def oi_state(samples: DataFrame) -> DataFrame:
     """Each sample with its changes today, structure, stage, label, break signal and whether its label just turned."""
     c = F.col
     df = acceleration(samples).withColumn("day", F.to_date("ts")).join(day_baseline(samples), ["symbol", "day"], "left")
-    df = df.withColumn("price_chg_today", pct_change(c("close"), c("base_close"))).withColumn("oi_chg_today", pct_change(c("oi"), c("base_oi"))).withColumn("oi_day_chg", pct_change(c("oi"), c("prev_oi")))
+    whole = c("oi").isNotNull() & c("close").isNotNull()  # else the sample has no changes today, and the day may have no baseline yet
+    changes = {"price_chg_today": ("close", "base_close"), "oi_chg_today": ("oi", "base_oi"), "oi_day_chg": ("oi", "prev_oi")}
+    df = df.withColumns({k: F.when(whole, pct_change(c(now), c(then))) for k, (now, then) in changes.items()})
     df = df.withColumn("structure", structure(c("price_chg_today"), c("oi_chg_today")))
     before = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     last = lambda x: F.last(x, ignorenulls=True).over(before)

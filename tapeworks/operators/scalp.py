@@ -43,8 +43,13 @@ def scalp_signal(bars: DataFrame) -> DataFrame:
     ok = (c("confirmed_count") >= REQUIRED) & ~c("in_opening_window") & c("htf_agrees")
     df = df.withColumn("signal_confirmed", ok)
     df = df.withColumn("action", F.when(~ok, "WAIT").when(c("direction") == "Bullish", "BUY").otherwise("SELL"))
-    df = df.withColumn("reason", F.when(ok, None).when(c("in_opening_window"), "opening window").when(~c("htf_agrees"), "against the trend").otherwise("too few aligned"))
-    return scalp_levels(df)
+    trend = F.format_string("Against the 15-min trend (currently %s)", "htf_direction")
+    few = F.format_string("Only %d of 4 aligned (need %d)", "confirmed_count", F.lit(REQUIRED))
+    why = F.when(c("in_opening_window"), "Opening-window warm-up (first 15 min of the session)").when(~c("htf_agrees"), trend).otherwise(few)
+    df = df.withColumn("reason", F.when(~ok, why)).withColumn("label", F.when(ok, F.concat("action", F.lit(" NIFTY FUT"))).otherwise("NO TRADE - WAIT"))
+    shown = {"close": F.round("close", 2), "vwap": F.round("vwap", 2), "rsi": F.round("rsi", 1), "atr": F.round("atr", 2)}
+    states = {"ema_state": side(above(c("ema_fast"), c("ema_slow"))), "vwap_state": side(above(c("close"), c("vwap"))), "rsi_state": side(c("rsi") > 50)}
+    return scalp_levels(df.withColumns(states)).withColumns(shown)
 
 
 def scalp_levels(df: DataFrame) -> DataFrame:

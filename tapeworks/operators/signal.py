@@ -75,7 +75,9 @@ def signal_columns(latest: DataFrame, p: Params, now: Column | None = None) -> D
         window = window | four_hour_warmup(now, c("timeframe"))
     df = df.withColumn("in_opening_window", window)
     df = df.withColumn("signal_confirmed", (c("aligned") >= p.min_required) & c("htf_agrees") & ~c("in_opening_window"))
-    return levels(df, p)
+    df = df.withColumn("macd_params", F.lit(",".join(map(str, p.macd_spans()))))
+    shown = {"close": F.round("close", 2), "rsi": F.round("rsi", 1), "vwap": F.round(F.nullif("vwap", F.lit(0.0)), 2)}
+    return levels(df, p).withColumns(shown)  # all comparisons are done
 
 
 def levels(df: DataFrame, p: Params) -> DataFrame:
@@ -91,7 +93,7 @@ def levels(df: DataFrame, p: Params) -> DataFrame:
 
 
 SIGNAL = (
-    "symbol ts close rsi rsi_state macd_state ema_bb_state aligned direction fresh_signal vwap vs_vwap avwap vs_avwap anchor breakout_state vol_multiple volume vol_confirmed cmf "
+    "symbol ts close rsi rsi_state macd_params macd_state ema_bb_state aligned direction fresh_signal vwap vs_vwap avwap vs_avwap anchor breakout_state vol_multiple volume vol_confirmed cmf "
     "flow_direction flow_agrees candle_pattern candle_direction candle_agrees adx regime vol_threshold htf_direction htf_agrees in_opening_window signal_confirmed atr stop target "
     "risk_reward position_qty position_risk"
 ).split()

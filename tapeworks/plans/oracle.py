@@ -33,6 +33,8 @@ def resampled(source: str, tf: str) -> str:
     )
 
 
+#: Names of futures whose underlying is an index.
+INDICES = "'NIFTY', 'BANKNIFTY', 'FINNIFTY', 'MIDCPNIFTY', 'NIFTYNXT50', 'NIFTY NEXT 50', 'SENSEX', 'BANKEX', 'NIFTYIT', 'NIFTY IT'"
 CTES: dict[str, str] = {
     "ticks": "SELECT 'S' || (user_id % 10) AS symbol, event_id, ts, value AS price, CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS qty, CASE WHEN event_type IN ('signup', 'purchase') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END AS sgn FROM events",
     "oticks": "SELECT 'S' || (o_custkey % 10) AS symbol, o_orderkey AS event_id, CAST(o_orderdate AS TIMESTAMP) AS ts, o_totalprice AS price, 1 AS qty FROM orders",
@@ -53,10 +55,11 @@ CTES: dict[str, str] = {
     "hday": resampled("hbars", "day"),
     "instruments": (
         "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'NFO' ELSE 'NSE' END AS exchange, CASE WHEN p_partkey % 3 = 0 THEN 'NFO-FUT' ELSE 'NSE' END AS segment, CASE WHEN p_partkey % 3 = 0 THEN 'FUT' ELSE 'EQ' END AS instrument_type, "
-        "nm AS name, CASE WHEN p_partkey % 3 = 0 THEN nm || '-' || p_partkey ELSE nm || CASE WHEN p_partkey >= 30 THEN '_' || p_partkey ELSE '' END END AS tradingsymbol, p_partkey AS instrument_token, "
-        "CAST(DATE '2024-01-25' + CAST(28 * (p_size % 3) AS INTEGER) AS DATE) AS expiry FROM (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN 'nifty' ELSE 'S' || (p_partkey % 10) END AS nm FROM part)"
+        "nm AS name, CASE WHEN p_partkey % 3 = 0 THEN nm || '-' || p_partkey ELSE nm || CASE WHEN p_partkey >= 30 THEN '_' || p_partkey ELSE '' END END AS tradingsymbol, p_partkey AS instrument_token, -p_partkey AS row_id, "
+        f"CAST(DATE '2024-01-25' + CAST(28 * (p_size % 3) AS INTEGER) AS DATE) AS expiry FROM (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN lower(([{INDICES}])[p_partkey // 11 % 10 + 1]) ELSE 'S' || (p_partkey % 10) END AS nm FROM part)"
     ),
-    "near": "SELECT name, arg_min(tradingsymbol, (expiry, instrument_token)) AS tradingsymbol, arg_min(instrument_token, (expiry, instrument_token)) AS instrument_token, min(expiry) AS expiry FROM instruments WHERE instrument_type = 'FUT' AND expiry >= DATE '2024-02-01' GROUP BY name",
+    "near_all": "SELECT name, arg_min(tradingsymbol, (expiry, row_id)) AS tradingsymbol, arg_min(instrument_token, (expiry, row_id)) AS instrument_token, min(expiry) AS expiry FROM instruments WHERE instrument_type = 'FUT' AND expiry >= DATE '2024-02-01' GROUP BY name",
+    "near": f"SELECT * FROM near_all WHERE upper(name) NOT IN ({INDICES})",
     "oi_ticks": "SELECT *, 2000.0 + sum(sgn * qty) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS oi FROM ticks",
     "oi_bins": f"SELECT symbol, last(ts ORDER BY ts, event_id) AS ts, last(CAST(oi AS DOUBLE) ORDER BY ts, event_id) AS oi, last(price ORDER BY ts, event_id) AS close FROM oi_ticks GROUP BY symbol, {BUCKETS['3minute']}",
     "oi_samples": "SELECT symbol, ts, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) % 50 <> 0 THEN oi END AS oi, close FROM oi_bins",
@@ -66,8 +69,8 @@ CTES |= {
     "oi_look": f"SELECT *, {_look} FROM oi_samples",
     "oi_chg": "SELECT *, (oi - oi_15) / nullif(oi_15, 0) * 100 AS chg_15, (oi - oi_30) / nullif(oi_30, 0) * 100 AS chg_30, (oi - oi_60) / nullif(oi_60, 0) * 100 AS chg_60, (oi_30 - oi_60) / nullif(oi_60, 0) * 100 AS prior_30, (oi_60 - oi_120) / nullif(oi_120, 0) * 100 AS prior_60 FROM oi_look",
     "oi_accel": "SELECT *, CASE WHEN accel > 2 THEN 'Strong acceleration' WHEN accel >= 0.5 THEN 'Moderate acceleration' WHEN accel >= -0.3 THEN 'Stable' WHEN accel >= -2 THEN 'Weakening' WHEN accel IS NOT NULL THEN 'Possible exit/unwinding' END AS accel_label FROM (SELECT *, chg_30 - prior_30 AS accel FROM oi_chg)",
-    "oi_base": "SELECT *, lag(last_oi) OVER (PARTITION BY symbol ORDER BY day) AS prev_oi FROM (SELECT symbol, CAST(ts AS DATE) AS day, first(oi ORDER BY ts) AS base_oi, first(close ORDER BY ts) AS base_close, last(oi ORDER BY ts) AS last_oi FROM oi_samples WHERE oi IS NOT NULL AND close IS NOT NULL GROUP BY 1, 2)",
-    "oi_today": "SELECT a.*, b.base_oi, b.base_close, b.prev_oi, (close - base_close) / nullif(base_close, 0) * 100 AS price_chg_today, (oi - base_oi) / nullif(base_oi, 0) * 100 AS oi_chg_today, (oi - prev_oi) / nullif(prev_oi, 0) * 100 AS oi_day_chg FROM oi_accel a LEFT JOIN oi_base b ON a.symbol = b.symbol AND CAST(a.ts AS DATE) = b.day",
+    "oi_base": "SELECT *, lag(last_oi) OVER (PARTITION BY symbol ORDER BY day) AS prev_oi FROM (SELECT symbol, CAST(ts AS DATE) AS day, first(oi ORDER BY ts) FILTER (oi IS NOT NULL AND close IS NOT NULL) AS base_oi, first(close ORDER BY ts) FILTER (oi IS NOT NULL AND close IS NOT NULL) AS base_close, last(oi ORDER BY ts) FILTER (oi IS NOT NULL) AS last_oi FROM oi_samples GROUP BY 1, 2 HAVING count(*) FILTER (oi IS NOT NULL AND close IS NOT NULL) > 0)",
+    "oi_today": "SELECT a.*, b.base_oi, b.base_close, b.prev_oi, CASE WHEN oi IS NOT NULL THEN (close - base_close) / nullif(base_close, 0) * 100 END AS price_chg_today, CASE WHEN close IS NOT NULL THEN (oi - base_oi) / nullif(base_oi, 0) * 100 END AS oi_chg_today, CASE WHEN close IS NOT NULL THEN (oi - prev_oi) / nullif(prev_oi, 0) * 100 END AS oi_day_chg FROM oi_accel a LEFT JOIN oi_base b ON a.symbol = b.symbol AND CAST(a.ts AS DATE) = b.day",
     "oi_struct": "SELECT *, CASE WHEN price_chg_today IS NULL OR oi_chg_today IS NULL THEN NULL WHEN price_chg_today > 0.05 AND oi_chg_today > 0.05 THEN 'Long Buildup' WHEN price_chg_today < -0.05 AND oi_chg_today > 0.05 THEN 'Short Buildup' WHEN price_chg_today > 0.05 AND oi_chg_today < -0.05 THEN 'Short Covering' WHEN price_chg_today < -0.05 AND oi_chg_today < -0.05 THEN 'Long Unwinding' ELSE 'Neutral' END AS structure FROM oi_today",
     "oi_prev": "SELECT *, last_value(structure IGNORE NULLS) OVER w AS prev_s, last_value(accel_label IGNORE NULLS) OVER w AS prev_l, accel_label IN ('Strong acceleration', 'Moderate acceleration') AS fast FROM oi_struct WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "oi_state": "SELECT *, CASE WHEN prev_s IS NOT NULL AND prev_s <> structure THEN 'New' END AS stage, CASE WHEN structure = 'Long Buildup' AND fast THEN 'Break Up' WHEN structure = 'Short Buildup' AND fast THEN 'Break Down' END AS break_signal, coalesce(fast AND coalesce(prev_l NOT IN ('Strong acceleration', 'Moderate acceleration'), true), false) AS accel_event FROM oi_prev",
@@ -132,7 +135,7 @@ CTES |= {
     "s_three": "SELECT *, coalesce(vol_multiple >= vol_threshold, false) AS vol_confirmed, coalesce(flow_direction = direction, true) AS flow_agrees, coalesce(candle_direction = direction, true) AS candle_agrees, coalesce(htf_direction = direction, true) AS htf_agrees, CASE WHEN close > vwap THEN 'Above' WHEN vwap IS NOT NULL THEN 'Below' END AS vs_vwap, CASE WHEN close > avwap THEN 'Above' WHEN avwap IS NOT NULL THEN 'Below' END AS vs_avwap, "
     "CASE WHEN close > bb_upper THEN 'Breakout' WHEN close < bb_lower THEN 'Breakdown' END AS breakout_state, CASE WHEN direction = 'Bullish' THEN 1.0 ELSE -1.0 END AS sign FROM s_two",
     "s_four": "SELECT *, greatest(votes, 3 - votes) + CAST(vol_confirmed AS INTEGER) AS aligned, CASE WHEN atr > 0 THEN CAST(round(CAST(close - sign * 1.5 * atr AS DECIMAL(18, 6)), 2) AS DOUBLE) END AS stop, CASE WHEN atr > 0 THEN CAST(round(CAST(close + sign * 3.0 * atr AS DECIMAL(18, 6)), 2) AS DOUBLE) END AS target, CASE WHEN atr > 0 THEN round(CAST(2.0 AS DOUBLE), 2) END AS risk_reward FROM s_three",
-    "sig": "SELECT *, (aligned >= 2) AND htf_agrees AS signal_confirmed, nullif(CAST(floor(1000.0 / nullif(abs(close - stop), 0)) AS BIGINT), 0) AS position_qty, round(nullif(CAST(floor(1000.0 / nullif(abs(close - stop), 0)) AS BIGINT), 0) * nullif(abs(close - stop), 0), 2) AS position_risk FROM s_four",
+    "sig": "SELECT * REPLACE (round(close, 2) AS close, round(rsi, 1) AS rsi, round(nullif(vwap, 0), 2) AS vwap), '12,26,9' AS macd_params, (aligned >= 2) AND htf_agrees AS signal_confirmed, nullif(CAST(floor(1000.0 / nullif(abs(close - stop), 0)) AS BIGINT), 0) AS position_qty, round(nullif(CAST(floor(1000.0 / nullif(abs(close - stop), 0)) AS BIGINT), 0) * nullif(abs(close - stop), 0), 2) AS position_risk FROM s_four",
 }
 
 
@@ -179,7 +182,7 @@ CTES |= {
     "breadth": "SELECT bullish, bearish, round(bullish / nullif(bullish + bearish, 0) * 100, 1) AS bullish_pct, round(bearish / nullif(bullish + bearish, 0) * 100, 1) AS bearish_pct FROM (SELECT count(*) FILTER (direction = 'Bullish') AS bullish, count(*) FILTER (direction = 'Bearish') AS bearish FROM sig)",
     "wide": "SELECT max(CASE WHEN param = 'rsi_cross' THEN weight END) AS w1, max(CASE WHEN param = 'macd_cross' THEN weight END) AS w2, max(CASE WHEN param = 'ema_bb_cross' THEN weight END) AS w3, max(CASE WHEN param = 'rel_volume' THEN weight END) AS w4 FROM weights",
     "oi_last": "SELECT * FROM oi_state QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1",
-    "paper": "SELECT md5(symbol || '|60minute|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || direction) AS id, symbol, direction, ts AS signal_time, entry_time, ep, sign, 10 AS h, ts + INTERVAL '1 hour' AS logged_at, CAST(CASE WHEN direction = 'Bullish' THEN align ELSE 3 - align END + CAST(vol_confirmed AS INTEGER) AS INTEGER) AS aligned, coalesce(CASE WHEN cmf > 0 THEN 'Bullish' WHEN cmf < 0 THEN 'Bearish' END = direction, true) AS flow_agrees, coalesce(candle_direction = direction, true) AS candle_agrees, htf_direction FROM t_trades LEFT JOIN h_lean USING (symbol, ts)",
+    "paper": "SELECT md5(symbol || '|60minute|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || direction) AS id, symbol, direction, ts AS signal_time, entry_time, ep, sign, 10 AS h, close AS logged_close, rsi, cmf, adx, candle_pattern, candle_direction, rel_volume, ts + INTERVAL '1 hour' AS logged_at, CAST(CASE WHEN direction = 'Bullish' THEN align ELSE 3 - align END + CAST(vol_confirmed AS INTEGER) AS INTEGER) AS aligned, coalesce(CASE WHEN cmf > 0 THEN 'Bullish' WHEN cmf < 0 THEN 'Bearish' END = direction, true) AS flow_agrees, coalesce(candle_direction = direction, true) AS candle_agrees, htf_direction FROM t_trades LEFT JOIN h_lean USING (symbol, ts)",
     "h_day": "SELECT symbol, bucket, lag(lean) OVER (PARTITION BY symbol ORDER BY bucket) AS htf_direction FROM (SELECT symbol, ts AS bucket, " + f"CASE WHEN align IS NOT NULL AND NOT short THEN {side('align >= 2')} END AS lean FROM e_ind)",
     "h_lean": "SELECT b.symbol, b.ts, d.htf_direction FROM bars60 b LEFT JOIN h_day d ON d.symbol = b.symbol AND d.bucket = CAST(CAST(b.ts AS DATE) AS TIMESTAMP)",
     "num": "SELECT symbol, ts, open, high, low, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars60",
@@ -187,16 +190,32 @@ CTES |= {
     "res": "SELECT r.*, round(eopen, 2) AS entry_price, round(x.close, 2) AS exit_price, round(sign * (x.close - round(eopen, 2)) / nullif(round(eopen, 2), 0) * 100 - (0.03 + 2 * 0.01), 3) AS return_pct, "
     "CASE WHEN x.close IS NOT NULL THEN round(least(sign * (CASE WHEN direction = 'Bullish' THEN (SELECT min(low) FROM num y WHERE y.symbol = r.symbol AND y.n BETWEEN r.en AND r.en + 10) ELSE (SELECT max(high) FROM num y WHERE y.symbol = r.symbol AND y.n BETWEEN r.en AND r.en + 10) END - round(eopen, 2)) / nullif(round(eopen, 2), 0) * 100, 0.0), 3) + 0.0 END AS mae "
     "FROM res_e r LEFT JOIN num x ON x.symbol = r.symbol AND x.n = r.en + 10",
-    "arts": "SELECT md5(CAST(d.doc_id AS VARCHAR)) AS uuid, d.doc_id, unnest(['S' || (d.doc_id % 10), 'S' || ((d.doc_id + 3) % 10), 'X' || (d.doc_id % 7) || '.US']) AS symbol, coalesce(l.quality * 1.0, 0.0) AS sentiment FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "arts": "SELECT md5(CAST(doc_id AS VARCHAR)) AS uuid, doc_id, left(text, 80) AS title, 'https://news.example/' || doc_id AS url, source, strftime(make_timestamp((1706500000 + 60 * doc_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS published_at, doc_id // 50 AS nth, -doc_id AS pos, unnest(['S' || (doc_id % 10), 'S' || ((doc_id + 3) % 10)]) AS symbol, coalesce(quality * 1.0::DOUBLE, 0.0) AS sentiment FROM documents LEFT JOIN labels USING (doc_id)",
     "flat": "SELECT a.* FROM arts a WHERE symbol IN (SELECT symbol FROM watchlist)",
 }
-CTES["h_sig"] = (
-    f"SELECT symbol, direction, aligned, aligned >= 2 AND coalesce(htf_direction = direction, true) AS signal_confirmed FROM (SELECT *, greatest(votes, 3 - votes) + CAST(coalesce(round(rel_volume, 2) >= round(1.2 * CASE WHEN round(adx, 1) <= 18 THEN 1.3 ELSE 1.0 END, 3), false) AS INTEGER) AS aligned, {side('votes >= 2')} AS direction "
-    "FROM (SELECT h.*, x.htf_direction, CAST(rs AS INTEGER) + CAST(ms AS INTEGER) + CAST(es AS INTEGER) AS votes FROM h_ind h LEFT JOIN e_last x USING (symbol) WHERE NOT h.short QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1))"
-)
-CTES["e_last"] = f"SELECT symbol, {side('CAST(rs AS INTEGER) + CAST(ms AS INTEGER) + CAST(es AS INTEGER) >= 2')} AS htf_direction FROM e_ind WHERE NOT short QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"
+
+
+def framed(p: str, ind: str, htf: str, index: str, tf: str) -> dict[str, str]:
+    """CTEs of one timeframe's panel: <p>lean (its higher timeframe's lean), <p>idx and <p>sig."""
+    lean = f"{side('CAST(rs AS INTEGER) + CAST(ms AS INTEGER) + CAST(es AS INTEGER) >= 2')} AS lean"
+    last = "WHERE NOT short QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"
+    window = "hour(ts) = 9 AND minute(ts) BETWEEN 15 AND 29" if tf == "15minute" else "false"
+    vol = "coalesce(round(rel_volume, 2) >= round(1.2 * CASE WHEN round(adx, 1) <= 18 THEN 1.3 ELSE 1.0 END, 3), false)"
+    return {
+        f"{p}lean": f"SELECT symbol, {lean} FROM {htf} {last}",
+        f"{p}idx": f"SELECT max(lean) AS index_direction FROM (SELECT symbol, {lean} FROM {index} {last})",
+        f"{p}sig": f"SELECT symbol, direction, round(close, 2) AS close, aligned, {window} AS opening, aligned >= 2 AND coalesce(lean = direction, true) AND NOT ({window}) AS signal_confirmed FROM (SELECT *, greatest(votes, 3 - votes) + CAST({vol} AS INTEGER) AS aligned, {side('votes >= 2')} AS direction "
+        f"FROM (SELECT h.*, x.lean, CAST(rs AS INTEGER) + CAST(ms AS INTEGER) + CAST(es AS INTEGER) AS votes FROM {ind} h LEFT JOIN {p}lean x USING (symbol) {last.replace('short', 'h.short')}))",
+        f"{p}panel": f"SELECT '{tf}' AS timeframe, w.symbol, CASE WHEN h.symbol IS NULL THEN 'not enough candles' END AS err, h.direction, CASE WHEN h.aligned >= 2 AND NOT h.opening THEN h.aligned END AS param_tier, coalesce(index_direction = h.direction, true) AS index_agrees, h.signal_confirmed, h.close FROM watchlist w LEFT JOIN {p}sig h ON w.symbol = h.symbol JOIN {p}idx ON true",
+    }
+
+
 CTES["h60day"] = resampled("bars60", "day")
 CTES |= indicators("e_", "h60day", 12, 26)  # daily buckets of 60-minute bars
+CTES["idx15"] = bars_of("(SELECT * REPLACE ('IDX' AS symbol) FROM ticks)", "15minute")
+CTES["idx4h"], CTES["b4day"] = resampled("idx60", "4hour"), resampled("bars4h", "day")
+CTES |= indicators("k_", "bars4h", 12, 26) | indicators("kd_", "b4day", 12, 26) | indicators("ki_", "idx4h", 12, 26) | indicators("qi_", "idx15", 3, 8)
+CTES |= framed("fh_", "h_ind", "e_ind", "i_ind", "60minute") | framed("fq_", "q_ind", "f_ind", "qi_ind", "15minute") | framed("fk_", "k_ind", "kd_ind", "ki_ind", "4hour")
 CTES |= indicators("x_", "idx3", 5, 13, 7)
 CTES |= indicators("y_", "bars15m3", 5, 13)
 

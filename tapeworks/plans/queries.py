@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tapeworks.functions import indicators as ind
 from tapeworks.functions.blocks import indicator_series_blocks, mean_of_blocks
@@ -16,8 +18,9 @@ from tapeworks.functions.tables import own_folder
 from tapeworks.operators import bars as B
 from tapeworks.operators import enrich, journal, lookups, news, oi, replay, scalp, signal
 from tapeworks.params import Params
-from tapeworks.plans.oracle import BUCKETS, query, side, ts
+from tapeworks.plans.oracle import BUCKETS, INDICES, query, side, ts
 from tapeworks.sources import market as M
+from tapeworks.sources import results, store
 from tapeworks.streaming import jobs
 
 P60, P15 = Params(timeframe="60minute"), Params(timeframe="15minute")
@@ -86,21 +89,47 @@ register(
     lambda s, d: out(B.dedupe_bars(bars(s, d, "60minute").withColumn("arrival", F.lit(0)).unionByName(bars(s, d, "60minute").where("volume % 3 = 0").withColumns({"close": F.col("close") + 1, "arrival": F.lit(1)}))), BAR),
     query(f"SELECT symbol, timeframe, {ts()}, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close + CASE WHEN volume % 3 = 0 THEN 1 ELSE 0 END, 6) AS close, volume FROM bars60"),
 )
-_HALF = "2024-01-15"
-register(
-    "chunked_union",
-    lambda s, d: out(B.chunked_union([bars(s, d, "60minute").where(F.col("ts") <= F.lit(_HALF).cast("timestamp_ntz")), bars(s, d, "60minute").where(F.col("ts") >= F.lit("2024-01-14").cast("timestamp_ntz"))]), BAR),
-    sql(BAR, "bars60", BAR_D),
-)
-register(
-    "candle_scan",
-    lambda s, d: out(B.candle_scan(bars(s, d, "15minute"), M.watchlist(s, d), F.lit("2024-01-25 12:00:00").cast("timestamp_ntz"), "15minute"), BAR),
-    sql(BAR, "bars15", BAR_D, "ts BETWEEN TIMESTAMP '2024-01-10 12:00:00' AND TIMESTAMP '2024-01-25 12:00:00' AND symbol IN (SELECT symbol FROM watchlist)"),
-)
+
+
+# the store of bars and ticks
+def _folder(s: SparkSession) -> str:
+    return own_folder(s, "stream")
+
+
+def stored(s: SparkSession, d: str, tf: str) -> str:
+    folder = f"{_folder(s)}/bars"
+    store.write_bars(bars(s, d, tf), folder)
+    return folder
+
+
+ASOF, FROM, TO = dt.datetime(2024, 1, 25, 12), dt.datetime(2024, 1, 3, 9), dt.datetime(2024, 1, 28, 18)
+register("candle_scan", lambda s, d: out(store.scan_store(s, stored(s, d, "15minute"), M.watchlist(s, d), ASOF, "15minute"), BAR), sql(BAR, "bars15", BAR_D, "ts BETWEEN TIMESTAMP '2024-01-10 12:00:00' AND TIMESTAMP '2024-01-25 12:00:00' AND symbol IN (SELECT symbol FROM watchlist)"))
+register("chunked_union", lambda s, d: out(store.history(s, stored(s, d, "60minute"), "60minute", FROM, TO, days=7), BAR), sql(BAR, "bars60", BAR_D, f"ts BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}'"))
+
+
+def fed(s: SparkSession, df: DataFrame, part: Column, n: int, start: Callable[[DataFrame, str], list[StreamingQuery]], read: Callable[[str], DataFrame] | None = None) -> str:
+    """Writes the rows of df part by part to a folder and runs the stream over what has come each time, from its checkpoint; returns its folder."""
+    folder = _folder(s)
+    rows = df.withColumn("__part", part)
+    for i in range(n):
+        rows.where(F.col("__part") == i).drop("__part").write.mode("append").parquet(f"{folder}/in")
+        for q in start((read or s.readStream.schema(df.schema).parquet)(f"{folder}/in"), folder):
+            q.awaitTermination()
+    return folder
+
+
+def late_bars(s: SparkSession, d: str) -> DataFrame:
+    """Hourly bars of a store that gets the ticks of every fiftieth event after all others, a month late."""
+    t = M.ticks(s, d).drop("sgn")
+    run = lambda ticks, f: [store.ingest(ticks, f"{f}/ticks", f"{f}/bars", ("60minute", "15minute"), f"{f}/state")]
+    return store.read_bars(s, f"{fed(s, t, (F.col('event_id') % 50 == 7).cast('int'), 2, run)}/bars", "60minute")
+
+
+register("late_data", lambda s, d: out(late_bars(s, d), BAR), sql(BAR, "bars60", BAR_D))
 register("equity_instruments", lambda s, d: lookups.equity_instruments(M.instruments(s, d)), query("SELECT tradingsymbol AS symbol, instrument_token FROM instruments WHERE segment = 'NSE'"))
-register("futures_universe", lambda s, d: lookups.futures_universe(M.instruments(s, d), lookups.index_names(M.instruments(s, d))), query("SELECT DISTINCT name FROM instruments WHERE instrument_type = 'FUT' AND upper(name) <> 'NIFTY'"))
+register("futures_universe", lambda s, d: lookups.futures_universe(M.instruments(s, d), lookups.index_names(M.instruments(s, d))), query(f"SELECT DISTINCT name FROM instruments WHERE instrument_type = 'FUT' AND upper(name) NOT IN ({INDICES})"))
 register("near_month_contract", lambda s, d: lookups.near_month_contract(M.instruments(s, d), F.lit(TODAY).cast("date")).select("name", "tradingsymbol", "instrument_token"), query("SELECT name, tradingsymbol, instrument_token FROM near"))
-register("index_future_contract", lambda s, d: lookups.index_future_contract(M.instruments(s, d), F.lit(TODAY).cast("date"), "NIFTY").select("name", "tradingsymbol", "instrument_token"), query("SELECT name, tradingsymbol, instrument_token FROM near WHERE upper(name) = 'NIFTY'"))
+register("index_future_contract", lambda s, d: lookups.index_future_contract(M.instruments(s, d), F.lit(TODAY).cast("date"), "NIFTY").select("name", "tradingsymbol", "instrument_token"), query("SELECT name, tradingsymbol, instrument_token FROM near_all WHERE upper(name) = 'NIFTY'"))
 register(
     "index_lookup",
     lambda s, d: lookups.index_lookup(M.instruments(s, d), M.instruments(s, d).where("upper(trim(name)) = 'NIFTY'").select("exchange", "tradingsymbol").distinct()).select("exchange", "tradingsymbol", "instrument_token"),
@@ -298,10 +327,24 @@ register("high_conviction", lambda s, d: scan(s, d).select("symbol", "high_convi
 register("oi_move_max", lambda s, d: out(enrich.oi_move_max(scan(s, d)), "symbol oi_move_max"), query(f"SELECT g.symbol, round(greatest(abs(chg_15), abs(chg_30), abs(chg_60), abs(oi_chg_today)), 6) AS oi_move_max {_SCAN}"))
 register("oi_screener", lambda s, d: out(enrich.oi_screener(scan(s, d)), "symbol param_tier structure trend_label oi_chg_today"), query(f"SELECT g.symbol, aligned AS param_tier, structure, coalesce(accel_label, 'New') AS trend_label, round(oi_chg_today, 6) AS oi_chg_today {_SCAN}"))
 register("oi_screener_filter", lambda s, d: enrich.oi_screener_filter(scan(s, d), "s", has_move=True, least_move=0.1).select("symbol", "structure"), query(f"SELECT g.symbol, structure {_SCAN} WHERE greatest(abs(chg_15), abs(chg_30), abs(chg_60), abs(oi_chg_today)) >= 0.1"))
-register("screener_sort", lambda s, d: out(enrich.screener_sort(scan(s, d)), "symbol oi_chg_today"), query(f"SELECT g.symbol, round(oi_chg_today, 6) AS oi_chg_today {_SCAN} ORDER BY oi_chg_today DESC NULLS LAST, g.symbol"))
+register("screener_sort", lambda s, d: out(enrich.screener_sort(scan(s, d)), "symbol oi_day_chg"), query(f"SELECT g.symbol, round(oi_day_chg, 6) AS oi_day_chg {_SCAN} ORDER BY oi_day_chg DESC NULLS LAST, g.symbol"))
 register("screener_tiles", lambda s, d: enrich.screener_tiles(scan(s, d)), query(f"SELECT count(*) FILTER (structure = 'Long Buildup') AS long_buildup, count(*) FILTER (structure = 'Short Buildup') AS short_buildup, count(*) FILTER (structure = 'Short Covering') AS short_covering, count(*) FILTER (structure = 'Long Unwinding') AS long_unwinding, count(*) FILTER ({_CONV}) AS high_conviction, count(*) AS symbols {_SCAN}"))
-register("alert_text", lambda s, d: enrich.alert_text(rows_of(s, d)).select("symbol", "alert"), query("SELECT symbol, symbol || ' ' || direction || ' at ' || CAST(round(close, 2) AS VARCHAR) || ' (' || aligned || '/4)' AS alert FROM sig"))
-register("scan_digest", lambda s, d: enrich.scan_digest(rows_of(s, d)), query("SELECT string_agg(symbol || ': ' || direction || ' ' || aligned || '/4', chr(10) ORDER BY symbol) AS digest FROM sig"))
+_HEAD = "CASE WHEN fresh_signal = 'Bullish' THEN '\U0001f53a' ELSE '\U0001f53b' END || ' ' || symbol || ' - ' || fresh_signal || ' confluence on 60minute (confirmed: ' || coalesce('Vol ' || vol_multiple || 'x', 'Vol confirmed') || CASE WHEN htf_direction IS NOT NULL THEN ', higher-timeframe trend agrees' ELSE '' END || ')'"
+_VALUES = "'Close: ' || close || ' | RSI ' || coalesce(CAST(rsi AS VARCHAR), 'nan') || ' (' || rsi_state || ') | MACD ' || macd_params || ' (' || macd_state || ') | EMA/BB (' || ema_bb_state || ') | Aligned ' || aligned || '/4'"
+register("alert_text", lambda s, d: enrich.alert_text(rows_of(s, d), "60minute").select("symbol", "alert"), query(f"SELECT symbol, {_HEAD} || chr(10) || {_VALUES} AS alert FROM sig"))
+
+
+def oi_alerts(s: SparkSession, d: str) -> DataFrame:
+    events = oi.oi_state(OI(s, d)).where("accel_event").join(rows_of(s, d).select("symbol", "direction"), "symbol", "left")
+    return out(enrich.oi_alert_text(events, "60minute"), "symbol ts alert")
+
+
+register("oi_alert_text", oi_alerts, query(
+    f"SELECT o.symbol, {ts('o.ts')}, '\U0001f4c8 ' || o.symbol || ' OI just started ' || accel_label || coalesce(' - ' || break_signal, '') || coalesce(printf(', %+.1f%% today', round(round(oi_chg_today, 6), 1)), '') || coalesce(printf(' - accel %+.2fpp (30m)', round(round(accel, 6), 2)), '') || coalesce(' (' || direction || ' confluence)', '') || ' on 60minute' AS alert "
+    "FROM oi_state o LEFT JOIN sig g ON g.symbol = o.symbol WHERE accel_event"))
+_OI = f"LEFT JOIN ({_QUOTES}) q ON q.symbol = g.symbol"
+_LINE = "'- ' || g.symbol || ': close=' || close || ', RSI=' || coalesce(CAST(rsi AS VARCHAR), 'nan') || ' (' || rsi_state || '), MACD ' || macd_params || ' (' || macd_state || '), EMA9-vs-BBmid (' || ema_bb_state || '), aligned=' || aligned || '/4, fresh_signal=' || coalesce(fresh_signal, 'none') || coalesce(', OI=' || CAST(q.oi AS BIGINT) || ' (day range ' || CAST(q.oi_day_low AS BIGINT) || '-' || CAST(q.oi_day_high AS BIGINT) || ')', '')"
+register("scan_digest", lambda s, d: enrich.scan_digest(lookups.join_oi(signals(s, d), snapshot(s, d))), query(f"SELECT string_agg({_LINE}, chr(10) ORDER BY w.pos) AS digest FROM sig g JOIN watchlist w ON w.symbol = g.symbol {_OI}"))
 
 # the journal
 _JSTATS = "count(*) AS trades, round(avg(CAST(return_pct > 0 AS INTEGER)) * 100, 1) AS win_rate, round(avg(return_pct), 3) AS avg_return"
@@ -313,27 +356,53 @@ register("confidence_by_setup", lambda s, d: journal.confidence_by_setup(paper_r
 register("setup_confidence", lambda s, d: journal.setup_confidence(paper_resolved(s, d)), query(f"SELECT *, trades < 5 AS low_sample FROM ({_SETUP}) WHERE trades >= 5"))
 register("confidence_by_factor", lambda s, d: journal.confidence_by_factor(paper_resolved(s, d)), query(f"SELECT *, trades < 5 AS low_sample FROM (SELECT factor, value, {_JSTATS} FROM ({_FACTOR_ROWS}) GROUP BY 1, 2)"))
 register("join_setup_confidence", lambda s, d: enrich.join_setup_confidence(rows_of(s, d), journal.setup_confidence(paper_resolved(s, d))).select("symbol", "journal_confidence"), query(f"SELECT g.symbol, x.win_rate AS journal_confidence FROM sig g LEFT JOIN (SELECT * FROM ({_SETUP}) WHERE trades >= 5) x ON x.direction = g.direction AND x.aligned = g.aligned"))
-register("risk_budget", lambda s, d: journal.risk_budget(paper_resolved(s, d), _lit_day(), P60), query(f"SELECT trades_today, open_positions, trades_today * 1.0::DOUBLE AS risk_pct, trades_today * 1.0 > 3 AS risk_exceeded, open_positions > 5 AS positions_exceeded FROM (SELECT count(*) FILTER (CAST(logged_at AS DATE) = DATE '{LAST_DAY}') AS trades_today, count(*) FILTER (return_pct IS NULL) AS open_positions FROM res)"))
+register("risk_budget", lambda s, d: journal.risk_budget(paper_resolved(s, d), M.regions(s, d), _lit_day(), P60), query(
+    "SELECT trades_today, open_positions, round(trades_today * 1.0::DOUBLE, 2) AS committed_risk_pct, 3.0::DOUBLE AS max_daily_risk_pct, CAST(5 AS INTEGER) AS max_concurrent_positions, 1.0::DOUBLE AS risk_per_trade_pct, 100000.0::DOUBLE AS account_capital, trades_today * 1.0 > 3 AS risk_budget_exceeded, open_positions > 5 AS position_limit_exceeded, "
+    f"(SELECT coalesce(list(sector ORDER BY sector), []) FROM (SELECT sector FROM res JOIN sector_map USING (symbol) WHERE CAST(logged_at AS DATE) = DATE '{LAST_DAY}' GROUP BY 1 HAVING count(*) >= 2)) AS concentrated_sectors "
+    f"FROM (SELECT count(*) FILTER (CAST(logged_at AS DATE) = DATE '{LAST_DAY}') AS trades_today, count(*) FILTER (return_pct IS NULL) AS open_positions FROM res)"))
 register("sector_concentration", lambda s, d: journal.sector_concentration(paper_resolved(s, d), M.regions(s, d), _lit_day()), query(f"SELECT sector, count(*) AS trades FROM res JOIN sector_map USING (symbol) WHERE CAST(logged_at AS DATE) = DATE '{LAST_DAY}' GROUP BY 1 HAVING count(*) >= 2"))
 register("journal_delete", lambda s, d: journal.delete_trades(paper(s, d), paper(s, d).where("symbol = 'S1'")).select("id", "symbol"), query("SELECT id, symbol FROM paper WHERE symbol <> 'S1'"))
-register("journal_log", lambda s, d: out(paper(s, d), "id symbol direction aligned signal_time"), query(f"SELECT id, symbol, direction, aligned, {ts('signal_time')} FROM paper"))
+_KEPT = "rsi cmf adx candle_pattern candle_direction"
+register("journal_log", lambda s, d: out(paper(s, d).select("id", "symbol", "direction", "aligned", "signal_time", "logged_close", *(f"snapshot.{c}" for c in _KEPT.split())), f"id symbol direction aligned signal_time logged_close {_KEPT}"), query(f"SELECT id, symbol, direction, aligned, {ts('signal_time')}, round(logged_close, 6) AS logged_close, round(rsi, 6) AS rsi, round(cmf, 6) AS cmf, round(adx, 6) AS adx, candle_pattern, candle_direction FROM paper"))
 
 # news and alerts
-register("news_flatten", lambda s, d: news.news_flatten(M.articles(s, d), M.watchlist(s, d)).select("uuid", "symbol", "sentiment"), query("SELECT uuid, symbol, CAST(sentiment AS DOUBLE) AS sentiment FROM flat"))
-register("news_dedupe", lambda s, d: news.news_dedupe(news.news_flatten(M.articles(s, d), M.watchlist(s, d)), M.watchlist(s, d)).select("uuid", "symbol"), query("SELECT uuid, min(symbol) AS symbol FROM flat GROUP BY 1"))
-register("news_top3", lambda s, d: news.news_top(news.news_flatten(M.articles(s, d), M.watchlist(s, d))).select("symbol", "rank", "uuid"), query("SELECT symbol, CAST(rank AS INTEGER) AS rank, uuid FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY uuid) AS rank FROM flat) WHERE rank <= 3"))
+def written_fetches(s: SparkSession, d: str) -> str:
+    """A folder of JSON lines: the fetches, and a line that was cut off."""
+    folder = f"{_folder(s)}/json"
+    M.fetches(s, d).write.json(folder)
+    s.createDataFrame([('{"data": [{"uuid": "cut',)], "value string").write.mode("append").text(folder)
+    return folder
+
+
+def fetched(s: SparkSession, d: str) -> DataFrame:
+    return news.read_fetches(s, written_fetches(s, d))
+
+
+def flat_news(s: SparkSession, d: str) -> DataFrame:
+    return news.news_flatten(news.article_scan(fetched(s, d)), M.watchlist(s, d))
+
+
+def cached_news(s: SparkSession, d: str, scope: DataFrame) -> DataFrame:
+    return news.news_cache(news.lists_by_symbol(fetched(s, d))).join(scope.select("symbol"), "symbol", "left_semi")
+
+
+ARTICLE = "uuid title url source published_at"
+_CACHED = "(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pos) AS rank FROM (SELECT *, max(nth) OVER (PARTITION BY symbol) AS newest FROM flat) WHERE nth = newest)"
+register("article_scan", lambda s, d: out(news.article_scan(fetched(s, d)).withColumn("n_entities", F.size("entities")), f"{ARTICLE} n_entities"), query("SELECT DISTINCT uuid, title, url, source, published_at, CAST(4 AS INTEGER) AS n_entities FROM arts"))
+register("bad_lines", lambda s, d: out(news.bad_lines(fetched(s, d)).join(news.article_scan(fetched(s, d)).agg(F.count("*").alias("articles"))), "fetched_at bad articles"), query("""SELECT CAST(NULL AS BIGINT) AS fetched_at, '{"data": [{"uuid": "cut' AS bad, count(*) AS articles FROM documents"""))
+register("news_flatten", lambda s, d: out(flat_news(s, d), f"{ARTICLE} symbol sentiment"), query("SELECT uuid, title, url, source, published_at, symbol, sentiment FROM flat"))
+register("news_dedupe", lambda s, d: news.news_dedupe(flat_news(s, d), M.watchlist(s, d)).select("uuid", "symbol"), query("SELECT uuid, min(symbol) AS symbol FROM flat GROUP BY 1"))
+register("news_top3", lambda s, d: news.news_top(cached_news(s, d, M.watchlist(s, d))).select("symbol", "rank", "uuid", "url"), query(f"SELECT symbol, CAST(rank AS INTEGER) AS rank, uuid, url FROM {_CACHED} WHERE rank <= 3"))
+register("confirmed_news_scope", lambda s, d: news.news_top(cached_news(s, d, news.confirmed_scope(signals(s, d)))).select("symbol", "rank", "uuid"), query(f"SELECT symbol, CAST(rank AS INTEGER) AS rank, uuid FROM {_CACHED} WHERE rank <= 3 AND symbol IN (SELECT symbol FROM sig WHERE signal_confirmed)"))
+register("confirmed_semi", lambda s, d: news.news_flatten(news.article_scan(fetched(s, d)), news.confirmed_scope(signals(s, d))).select("uuid", "symbol"), query("SELECT uuid, symbol FROM flat WHERE symbol IN (SELECT symbol FROM sig WHERE signal_confirmed)"))
+register("news_alert_text", lambda s, d: enrich.news_alert_text(news.news_dedupe(flat_news(s, d), M.watchlist(s, d))).select("uuid", "alert"), query("SELECT uuid, '\U0001f4f0 ' || symbol || ': ' || coalesce(title, 'None') || printf(' (sentiment %+.2f)', round(round(sentiment, 6), 2)) || chr(10) || coalesce(source, 'news') || ' \u2014 ' || url AS alert FROM flat QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY symbol) = 1"))
 register(
     "alert_dedupe",
     lambda s, d: out(news.alert_dedupe(replay.entries(voted(s, d)).withColumn("fresh_signal", F.when(F.col("entry"), F.col("direction"))).withColumn("vol_confirmed", replay.volume_hot(P60)).withColumn("htf_agrees", F.lit(True))), "symbol ts direction"),
     sql("symbol ts direction", "a_ret", "", "entry AND vol_confirmed"),
 )
 
-register("news_scope_join", lambda s, d: news.join_news(M.watchlist(s, d), news.news_top(news.news_flatten(M.articles(s, d), M.watchlist(s, d)))).select("symbol", F.size("news").alias("n"), F.array_join("news", "|").alias("news")), query("SELECT w.symbol, CAST(count(f.uuid) AS INTEGER) AS n, string_agg(f.title, '|' ORDER BY f.rank) AS news FROM watchlist w LEFT JOIN (SELECT f.*, left(d.text, 80) AS title, row_number() OVER (PARTITION BY symbol ORDER BY uuid) AS rank FROM flat f JOIN documents d USING (doc_id) QUALIFY rank <= 3) f ON f.symbol = w.symbol GROUP BY 1").replace("CAST(count(f.uuid) AS INTEGER)", "CASE WHEN count(f.uuid) = 0 THEN NULL ELSE CAST(count(f.uuid) AS INTEGER) END"))
-register(
-    "article_scan",
-    lambda s, d: news.article_scan(M.articles(s, d).select(F.to_json(F.struct(F.array(F.struct("uuid", "title", "source", "entities")).alias("data"))).alias("value"))).select("uuid", "source", F.size("entities").alias("n_entities")),
-    query("SELECT md5(CAST(doc_id AS VARCHAR)) AS uuid, source, CAST(3 AS INTEGER) AS n_entities FROM documents"),
-)
+register("news_scope_join", lambda s, d: news.join_news(M.watchlist(s, d), news.news_top(cached_news(s, d, M.watchlist(s, d)))).select("symbol", F.size("news").alias("n"), F.array_join("news", "|").alias("news")), query(f"SELECT w.symbol, CASE WHEN count(f.uuid) > 0 THEN CAST(count(f.uuid) AS INTEGER) END AS n, string_agg(f.title, '|' ORDER BY f.rank) AS news FROM watchlist w LEFT JOIN (SELECT * FROM {_CACHED} WHERE rank <= 3) f ON f.symbol = w.symbol GROUP BY 1"))
 _ALERTS = "FROM a_ret WHERE entry AND vol_confirmed"
 
 
@@ -344,10 +413,18 @@ def alerts(s: SparkSession, d: str) -> DataFrame:
 
 register("newest_alerts", lambda s, d: out(news.newest(alerts(s, d)), "symbol ts direction"), query(f"SELECT symbol, {ts()}, direction {_ALERTS} ORDER BY a_ret.ts DESC, symbol LIMIT 20"))
 register("journal_newest", lambda s, d: out(journal.newest_first(paper(s, d)).limit(100), "id symbol logged_at").withColumn("logged_at", F.col("logged_at").cast("long")), query("SELECT id, symbol, CAST(floor(epoch(logged_at)) AS BIGINT) AS logged_at FROM paper ORDER BY paper.logged_at DESC, id LIMIT 100"))
+
+
+def exported(s: SparkSession, d: str) -> DataFrame:
+    folder = f"{_folder(s)}/csv"
+    journal.export_csv(paper_resolved(s, d), folder)
+    return journal.read_csv(s, folder)
+
+
 register(
     "journal_csv",
-    lambda s, d: out(journal.export_rows(paper_resolved(s, d)), "id symbol direction horizon_bars status signal_time entry_time entry_price exit_price return_pct mae_pct outcome cost_pct slippage_pct"),
-    query(f"SELECT id, symbol, direction, h AS horizon_bars, CASE WHEN return_pct IS NULL THEN 'open' ELSE 'resolved' END AS status, {ts('signal_time')}, {ts('entry_time')}, entry_price, exit_price, return_pct, mae AS mae_pct, CASE WHEN return_pct > 0 THEN 'win' WHEN return_pct <= 0 THEN 'loss' END AS outcome, 0.03::DOUBLE AS cost_pct, 0.01::DOUBLE AS slippage_pct FROM res"),
+    lambda s, d: out(exported(s, d), "id symbol timeframe direction horizon_bars status signal_time entry_time entry_price exit_price return_pct mae_pct outcome cost_pct slippage_pct"),
+    query(f"SELECT id, symbol, '60minute' AS timeframe, direction, h AS horizon_bars, CASE WHEN return_pct IS NULL THEN 'open' ELSE 'resolved' END AS status, {ts('signal_time')}, {ts('entry_time')}, entry_price, exit_price, return_pct, mae AS mae_pct, CASE WHEN return_pct > 0 THEN 'win' WHEN return_pct <= 0 THEN 'loss' END AS outcome, 0.03::DOUBLE AS cost_pct, 0.01::DOUBLE AS slippage_pct FROM res"),
 )
 register("backtest_universe", lambda s, d: replay.backtest_universe(M.watchlist(s, d)), query("SELECT symbol FROM watchlist"))
 _START = "2024-01-15 00:00:00"
@@ -364,29 +441,39 @@ def stored_weights(s: SparkSession, d: str) -> DataFrame:
 register("weights_table", stored_weights, query("SELECT * FROM weights"))
 
 # charts
-LINES = ("rsi", "rsi_smooth", "macd", "macd_signal", "ema", "bb_mid", "bb_upper", "bb_lower", "vwap")
+LINES, CANDLES = ("ema", "bb_mid", "rsi", "rsi_smooth", "macd", "macd_signal", "macd_hist", "vwap", "avwap"), ("open", "high", "low", "close")
 
 
 def chart_lines(s: SparkSession, d: str) -> DataFrame:
-    """The points of each line of each symbol, rounded to three places (halves up), nulls left out."""
-    own = series(s, d).select("symbol", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("time"), *((F.floor(F.col(c) * 1000 + 0.5000001) / 1000).alias(c) for c in LINES))
-    return own.unpivot(["symbol", "time"], list(LINES), "line", "value").where("value is not null")
+    """The points of each line of each symbol, candles to two places and lines to three (halves up); a symbol with an error has candles alone."""
+    up = lambda c, n: F.floor(F.col(c) * n + 0.5000001) / n
+    own = series(s, d).select("symbol", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("time"), *(up(c, 100).alias(c) for c in CANDLES), *(F.when(F.col("error").isNull(), up(c, 1000)).alias(c) for c in LINES))
+    return own.unpivot(["symbol", "time"], [*CANDLES, *LINES], "line", "value").where("value is not null")
 
 
-register("chart_series", chart_lines, query("SELECT symbol, time, line, value FROM (UNPIVOT (SELECT symbol, CAST(floor(epoch(ts)) AS BIGINT) AS time, " + ", ".join(f"floor({c} * 1000 + 0.5000001) / 1000 AS {c}" for c in LINES) + " FROM h_ind) ON " + ", ".join(LINES) + " INTO NAME line VALUE value)"))
+_POINTS = ", ".join([f"floor({c} * 100 + 0.5000001) / 100 AS {c}" for c in CANDLES] + [f"CASE WHEN NOT short THEN floor({'macd - macd_signal' if c == 'macd_hist' else c} * 1000 + 0.5000001) / 1000 END AS {c}".replace("macd - macd_signal *", "(macd - macd_signal) *") for c in LINES])
+register("chart_series", chart_lines, query(f"SELECT symbol, time, line, value FROM (UNPIVOT (SELECT symbol, CAST(floor(epoch(ts)) AS BIGINT) AS time, {_POINTS} FROM h_ind) ON {', '.join([*CANDLES, *LINES])} INTO NAME line VALUE value)"))
 
 # the 3-minute engine
 register("scalp_series", lambda s, d: out(scalp.scalp_series(index3(s, d)), "symbol ts ema_fast ema_slow rsi vwap atr"), query(f"SELECT symbol, {ts()}, round(f_line, 6) AS ema_fast, round(s_line, 6) AS ema_slow, round(rsi, 6) AS rsi, round(vwap, 6) AS vwap, round(atr, 6) AS atr FROM x_ind"))
 register("scalp_htf", lambda s, d: scalp.scalp_htf(index3(s, d)), query("SELECT symbol, CASE WHEN n_bars >= 18 THEN CASE WHEN coalesce(f_line - s_line > 1e-9 * greatest(1.0, abs(f_line), abs(s_line)), false) THEN 'Bullish' ELSE 'Bearish' END END AS htf_direction FROM y_ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"))
-register("scalp_signal", lambda s, d: scalp.scalp_signal(index3(s, d)).select("symbol", "votes", "direction", "vol_confirmed"), query("SELECT symbol, votes, CASE WHEN votes >= 2 THEN 'Bullish' ELSE 'Bearish' END AS direction, coalesce(round(rel_volume, 2) >= 1.5, false) AS vol_confirmed FROM (SELECT *, CAST(f_line > s_line AS INTEGER) + CAST(close > vwap AS INTEGER) + CAST(coalesce(rsi > 50, false) AS INTEGER) AS votes FROM x_ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"))
+SCALP = "symbol error close vwap rsi votes direction vol_multiple vol_confirmed confirmed_count in_opening_window htf_direction htf_agrees signal_confirmed action reason label atr"
+_TREND = "SELECT symbol, CASE WHEN n_bars >= 18 THEN CASE WHEN coalesce(f_line - s_line > 1e-9 * greatest(1.0, abs(f_line), abs(s_line)), false) THEN 'Bullish' ELSE 'Bearish' END END AS htf_direction FROM y_ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"
+_ENGINE = (
+    "SELECT *, CASE WHEN ok THEN CASE WHEN direction = 'Bullish' THEN 'BUY' ELSE 'SELL' END ELSE 'WAIT' END AS action, CASE WHEN NOT ok THEN CASE WHEN in_opening_window THEN 'Opening-window warm-up (first 15 min of the session)' WHEN NOT htf_agrees THEN 'Against the 15-min trend (currently ' || htf_direction || ')' ELSE 'Only ' || confirmed_count || ' of 4 aligned (need 3)' END END AS reason FROM "
+    "(SELECT *, confirmed_count >= 3 AND NOT in_opening_window AND htf_agrees AS ok FROM (SELECT *, greatest(votes, 3 - votes) + CAST(vol_confirmed AS INTEGER) AS confirmed_count, coalesce(htf_direction = direction, true) AS htf_agrees FROM "
+    "(SELECT *, CASE WHEN votes >= 2 THEN 'Bullish' ELSE 'Bearish' END AS direction, coalesce(vol_multiple >= 1.5, false) AS vol_confirmed, hour(ts) = 9 AND minute(ts) BETWEEN 15 AND 29 AS in_opening_window FROM "
+    f"(SELECT x.*, t.htf_direction, round(rel_volume, 2) AS vol_multiple, CAST(f_line > s_line AS INTEGER) + CAST(close > vwap AS INTEGER) + CAST(coalesce(rsi > 50, false) AS INTEGER) AS votes FROM x_ind x LEFT JOIN ({_TREND}) t USING (symbol) QUALIFY row_number() OVER (PARTITION BY x.symbol ORDER BY ts DESC) = 1))))"
+)
+_SCALP_SQL = query(
+    "SELECT symbol, CASE WHEN n_bars < 19 THEN 'not enough candles' WHEN vwap IS NULL THEN 'VWAP not available yet' END AS error, round(close, 2) AS close, round(vwap, 2) AS vwap, round(rsi, 1) AS rsi, votes, direction, vol_multiple, vol_confirmed, confirmed_count, in_opening_window, htf_direction, htf_agrees, ok AS signal_confirmed, action, reason, "
+    f"CASE WHEN ok THEN action || ' NIFTY FUT' ELSE 'NO TRADE - WAIT' END AS label, round(atr, 2) AS atr FROM ({_ENGINE})"
+)
+register("scalp_signal", lambda s, d: out(scalp.scalp_signal(index3(s, d)), SCALP), _SCALP_SQL)
 register("scalp_levels", lambda s, d: scalp.scalp_signal(index3(s, d)).select("symbol", "stop", "target", "risk_reward"), query("SELECT symbol, CAST(round(CAST(close - sign * 0.75 * atr AS DECIMAL(18, 6)), 2) AS DOUBLE) AS stop, CAST(round(CAST(close + sign * 1.5 * atr AS DECIMAL(18, 6)), 2) AS DOUBLE) AS target, CAST(2 AS DOUBLE) AS risk_reward FROM (SELECT *, CASE WHEN CAST(f_line > s_line AS INTEGER) + CAST(close > vwap AS INTEGER) + CAST(coalesce(rsi > 50, false) AS INTEGER) >= 2 THEN 1.0 ELSE -1.0 END AS sign FROM x_ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"))
 
 
 # streams, run until their input ends
-def _folder(s: SparkSession) -> str:
-    return own_folder(s, "stream")
-
-
 def streamed_bars(s: SparkSession, d: str) -> DataFrame:
     folder = _folder(s)
     jobs.write_batches(jobs.stream_bars(jobs.tick_stream(s, f"{d}/events.parquet"), 60), f"{folder}/out", f"{folder}/state").awaitTermination()
@@ -396,72 +483,127 @@ def streamed_bars(s: SparkSession, d: str) -> DataFrame:
 register("stream_bars", lambda s, d: out(streamed_bars(s, d), BAR), sql(BAR, "bars60", BAR_D))
 
 
-def _batches(s: SparkSession, df: DataFrame, n: int, order: str) -> tuple[DataFrame, str]:
-    """A stream over the rows of df in n batches by the order of a column (a number or time), and a folder of its own."""
-    folder = _folder(s)
+def halves(df: DataFrame, order: str) -> Column:
+    """0 for the rows up to the middle of a column (a number or time), 1 for the rest."""
     key = F.col(order).cast("timestamp").cast("double") if "timestamp" in dict(df.dtypes)[order] else F.col(order).cast("double")
-    edges = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000).alias("e")).first().e or []
-    part = sum(((key > F.lit(e)).cast("int") for e in edges), F.lit(0))
-    for i in range(n):  # one after the other: a file source takes files by the time at which they were written
-        df.where(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+    middle = df.select(F.percentile_approx(key, 0.5).alias("e")).first().e
+    return (key > F.lit(middle or 0.0)).cast("int")
+
+
+def triggered(s: SparkSession, d: str, start: Callable[[DataFrame, str], list[StreamingQuery]]) -> str:
+    """Runs a stream that scans at each trigger, once."""
+    return fed(s, M.watchlist(s, d), F.lit(0), 1, start)
+
+
+SCANNED = "symbol direction aligned signal_confirmed param_tier index_agrees sector sector_agrees breadth_agrees weighted_score structure stage positional_qualified high_conviction"
 
 
 def streamed_scan(s: SparkSession, d: str) -> DataFrame:
-    trigger, folder = _batches(s, M.watchlist(s, d), 2, "pos")
-    jobs.stream_scan(trigger, lambda: long_bars(s, d), M.watchlist(s, d), P60, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return jobs.latest(s, f"{folder}/out", "symbol")
+    work = lambda: (scan(s, d), "2024-01-29T1000")
+    folder = triggered(s, d, lambda t, f: [jobs.stream_scan(t, work, f"{f}/out", f"{f}/state")])
+    return results.published(s, f"{folder}/out")
+
+
+def zoned(df: DataFrame, column: str = "ts") -> DataFrame:
+    return df.withColumn(column, F.col(column).cast("timestamp"))
+
+
+def oi_parts(s: SparkSession, d: str, start: Callable[[DataFrame, str], list[StreamingQuery]]) -> str:
+    own = OI(s, d)
+    return fed(s, own, halves(own, "ts"), 2, start)
 
 
 def streamed_oi(s: SparkSession, d: str) -> DataFrame:
-    own, folder = _batches(s, OI(s, d).withColumn("ts", F.col("ts").cast("timestamp")), 3, "ts")
-    own = own.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    jobs.stream_oi_state(own, f"{folder}/past", f"{folder}/out", f"{folder}/state").awaitTermination()
-    return jobs.latest(s, f"{folder}/out", "symbol", "ts")
+    folder = oi_parts(s, d, lambda t, f: [jobs.stream_oi_state(t, f"{f}/out", f"{f}/state")])
+    return s.read.parquet(f"{folder}/out")
+
+
+def streamed_oi_events(s: SparkSession, d: str) -> DataFrame:
+    folder = oi_parts(s, d, lambda t, f: [jobs.oi_event_log(t, f"{f}/out", f"{f}/state", "60minute")])
+    return s.read.parquet(f"{folder}/out")
 
 
 def streamed_resolve(s: SparkSession, d: str) -> DataFrame:
-    trigger, folder = _batches(s, M.watchlist(s, d), 2, "pos")
-    jobs.journal_resolve_stream(trigger, lambda: paper(s, d), lambda: bars(s, d, "60minute"), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return jobs.latest(s, f"{folder}/out", "id")
+    own, path = paper(s, d), stored(s, d, "60minute")
+    read = lambda since: store.read_bars(s, path, "60minute", since)
+    folder = fed(s, own, halves(own, "signal_time"), 2, lambda t, f: [jobs.journal_resolve_stream(t, read, f"{f}/out", f"{f}/state")])
+    return jobs.read_journal(s, f"{folder}/out")
 
 
 def streamed_frames(s: SparkSession, d: str) -> DataFrame:
-    trigger, folder = _batches(s, M.watchlist(s, d), 2, "pos")
-    index = lambda tf: B.index_bars(M.ticks(s, d), tf, F.lit("IDX"))
-    for q in jobs.stream_multi_timeframe(trigger, lambda tf: bars(s, d, tf), index, M.watchlist(s, d), f"{folder}/out", f"{folder}/state", {"60minute": None, "15minute": None}):
-        q.awaitTermination()
-    return jobs.latest(s, f"{folder}/out/60minute", "symbol").select(F.lit("60minute").alias("timeframe"), "symbol", "direction", "param_tier", "index_agrees", "signal_confirmed")
+    """The panel of three timeframes, whose scans run beside each other."""
+    read = lambda tf: B.resample(bars(s, d, "60minute"), tf) if tf == "4hour" else bars(s, d, tf)
+
+    def index(tf: str) -> DataFrame:
+        own = B.index_bars(M.ticks(s, d), "60minute" if tf == "4hour" else tf, F.lit("IDX"))
+        return B.resample(own, tf) if tf == "4hour" else own
+
+    frames = dict.fromkeys(("15minute", "60minute", "4hour"))
+    folder = triggered(s, d, lambda t, f: jobs.stream_multi_timeframe(t, read, index, M.watchlist(s, d), f"{f}/out", f"{f}/state", frames))
+    panels = [jobs.latest(s, f"{folder}/out/{tf}", "symbol").select(F.lit(tf).alias("timeframe"), "symbol", "direction", "param_tier", "index_agrees", "signal_confirmed", "close") for tf in frames]
+    return panels[0].unionByName(panels[1]).unionByName(panels[2])
 
 
 def streamed_scalp(s: SparkSession, d: str) -> DataFrame:
-    trigger, folder = _batches(s, M.watchlist(s, d), 2, "pos")
-    jobs.stream_scalp(trigger, lambda: index3(s, d), f"{folder}/out", f"{folder}/state").awaitTermination()
+    folder = triggered(s, d, lambda t, f: [jobs.stream_scalp(t, lambda: index3(s, d), f"{f}/out", f"{f}/state")])
     return jobs.latest(s, f"{folder}/out", "symbol")
 
 
-def streamed_oi_events(s: SparkSession, d: str) -> DataFrame:
-    own, folder = _batches(s, OI(s, d).withColumn("ts", F.col("ts").cast("timestamp")), 3, "ts")
-    own = own.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    jobs.oi_event_log(own, f"{folder}/past", f"{folder}/out", f"{folder}/state", "60minute").awaitTermination()
+def streamed_alerts(s: SparkSession, d: str) -> DataFrame:
+    """Alerts from rows that come twice: in the first part, and again in the second."""
+    own = zoned(replay.entries(voted(s, d)).withColumn("fresh_signal", F.when(F.col("entry"), F.col("direction"))).withColumn("vol_confirmed", replay.volume_hot(P60)).withColumn("htf_agrees", F.lit(True)).withColumn("timeframe", F.lit("60minute")))
+    own = own.select("symbol", "timeframe", "ts", "direction", "fresh_signal", "vol_confirmed", "htf_agrees")
+    twice = own.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    folder = fed(s, twice, F.col("n"), 2, lambda t, f: [jobs.write_batches(jobs.alert_stream(t, "60 days"), f"{f}/out", f"{f}/state")])
     return s.read.parquet(f"{folder}/out")
 
 
+def streamed_news(s: SparkSession, d: str, work: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, str]:
+    """What a stream of fetches gives, from JSON files that come in two parts; and its folder."""
+    folder, f = _folder(s), M.fetches(s, d)
+    part = halves(f, "fetched_at")
+    for i in range(2):
+        f.where(part == i).write.mode("append").json(f"{folder}/in")
+        jobs.write_batches(work(news.read_fetches(s, f"{folder}/in", stream=True)), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return s.read.parquet(f"{folder}/out"), folder
+
+
+def streamed_articles(s: SparkSession, d: str) -> DataFrame:
+    return streamed_news(s, d, lambda f: jobs.news_stream(f, M.watchlist(s, d), "90 days"))[0]
+
+
+def streamed_cache(s: SparkSession, d: str) -> DataFrame:
+    cache = jobs.latest(s, f"{streamed_news(s, d, jobs.news_cache_stream)[1]}/out", "symbol")
+    return news.news_top(cache.join(M.watchlist(s, d).select("symbol"), "symbol", "left_semi"))
+
+
 def published_scan(s: SparkSession, d: str) -> DataFrame:
+    """The newest of two published scans; a third was written and its pointer not."""
     folder = f"{_folder(s)}/scans"
     rows = signals(s, d).select("symbol", "error", "direction")
-    jobs.publish(rows.limit(1), folder, "2024-01-29T1000")
-    jobs.publish(rows, folder, "2024-01-29T1003")
-    return jobs.published(s, folder)
-
-
-register("result_sink", lambda s, d: published_scan(s, d), query("SELECT '2024-01-29T1003' AS scan, w.symbol, CASE WHEN l.symbol IS NULL THEN 'symbol not found' WHEN l.short THEN 'not enough candles' END AS error, direction FROM watchlist w LEFT JOIN l_last l ON w.symbol = l.symbol LEFT JOIN sig x ON w.symbol = x.symbol"))
-register("stream_scan", lambda s, d: streamed_scan(s, d).select("symbol", "error", "direction", "aligned", "signal_confirmed"), query("SELECT w.symbol, CASE WHEN l.symbol IS NULL THEN 'symbol not found' WHEN l.short THEN 'not enough candles' END AS error, direction, aligned, signal_confirmed FROM watchlist w LEFT JOIN l_last l ON w.symbol = l.symbol LEFT JOIN sig x ON w.symbol = x.symbol"))
-register("stream_oi_state", lambda s, d: out(streamed_oi(s, d), "symbol ts chg_30 accel_label structure stage oi_day_chg"), sql("symbol ts chg_30 accel_label structure stage oi_day_chg", "oi_state", "chg_30 oi_day_chg"))
+    results.publish(rows.limit(1), folder, "2024-01-29T1000")
+    results.publish(rows, folder, "2024-01-29T1003")
+    results.write_rows(rows.limit(2), folder, "2024-01-29T1006")
+    results.compact(s, folder, 1)
+    return results.published(s, folder)
+
+
+_PUBLISHED = query("SELECT '2024-01-29T1003' AS scan, w.symbol, CASE WHEN l.symbol IS NULL THEN 'symbol not found' WHEN l.short THEN 'not enough candles' END AS error, direction FROM watchlist w LEFT JOIN l_last l ON w.symbol = l.symbol LEFT JOIN sig x ON w.symbol = x.symbol")
+register("result_sink", published_scan, _PUBLISHED)
+register("stream_scan", lambda s, d: out(streamed_scan(s, d), SCANNED), query(
+    f"SELECT g.symbol, direction, aligned, signal_confirmed, aligned AS param_tier, coalesce(index_direction = direction, true) AS index_agrees, m.sector, coalesce(sector_direction = direction, true) AS sector_agrees, coalesce({_BULL} >= 30, true) AS breadth_agrees, {_SCORE} AS weighted_score, structure, stage, {_POS} AS positional_qualified, {_CONV} AS high_conviction "
+    f"{_SCAN} JOIN breadth ON true JOIN wide ON true LEFT JOIN sector_map m ON m.symbol = g.symbol LEFT JOIN sec_dir x ON x.sector = m.sector"))
+OI_STATE = "symbol ts chg_15 chg_30 chg_60 accel accel_label structure stage break_signal accel_event price_chg_today oi_chg_today oi_day_chg"
+OI_D = "chg_15 chg_30 chg_60 accel price_chg_today oi_chg_today oi_day_chg"
+register("stream_oi_state", lambda s, d: out(streamed_oi(s, d), OI_STATE), sql(OI_STATE, "oi_state", OI_D))
 register("journal_resolve_stream", lambda s, d: out(streamed_resolve(s, d), "id return_pct mae status"), query("SELECT id, return_pct, mae, CASE WHEN return_pct IS NULL THEN 'open' ELSE 'resolved' END AS status FROM res"))
 register("oi_event_log", lambda s, d: out(streamed_oi_events(s, d), "symbol ts accel_label"), sql("symbol ts accel_label", "oi_state", "", "accel_event"))
-register("stream_multi_timeframe", streamed_frames, query(f"SELECT '60minute' AS timeframe, w.symbol, h.direction, CASE WHEN h.aligned >= 2 THEN h.aligned END AS param_tier, coalesce(index_direction = h.direction, true) AS index_agrees, h.signal_confirmed FROM watchlist w LEFT JOIN h_sig h ON w.symbol = h.symbol JOIN idx_dir ON true"))
-register("stream_scalp", lambda s, d: streamed_scalp(s, d).select("symbol", "votes", "direction", "action", "vol_confirmed"), None)
+_PANEL = "SELECT timeframe, symbol, direction, param_tier, index_agrees, signal_confirmed, close FROM"
+register("stream_multi_timeframe", streamed_frames, query(f"{_PANEL} fq_panel UNION ALL {_PANEL} fh_panel UNION ALL {_PANEL} fk_panel"))
+register("stream_scalp", lambda s, d: out(streamed_scalp(s, d), SCALP), _SCALP_SQL)
+register("alert_stream", lambda s, d: out(streamed_alerts(s, d), "symbol ts direction"), sql("symbol ts direction", "a_ret", "", "entry AND vol_confirmed"))
+register("news_stream", lambda s, d: streamed_articles(s, d).select("uuid", "title", "url"), query("SELECT DISTINCT uuid, title, url FROM flat"))
+register("news_cache_stream", lambda s, d: streamed_cache(s, d).select("symbol", "rank", "uuid", "url"), query(f"SELECT symbol, CAST(rank AS INTEGER) AS rank, uuid, url FROM {_CACHED} WHERE rank <= 3"))
 
 
 def _lit_day():

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-INDEX_NAMES = ("NIFTY", "BANKNIFTY", "FINNIFTY", "MIDCPNIFTY", "NIFTYNXT50", "SENSEX", "BANKEX", "NIFTYIT", "NIFTY50", "INDIAVIX")
+#: Names of futures whose underlying is an index.
+INDEX_NAMES = (
+    "NIFTY", "BANKNIFTY", "FINNIFTY", "MIDCPNIFTY", "NIFTYNXT50",
+    "NIFTY NEXT 50", "SENSEX", "BANKEX", "NIFTYIT", "NIFTY IT",
+)
+#: Articles of a fetch.
+FETCH = 50
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +61,11 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh part is an instrument of an index, of each in turn; row_id is the place in the dump, which lists the newest first."""
     p = read(spark, sf_dir, "part")
     key = F.col("p_partkey")
-    name = F.when(key % 11 == 0, F.lit("nifty")).otherwise(F.concat(F.lit("S"), (key % 10).cast("string")))
+    index = F.lower(F.element_at(F.array(*map(F.lit, INDEX_NAMES)), (F.floor(key / 11) % len(INDEX_NAMES) + 1).cast("int")))
+    name = F.when(key % 11 == 0, index).otherwise(F.concat(F.lit("S"), (key % 10).cast("string")))
     future = key % 3 == 0
     return p.select(
         F.when(future, "NFO").otherwise("NSE").alias("exchange"),
@@ -67,6 +75,7 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(future, F.concat(name, F.lit("-"), key.cast("string"))).otherwise(F.concat(name, F.when(key >= 30, F.concat(F.lit("_"), key.cast("string"))).otherwise(""))).alias("tradingsymbol"),
         key.alias("instrument_token"),
         F.date_add(F.lit("2024-01-25").cast("date"), (28 * (F.col("p_size") % 3)).cast("int")).alias("expiry"),
+        (-key).alias("row_id"),
     )
 
 
@@ -82,18 +91,32 @@ def oi_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    s = F.coalesce(F.col("quality") * 1.0, F.lit(0.0))
-    entity = lambda base, tail: F.struct(F.concat(base, F.lit(tail)).alias("symbol"), s.alias("sentiment_score"))
+    """Articles in the order of the feed (pos), in fetches of so many: an article of each document."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    d = read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    sentiment = F.coalesce(F.col("quality") * 1.0, F.lit(0.0))
     number = lambda c: c.cast("string")
+
+    def entity(prefix: str, n: Column, suffix: str) -> Column:
+        return F.struct(F.concat(F.lit(prefix), number(n), F.lit(suffix)).alias("symbol"), sentiment.alias("sentiment_score"))
+
+    uuid = F.md5(number(F.col("doc_id")).cast("binary"))
     return d.select(
-        F.md5(number(F.col("doc_id")).cast("binary")).alias("uuid"),
+        uuid.alias("uuid"),
         F.substring("text", 1, 80).alias("title"),
+        F.concat(F.lit("https://news.example/"), number(F.col("doc_id"))).alias("url"),
         "source",
+        F.date_format(F.timestamp_seconds(1706500000 + 60 * F.col("doc_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"),
         "doc_id",
-        F.array(
-            entity(F.concat(F.lit("S"), number(F.col("doc_id") % 10)), ".NS"),
-            entity(F.concat(F.lit("S"), number((F.col("doc_id") + 3) % 10)), ".BO"),
-            entity(F.concat(F.lit("X"), number(F.col("doc_id") % 7)), ".US"),
-        ).alias("entities"),
+        (-F.col("doc_id")).alias("pos"),
+        F.floor(F.col("doc_id") / FETCH).alias("fetch"),
+        F.array(entity("S", F.col("doc_id") % 10, ".NS"), entity("S", (F.col("doc_id") + 3) % 10, ".BO"), entity("X", F.col("doc_id") % 7, ".US"), entity("S", (F.col("doc_id") + 5) % 10, "")).alias("entities"),
     )
+
+
+def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fetched_at, data): what each fetch returned, a list of articles in the order of the feed."""
+    fields = ("uuid", "title", "url", "source", "published_at", "entities")
+    one = articles(spark, sf_dir).groupBy("fetch").agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("data"))
+    bare = F.transform("data", lambda a: F.struct(*(a[c].alias(c) for c in fields)))
+    return one.select(F.timestamp_seconds(1706500000 + 3600 * F.col("fetch")).alias("fetched_at"), bare.alias("data"))

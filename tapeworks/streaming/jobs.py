@@ -6,15 +6,18 @@ Sinks write each micro-batch to a folder of its own number, so a batch that runs
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tapeworks.operators import enrich, journal, oi, scalp, signal
+from tapeworks.functions.tables import written
+from tapeworks.operators import enrich, journal, news, scalp, signal
 from tapeworks.params import Params
+from tapeworks.sources import results
+from tapeworks.streaming.oi_state import ROCKS, oi_state_stream
 
 LATE = "10 minutes"
 
@@ -43,14 +46,28 @@ def stream_bars(ticks: DataFrame, minutes: int) -> DataFrame:
     return out.select("symbol", F.lit(f"{minutes}minute").alias("timeframe"), F.col("window.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def alert_stream(alerts: DataFrame, late: str = LATE) -> DataFrame:
-    """One alert for each symbol, timeframe, bar and direction."""
-    own = alerts.where("fresh_signal is not null and vol_confirmed and htf_agrees")
-    return own.withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "timeframe", "ts", "direction"])
+def alert_stream(rows: DataFrame, late: str = LATE) -> DataFrame:
+    """One alert for each symbol, timeframe, bar and fresh signal of a stream of signal rows (ts zoned).
+
+    A key is remembered until the watermark has passed its bar by ``late``, so the state is bounded; rows that come later than that give no alert.
+    """
+    return news.deserving(rows).withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "timeframe", "ts", "fresh_signal"])
+
+
+def news_stream(fetches: DataFrame, scope: DataFrame, late: str = "2 days") -> DataFrame:
+    """New articles on the symbols in scope, each once: (symbol, fetched_at, uuid, title, ...) from a stream of fetches.
+
+    An article's id is remembered for ``late`` after its fetch.  Of an article that names several symbols in scope, the first by the article's own order counts.
+    """
+    own = fetches.where("bad is null").withWatermark("fetched_at", late).select("fetched_at", F.explode("data").alias("a"))
+    names = F.transform("a.entities", lambda e: F.struct(news.bare_symbol(e["symbol"]).alias("symbol"), e["sentiment_score"].alias("sentiment")))
+    rows = own.select("fetched_at", *(f"a.{c}" for c in news.FIELDS), F.explode(names).alias("e")).select("fetched_at", *news.FIELDS, "e.symbol", "e.sentiment")
+    return rows.where("uuid is not null").join(scope.select("symbol").distinct(), "symbol", "left_semi").dropDuplicatesWithinWatermark(["uuid"])
 
 
-def news_stream(articles: DataFrame, time: str = "published_at", late: str = "2 days") -> DataFrame:
-    return articles.withWatermark(time, late).dropDuplicatesWithinWatermark(["uuid"])
+def news_cache_stream(fetches: DataFrame) -> DataFrame:
+    """Each symbol's list of articles, replaced by that of its latest fetch (update mode); the state is one list for each symbol."""
+    return news.news_cache(news.lists_by_symbol(fetches))
 
 
 def write_batches(stream: DataFrame, folder: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] = lambda df: df, interval: str | None = None) -> StreamingQuery:
@@ -59,8 +76,7 @@ def write_batches(stream: DataFrame, folder: str, checkpoint: str, work: Callabl
     def sink(batch: DataFrame, number: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return _start(stream, sink, checkpoint, interval)
 
 
 def latest(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
@@ -70,9 +86,23 @@ def latest(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("__x")).select(*keys, "__x.*")
 
 
-def stream_scan(trigger: DataFrame, read_bars: Callable[[], DataFrame], watchlist: DataFrame, p: Params, folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Every micro-batch of the trigger reads the bars anew and writes the screener's rows."""
-    return write_batches(trigger, folder, checkpoint, lambda _: signal.screener(read_bars(), watchlist, p), interval)
+def stream_scan(trigger: DataFrame, scan: Callable[[], tuple[DataFrame, str]], folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Every micro-batch of the trigger scans anew and publishes the enriched rows as a version; scan gives the rows and the time of the scan.
+
+    A batch that runs again publishes its version again; readers see the version before until its pointer is written.
+    """
+
+    def sink(_: DataFrame, number: int) -> None:
+        rows, at = scan()
+        results.publish(rows, folder, f"{at}-{number:06d}")
+        results.compact(rows.sparkSession, folder)
+
+    return _start(trigger, sink, checkpoint, interval)
+
+
+def _start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None, mode: str = "update") -> StreamingQuery:
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def frame_scan(bars: DataFrame, index_bars: DataFrame, watchlist: DataFrame, p: Params) -> DataFrame:
@@ -82,7 +112,7 @@ def frame_scan(bars: DataFrame, index_bars: DataFrame, watchlist: DataFrame, p:
 
 
 def stream_multi_timeframe(trigger: DataFrame, read_bars: Callable[[str], DataFrame], read_index: Callable[[str], DataFrame], watchlist: DataFrame, folder: str, checkpoint: str, intervals: dict[str, str | None]) -> list[StreamingQuery]:
-    """A scan of its own for each timeframe."""
+    """A scan of its own for each timeframe, at an interval of its own; the queries run beside each other."""
     return [
         write_batches(trigger, f"{folder}/{tf}", f"{checkpoint}/{tf}", lambda _, tf=tf: frame_scan(read_bars(tf), read_index(tf), watchlist, Params(timeframe=tf)), every)
         for tf, every in intervals.items()
@@ -94,50 +124,68 @@ def stream_scalp(trigger: DataFrame, read_bars: Callable[[], DataFrame], folder:
     return write_batches(trigger, folder, checkpoint, lambda _: scalp.scalp_signal(read_bars()), interval)
 
 
-def _oi_batches(samples: DataFrame, history: str, folder: str, checkpoint: str, interval: str | None, pick: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """New samples join the table at history; their state is computed from it and what pick takes of it is written.
-
-    A state needs the samples of the day and of the 150 minutes before, and the last ones of the days before: a
-    sample's structure and label are compared with the last that its symbol had, and its day with the last reading.
-    So a batch reads the days from its first sample's on, and of each symbol the last day before them.
-    """
-
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        past = batch.sparkSession.read.schema(T.StructType([*batch.schema, T.StructField("batch", T.LongType())])).parquet(history).where(F.col("batch") <= number).drop("batch")
-        first = batch.agg(F.to_date(F.min("ts")).alias("d")).first().d
-        if first is None:  # an empty batch
-            return
-        before = past.where(F.to_date("ts") < F.lit(first)).groupBy("symbol").agg(F.max(F.to_date("ts")).alias("last_day"))
-        near = past.join(before, "symbol", "left").where((F.to_date("ts") >= F.lit(first)) | (F.to_date("ts") >= F.date_sub("last_day", 1))).drop("last_day")
-        state = oi.oi_state(near).join(batch.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
-        pick(state).write.mode("overwrite").parquet(f"{folder}/batch={number}")
-
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return samples.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+def stream_oi_state(samples: DataFrame, folder: str, checkpoint: str, interval: str | None = None, pick: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+    """The state of each new sample, from the state that is kept for its symbol; what pick takes of it is written."""
+    conf, name = samples.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKS)  # list state needs it; a query takes its settings when it starts
+    try:
+        return write_batches(oi_state_stream(samples), folder, checkpoint, pick, interval)
+    finally:
+        conf.set(name, before)
 
 
-def stream_oi_state(samples: DataFrame, history: str, folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """The state of each new sample."""
-    return _oi_batches(samples, history, folder, checkpoint, interval, lambda state: state)
+def oi_event_log(samples: DataFrame, folder: str, checkpoint: str, timeframe: str, interval: str | None = None) -> StreamingQuery:
+    """An append-only log of the samples at which open interest has started to accelerate."""
+    columns = ("close", "oi", "oi_chg_today", "accel", "accel_label", "break_signal")
+    return stream_oi_state(samples, folder, checkpoint, interval, lambda state: state.where("accel_event").select("symbol", F.lit(timeframe).alias("timeframe"), "ts", *columns))
 
 
-def oi_event_log(samples: DataFrame, history: str, folder: str, checkpoint: str, timeframe: str, interval: str | None = None) -> StreamingQuery:
-    """An append-only log of the samples at which open interest has started to accelerate."""
-    events = lambda state: state.where("accel_event").select("symbol", F.lit(timeframe).alias("timeframe"), "ts", "close", "oi", "oi_chg_today", "accel", "accel_label", "break_signal")
-    return _oi_batches(samples, history, folder, checkpoint, interval, events)
+def open_trades(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame | None:
+    """The open trades as the batch before ``number`` (or the last one) left them; None before the first."""
+    found = sorted(n for n in _batches_in(spark, f"{folder}/open") if number is None or n < number)
+    return spark.read.parquet(f"{folder}/open/batch={found[-1]}") if found else None
 
 
-def publish(rows: DataFrame, folder: str, at: str) -> None:
-    """Result sink: a scan's rows as the version named at (a time that sorts); publishing it again replaces it."""
-    rows.write.mode("overwrite").parquet(f"{folder}/scan={at}")
+def _batches_in(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches that a folder holds whole."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [s.getPath() for s in fs.listStatus(path(folder))] if fs.exists(path(folder)) else []
+    return [int(p.getName().removeprefix("batch=")) for p in there if fs.exists(path(p, "_SUCCESS"))]
 
 
-def published(spark: SparkSession, folder: str) -> DataFrame:
-    """Result source: the rows of the latest version, with its name as scan."""
-    rows = spark.read.parquet(folder).withColumn("scan", F.col("scan").cast("string"))
-    return rows.join(F.broadcast(rows.agg(F.max("scan").alias("scan"))), "scan")  # one row
+def journal_resolve_stream(trades: DataFrame, read_bars: Callable[[dt.datetime], DataFrame], folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Every micro-batch adds the trades that it brings to the open ones and resolves those that have enough later bars.
 
+    The journal is parted by status: a batch reads the open trades as the batch before left them and the bars from the oldest open signal on
+    (read_bars takes that time), writes what it resolves to a folder of its own, and rewrites the open part alone.
+    Resolved trades aren't read again, so a batch costs what is open, not what was ever logged.  Open versions older than the last two are dropped.
+    """
 
-def journal_resolve_stream(trigger: DataFrame, read_open: Callable[[], DataFrame], read_bars: Callable[[], DataFrame], folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    return write_batches(trigger, folder, checkpoint, lambda _: journal.forward_resolve(read_open(), read_bars()), interval)
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = open_trades(spark, folder, number)
+        due = batch if before is None else before.select(*batch.columns).unionByName(batch)
+        oldest = due.agg(F.min("signal_time").alias("t")).first().t
+        if oldest is not None:
+            done = written(journal.forward_resolve(due, read_bars(oldest)))
+            done.where("status = 'resolved'").write.mode("overwrite").parquet(f"{folder}/resolved/batch={number}")
+            due = done.where("status = 'open'")
+        due.write.mode("overwrite").parquet(f"{folder}/open/batch={number}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for old in _batches_in(spark, f"{folder}/open"):
+            if old < number - 1:
+                at = path(f"{folder}/open/batch={old}")
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    return _start(trades, sink, checkpoint, interval)
+
+
+def read_journal(spark: SparkSession, folder: str) -> DataFrame:
+    """All trades: the resolved ones, and the open ones as the last batch left them."""
+    now = open_trades(spark, folder)
+    if not _batches_in(spark, f"{folder}/resolved"):
+        return now
+    done = spark.read.option("mergeSchema", True).parquet(f"{folder}/resolved").drop("batch")
+    return done.unionByName(now, allowMissingColumns=True)

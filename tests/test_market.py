@@ -209,18 +209,3 @@ def test_weights_are_stored_and_even_where_none_are(spark, tmp_path):
     for w in (0.1, 0.4):
         replay.store_weights(spark.createDataFrame([("rsi_cross", w)], "param string, weight double"), str(tmp_path / "w"))
     assert [tuple(r) for r in replay.load_weights(spark, str(tmp_path / "w")).collect()] == [("rsi_cross", 0.4)]
-
-
-def test_oi_stream_goes_on_after_a_restart(spark, tmp_path):
-    from tapeworks.sources.market import oi_samples
-
-    own = oi_samples(spark, DATA).cache()
-    edge = own.agg(F.percentile_approx(F.unix_seconds(F.col("ts").cast("timestamp")), 0.5)).first()[0]
-    late = F.unix_seconds(F.col("ts").cast("timestamp")) > edge
-    stream = lambda: spark.readStream.schema(own.schema).parquet(str(tmp_path / "in"))
-    for part in (~late, late):
-        own.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        jobs.stream_oi_state(stream(), str(tmp_path / "past"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    cols = ["symbol", "ts", "accel_label", "structure", "stage", "accel_event", "oi_day_chg"]
-    got, want = jobs.latest(spark, str(tmp_path / "out"), "symbol", "ts").select(cols), oi.oi_state(own).select(cols)
-    assert got.count() == want.count() and got.exceptAll(want).count() == 0
