@@ -126,7 +126,7 @@ def test_oi_state_goes_on_after_a_restart_and_stays_small(spark, tmp_path):
         own.where(part).write.mode("append").parquet(path["in"])
         jobs.stream_oi_state(spark.readStream.schema(own.schema).parquet(path["in"]), path["out"], path["state"]).awaitTermination()
     cols = ["symbol", "ts", "accel_label", "structure", "stage", "break_signal", "accel_event", "chg_15", "chg_30", "chg_60", "oi_day_chg"]
-    got, want = spark.read.parquet(path["out"]).cache(), oi.oi_state(own).select(cols)
+    got, want = spark.read.parquet(path["out"]), oi.oi_state(own).select(cols)
     rounded = lambda df: df.select(*(F.round(c, 9).alias(c) if c.startswith(("chg", "oi_")) else F.col(c) for c in cols))
     assert got.count() == want.count() and rounded(got).exceptAll(rounded(want)).count() == 0
     assert got.agg(F.max("kept")).first()[0] <= 51  # a reading each 3 minutes of 150
