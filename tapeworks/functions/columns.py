@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 KEYS = ("symbol",)
+_ORDER: ContextVar[tuple[str, ...]] = ContextVar("order", default=("ts",))
+
+
+@contextmanager
+def time_order(*columns: str) -> Iterator[None]:
+    """Windows that by_time makes meanwhile go by these columns, which must order rows as ts does; so they share the sort of windows that need them."""
+    token = _ORDER.set(columns)
+    try:
+        yield
+    finally:
+        _ORDER.reset(token)
 
 
 def by_time(*keys: str):
     """Rows of a symbol in the order of time."""
-    return Window.partitionBy(*(keys or KEYS)).orderBy("ts")
+    return Window.partitionBy(*(keys or KEYS)).orderBy(*_ORDER.get())
 
 
 def above(a: Column, b: Column) -> Column:

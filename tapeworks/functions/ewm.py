@@ -20,6 +20,41 @@ def span_alpha(span: int) -> float:
     return 2.0 / (span + 1)
 
 
+#: A block's weights span so many e-folds at most, and what is older than so many leaves nothing.
+SPAN, GONE = 600, 40
+
+
+def shared_rows(alphas: list[float]) -> int | None:
+    """Rows of a block that does for means of all these weights; None if none does."""
+    decay = [-math.log1p(-a) for a in alphas if a < 1]
+    rows = int(SPAN / max(decay)) if decay else None
+    return rows if rows and rows * min(decay) >= GONE else None
+
+
+def ewm_shared(df: DataFrame, specs: dict[str, tuple], rows: int) -> DataFrame:
+    """As ewm by symbol, for df with ``__row`` (from 0, by time) and ``__b``, which is __row by blocks of shared_rows; nulls may only lead.
+
+    Within time_order("__b", "ts") its windows need no sort but that of the blocks.
+    """
+    w = by_time()
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*KEYS, "__b").orderBy("ts")
+    k = F.col("__row") % rows
+    df = df.withColumns({f"__n_{c}": F.count(c).over(w) - 1 for c in {spec[0] for spec in specs.values()}})
+    slow = {name: (c, a, -math.log1p(-a)) for name, (c, a, *_) in specs.items() if a < 1}
+    weight = lambda c, a: F.when(F.col(f"__n_{c}") == 0, 1.0).otherwise(a)
+    df = df.withColumns({f"__p_{name}": F.sum(weight(c, a) * F.col(c) * F.exp(k * d)).over(inside) * F.exp(-k * d) for name, (c, a, d) in slow.items()})
+    result = {}
+    for name, (c, _, least, *_) in specs.items():
+        value = F.col(c)
+        if name in slow:
+            p = F.col(f"__p_{name}")
+            carried = F.last(F.when(k == rows - 1, p), ignorenulls=True).over(before)
+            value = p + F.coalesce(carried, F.lit(0.0)) * F.exp(-(k + 1) * slow[name][2])
+        result[name] = F.when((F.col(f"__n_{c}") + 1 >= least) & F.col(c).isNotNull(), value)
+    return df.withColumns(result).drop(*(f"__n_{spec[0]}" for spec in specs.values()), *(f"__p_{name}" for name in slow))
+
+
 def ewm(df: DataFrame, specs: dict[str, tuple], keys: tuple[str, ...] = KEYS) -> DataFrame:
     """df with a column for each spec: name -> (column, a, least[, counter]).
 
@@ -30,12 +65,12 @@ def ewm(df: DataFrame, specs: dict[str, tuple], keys: tuple[str, ...] = KEYS) ->
     w = by_time(*keys)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     decay = {name: -math.log1p(-spec[1]) for name, spec in specs.items() if spec[1] < 1}
-    size = {name: int(600 / q) for name, q in decay.items()}
+    size = {name: int(SPAN / q) for name, q in decay.items()}
     number = {name: f"__n_{spec[3]}" for name, spec in specs.items()}
     block = {name: f"__b_{name}" for name in decay}
     for counter in {spec[3] for spec in specs.values()}:
         own = [name for name in decay if specs[name][3] == counter]
-        if own and min(size[x] for x in own) * min(decay[x] for x in own) >= 40:
+        if own and min(size[x] for x in own) * min(decay[x] for x in own) >= GONE:
             shortest = min(size[x] for x in own)
             size |= {x: shortest for x in own}
             block |= {x: block[own[0]] for x in own}

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import above, by_time, pct_change, ratio, yes
-from tapeworks.functions.ewm import ewm, span_alpha
+from tapeworks.functions.columns import above, by_time, pct_change, ratio, time_order, yes
+from tapeworks.functions.ewm import ewm, ewm_shared, shared_rows, span_alpha
 from tapeworks.params import Params
 
 CMF_LENGTH, VOLUME_LENGTH, LEAST_VOLUMES, TREND_LOOKBACK = 20, 20, 5, 5
@@ -187,13 +187,37 @@ def means(df: DataFrame, p: Params, mean: Callable[[DataFrame, dict], DataFrame]
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__up", "__down", "__plus", "__minus", "__gain", "__loss", "__fast", "__slow", "__str", "__sp", "__sm", "__dx")
 
 
+def weights(p: Params) -> list[float]:
+    """What a new value counts for in each of the means."""
+    return [1 / p.rsi_length, 1 / p.atr_length, 1 / p.adx_length, *(span_alpha(s) for s in (*p.macd_spans(), p.ema_length))]
+
+
 def indicator_series(bars: DataFrame, p: Params = Params()) -> DataFrame:
-    """All indicator columns; ``error`` names what is missing where a symbol has too few bars."""
-    df = bars.withColumn("n_bars", F.count("*").over(Window.partitionBy("symbol")))
+    """All indicator columns; ``error`` names what is missing where a symbol has too few bars.
+
+    Where one length of block does for all means, every window but those of sessions and of the rows' numbers goes by symbol, block and time, and so by one sort.
+    """
+    rows = shared_rows(weights(p))
+    df = session_vwap(bars)
+    if rows is None:
+        return _series(df, p, ewm).select(*bars.columns, *SERIES)
+    df = df.withColumn("__row", F.row_number().over(by_time()) - 1).withColumn("__b", F.floor(F.col("__row") / rows))
+    with time_order("__b", "ts"):
+        df = _series(df, p, lambda d, specs: ewm_shared(d, specs, rows))
+    return df.select(*bars.columns, *SERIES)
+
+
+SERIES = (
+    "n_bars error tr ema atr rsi macd macd_signal adx macd_hist rsi_smooth bb_mid bb_upper bb_lower vol_avg rel_volume cmf rsi_up rsi_dn macd_up macd_dn ema_up ema_dn vwap "
+    "candle_pattern candle_direction align anchor avwap"
+).split()
+
+
+def _series(df: DataFrame, p: Params, mean: Callable[[DataFrame, dict], DataFrame]) -> DataFrame:
+    df = df.withColumn("n_bars", F.count("*").over(Window.partitionBy("symbol")))
     df = df.withColumn("error", F.when(F.col("n_bars") < least_bars(p), "not enough candles"))
-    df = means(df, p)
+    df = means(df, p, mean)
     df = df.withColumn("rsi_smooth", full_mean("rsi", p.rsi_smooth))
     df = cmf(volumes(bollinger(df, p.bb_length)))
     df = crossings(df, {"rsi": ("rsi", "rsi_smooth"), "macd": ("macd", "macd_signal"), "ema": ("ema", "bb_mid")})
-    df = candle_pattern(session_vwap(df))
-    return anchored_vwap(trend_anchor(align_count(df)))
+    return anchored_vwap(trend_anchor(align_count(candle_pattern(df))))
