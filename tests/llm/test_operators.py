@@ -617,7 +617,7 @@ def test_added_personal_data_needs_checks_and_context(spark):
     cases = {
         "iban GB82 WEST 1234 5698 7654 32 ok": ["iban"], "iban GB83 WEST 1234 5698 7654 32 bad": [], "ssn 219-09-9999": ["ssn"], "part 219-09-9999": [], "ssn 000-12-3456": [],
         f"DNI {dni(12345678)}": ["dni"], f"x {dni(12345678)[:-1]}A": [], "mac 00:1A:2b:3c:4d:5e.": ["mac"], "00:00:00:00:00:00": [], "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334": ["ipv6"],
-        "routing 021000021": ["route"], "number 021000021": [], "routing 021000022": [], 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"': ["secret"], 'commit "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"': [], "token aaaaaaaaaaaaaaaaaaaaaaaaaaaa": [],
+        "routing 021000021": ["route"], "number 021000021": [], "routing 021000022": [], 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"': ["secret"], 'commit "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"': [], "token aaaaaaaaaaaaaaaaaaaaaaaaaaaa": [], f'token = "{"f3ef4d6b2755a36d" * 200}"': ["secret"],
     }
     d = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").withColumn("__gaps_email", F.lit(1))
     found = pii.find(d)
