@@ -34,7 +34,7 @@ LINE_WORDS, WINDOW, PASSAGE_WORDS = 8, 11, 20
 #: Text of a block of documents within which repeats are told apart at once.
 BLOCK_BYTES = 2_000_000
 #: Occurrences in a block from which a task remembers a digest, and how many digests it remembers.
-OFTEN, REMEMBERED = 4, 500_000
+OFTEN, REMEMBERED = 4, 150_000
 _KNOWN = -(2**63)
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
