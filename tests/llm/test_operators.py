@@ -389,22 +389,29 @@ def test_quality_bands_equal_brute_force(spark):
         labels.append((i, int(good), 0))
     noise = " ".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(300))
     mixed = " ".join(rng.choice(fresh) for _ in range(1500)) + " " + " ".join(rng.choice(few) + str(rng.randrange(3)) for _ in range(1500))
-    rows += [(900, noise), (901, mixed), (902, None), (903, "")]
+    long = [rng.choice(fresh) for _ in range(60000)]
+    tail = " ".join(long[:5000]) + " " + " ".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(20))
+    rows += [(900, noise), (901, mixed), (902, None), (903, ""), (904, " ".join(long)), (905, " ".join(long[:60] * 1000)), (906, tail[: 9 * quality.CHUNK_BYTES + 9] + tail[-1000:])]
     d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     bands = quality.fit_bands(d, lab)
     assert bands != quality.DEFAULT and quality.fit_bands(d, lab.where("false")) == quality.DEFAULT
     compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
-    usual = lambda size: float(np.interp(math.log2(size), bands.knots, bands.usual))
+    usual = lambda size: float(np.interp(math.log2(size), bands.knots, bands.usual)) + bands.rise * max(0, math.log2(size) - bands.knots[-1])
     got = {r.doc_id: r for r in quality.op8_compression_bands(d, lab).collect()}
     for i, t in rows:
         raw = (t or "").encode()
-        chunks = [raw[k : k + quality.CHUNK_BYTES] for k in range(0, len(raw), quality.CHUNK_BYTES)]
-        parts = [len(c) / len(compress(c)) / usual(len(c)) for c in chunks if len(c) >= quality.CHUNK_BYTES // 2]
-        whole = not raw or math.log2(len(raw)) > bands.longest or bands.whole[0] <= len(raw) / len(compress(raw)) / usual(len(raw)) <= bands.whole[1]
+        n = quality.CHUNK_BYTES
+        chunks = [raw[k : k + n] for k in range(0, len(raw) - n + 1, n)] + ([raw[-n:]] if len(raw) >= n else [])
+        parts = [len(c) / len(compress(c)) / usual(len(c)) for c in chunks]
+        whole = not raw or bands.whole[0] <= len(raw) / len(compress(raw)) / usual(len(raw)) <= bands.whole[1]
         assert got[i].kept == (not got[i].base_failed and whole and all(bands.chunk[0] <= x <= bands.chunk[1] for x in parts)), i
     held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 == 0 and not got[i].base_failed]
     assert all(got[i].kept for i in held if i % 5) and not any(got[i].kept for i in held if i % 5 == 0)
     assert not got[900].kept and not got[901].kept
+    assert max(len(t) for _, t in rows[:500]) < 150_000 < len(rows[-3][1]) and got[904].kept and not got[905].kept  # longer than all that taught
+    assert not got[906].base_failed and not got[906].kept  # only its last thousand bytes are random
+    again = spark.createDataFrame([(i, f"~{t}") for i, t in rows[:500]], "doc_id long, text string").unionByName(d)
+    assert quality.fit_bands(again.repartition(7), lab) == bands  # of a repeated id, the least text
 
 
 def test_toxicity_on_held_out_documents(spark):
