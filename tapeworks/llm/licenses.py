@@ -1,14 +1,16 @@
 """Operator 10: license scans by ordered signature rules.
 
-A text becomes its lower-cased words joined by single blanks.  Every family of licenses gives several signature rules
-(an SPDX tag, a notice, a versioned name, an address, a bare mention), in order of priority.  A rule is tried only if
+A text becomes its lower-cased words joined by single blanks.  ``TEXTS`` and ``SIGNATURES`` are signatures of license texts:
+titles, grants, conditions and disclaimers, by license and version.  Every family of licenses gives rules for its
+name as well (an SPDX tag, a notice, a versioned name, an address, a bare mention), in order of priority.  A rule is tried only if
 one of its keywords occurs (every wording that it matches holds one), which one Aho-Corasick pass over the text decides
 for all rules.  Detections are taken by priority,
 then length; one whose interval lies within that of a detection already taken is suppressed.  Signatures of license
 texts come after tags and before notices.  Time is in proportion to a text's length, but for a logarithm.
 
 The base phrases are counted and labelled whatever the rules find.  A null or empty text has no words, no labels and
-score 0; a repeated row has the same result each time.
+score 0; a repeated row has the same result each time; an empty table gives an empty one.  Columns of the documents that
+are named as ``scan``'s own are replaced.
 """
 
 from __future__ import annotations
@@ -149,6 +151,295 @@ TEXTS = (
     ("odbl", "database", "you are free to copy distribute and use the database"),
     ("llama", "materials", "use of the llama materials"),
 )
+#: Labels, by license and version where the text tells it, and wordings that only its texts, titles or notices have: titles first, then
+#: grants, conditions and disclaimers.  A signature's keyword is its longest word.
+SIGNATURES = {
+    "apache": (
+        "you must give any other recipients of the work or derivative works a copy of this license",
+        "this license does not grant permission to use the trade names trademarks service marks or product names of the licensor",
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    "apache-1.0": ("this product includes software developed by the apache group for use in the apache http server project",),
+    "apache-1.1": (
+        "the apache software license version 1 1",
+        "this product includes software developed by the apache software foundation",
+        "the names apache and apache software foundation must not be used to endorse or promote products derived from this software",
+    ),
+    "apache-2.0": (
+        "apache license version 2 0 january 2004",
+        "licensed under the apache license version 2 0 the license",
+        "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license",
+        "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license",
+        "you must cause any modified files to carry prominent notices stating that you changed the files",
+        "if the work includes a notice text file as part of its distribution",
+        "any contribution intentionally submitted for inclusion in the work by you to the licensor shall be under the terms and conditions of this license",
+        "unless required by applicable law or agreed to in writing licensor provides the work",
+    ),
+    "mit": (
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise",
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    "mit-0": ("mit no attribution",),
+    "bsd": (
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties",
+        "this software is provided by the regents and contributors as is and any express or implied warranties",
+        "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services",
+        "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software",
+    ),
+    "bsd-3": (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
+        "neither the name of the university nor the names of its contributors may be used to endorse or promote products",
+    ),
+    "bsd-4": ("all advertising materials mentioning features or use of this software must display the following acknowledgement",),
+    "isc": (
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software",
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits",
+    ),
+    "hpnd": (
+        "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted",
+        "both that copyright notice and this permission notice appear in supporting documentation",
+    ),
+    "gpl": (
+        "you should have received a copy of the gnu general public license along with this program",
+        "this program comes with absolutely no warranty for details type show w",
+        "this is free software and you are welcome to redistribute it under certain conditions",
+    ),
+    "gpl-1": ("gnu general public license version 1 february 1989",),
+    "gpl-2": (
+        "gnu general public license version 2 june 1991",
+        "under the terms of the gnu general public license as published by the free software foundation either version 2",
+        "the licenses for most software are designed to take away your freedom to share and change it",
+        "you may copy and distribute verbatim copies of the program s source code as you receive it in any medium",
+        "you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program",
+        "activities other than copying distribution and modification are not covered by this license they are outside its scope",
+        "you are not required to accept this license since you have not signed it",
+        "because the program is licensed free of charge there is no warranty for the program to the extent permitted by applicable law",
+    ),
+    "gpl-3": (
+        "gnu general public license version 3 29 june 2007",
+        "under the terms of the gnu general public license as published by the free software foundation either version 3",
+        "the gnu general public license is a free copyleft license for software and other kinds of works",
+        "the licenses for most software and other practical works are designed to take away your freedom to share and change the works",
+        "to propagate a work means to do anything with it that without permission would make you directly or secondarily liable for infringement",
+        "no covered work shall be deemed part of an effective technological measure under any applicable law",
+        "you may convey verbatim copies of the program s source code as you receive it in any medium",
+        "you may convey a covered work in object code form under the terms of sections 4 and 5",
+        "each time you convey a covered work the recipient automatically receives a license from the original licensors",
+    ),
+    "lgpl": (
+        "you should have received a copy of the gnu lesser general public license along with this",
+        "this library is distributed in the hope that it will be useful but without any warranty",
+        "a program that contains no derivative of any portion of the library but is designed to work with the library",
+    ),
+    "lgpl-2": (
+        "gnu library general public license version 2 june 1991",
+        "you should have received a copy of the gnu library general public license along with this",
+    ),
+    "lgpl-2.1": (
+        "gnu lesser general public license version 2 1 february 1999",
+        "this license the lesser general public license applies to some specially designated software packages",
+    ),
+    "lgpl-3": (
+        "gnu lesser general public license version 3 29 june 2007",
+        "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license",
+        "a combined work is a work produced by combining or linking an application with the library",
+    ),
+    "agpl-3": (
+        "gnu affero general public license version 3 19 november 2007",
+        "the gnu affero general public license is a free copyleft license for software and other kinds of works",
+        "you should have received a copy of the gnu affero general public license along with this program",
+        "specifically designed to ensure cooperation with the community in the case of network server software",
+        "an opportunity to receive the corresponding source of your version by providing access to the corresponding source from a network server at no charge",
+    ),
+    "gfdl": (
+        "the purpose of this license is to make a manual textbook or other functional and useful document free in the sense of freedom",
+        "with no invariant sections no front cover texts and no back cover texts",
+        "a transparent copy of the document means a machine readable copy",
+    ),
+    "gfdl-1.1": ("gnu free documentation license version 1 1 march 2000",),
+    "gfdl-1.2": ("gnu free documentation license version 1 2 november 2002",),
+    "gfdl-1.3": ("gnu free documentation license version 1 3 3 november 2008",),
+    "mpl-1.1": (
+        "the contents of this file are subject to the mozilla public license version 1 1",
+        "the initial developer hereby grants you a world wide royalty free non exclusive license subject to third party intellectual property claims",
+        "see the license for the specific language governing rights and limitations under the license",
+    ),
+    "mpl-2.0": (
+        "subject to the terms of the mozilla public license v 2 0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at",
+        "this source code form is incompatible with secondary licenses as defined by the mozilla public license",
+        "all distribution of covered software in source code form including any modifications that you create or to which you contribute must be under the terms of this license",
+    ),
+    "npl": ("the contents of this file are subject to the netscape public license",),
+    "epl": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        "the accompanying program is provided under the terms of this eclipse public license",
+        "a contributor may choose to distribute the program in object code form under its own license agreement",
+        "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement",
+    ),
+    "cpl": ("the accompanying program is provided under the terms of this common public license",),
+    "ipl": ("the accompanying program is provided under the terms of this ibm public license", "ibm public license version 1 0"),
+    "cddl": (
+        "when distributing covered code include this cddl header in each file",
+        "you may obtain a copy of the license at usr src opensolaris license",
+    ),
+    "cddl-1.0": ("common development and distribution license cddl version 1 0",),
+    "cddl-1.1": ("common development and distribution license cddl version 1 1",),
+    "creative-commons": (
+        "the licensor cannot revoke these freedoms as long as you follow the license terms",
+        "you may not apply legal terms or technological measures that legally restrict others from doing anything the license permits",
+        "copy and redistribute the material in any medium or format",
+        "the work as defined below is provided under the terms of this creative commons public license",
+        "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons",
+    ),
+    "cc-by-2.0": ("creative commons attribution 2 0 generic",),
+    "cc-by-3.0": ("creative commons attribution 3 0 unported", "creative commons attribution 3 0 united states"),
+    "cc-by-4.0": ("creative commons attribution 4 0 international",),
+    "cc-by-sa": ("if you remix transform or build upon the material you must distribute your contributions under the same license as the original",),
+    "cc-by-sa-2.0": ("creative commons attribution sharealike 2 0 generic", "creative commons attribution share alike 2 0 generic"),
+    "cc-by-sa-3.0": ("creative commons attribution sharealike 3 0 unported", "creative commons attribution share alike 3 0 unported"),
+    "cc-by-sa-4.0": ("creative commons attribution sharealike 4 0 international", "creative commons attribution share alike 4 0 international"),
+    "cc-by-nc-3.0": ("creative commons attribution noncommercial 3 0 unported", "creative commons attribution non commercial 3 0 unported"),
+    "cc-by-nc-4.0": ("creative commons attribution noncommercial 4 0 international", "creative commons attribution non commercial 4 0 international"),
+    "cc-by-nd-3.0": ("creative commons attribution noderivs 3 0 unported",),
+    "cc-by-nd-4.0": ("creative commons attribution noderivatives 4 0 international", "creative commons attribution no derivatives 4 0 international"),
+    "cc-by-nc-sa-3.0": ("creative commons attribution noncommercial sharealike 3 0 unported",),
+    "cc-by-nc-sa-4.0": ("creative commons attribution noncommercial sharealike 4 0 international",),
+    "cc-by-nc-nd-3.0": ("creative commons attribution noncommercial noderivs 3 0 unported",),
+    "cc-by-nc-nd-4.0": ("creative commons attribution noncommercial noderivatives 4 0 international",),
+    "cc0-1.0": (
+        "cc0 1 0 universal",
+        "the person who associated a work with this deed has dedicated the work to the public domain",
+        "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright and related rights",
+    ),
+    "public-domain": (
+        "this file has been put into the public domain",
+        "this work has been released into the public domain by its author",
+        "is a work of the united states government and is not subject to copyright protection",
+        "no copyright is claimed in the united states under title 17",
+    ),
+    "boost-1.0": (
+        "boost software license version 1 0 august 17th 2003",
+        "distributed under the boost software license version 1 0",
+        "unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor",
+    ),
+    "zlib": (
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        "this notice may not be removed or altered from any source distribution",
+    ),
+    "libpng": ("the png reference library is supplied as is", "the contributing authors and group 42 inc disclaim all warranties"),
+    "unlicense": (
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary",
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
+        "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors",
+    ),
+    "wtfpl-2": (
+        "do what the fuck you want to public license version 2 december 2004",
+        "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    ),
+    "beerware": ("as long as you retain this notice you can do whatever you want with this stuff",),
+    "ofl-1.1": (
+        "sil open font license version 1 1 26 february 2007",
+        "this font software is licensed under the sil open font license version 1 1",
+        "neither the font software nor any of its individual components in original or modified versions may be sold by itself",
+        "no modified version of the font software may use the reserved font name",
+    ),
+    "artistic-1.0": (
+        "you may otherwise modify your copy of this package in any way provided that you insert a prominent notice in each changed file",
+        "you may charge a reasonable copying fee for any distribution of this package",
+    ),
+    "artistic-2.0": (
+        "the artistic license 2 0",
+        "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed",
+    ),
+    "afl-3.0": ("licensed under the academic free license version 3 0", "this academic free license the license applies to any original work of authorship"),
+    "osl-3.0": ("licensed under the open software license version 3 0", "this open software license the license applies to any original work of authorship"),
+    "ecl-2.0": ("licensed under the educational community license version 2 0",),
+    "ms-pl": ("this license governs use of the accompanying software if you use the software you accept this license",),
+    "python": (
+        "this license agreement is between the python software foundation psf and the individual or organization licensee",
+        "psf is making python available to licensee on an as is basis",
+        "licensee may not use psf trademarks or trade name in a trademark sense to endorse or promote products or services of licensee",
+    ),
+    "php": ("this product includes php software freely available from",),
+    "php-3.01": ("the php license version 3 01",),
+    "openssl": (
+        "the names openssl toolkit and openssl project must not be used to endorse or promote products",
+        "products derived from this software may not be called openssl nor may openssl appear in their names",
+    ),
+    "ssleay": ("this product includes cryptographic software written by eric young",),
+    "postgresql": (
+        "in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages",
+        "the university of california has no obligations to provide maintenance support updates enhancements or modifications",
+    ),
+    "x11": (
+        "except as contained in this notice the name of the x consortium shall not be used in advertising",
+        "in no event shall the x consortium be liable for any claim damages or other liability",
+    ),
+    "ncsa": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers",),
+    "w3c": (
+        "w3c software notice and license",
+        "by obtaining using and or copying this work you the licensee agree that you have read understood and will comply",
+    ),
+    "odbl": (
+        "is made available under the open database license",
+        "any rights in individual contents of the database are licensed under the database contents license",
+    ),
+    "pddl": ("is made available under the public domain dedication and license",),
+    "eupl": ("this european union public licence the eupl applies to the work",),
+    "eupl-1.1": ("licensed under the eupl version 1 1",),
+    "eupl-1.2": ("licensed under the eupl version 1 2",),
+    "cecill": ("license under french law and abiding by the rules of distribution of free software",),
+    "sspl-1": (
+        "server side public license version 1 october 16 2018",
+        "if you make the functionality of the program or a modified version available to third parties as a service you must make the service source code available",
+    ),
+    "busl-1.1": (
+        "business source license 1 1",
+        "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work",
+    ),
+    "elastic-2.0": (
+        "you may not provide the software to third parties as a hosted or managed service",
+        "you may not move change disable or circumvent the license key functionality in the software",
+    ),
+    "llama-2": ("llama 2 community license agreement",),
+    "llama-3": ("meta llama 3 community license agreement", "built with meta llama 3"),
+    "llama": ("monthly active users of the products or services made available by or for licensee",),
+    "rail": (
+        "you agree not to use the model or derivatives of the model",
+        "in any way that violates any applicable national federal state local or international law or regulation",
+    ),
+    "polyform": ("any noncommercial purpose is a permitted purpose",),
+    "upl-1.0": ("the universal permissive license upl version 1 0",),
+    "blueoak-1.0": (
+        "blue oak model license version 1 0 0",
+        "each contributor licenses you to do everything with this software that would otherwise infringe that contributor s copyright in it",
+    ),
+    "mulan-2": ("mulan permissive software license version 2",),
+    "ogl-3.0": ("contains public sector information licensed under the open government licence v3 0",),
+    "freetype": ("portions of this software are copyright the freetype project",),
+    "ijg": ("this software is based in part on the work of the independent jpeg group",),
+    "unicode": ("to any person obtaining a copy of the unicode data files and any associated documentation",),
+    "sleepycat": ("redistributions in any form must be accompanied by information on how to obtain complete source code for the db software",),
+    "qpl-1.0": ("the q public license version 1 0",),
+    "lppl": ("this work may be distributed and or modified under the conditions of the latex project public license", "this work has the lppl maintenance status"),
+    "zpl-2.1": ("zope public license zpl version 2 1",),
+    "apsl": ("that are subject to the apple public source license",),
+    "proprietary": (
+        "this software is the confidential and proprietary information of",
+        "you shall not disclose such confidential information and shall use it only in accordance with the terms of the license agreement",
+        "the software is licensed not sold",
+        "you may not reverse engineer decompile or disassemble the software",
+        "use duplication or disclosure by the government is subject to restrictions",
+        "this end user license agreement is a legal agreement between you and",
+    ),
+}
 _LICENSE = "(?: licen[sc]es?)"
 _NAMED = {"gpl", "lgpl", "agpl", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd", "cc0", "public-domain", "reserved", "odbl", "wtfpl", "unlicense", "mpl", "cddl", "eupl", "proprietary"}
 _VERSION = r"(?: (?:version|v|ver))?(?: v?(?P<version>[0-9](?: [0-9]{1,2})?))"
@@ -175,7 +466,8 @@ def rules() -> tuple[tuple[str, str, int, float, re.Pattern], ...]:
         for kind, priority, sure in KINDS:
             if bodies[kind] and not (kind == "mention" and label in _COMMON):
                 out.append((label, address.split()[0] if kind == "address" else keywords, priority, sure, re.compile(f"(?<= )(?:{bodies[kind]})(?= )")))
-    out += [(label, keyword, TEXT_PRIORITY, TEXT_SURE, re.compile(f"(?<= )(?:{phrase})(?= )")) for label, keyword, phrase in TEXTS]
+    texts = [*TEXTS, *((label, max(phrase.split(), key=len), phrase) for label, own in SIGNATURES.items() for phrase in own)]
+    out += [(label, keyword, TEXT_PRIORITY, TEXT_SURE, re.compile(f"(?<= )(?:{phrase})(?= )")) for label, keyword, phrase in texts]
     return tuple(sorted(out, key=lambda r: r[2]))
 
 

@@ -520,6 +520,26 @@ def wordings(pattern):
     return sorted(set(ways(re._parser.parse(pattern))))
 
 
+def test_license_signatures():
+    own = [(label, phrase) for label, phrases in licenses.SIGNATURES.items() for phrase in phrases]
+    assert len({p for _, p in own}) == len(own) and len(own) + len(licenses.TEXTS) > 200
+    for label, phrase in own:
+        w = phrase.split()
+        assert re.fullmatch("[a-z0-9 ]+", phrase)
+        for text in (phrase, f"so {phrase} x", ", ".join(w).upper(), "\n * ".join(w)):
+            joined = licenses.words_of(text)[1]
+            found = licenses.detect(joined)
+            held = [x for x in own if f" {x[1]} " in joined]  # another signature may hold this one
+            assert label in {x[0] for x in found} or any(len(x[1]) > len(phrase) for x in held), phrase
+            assert found == licenses.detect(joined, every=True)
+        i = len(w) // 2
+        for other in (w[:i] + w[i + 1 :], [*w[:i], "otherwise", *w[i:]], w[1:] + w[:1], [w[0] + "s", *w[1:]], w[:-1]):
+            joined = licenses.words_of(" ".join(other))[1]
+            rule = [r for r in licenses.rules() if r[4].pattern == f"(?<= )(?:{phrase})(?= )"]
+            assert len(rule) == 1 and rule[0][0] == label and not rule[0][4].search(joined) and licenses.detect(joined) == licenses.detect(joined, every=True)
+    assert [x[0] for x in licenses.detect(licenses.words_of("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007")[1])] == ["gpl-3"]
+
+
 def test_license_keywords_lose_no_wording():
     for label, _, name, address in licenses.FAMILIES:
         for phrase in wordings(name) + (wordings(address) if address else []):
