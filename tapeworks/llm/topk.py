@@ -6,9 +6,11 @@ their Euclidean distances to a fixed number of pivots.  For a query q and a cand
 (|q|^2 + |x|^2 - bound^2) / 2 is an upper bound of the score.  Candidates of a batch are evaluated in the order of
 their bounds until the next bound is below the k-th best score so far; a first k-th best comes from the pivots' sample.
 
-Queries are taken in blocks of ``BLOCK_BYTES`` (a size that doesn't grow with the data), which the driver passes on one
-by one and lets go of; each block goes over all candidates once, without a shuffle of them, gives k rows for each query
-and partition at most, and the best k of these are kept.
+Queries are written once as a table of blocks, told apart by a hash, of ``BLOCK_BYTES`` or so each (a size that doesn't
+grow with the data).  Each block is broadcast in turn and goes over all candidates once, without a shuffle of them,
+gives k rows for each query and partition at most, and the best k of these are written beside those of the other
+blocks.  The driver holds a block at a time.  Pairs of blocks of queries and candidates in shuffled tasks would move
+all candidates once for each block of queries instead of reading them.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, as neither do rows without an id;
 a vector of another length than a query's isn't its candidate.  Equal scores go to the smaller id; repeated ids are
@@ -19,7 +21,7 @@ no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeworks.llm.shared import cut
+from tapeworks.llm.shared import drop_at_end, use_shared_folder
 
 SCALE, K, PIVOTS, SAMPLE = 1024, 10, 24, 512
 #: Bytes of the queries that are searched for at once.
@@ -120,32 +122,35 @@ def _pivots(v: np.ndarray, n: int) -> np.ndarray:
     return v[at]
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterable[tuple[np.ndarray, np.ndarray]]:
-    """The queries, one block of about size rows at a time, each id in one block; the driver holds a block and one partition."""
-    held: list = []
-    for r in queries.repartition("vec_id").sortWithinPartitions("vec_id").toLocalIterator():
-        if len(held) >= size and r.vec_id != held[-1].vec_id:
-            yield np.array([r.vec_id for r in held]), np.array([r.v for r in held], dtype=np.int64)
-            held = []
-        held.append(r)
-    if held:
-        yield np.array([r.vec_id for r in held]), np.array([r.v for r in held], dtype=np.int64)
+def _best(rows: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the best k of each query, a candidate once with the best of its scores."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    rows = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return rows.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of vectors (vec_id, v) that is_query holds for, against all rows."""
     spark = vectors.sparkSession
     schema = T._parse_datatype_string("query_id long, vec_id long, score long")
-    out = []
-    for dim in sorted(r.n for r in vectors.where(is_query).select(F.size("v").alias("n")).distinct().collect()):
+    folder = f"{use_shared_folder(spark)}/top-{uuid.uuid4().hex}"
+    drop_at_end(spark, folder)
+    written = 0
+    for dim, n in sorted((r.dim, r.n) for r in vectors.where(is_query).groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()):
         own = vectors.where(F.size("v") == dim)
         sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # of a fixed number
         s_ids, s = np.array([r.vec_id for r in sample]), np.array([r.v for r in sample], dtype=np.int64)
         first, once = np.unique(s_ids, return_index=True)  # a repeated id counts once for the floor
         table = _pivots(s, pivots)
-        queries = own.where(is_query).dropDuplicates()
-        size = max(1, BLOCK_BYTES // (8 * dim))
-        for ids, v in _blocks(queries, size):
+        blocks = -(-n * 8 * dim // block_bytes)
+        queries = own.where(is_query).dropDuplicates().withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
+        queries.repartition("block").write.partitionBy("block").parquet(f"{folder}/queries/dim={dim}")
+        queries = spark.read.schema("vec_id long, v array<bigint>, block long").parquet(f"{folder}/queries/dim={dim}")
+        for block in range(blocks):
+            held = queries.where(F.col("block") == block).toPandas()  # a block: one partition of the table
+            if held.empty:
+                continue
+            ids, v = held["vec_id"].to_numpy(), np.stack(held["v"].to_list()).astype(np.int64)
             sent = spark.sparkContext.broadcast((ids, v, table, first_floor(ids, v, first, s[once], k), k))
 
             def run(batches, sent=sent):
@@ -156,18 +161,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS
                 q, x, score = search.rows()
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(x), pa.array(score)], ["query_id", "vec_id", "score"])
 
-            part = own.select("vec_id", "v").mapInArrow(run, schema)
-            order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-            part = part.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) if len(set(ids.tolist())) < len(ids) else part
-            part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            out.append(cut(part))
+            _best(own.select("vec_id", "v").mapInArrow(run, schema), k).write.parquet(f"{folder}/found/pass={written}")
             sent.destroy()
-    if not out:
+            written += 1
+    if not written:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole.select("query_id", "rank", "vec_id", "score")
+    found = spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(f"{folder}/found").drop("pass")
+    return found if written == 1 else _best(found, k)  # an id's vectors may lie in several blocks
 
 
 def op1_pivot_topk(embeddings: DataFrame) -> DataFrame:

@@ -68,6 +68,23 @@ def test_topk_equals_brute_force(spark):
     assert topk.op1_pivot_topk(e.where("false")).count() == 0
 
 
+def test_topk_in_blocks_with_repeated_ids_and_other_lengths(spark):
+    rng = np.random.default_rng(21)
+    rows = [(int(i), rng.integers(-9, 10, size=n).tolist()) for n in (3, 5) for i in rng.integers(0, 300, size=250)]
+    rows += [(300, rng.integers(-9, 10, size=5).tolist()) for _ in range(40)] + rows[:7] + [(600, [1] * 7)]
+    d = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    want = {}
+    for q, a in rows:
+        for i, b in rows:
+            if q % 5 == 0 and i != q and len(a) == len(b):
+                s = int(np.dot(a, b))
+                want.setdefault(q, {})[i] = max(s, want.get(q, {}).get(i, s))
+    want = {(q, k + 1, i, s) for q, own in want.items() for k, (i, s) in enumerate(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:4])}
+    for size in (100_000, 1000):
+        got = [tuple(r) for r in topk.top_k(d.repartition(5), F.col("vec_id") % 5 == 0, k=4, block_bytes=size).select("query_id", "rank", "vec_id", "score").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_near_duplicates_equal_brute_force(spark, docs, texts):
     sets = []
     for t in texts:
