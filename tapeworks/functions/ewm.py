@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import KEYS, by_time
+from tapeworks.functions.columns import KEYS, by_time, put
 
 
 def span_alpha(span: int) -> float:
@@ -52,7 +52,7 @@ def ewm_shared(df: DataFrame, specs: dict[str, tuple], rows: int) -> DataFrame:
             carried = F.last(F.when(k == rows - 1, p), ignorenulls=True).over(before)
             value = p + F.coalesce(carried, F.lit(0.0)) * F.exp(-(k + 1) * slow[name][2])
         result[name] = F.when((F.col(f"__n_{c}") + 1 >= least) & F.col(c).isNotNull(), value)
-    return df.withColumns(result).drop(*(f"__n_{spec[0]}" for spec in specs.values()), *(f"__p_{name}" for name in slow))
+    return put(df, result, [*(f"__n_{spec[0]}" for spec in specs.values()), *(f"__p_{name}" for name in slow)])
 
 
 def ewm(df: DataFrame, specs: dict[str, tuple], keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -92,5 +92,4 @@ def ewm(df: DataFrame, specs: dict[str, tuple], keys: tuple[str, ...] = KEYS) ->
             carried = F.last(F.when(k == size[name] - 1, p), ignorenulls=True).over(before)
             value = p + F.coalesce(carried, F.lit(0.0)) * F.exp(-(k + 1) * decay[name])
         result[name] = F.when((n + 1 >= least) & F.col(c).isNotNull(), value)
-    temporary = {*number.values(), *block.values(), *inside}
-    return df.withColumns(result).drop(*temporary)
+    return put(df, result, {*number.values(), *block.values(), *inside})

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.columns import above, by_time, pct_change, ratio, time_order, yes
+from tapeworks.functions.columns import above, by_time, pct_change, put, ratio, time_order, yes
 from tapeworks.functions.ewm import ewm, ewm_shared, shared_rows, span_alpha
 from tapeworks.params import Params
 
@@ -34,16 +34,16 @@ def full_mean(c: str, n: int) -> Column:
 
 def rsi(df: DataFrame, length: int, name: str = "rsi") -> DataFrame:
     d = F.col("close") - lag("close")
-    df = df.withColumn("__up", F.greatest(d, F.when(d.isNotNull(), 0.0))).withColumn("__down", F.greatest(-d, F.when(d.isNotNull(), 0.0)))
+    df = df.withColumns({"__up": F.greatest(d, F.when(d.isNotNull(), 0.0)), "__down": F.greatest(-d, F.when(d.isNotNull(), 0.0))})
     df = ewm(df, {"__gain": ("__up", 1 / length, length), "__loss": ("__down", 1 / length, length)})
     value = 100 - 100 / (1 + F.col("__gain") / F.nullif("__loss", F.lit(0.0)))
-    return df.withColumn(name, value).drop("__up", "__down", "__gain", "__loss")
+    return put(df, {name: value}, ("__up", "__down", "__gain", "__loss"))
 
 
 def bollinger(df: DataFrame, n: int) -> DataFrame:
     std = F.when(F.count("close").over(rolling(n)) == n, F.stddev_samp("close").over(rolling(n)))
-    df = df.withColumn("bb_mid", full_mean("close", n)).withColumn("__std", std)
-    return df.withColumn("bb_upper", F.col("bb_mid") + 2 * F.col("__std")).withColumn("bb_lower", F.col("bb_mid") - 2 * F.col("__std")).drop("__std")
+    df = df.withColumns({"bb_mid": full_mean("close", n), "__std": std})
+    return put(df, {"bb_upper": F.col("bb_mid") + 2 * F.col("__std"), "bb_lower": F.col("bb_mid") - 2 * F.col("__std")}, ["__std"])
 
 
 def volumes(df: DataFrame) -> DataFrame:
@@ -71,17 +71,18 @@ def cmf(df: DataFrame) -> DataFrame:
     df = df.withColumn("__flow", flow)
     w = rolling(CMF_LENGTH)
     value = F.sum("__flow").over(w) / F.nullif(F.sum("volume").over(w).cast("double"), F.lit(0.0))
-    return df.withColumn("cmf", F.when(F.count("__flow").over(w) >= 5, value)).drop("__flow")
+    return put(df, {"cmf": F.when(F.count("__flow").over(w) >= 5, value)}, ["__flow"])
 
 
 def crossings(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """df with <name>_up and <name>_dn for each pair of lines."""
+    new = {}
     for name, (a, b) in pairs.items():
         now_up, now_dn = above(F.col(a), F.col(b)), above(F.col(b), F.col(a))
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         was = yes(lag(both))
-        df = df.withColumn(f"{name}_up", now_up & was & ~yes(lag(now_up))).withColumn(f"{name}_dn", now_dn & was & ~yes(lag(now_dn)))
-    return df
+        new |= {f"{name}_up": now_up & was & ~yes(lag(now_up)), f"{name}_dn": now_dn & was & ~yes(lag(now_dn))}
+    return df.withColumns(new)
 
 
 def typical() -> Column:
@@ -107,10 +108,9 @@ def trend_anchor(df: DataFrame) -> DataFrame:
     """df with ``anchor``: when the current run of the symbol's direction began."""
     whole = Window.partitionBy("symbol")
     bull = yes(F.col("align") >= 2)
-    df = df.withColumn("__first", F.min(F.when(F.col("align").isNotNull(), F.col("ts"))).over(whole))
-    df = df.withColumn("__flip", bull != lag(bull))
+    df = df.withColumns({"__first": F.min(F.when(F.col("align").isNotNull(), F.col("ts"))).over(whole), "__flip": bull != lag(bull)})
     flip = F.max(F.when(F.col("__flip") & (F.col("ts") > F.col("__first")), F.col("ts"))).over(whole)
-    return df.withColumn("anchor", F.coalesce(flip, "__first")).drop("__first", "__flip")
+    return put(df, {"anchor": F.coalesce(flip, "__first")}, ("__first", "__flip"))
 
 
 def anchored_vwap(df: DataFrame) -> DataFrame:
@@ -148,11 +148,10 @@ def candle_pattern(df: DataFrame) -> DataFrame:
     def label(found: dict[str, Column]) -> Column:
         return F.coalesce(*(F.when(yes(v), k) for k, v in found.items()))
 
-    df = df.withColumn("__bull", label(bull)).withColumn("__bear", label(bear))
+    df = df.withColumns({"__bull": label(bull), "__bear": label(bear)})
     one = F.col("__bull").isNull() | F.col("__bear").isNull()
-    df = df.withColumn("candle_pattern", F.when(one, F.coalesce("__bull", "__bear")))
     direction = F.when(one & F.col("__bull").isNotNull(), "Bullish").when(one & F.col("__bear").isNotNull(), "Bearish")
-    return df.withColumn("candle_direction", direction).drop("__bull", "__bear")
+    return put(df, {"candle_pattern": F.when(one, F.coalesce("__bull", "__bear")), "candle_direction": direction}, ("__bull", "__bear"))
 
 
 def price_change(df: DataFrame) -> DataFrame:
@@ -184,7 +183,7 @@ def means(df: DataFrame, p: Params, mean: Callable[[DataFrame, dict], DataFrame]
         "__dx": 100 * F.abs(plus - minus) / F.nullif(plus + minus, F.lit(0.0)),
     })
     df = mean(df, {"macd_signal": ("macd", span_alpha(signal), 1, "close"), "adx": ("__dx", x, p.adx_length)})
-    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__up", "__down", "__plus", "__minus", "__gain", "__loss", "__fast", "__slow", "__str", "__sp", "__sm", "__dx")
+    return put(df, {"macd_hist": F.col("macd") - F.col("macd_signal")}, ("__up", "__down", "__plus", "__minus", "__gain", "__loss", "__fast", "__slow", "__str", "__sp", "__sm", "__dx"))
 
 
 def weights(p: Params) -> list[float]:

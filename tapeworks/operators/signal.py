@@ -55,27 +55,25 @@ def signal_columns(latest: DataFrame, p: Params, now: Column | None = None) -> D
     need = min(p.min_required, 3)
     ups, downs = (sum(c(f"{n}_{d}").cast("int") for n in ("rsi", "macd", "ema")) for d in ("up", "dn"))
     states = {"rsi_state": ("rsi", "rsi_smooth"), "macd_state": ("macd", "macd_signal"), "ema_bb_state": ("ema", "bb_mid")}
-    df = latest.withColumns({k: side(above(c(a), c(b))) for k, (a, b) in states.items()})
-    votes = sum((c(k) == "Bullish").cast("int") for k in states)
-    df = df.withColumn("votes", votes).withColumn("direction", side(c("votes") >= 2))
-    df = df.withColumn("fresh_signal", F.when(ups >= need, "Bullish").when(downs >= need, "Bearish"))
-    df = df.withColumn("adx", F.round("adx", 1)).withColumn("regime", regime(F.col("adx")))
-    df = df.withColumn("vol_multiple", F.round("rel_volume", 2))
-    limit = F.round(F.lit(p.rel_volume) * F.when(yes(c("regime") == "Ranging"), p.ranging_multiplier).otherwise(1.0), 3)
-    df = df.withColumn("vol_threshold", limit).withColumn("vol_confirmed", yes(c("vol_multiple") >= c("vol_threshold")))
-    df = df.withColumn("aligned", F.greatest(c("votes"), 3 - c("votes")) + c("vol_confirmed").cast("int"))
-    df = df.withColumn("cmf", F.round("cmf", 3)).withColumn("flow_direction", F.when(c("cmf") > 0, "Bullish").when(c("cmf") < 0, "Bearish"))
-    df = df.withColumn("flow_agrees", agrees(c("flow_direction"), c("direction"))).withColumn("candle_agrees", agrees(c("candle_direction"), c("direction")))
-    df = df.withColumn("htf_agrees", agrees(c("htf_direction"), c("direction")))
-    df = df.withColumn("vs_vwap", F.when(c("close") > c("vwap"), "Above").when(c("vwap").isNotNull(), "Below"))
-    df = df.withColumn("avwap", F.round("avwap", 2)).withColumn("vs_avwap", F.when(c("close") > c("avwap"), "Above").when(c("avwap").isNotNull(), "Below"))
-    df = df.withColumn("breakout_state", F.when(c("close") > c("bb_upper"), "Breakout").when(c("close") < c("bb_lower"), "Breakdown"))
     window = opening_window(c("ts"), c("timeframe"))
     if now is not None:
         window = window | four_hour_warmup(now, c("timeframe"))
-    df = df.withColumn("in_opening_window", window)
+    df = latest.withColumns({k: side(above(c(a), c(b))) for k, (a, b) in states.items()} | {
+        "fresh_signal": F.when(ups >= need, "Bullish").when(downs >= need, "Bearish"), "adx": F.round("adx", 1), "vol_multiple": F.round("rel_volume", 2), "cmf": F.round("cmf", 3), "avwap": F.round("avwap", 2),
+        "vs_vwap": F.when(c("close") > c("vwap"), "Above").when(c("vwap").isNotNull(), "Below"),
+        "breakout_state": F.when(c("close") > c("bb_upper"), "Breakout").when(c("close") < c("bb_lower"), "Breakdown"),
+        "in_opening_window": window, "macd_params": F.lit(",".join(map(str, p.macd_spans()))),
+    })
+    df = df.withColumns({
+        "votes": sum((c(k) == "Bullish").cast("int") for k in states), "regime": regime(c("adx")), "flow_direction": F.when(c("cmf") > 0, "Bullish").when(c("cmf") < 0, "Bearish"),
+        "vs_avwap": F.when(c("close") > c("avwap"), "Above").when(c("avwap").isNotNull(), "Below"),
+    })
+    limit = F.round(F.lit(p.rel_volume) * F.when(yes(c("regime") == "Ranging"), p.ranging_multiplier).otherwise(1.0), 3)
+    df = df.withColumns({"direction": side(c("votes") >= 2), "vol_threshold": limit})
+    opinions = {"flow_agrees": "flow_direction", "candle_agrees": "candle_direction", "htf_agrees": "htf_direction"}
+    df = df.withColumns({k: agrees(c(v), c("direction")) for k, v in opinions.items()} | {"vol_confirmed": yes(c("vol_multiple") >= c("vol_threshold"))})
+    df = df.withColumn("aligned", F.greatest(c("votes"), 3 - c("votes")) + c("vol_confirmed").cast("int"))
     df = df.withColumn("signal_confirmed", (c("aligned") >= p.min_required) & c("htf_agrees") & ~c("in_opening_window"))
-    df = df.withColumn("macd_params", F.lit(",".join(map(str, p.macd_spans()))))
     shown = {"close": F.round("close", 2), "rsi": F.round("rsi", 1), "vwap": F.round(F.nullif("vwap", F.lit(0.0)), 2)}
     return levels(df, p).withColumns(shown)  # all comparisons are done
 
@@ -85,8 +83,10 @@ def levels(df: DataFrame, p: Params) -> DataFrame:
     c, sign = F.col, F.when(F.col("direction") == "Bullish", 1.0).otherwise(-1.0)
     df = df.withColumn("atr", F.round("atr", 2))
     ok = c("atr") > 0
-    df = df.withColumn("stop", F.when(ok, cents(c("close") - sign * p.atr_stop * c("atr")))).withColumn("target", F.when(ok, cents(c("close") + sign * p.atr_target * c("atr"))))
-    df = df.withColumn("risk_reward", F.when(ok, F.round(F.lit(p.atr_target / p.atr_stop), 2)))
+    df = df.withColumns({
+        "stop": F.when(ok, cents(c("close") - sign * p.atr_stop * c("atr"))), "target": F.when(ok, cents(c("close") + sign * p.atr_target * c("atr"))),
+        "risk_reward": F.when(ok, F.round(F.lit(p.atr_target / p.atr_stop), 2)),
+    })
     risk = F.nullif(F.abs(c("close") - c("stop")), F.lit(0.0))
     qty = F.nullif(F.floor(p.capital * p.risk_pct / 100 / risk), F.lit(0).cast("long"))
     return df.withColumn("position_qty", qty).withColumn("position_risk", F.round(c("position_qty") * risk, 2))
