@@ -6,19 +6,29 @@ sorted arrays and answers each block with the counts of what the block asked for
 a worker maps the slice of it that its block needs (Arrow's buffers, viewed by numpy without a copy), and
 probabilities are looked up there by binary search.
 
+Between blocks and shards stand the nodes of a tree (``Tree``).  A node of a level gets the messages of as many children as the
+tree has branches, merges them, so that what they share goes on once, and asks as many nodes of the next level, each for its part
+of the hashes; the last level are the shards, and answers come back the same way.  So messages grow with the number of blocks
+(times branches and levels) and not with its square, and a node gets about as many as it has branches.  Up to ``BRANCHES``
+blocks there is one level: blocks ask shards.  What nodes of lower levels were asked is written, as they need it again for their answers.
+
 Bigrams go to the shard of their first word, whose followers' counts are summed there; a first word with very many
-occurrences is no hot spot, as each block sends each distinct follower once.  How many words a word follows is summed
-by shard, and these sums go to the shard of that word.
+occurrences is no hot spot, as each child sends each distinct follower once.  How many words a word follows is summed
+by shard, and these sums go up a tree to the shard of that word.
 
 Discounts D1, D2, D3+ are those of modified Kneser-Ney, from the numbers of bigrams seen once to four times; the
 unigram level takes continuation counts, discounted likewise, and is interpolated with 1 / (V + 1).
 
 The first token of a text follows the end of a text.  A null text is an empty one: one token, the end.  Repeated rows
-are texts of their own.  Rows without an id are scored, and are held out from training.
+are texts of their own.  Rows without an id are scored, and are held out from training.  A text of any length lies whole in one
+block.  An empty table gives no rows; columns beside doc_id and text are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +41,8 @@ FOLDS, HELD = 7, 2
 #: Bytes of text in a block.
 BLOCK_BYTES = 5_000_000
 END = np.uint64(0x8F1BBCDC5A827999)
+#: Most children of a node, and most nodes that it asks.
+BRANCHES = 1024
 #: Bits of a follower's hash that are left out; 40 stay, so that of a billion words one in a thousand shares them.
 _CUT = np.uint64(24)
 
@@ -101,9 +113,46 @@ class Block:
     def counts(self, of: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(of[self.train], minlength=n)
 
-    def shards(self, n: int) -> np.ndarray:
-        """The shard of each word of the vocabulary."""
-        return ((self.vocabulary >> _CUT) % np.uint64(n)).astype(np.int64)
+
+@dataclass(frozen=True)
+class Tree:
+    """The way from blocks to shards.  A node of a level is a group of blocks' seats and the first digits of the shards that it stands for."""
+
+    depth: int
+    branches: int
+
+    @staticmethod
+    def over(blocks: int, most: int = BRANCHES) -> Tree:
+        """The flattest tree with a shard for each block and no more than so many branches."""
+        if most < 2:
+            raise ValueError("most: at least 2")
+        depth = 1
+        while most**depth < blocks:
+            depth += 1
+        branches = max(1, int(blocks ** (1 / depth)))
+        while branches**depth < blocks:
+            branches += 1
+        return Tree(depth, branches)
+
+    @property
+    def shards(self) -> int:
+        return self.branches**self.depth
+
+    def node(self, word: np.ndarray, level: int) -> np.ndarray:
+        """The node of a level for each word, given by the 40 bits of its hash that are kept."""
+        return (word % np.uint64(self.shards)).astype(np.int64) // self.branches ** (self.depth - level)
+
+    def group(self, block: int) -> int:
+        """The group of a block at the first level; a group's own group is a branches-th of it."""
+        seat = (block * 0x9E3779B97F4A7C15 % 2**64 >> 24) % self.shards
+        return seat // self.branches
+
+
+def _parts(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The values of ``of``, and where each stands."""
+    order = np.argsort(of, kind="stable")
+    values, edge = np.unique(of[order], return_index=True)
+    yield from zip(values.tolist(), np.split(order, edge[1:]))
 
 
 def make_blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -126,121 +175,191 @@ def make_blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     return small_batches(own).mapInArrow(run, "docs binary").withColumn("block", F.monotonically_increasing_id())
 
 
-def _asks(shards: int, pairs: bool):
-    """Rows (block, shard, data) from blocks: words and their training counts, or bigrams and theirs.
+#: What nodes send: messages to a node (grp, node) from a child, and answers to one, whose child is the part of the hashes that they are of.
+_SENT = "kind string, grp long, node long, child long, keys binary, data binary, followers binary"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    """Rows of _SENT as a table."""
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["kind", "grp", "node", "child", "keys", "data", "followers"])
+
+
+def _rows(table: pa.Table, *columns: str) -> Iterator[tuple]:
+    return zip(*(table.column(c).to_pylist() for c in columns))
+
+
+def _ask_pairs(tree: Tree, level: int, group: int, child: int, head: np.ndarray, follower: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
+    """Messages about bigrams, sorted, to nodes of a level: the distinct first words, how many followers each has, the followers and their counts."""
+    for node, on in _parts(tree.node(head >> _CUT, level)):
+        heads, n = np.unique(head[on], return_counts=True)
+        f = follower[on]
+        yield "pairs", group, node, child, pack_sorted(heads), pack(n.astype(np.uint32)), pack((f & np.uint64(0xFFFFFFFF)).astype(np.uint32), (f >> np.uint64(32)).astype(np.uint8), count[on])
 
-    Bigrams are sent as the distinct first words, how many followers each has, and the followers.
-    """
+
+def _ask_words(tree: Tree, level: int, group: int, child: int, word: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
+    for node, on in _parts(tree.node(word >> _CUT, level)):
+        yield "words", group, node, child, pack_sorted(word[on]), pack(count[on]), None
+
+
+def _add_follows(tree: Tree, level: int, group: int, word: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+    """Messages about words, by 40 bits, and how many words they follow; they want no answer."""
+    for node, on in _parts(tree.node(word, level)):
+        yield "follows", group, node, None, pack_sorted(word[on]), pack(n[on]), None
+
+
+def _asks(tree: Tree, pairs: bool):
+    """Messages of blocks to the first level: words and their training counts, or bigrams and theirs."""
 
     def run(batches):
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist()):
-                b, out = Block(raw), []
-                v, dealt = len(b.vocabulary), b.shards(shards)
+                b = Block(raw)
+                v, to = len(b.vocabulary), (tree, 1, tree.group(block), block)
                 if pairs:
-                    count, first = b.counts(b.pair, len(b.pairs)), b.pairs // v
-                    follower = b.vocabulary[b.pairs % v] >> _CUT
-                    of = dealt[first]
+                    out = _ask_pairs(*to, b.vocabulary[b.pairs // v], b.vocabulary[b.pairs % v] >> _CUT, b.counts(b.pair, len(b.pairs)))
                 else:
-                    count, of = b.counts(b.token, v), dealt
-                order = np.argsort(of, kind="stable")
-                edge = np.searchsorted(of[order], np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(edge)):
-                    on = order[edge[s] : edge[s + 1]]
-                    if pairs:
-                        heads, n = np.unique(first[on], return_counts=True)
-                        data = [pack_sorted(b.vocabulary[heads]), pack(n.astype(np.uint32)), pack((follower[on] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (follower[on] >> np.uint64(32)).astype(np.uint8), count[on])]
-                    else:
-                        data = [pack_sorted(b.vocabulary[on]), pack(count[on]), None]
-                    out.append((block, int(s), *data))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "shard", "keys", "data", "followers"])
+                    out = _ask_words(*to, b.vocabulary, b.counts(b.token, v))
+                yield from _table(list(out)).to_batches()
 
     return run
 
 
+class _Pairs:
+    """The bigrams that a node was asked for: the distinct ones in order with their sums, and the place of each one asked among them."""
+
+    def __init__(self, table: pa.Table):
+        heads, followers, counts = [], [], []
+        for keys, data, pairs in _rows(table, "keys", "data", "followers"):
+            head, (n,), (low, high, count) = unpack_sorted(keys), unpack(data), unpack(pairs)
+            heads.append(np.repeat(head, n))
+            followers.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
+            counts.append(count)
+        self.edge = np.cumsum([0, *map(len, counts)])
+        head, follower, count = (np.concatenate(x) for x in (heads, followers, counts))
+        order = np.lexsort((follower, head))
+        h, f = head[order], follower[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
+        place = np.cumsum(new) - 1
+        self.head, self.follower = h[new], f[new]
+        self.count = np.bincount(place, weights=count[order]).astype(np.int64)
+        self.at = np.empty(len(order), dtype=np.int64)
+        self.at[order] = place
+
+    def answers(self, table: pa.Table, branches: int, found: np.ndarray) -> Iterator[tuple]:
+        """Answers to the children, given those for the distinct bigrams."""
+        node = table.column("node")[0].as_py()
+        for i, child in enumerate(table.column("child").to_pylist()):
+            yield "pairs", child, node // branches, node, None, pack(found[self.at[self.edge[i] : self.edge[i + 1]]]), None
+
+
 def _sums(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct keys, and the sums of the values of each."""
     unique, inverse = np.unique(key, return_inverse=True)
     return [unique, *(np.bincount(inverse, weights=x, minlength=len(unique)).astype(np.int64) for x in values)]
 
 
-_SENT = "kind string, block long, shard int, keys binary, data binary"
+def _read_sums(table: pa.Table, kind: str) -> list[np.ndarray] | None:
+    """Sorted distinct keys of the messages of a kind, and the sum of each; None without messages."""
+    got = [(unpack_sorted(keys), unpack(data)[0]) for k, keys, data in _rows(table, "kind", "keys", "data") if k == kind]
+    return _sums(*(np.concatenate(x) for x in zip(*got))) if got else None
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    """Rows (kind, block, shard, keys, data) as a table."""
-    types = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["kind", "block", "shard", "keys", "data"])
+def _pass_pairs(tree: Tree, level: int):
+    """A node of a lower level: what its children ask for, once, to the next level."""
 
+    def run(table: pa.Table) -> pa.Table:
+        group, p = table.column("grp")[0].as_py(), _Pairs(table)
+        return _table(list(_ask_pairs(tree, level + 1, group // tree.branches, group, p.head, p.follower, p.count)))
 
-def _merge_pairs(shards: int):
-    """One shard's bigrams: counts for each block that asked, sums for contexts and followers, counts of counts."""
+    return run
+
+
+def _return_pairs(tree: Tree, level: int):
+    """A node of a lower level: answers to its children from those that it got."""
+
+    def run(asked: pa.Table, got: pa.Table) -> pa.Table:
+        p, data = _Pairs(asked), dict(_rows(got, "child", "data"))
+        found = np.empty(len(p.head), dtype=np.int64)
+        for node, on in _parts(tree.node(p.head >> _CUT, level + 1)):
+            found[on] = unpack(data[node])[0]
+        return _table(list(p.answers(asked, tree.branches, found)))
+
+    return run
+
+
+def _merge_pairs(tree: Tree):
+    """One shard's bigrams: counts for each child that asked, sums for contexts and followers, counts of counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        shard, out = table.column("shard")[0].as_py(), []
-        heads, followers, asked, edge = [], [], [], [0]
-        for keys, data, pairs in zip(*(table.column(c).to_pylist() for c in ("keys", "data", "followers"))):
-            head, (n,), (low, high, count) = unpack_sorted(keys), unpack(data), unpack(pairs)
-            heads.append(np.repeat(head, n))
-            followers.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
-            asked.append(count)
-            edge.append(edge[-1] + len(count))
-        head, follower, count = (np.concatenate(x) for x in (heads, followers, asked))
-        order = np.lexsort((follower, head))
-        h, f = head[order], follower[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, weights=count[order]).astype(np.int64)
-        back = np.empty(len(order), dtype=np.int64)
-        back[order] = total[group]
-        for i, block in enumerate(table.column("block").to_pylist()):
-            out.append(("pairs", block, shard, None, pack(back[edge[i] : edge[i + 1]])))
-        h, f = h[new][total > 0], f[new][total > 0]
-        total = total[total > 0]
-        h, *sums = _sums(h, total, total == 1, total == 2, total > 2)
-        out.append(("context", -1, shard, pack_sorted(h), pack(*sums)))
-        word, n = np.unique(f, return_counts=True)
-        to = (word % np.uint64(shards)).astype(np.int64)
-        for s in np.unique(to):
-            out.append(("follows", -1, int(s), pack_sorted(word[to == s]), pack(n[to == s])))
-        out.append(("of counts", -1, shard, None, pack(np.bincount(np.minimum(total, 5), minlength=6)[1:5])))
+        shard, p = table.column("node")[0].as_py(), _Pairs(table)
+        out = list(p.answers(table, tree.branches, p.count))
+        known = p.count > 0
+        total = p.count[known]
+        h, *sums = _sums(p.head[known], total, total == 1, total == 2, total > 2)
+        out.append(("context", 0, shard, None, pack_sorted(h), pack(*sums), None))
+        out += _add_follows(tree, 1, shard // tree.branches, *np.unique(p.follower[known], return_counts=True))
+        out.append(("of counts", None, None, None, None, pack(np.bincount(np.minimum(total, 5), minlength=6)[1:5]), None))
         return _table(out)
 
     return run
 
 
-def _merge_words(table: pa.Table) -> pa.Table:
-    """One shard's words: count, context sums and number of words before, for each block that asked; totals."""
-    shard, out = table.column("shard")[0].as_py(), []
-    asks, words, counts, heads, sums, followers, before = [], [], [], [], [], [], []
-    for kind, block, keys, data in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "keys", "data"))):
-        keys, got = unpack_sorted(keys), unpack(data)
+def _pass_words(tree: Tree, level: int):
+    def run(table: pa.Table) -> pa.Table:
+        group, out = table.column("grp")[0].as_py(), []
+        up = group // tree.branches
+        if asked := _read_sums(table, "words"):
+            out += _ask_words(tree, level + 1, up, group, *asked)
+        if follows := _read_sums(table, "follows"):
+            out += _add_follows(tree, level + 1, up, *follows)
+        return _table(out)
+
+    return run
+
+
+def _answer_words(table: pa.Table, branches: int, word: np.ndarray, info: np.ndarray) -> Iterator[tuple]:
+    for kind, child, node, keys in _rows(table, "kind", "child", "node", "keys"):
         if kind == "words":
-            asks.append((block, keys))
-            words.append(keys)
-            counts.append(got[0])
-        elif kind == "context":
-            heads.append(keys)
-            sums.append(np.stack(got))
-        elif kind == "follows":
-            followers.append(keys)
-            before.append(got[0])
-    if words:
-        word, count = _sums(np.concatenate(words), np.concatenate(counts))
+            yield "info", child, node // branches, node, None, pack(*info[:, np.searchsorted(word, unpack_sorted(keys))]), None
+
+
+def _return_words(tree: Tree, level: int):
+    def run(asked: pa.Table, got: pa.Table) -> pa.Table:
+        if not got.num_rows:
+            return _table([])  # nothing but followers came here
+        word, data = _read_sums(asked, "words")[0], dict(_rows(got, "child", "data"))
+        info = np.empty((6, len(word)), dtype=np.int64)
+        for node, on in _parts(tree.node(word >> _CUT, level + 1)):
+            info[:, on] = np.stack(unpack(data[node]))
+        return _table(list(_answer_words(asked, tree.branches, word, info)))
+
+    return run
+
+
+def _merge_words(tree: Tree):
+    """One shard's words: count, context sums and number of words before, for each child that asked; totals."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked, follows = _read_sums(table, "words"), _read_sums(table, "follows")
+        if not asked:
+            return _table([])
+        word, count = asked
         info = np.zeros((6, len(word)), dtype=np.int64)
         info[0] = count
-        for h, s in zip(heads, sums):
-            info[1:5, np.searchsorted(word, h)] += s
-        if followers:
-            f, n = _sums(np.concatenate(followers), np.concatenate(before))
+        for kind, keys, data in _rows(table, "kind", "keys", "data"):
+            if kind == "context":
+                info[1:5, np.searchsorted(word, unpack_sorted(keys))] += np.stack(unpack(data))
+        if follows:
+            f, n = follows
             at = np.minimum(np.searchsorted(f, word >> _CUT), len(f) - 1)
             info[5] = np.where(f[at] == word >> _CUT, n[at], 0)
-        for block, asked in asks:
-            out.append(("info", block, shard, None, pack(*info[:, np.searchsorted(word, asked)])))
         known = info[5][info[5] > 0]
-        out.append(("totals", -1, shard, None, pack(np.array([count.sum(), (count > 0).sum(), known.sum(), len(known), *np.bincount(np.minimum(known, 5), minlength=6)[1:5]], dtype=np.int64))))
-    return _table(out)
+        totals = np.array([count.sum(), (count > 0).sum(), known.sum(), len(known), *np.bincount(np.minimum(known, 5), minlength=6)[1:5]], dtype=np.int64)
+        return _table([*_answer_words(table, tree.branches, word, info), ("totals", None, None, None, None, pack(totals), None)])
+
+    return run
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -252,32 +371,27 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0.01, 0.01, 0.01], [0.99, 1.99, 2.99])
 
 
-def _score_block(shards: int, total: dict):
+def _score_block(tree: Tree, total: dict):
     """Rows of scores from a block and the answers to what it asked."""
     d2, d1 = discounts(total["pairs"]), discounts(total["unigrams"])
     n, v, kinds = total["n"], total["v"], total["before"]
 
     def run(table: pa.Table) -> pa.Table:
         raw, got = None, {}
-        for kind, shard, data in zip(*(table.column(c).to_pylist() for c in ("kind", "shard", "data"))):
+        for kind, part, data in _rows(table, "kind", "child", "data"):
             if kind == "docs":
                 raw = data
             else:
-                got[kind, shard] = data
+                got[kind, part] = data
         b = Block(raw)
-        dealt, size = b.shards(shards), len(b.vocabulary)
+        dealt, size = tree.node(b.vocabulary >> _CUT, 1), len(b.vocabulary)
         info = np.zeros((6, size))
-        order = np.argsort(dealt, kind="stable")
-        edge = np.searchsorted(dealt[order], np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(edge)):
-            info[:, order[edge[s] : edge[s + 1]]] = np.stack(unpack(got["info", s]))
+        for node, on in _parts(dealt):
+            info[:, on] = np.stack(unpack(got["info", node]))
         first = b.pairs // size
         count = np.zeros(len(b.pairs))
-        of = dealt[first]
-        order = np.argsort(of, kind="stable")
-        edge = np.searchsorted(of[order], np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(edge)):
-            count[order[edge[s] : edge[s + 1]]] = unpack(got["pairs", s])[0]
+        for node, on in _parts(dealt[first]):
+            count[on] = unpack(got["pairs", node])[0]
         c, context, n1, n2, n3, before = info
         less = lambda x, d: np.maximum(x - np.where(x > 2, d[2], np.where(x > 1, d[1], d[0])), 0)
         left = (d1 * total["unigram_kinds"]).sum() / max(kinds, 1) if kinds else 1.0
@@ -308,18 +422,34 @@ def _score_block(shards: int, total: dict):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _climb(asks: DataFrame, tree: Tree, node) -> list[DataFrame]:
+    """The messages to each level from those to the first; node(tree, level) is what a node of a lower level does."""
+    levels = [asks]
+    for level in range(1, tree.depth):
+        levels[-1] = cut(levels[-1])
+        levels.append(levels[-1].groupBy("grp", "node").applyInArrow(node(tree, level), _SENT))
+    return levels
+
+
+def _descend(answers: DataFrame, levels: list[DataFrame], tree: Tree, node) -> DataFrame:
+    """The answers to blocks from those of the shards."""
+    for level in reversed(range(1, tree.depth)):
+        answers = levels[level - 1].groupBy("grp", "node").cogroup(answers.groupBy("grp", "node")).applyInArrow(node(tree, level), _SENT)
+    return answers
+
+
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, branches: int = BRANCHES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of docs (doc_id, text).
 
     perplexity is 10 ** (-score / n_tokens).
     """
     blocks = cut(make_blocks(docs, block_bytes))
-    shards = max(1, blocks.count())  # a shard holds about as much as a block
-    asks = "block long, shard int, keys binary, data binary, followers binary"
-    pairs = blocks.mapInArrow(_asks(shards, True), asks).groupBy("shard").applyInArrow(_merge_pairs(shards), _SENT)
-    pairs = cut(pairs)
-    words = blocks.mapInArrow(_asks(shards, False), asks).select(F.lit("words").alias("kind"), "block", "shard", "keys", "data")
-    words = cut(words.unionByName(pairs.where(F.col("kind").isin("context", "follows"))).groupBy("shard").applyInArrow(_merge_words, _SENT))
+    tree = Tree.over(blocks.count(), branches)  # a shard holds about as much as a block
+    asked = _climb(blocks.mapInArrow(_asks(tree, True), _SENT), tree, _pass_pairs)
+    pairs = cut(asked[-1].groupBy("grp", "node").applyInArrow(_merge_pairs(tree), _SENT))
+    words = blocks.mapInArrow(_asks(tree, False), _SENT).unionByName(pairs.where("kind = 'follows'"))
+    looked_up = _climb(words, tree, _pass_words)
+    words = cut(looked_up[-1].unionByName(pairs.where("kind = 'context'")).groupBy("grp", "node").applyInArrow(_merge_words(tree), _SENT))
     total = {"pairs": np.zeros(4), "n": 0, "v": 0, "before": 0, "unigrams": np.zeros(4), "unigram_kinds": np.zeros(3)}
     for r in pairs.where("kind = 'of counts'").select("data").toLocalIterator():  # four numbers from each shard
         total["pairs"] += unpack(r.data)[0]
@@ -328,9 +458,10 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         total["n"], total["v"], total["before"] = total["n"] + n, total["v"] + v, total["before"] + before
         total["unigrams"] += ones
         total["unigram_kinds"] += [ones[0], ones[1], known - ones[0] - ones[1]]
-    rows = blocks.select(F.lit("docs").alias("kind"), "block", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("keys"), F.col("docs").alias("data"))
-    rows = rows.unionByName(pairs.where("kind = 'pairs'")).unionByName(words.where("kind = 'info'"))
-    return rows.groupBy("block").applyInArrow(_score_block(shards, total), SCORES)
+    rows = blocks.select(F.lit("docs").alias("kind"), F.col("block").alias("grp"), F.lit(-1).cast("long").alias("child"), F.col("docs").alias("data"))
+    for answers in (_descend(pairs.where("kind = 'pairs'"), asked, tree, _return_pairs), _descend(words.where("kind = 'info'"), looked_up, tree, _return_words)):
+        rows = rows.unionByName(answers.select(*rows.columns))
+    return rows.groupBy("grp").applyInArrow(_score_block(tree, total), SCORES)
 
 
 def op3_kneser_ney(docs: DataFrame) -> DataFrame:

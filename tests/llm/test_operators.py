@@ -150,7 +150,7 @@ def test_kneser_ney_equals_brute_force(spark, docs, texts):
     left = sum(d1[min(k, 3) - 1] for k in before.values()) / total
     low = lambda w: less(before[w], d1) / total + left / (v + 1)
     p = lambda a, b: (less(pair[a, b], d2) + sum(x * y for x, y in zip(d2, kinds[a])) * low(b)) / context[a] if context[a] else low(b)
-    for r in kneserney.score(docs, block_bytes=20_000).collect():
+    for r in kneserney.score(docs, 20_000).union(kneserney.score(docs, 2_000, branches=3)).collect():  # blocks ask shards; or through a tree
         t = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(count[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t))
@@ -158,6 +158,34 @@ def test_kneser_ney_equals_brute_force(spark, docs, texts):
     assert kneserney.op3_kneser_ney(empty(docs)).count() == 0
 
 
+def test_kneser_ney_tree_is_no_deeper_than_it_must_be():
+    rng = np.random.default_rng(6)
+    for blocks, most, depth in ((0, 4, 1), (1, 4, 1), (4, 4, 1), (5, 4, 2), (16, 4, 2), (17, 4, 3), (1024, 1024, 1), (1025, 1024, 2), (10**9, 1024, 3)):
+        tree = kneserney.Tree.over(blocks, most)
+        assert tree.depth == depth and tree.branches <= most and tree.shards >= max(blocks, 1)
+        word = rng.integers(0, 2**40, 1000).astype(np.uint64)
+        for level in range(1, depth + 1):
+            node = tree.node(word, level)
+            assert node.min() >= 0 and node.max() < tree.branches**level
+            assert level == 1 or (node // tree.branches == tree.node(word, level - 1)).all()
+        assert all(0 <= tree.group(b) < max(1, tree.branches ** (depth - 1)) for b in range(0, 1 << 40, 12_345_678_901))
+    with pytest.raises(ValueError):
+        kneserney.Tree.over(5, 1)
+
+
+def test_kneser_ney_sends_what_grows_with_blocks(spark, docs):
+    """Messages to each level number a tree's branches for each block at most, and no node gets more than fits its children."""
+    blocks = kneserney.cut(kneserney.make_blocks(docs.select("doc_id", "text"), 1_500))
+    n = blocks.count()
+    tree = kneserney.Tree.over(n, 3)
+    assert n > 27 and tree.depth > 3
+    sent = kneserney._climb(blocks.mapInArrow(kneserney._asks(tree, True), kneserney._SENT), tree, kneserney._pass_pairs)
+    for level in sent:
+        assert level.count() <= tree.shards * tree.branches
+    top = sent[-1].groupBy("grp", "node").count().agg({"count": "max", "grp": "max"}).first()
+    assert top["max(count)"] <= tree.branches and top["max(grp)"] == 0
+
+
 def test_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 
