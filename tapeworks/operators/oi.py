@@ -67,17 +67,29 @@ def day_baseline(samples: DataFrame) -> DataFrame:
     return d.withColumn("prev_oi", F.lag("__last").over(Window.partitionBy("symbol").orderBy("day"))).drop("__last")
 
 
+def _carried(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(symbol, day, ...): the last known value of some columns (new name: column) before each day; the window sees a row for each day."""
+    ends = df.groupBy("symbol", "day").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(name) for name, c in columns.items()))
+    w = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select("symbol", "day", *(F.last(name, ignorenulls=True).over(w).alias(name) for name in columns))
+
+
 def oi_state(samples: DataFrame) -> DataFrame:
-    """Each sample with its changes today, structure, stage, label, break signal and whether its label just turned."""
+    """Each sample with its changes today, structure, stage, label, break signal and whether its label just turned.
+
+    What a sample is compared to, the last structure and label before it, is looked for within its day; a day starts with what the days
+    before it end with.  So a symbol has a task's work for each of its days, and what goes through one task is a row a day.
+    """
     c = F.col
     df = acceleration(samples).withColumn("day", F.to_date("ts")).join(day_baseline(samples), ["symbol", "day"], "left")
     whole = c("oi").isNotNull() & c("close").isNotNull()  # else the sample has no changes today, and the day may have no baseline yet
     changes = {"price_chg_today": ("close", "base_close"), "oi_chg_today": ("oi", "base_oi"), "oi_day_chg": ("oi", "prev_oi")}
     df = df.withColumns({k: F.when(whole, pct_change(c(now), c(then))) for k, (now, then) in changes.items()})
     df = df.withColumn("structure", structure(c("price_chg_today"), c("oi_chg_today")))
-    before = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda x: F.last(x, ignorenulls=True).over(before)
-    df = df.withColumn("__s", last("structure")).withColumn("__l", last("accel_label"))
+    before = Window.partitionBy("symbol", "day").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda x, carried: F.coalesce(F.last(x, ignorenulls=True).over(before), carried)
+    df = df.join(_carried(df, {"__s0": "structure", "__l0": "accel_label"}), ["symbol", "day"], "left")
+    df = df.withColumns({"__s": last("structure", "__s0"), "__l": last("accel_label", "__l0")}).drop("__s0", "__l0")
     df = df.withColumn("stage", F.when(c("__s").isNotNull() & (c("__s") != c("structure")), "New"))
     fast = c("accel_label").isin(*ACCELERATING)
     df = df.withColumn("break_signal", F.when((c("structure") == "Long Buildup") & fast, "Break Up").when((c("structure") == "Short Buildup") & fast, "Break Down"))
