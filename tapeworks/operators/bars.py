@@ -50,10 +50,10 @@ def dedupe_bars(bars: DataFrame, arrival: str = "arrival") -> DataFrame:
 
 def chunked_union(chunks: list[DataFrame]) -> DataFrame:
     """History that comes in overlapping slices of time, later slices winning."""
-    out = chunks[0].withColumn("arrival", F.lit(0))
-    for i, c in enumerate(chunks[1:], 1):
-        out = out.unionByName(c.withColumn("arrival", F.lit(i)))
-    return dedupe_bars(out)
+    parts = [c.withColumn("arrival", F.lit(i)) for i, c in enumerate(chunks)]
+    while len(parts) > 1:  # by twos, so that a long history's plan isn't deep
+        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return dedupe_bars(parts[0])
 
 
 def candle_scan(bars: DataFrame, watchlist: DataFrame, asof: Column, timeframe: str) -> DataFrame:

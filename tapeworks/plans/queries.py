@@ -102,9 +102,9 @@ def stored(s: SparkSession, d: str, tf: str) -> str:
     return folder
 
 
-ASOF, FROM, TO = dt.datetime(2024, 1, 25, 12), dt.datetime(2024, 1, 3, 9), dt.datetime(2024, 1, 28, 18)
+ASOF = dt.datetime(2024, 1, 25, 12)
 register("candle_scan", lambda s, d: out(store.scan_store(s, stored(s, d, "15minute"), M.watchlist(s, d), ASOF, "15minute"), BAR), sql(BAR, "bars15", BAR_D, "ts BETWEEN TIMESTAMP '2024-01-10 12:00:00' AND TIMESTAMP '2024-01-25 12:00:00' AND symbol IN (SELECT symbol FROM watchlist)"))
-register("chunked_union", lambda s, d: out(store.history(s, stored(s, d, "60minute"), "60minute", FROM, TO, days=7), BAR), sql(BAR, "bars60", BAR_D, f"ts BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}'"))
+register("chunked_union", lambda s, d: out(store.history(s, stored(s, d, "60minute"), "60minute", days=7), BAR), sql(BAR, "bars60", BAR_D))
 
 
 def fed(s: SparkSession, df: DataFrame, part: Column, n: int, start: Callable[[DataFrame, str], list[StreamingQuery]], read: Callable[[str], DataFrame] | None = None) -> str:

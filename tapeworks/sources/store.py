@@ -34,9 +34,8 @@ def write_bars(bars: DataFrame, path: str, files: int = 1) -> None:
     _replace(bars.select(*BAR).withColumn("date", F.to_date("ts")), path, ["timeframe", "date"], files)
 
 
-def read_bars(spark: SparkSession, path: str, timeframe: str, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
-    """Bars of a timeframe from start to end, both included; folders of other timeframes and dates aren't read."""
-    df = spark.read.schema(_BARS).parquet(path).where(F.col("timeframe") == timeframe)
+def _between(bars: DataFrame, timeframe: str, start: dt.datetime | None, end: dt.datetime | None) -> DataFrame:
+    df = bars.where(F.col("timeframe") == timeframe)
     if start:
         df = df.where((F.col("date") >= F.lit(start.date())) & (F.col("ts") >= F.lit(start).cast("timestamp_ntz")))
     if end:
@@ -44,6 +43,11 @@ def read_bars(spark: SparkSession, path: str, timeframe: str, start: dt.datetime
     return df.select(*BAR)
 
 
+def read_bars(spark: SparkSession, path: str, timeframe: str, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
+    """Bars of a timeframe from start to end, both included; folders of other timeframes and dates aren't read."""
+    return _between(spark.read.schema(_BARS).parquet(path), timeframe, start, end)
+
+
 def scan_store(spark: SparkSession, path: str, watchlist: DataFrame, asof: dt.datetime, timeframe: str) -> DataFrame:
     """Bars of the watchlist within the timeframe's lookback before asof."""
     start = asof - dt.timedelta(days=LOOKBACK_DAYS.get(timeframe, 30))
@@ -54,17 +58,24 @@ def date_slices(spark: SparkSession, path: str, timeframe: str, start: dt.dateti
     """Bars from start to end in slices of so many days, each sharing its last day with the next; a slice reads its own dates."""
     if days < 1:
         raise ValueError("days: at least 1")
+    bars = spark.read.schema(_BARS).parquet(path)  # lists the store's files once for all slices
     out, at = [], start
     while True:
         to = min(end, at + dt.timedelta(days=days))
-        out.append(read_bars(spark, path, timeframe, at, to))
+        out.append(_between(bars, timeframe, at, to))
         if to >= end:
             return out
         at = dt.datetime.combine(to.date(), dt.time())
 
 
-def history(spark: SparkSession, path: str, timeframe: str, start: dt.datetime, end: dt.datetime, days: int = 60) -> DataFrame:
-    """The slices as one history, each bar once."""
+def history(spark: SparkSession, path: str, timeframe: str, start: dt.datetime | None = None, end: dt.datetime | None = None, days: int = 60) -> DataFrame:
+    """The slices as one history, each bar once; without a start or an end it goes from the first or to the last bar in the store."""
+    if start is None or end is None:
+        own = read_bars(spark, path, timeframe, start, end)
+        ends = own.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+        if ends.first is None:
+            return own
+        start, end = start or ends.first, end or ends.last
     return chunked_union(date_slices(spark, path, timeframe, start, end, days))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.operators import bars as B
 from tapeworks.operators import journal, news, oi
 from tapeworks.params import Params
+from tapeworks.plans import queries as market
 from tapeworks.sources import results, store
 from tapeworks.sources.market import oi_samples, ticks, watchlist
 from tapeworks.streaming import jobs
@@ -63,6 +64,21 @@ def test_slices_are_one_history(spark, bar_store):
         store.date_slices(spark, bar_store, "60minute", start, end, 0)
 
 
+def test_a_history_without_ends_is_the_whole_store(spark, bar_store, tmp_path):
+    whole = store.read_bars(spark, bar_store, "60minute")
+    for days in (1, 7, 60):
+        got = store.history(spark, bar_store, "60minute", days=days)
+        assert got.count() == whole.count() and got.select(whole.columns).exceptAll(whole).count() == 0
+    for ends in ({"start": DAY}, {"end": DAY}):
+        got, want = store.history(spark, bar_store, "60minute", **ends, days=4), store.read_bars(spark, bar_store, "60minute", **ends)
+        assert got.count() == want.count() > 0 and got.select(want.columns).exceptAll(want).count() == 0
+    store.write_bars(whole.where("false"), str(tmp_path / "none"))
+    assert store.history(spark, str(tmp_path / "none"), "60minute").count() == 0
+    queries = market.registered()
+    got, want = queries["chunked_union"](spark, DATA), queries["ticks_to_bars"](spark, DATA)
+    assert got.count() == want.count() and got.exceptAll(want.select(got.columns)).count() == 0
+
+
 def test_late_ticks_change_their_bars_and_no_other_dates(spark, tmp_path):
     t = ticks(spark, DATA).drop("sgn")
     late = (F.col("event_id") % 20 == 3) & (F.to_date("ts") < F.lit("2024-01-05"))
