@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import cut_counted, drop_cut
+from tapeworks.llm.shared import cut, cut_counted, drop_cut
 
 
 def parted_anew(df: DataFrame, key: str) -> DataFrame:
@@ -18,29 +18,36 @@ def _least(edges: DataFrame, name: str) -> DataFrame:
     return parted_anew(edges.select(F.col("u").alias(name), "v").groupBy(name).agg(F.min("v").alias("m")), name)
 
 
-def _kept(edges: DataFrame) -> tuple[DataFrame, dict]:
-    """The edges as a table, with their number and checksum."""
-    return cut_counted(edges, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+def _neighbours(e: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The edges both ways; a table (large, m) of each node's smallest neighbour; how many nodes keep the edges from being stars about their smallest node."""
+    ways = F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = e.select(ways.alias("e")).select(F.col("e.u").alias("u"), F.col("e.v").alias("v"))
+    least = both.groupBy(F.col("u").alias("large")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least, seen = cut_counted(least, F.count_if((F.col("m") < F.col("large")) & (F.col("n") > 1)).alias("open"))
+    return both, least.drop("n"), seen["open"]
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp) for every id in the links; comp is the smallest id of its component.
 
     Alternates the large-star and small-star steps: the number of rounds grows with the logarithm of a component's
-    size, and each node of it costs a row a round.  Links to null or to itself are left out.
+    size, and each node of it costs a row a round.  They end once no node with a smaller neighbour has another one, which the table of smallest
+    neighbours shows.  Links to null or to itself are left out.
     """
-    e, state = _kept(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = None
-    while state != before:
-        ways = F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-        both = e.select(ways.alias("e")).select(F.col("e.u").alias("u"), F.col("e.v").alias("v"))
-        least = _least(both, "large").hint("merge")  # no broadcasts: rounds are many, and each would hold memory of the driver
-        down = both.join(least, both.u == least.large).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    e = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    while True:
+        both, least, still_open = _neighbours(e)
+        if not still_open:
+            drop_cut(least)
+            break
+        large = parted_anew(least, "large").hint("merge")  # no broadcasts: rounds are many, and each would hold memory of the driver
+        down = both.join(large, both.u == large.large).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         down = down.distinct()  # every edge goes from u to a smaller v
-        least = _least(down, "small").hint("merge")
-        on = down.join(least, down.u == least.small).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new, now = _kept(on.unionByName(least.select(F.col("small").alias("u"), F.col("m").alias("v"))).distinct())
+        small = _least(down, "small").hint("merge")
+        on = down.join(small, down.u == small.small).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = cut(on.unionByName(small.select(F.col("small").alias("u"), F.col("m").alias("v"))).distinct())
         drop_cut(e)
-        e, before, state = new, state, now
+        drop_cut(least)
+        e = new
     own = e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     return own.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())

@@ -16,7 +16,7 @@ components of the links.  Pairs are never rows.  What buckets connect is a clust
 * In a larger cluster every node is first held against the ``HUBS`` hubs with which it shares most bands.  The
   components of these links are known before anything else is compared.  Then the nodes outside a cluster's largest
   component meet all of its nodes, block by block; a block joins components as it goes and puts out only the links that
-  joined some.  The blocks are those of the cluster or of its buckets, whichever move fewer rows.
+  joined some, as links between components.  The blocks are those of the cluster or of its buckets, whichever move fewer rows.
 
 So no link between nodes that share a bucket is lost to the components, and only nodes that are like many others but
 linked to few of them cost more than their number.
@@ -184,8 +184,8 @@ def _groups(table: pa.Table):
 
 
 def _join_bin(table: pa.Table) -> pa.Table:
-    """Links (a, b) from the groups of a bin."""
-    out = [link for group in _groups(table) for link in joining_links(*group)]
+    """Links (a, b) between components, from the groups of a bin."""
+    out = [link for _, comp, side, sets in _groups(table) for link in joining_links(comp, comp, side, sets)]
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
@@ -227,11 +227,10 @@ def _mixed(own: DataFrame) -> DataFrame:
     return whole.withColumn("moved", F.col("n") * F.col("others") + F.col("n_others") * F.col("blocks"))
 
 
-def _large_links(large: DataFrame, buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of the nodes of large clusters (id, cluster, size): those to hubs, and those that blocks find between their components."""
+def _solve_large(large: DataFrame, buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, comp) of the nodes of large clusters (id, cluster, size): components of the links to hubs, joined by the links that blocks find between them."""
     own = buckets.join(large.select("id", "cluster", "size"), "id")
-    links = cut(verified(_hub_pairs(own), sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"))
-    comps = components(links)
+    comps = components(verified(_hub_pairs(own), sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"))
     known = lambda df: df.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     by_bucket = cut(known(own.select(F.col("b").alias("g"), "cluster", "id", "size")))
     by_cluster = cut(known(large.select(F.col("cluster").alias("g"), "cluster", "id", "size")))
@@ -246,7 +245,9 @@ def _large_links(large: DataFrame, buckets: DataFrame, sets: DataFrame) -> DataF
         one = met.where("comp <> main").select("g", "id", "comp", F.lit(1).alias("side"), every("blocks").alias("i"), deal("others").alias("j"))
         items.append(zero.unionByName(one))
     both = items[0].unionByName(items[1]).join(sets, "id").withColumn("bin", F.xxhash64("g", "i", "j"))
-    return links.unionByName(both.select("bin", "g", "id", "comp", "side", "elements").groupBy("bin").applyInArrow(_join_bin, "a long, b long"))
+    met = components(both.select("bin", "g", "id", "comp", "side", "elements").groupBy("bin").applyInArrow(_join_bin, "a long, b long"))
+    met = parted_anew(met.select(F.col("id").alias("comp"), F.col("comp").alias("joined")), "comp")
+    return by_cluster.join(met, "comp", "left").select("id", F.coalesce("joined", "comp").alias("comp"))
 
 
 def digest(text: str) -> Column:
@@ -260,8 +261,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     nodes = signatures(own, "t").groupBy("key").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"))
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
     rows = nodes.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("b"))
-    first = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"))).alias("first")
-    hubs = parted_anew(rows.groupBy("b").agg(first, F.count("*").alias("n")).where("n > 1").select("b", F.col("first.id").alias("hub")), "b")
+    least = F.min("id").alias("hub")  # the smallest id, about which components are stars too
+    hubs = parted_anew(rows.groupBy("b").agg(least, F.count("*").alias("n")).where("n > 1").select("b", "hub"), "b")
     buckets = cut(rows.join(hubs.hint("merge"), "b"))
     clusters = components(buckets.select("id", "hub"), "id", "hub").select("id", F.col("comp").alias("cluster"))
     need = nodes.join(clusters, "id").select("key", "id", "doc", "cluster")
@@ -278,7 +279,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
     comps = small.groupBy("bin").applyInArrow(_solve_bin, "id long, comp long")
     if total.large:
-        comps = comps.unionByName(components(_large_links(cut(light.join(of_size(True), "cluster")), buckets, sets.select("id", "elements"))))
+        comps = comps.unionByName(_solve_large(cut(light.join(of_size(True), "cluster")), buckets, sets.select("id", "elements")))
     comps = comps.hint("merge")
     return nodes.select("id", "key", "doc").join(comps, "id", "left").select("key", "doc", F.coalesce("comp", "id").alias("comp"))
 

@@ -701,3 +701,14 @@ def test_added_personal_data_needs_checks_and_context(spark):
     r = pii.redact(pii.find(spark.createDataFrame([(1, many)], "doc_id long, text string"))).first()
     assert r.text == "é " + " ".join("[EMAIL] [PHONE]" for _ in range(3000)) + " end"
     assert pii.redact(pii.find(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))).count() == 2
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    """Stars about their smallest node take no round; what isn't one takes some; each edge table is written once."""
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(0) or cut(df))
+    find = lambda edges: {r.id: r.comp for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert find([(1, i) for i in range(2, 40)] + [(50, 51), (7, 7)]) == {i: 1 for i in range(1, 40)} | {50: 50, 51: 50}
+    assert len(written) == 1
+    assert find([(i, i + 1) for i in range(30)]) == {i: 0 for i in range(31)} and len(written) > 2
+    assert find([(99, i) for i in range(20)]) == {i: 0 for i in [*range(20), 99]} and find([]) == {}
