@@ -8,9 +8,10 @@ marks repetition or few kinds of words, one below it random or encoded matter.
 good ones, by half octaves, and beyond the longest of these a line through the last ``TREND`` medians, so that a text
 of any length is judged; limits are in parts of it.  An upper limit is where keeping good documents
 (``GOOD_COUNTS`` times) and rejecting the others goes best; the lower ones lie half as far again below 1 as the lowest
-good document.  It learns from ``MAX_DOCS`` documents of each class at most, those with the smallest hashes, whose
-``crc32(doc_id)`` isn't divisible by 5; of a repeated id, from its least text.  Without ``LEAST_GOOD`` good documents
-(for the chunks' limits: with a chunk) the bands are ``DEFAULT``, which are wide.
+good document.  It learns from every labelled document whose ``crc32(doc_id)`` isn't divisible by 5; of a repeated id,
+from its least text.  Medians and upper limits come from counts of all documents by steps of 1 / ``STEPS`` octave, so
+that what is collected is bounded.  Without ``LEAST_GOOD`` good documents (for the chunks' limits: with a chunk) the
+bands are ``DEFAULT``, which are wide.
 
 Chunks are full: the last one of a text ends where the text does, and so overlaps the one before.  A text shorter
 than a chunk has the whole as its only chunk, and that is judged as the whole.
@@ -27,16 +28,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.llm.shared import cut, free_name
 from tapeworks.llm.words import append_columns
 
 #: Bytes of a chunk.
 CHUNK_BYTES = 4096
 LEVEL = 3
-#: Labelled documents of each class that the bands learn from at most; good ones needed; how much a good one counts.
-MAX_DOCS, LEAST_GOOD, GOOD_COUNTS = 4000, 50, 5
+#: Good documents needed; how much a good one counts.
+LEAST_GOOD, GOOD_COUNTS = 50, 5
+#: Steps of an octave by which lengths and ratios are counted.
+STEPS = 4096
 #: Medians that the line for longer texts goes through: two octaves of them.
 TREND = 4
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -52,15 +56,13 @@ class Bands:
     chunk: tuple[float, float]
     rise: float  # of the usual ratio with each doubling beyond the last knot
 
-    def part(self, size: int, ratio: float) -> float:
-        x = np.log2(max(size, 1))
-        return ratio / (float(np.interp(x, self.knots, self.usual)) + self.rise * max(float(x) - self.knots[-1], 0.0))
-
-    def hold(self, size: int, whole: float, least: float | None, most: float | None) -> bool:
-        """Whether a text of so many bytes lies within the bands; least and most are parts, of its chunks."""
-        if not self.whole[0] <= self.part(size, whole) <= self.whole[1]:
-            return False
-        return least is None or (self.chunk[0] <= least and most <= self.chunk[1])
+    def usual_at(self, size: Column) -> Column:
+        """The usual ratio of so many bytes."""
+        x = F.log2(F.greatest(size, F.lit(1)))
+        out = F.when(x <= self.knots[0], self.usual[0])
+        for a, b, u, v in zip(self.knots, self.knots[1:], self.usual, self.usual[1:]):
+            out = out.when(x <= b, u + (v - u) / (b - a) * (x - a))
+        return out.otherwise(self.usual[-1] + self.rise * (x - self.knots[-1]))
 
 
 DEFAULT = Bands((8.0, 10.0, 12.0, 14.0, 16.0), (1.5, 1.9, 2.2, 2.4, 2.6), (0.5, 3.0), (0.5, 3.0), 0.1)
@@ -101,65 +103,99 @@ def _compressor():
     return zstandard.ZstdCompressor(level=LEVEL).compress
 
 
-def _upper(good: np.ndarray, bad: np.ndarray) -> float:
-    """The limit with the least cost of good ones above and bad ones below it, midway to the next; none of the good without bad ones."""
-    if not len(bad):
-        return 1 + 1.5 * (float(good.max()) - 1)
-    at = np.unique(np.concatenate([good, bad]))
-    cost = GOOD_COUNTS * (len(good) - np.searchsorted(np.sort(good), at, side="right")) + np.searchsorted(np.sort(bad), at, side="right")
-    i = int(np.argmin(cost))
-    return float((at[i] + at[i + 1]) / 2) if i + 1 < len(at) else 1 + 1.5 * (float(at[i]) - 1)
+def _failed(counts: tuple[int, ...]) -> bool:
+    return counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
 
 
-def bands_of(good: np.ndarray, size: np.ndarray, whole: np.ndarray, chunks: list[list[tuple[int, float]]]) -> Bands:
-    """Bands from documents: whether each is good, its bytes, ratio and chunks."""
-    x = np.log2(np.maximum(size, 1))
-    half = np.floor(2 * x)
-    groups = [np.flatnonzero(good & (half == h)) for h in np.unique(half[good])]
-    groups = [g for g in groups if len(g) >= 8]
-    if good.sum() < LEAST_GOOD or len(groups) < 2:
-        return DEFAULT
-    knots, usual = tuple(float(np.median(x[g])) for g in groups), tuple(float(np.median(whole[g])) for g in groups)
-    rise = max(float(np.polyfit(knots[-TREND:], usual[-TREND:], 1)[0]), 0.0)
-    own = Bands(knots, usual, (0, 9), (0, 9), rise)
-    part = np.array([own.part(int(s), r) for s, r in zip(size, whole)])
-    most = np.array([max((own.part(*c) for c in own_chunks), default=np.nan) for own_chunks in chunks])
-    least = np.array([min((own.part(*c) for c in own_chunks), default=np.nan) for own_chunks in chunks])
-    some = ~np.isnan(most)
-    lower = lambda v: 1 - 1.5 * (1 - float(min(v.min(), 1)))
-    chunk = (lower(least[good & some]), _upper(most[good & some], most[~good & some])) if (good & some).sum() >= LEAST_GOOD else DEFAULT.chunk
-    return Bands(knots, usual, (lower(part[good]), _upper(part[good], part[~good])), chunk, rise)
-
-
-def fit_bands(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Bands:
-    """Bands fitted to a bounded sample of docs (doc_id, text) that labels (doc_id, quality) cover; base failures are left out."""
-    own = labels.where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    own = own.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    order = F.xxhash64("doc_id")
-    picked = [own.where(F.col("quality") == q).orderBy(order, "doc_id").limit(max_docs) for q in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # max_docs ids of each class
-    sample = sample.groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+def measured(docs: DataFrame, text: str, size: str, low: str, high: str) -> DataFrame:
+    """docs with the base counts, ``base_failed`` and ``whole_ratio``, the bytes, and the least and the highest ratio of a chunk."""
+    fields = {k: "bigint" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    fields |= {"base_failed": "boolean", "whole_ratio": "double", size: "bigint", low: "double", high: "double"}
 
     def work(texts: pa.Array, compress) -> list:
         out = []
         for t in texts.to_pylist():
             raw = (t or "").encode()
-            whole, chunks = ratios(raw, compress)
             counts = base_counts(t or "")
-            out.append((len(raw), whole, [{"n": n, "ratio": r} for n, r in chunks], _failed(counts)))
-        return [[x[i] for x in out] for i in range(4)]
-
-    fields = {"size": "bigint", "whole": "double", "chunks": "array<struct<n:bigint,ratio:double>>", "failed": "boolean"}
-    ends = F.array_compact(F.array(F.array_min(F.transform("chunks", lambda c: F.struct(c["ratio"], c["n"]))), F.array_max(F.transform("chunks", lambda c: F.struct(c["ratio"], c["n"])))))
-    found = append_columns(sample, "text", fields, work, _compressor).where("not failed")
-    got = found.select("doc_id", "quality", "size", "whole", ends.alias("ends")).orderBy("doc_id").collect()  # of a bounded number
-    if not got:
+            whole, chunks = ratios(raw, compress)
+            chunks = [r for _, r in chunks]
+            out.append((*counts, _failed(counts), whole, len(raw), min(chunks, default=None), max(chunks, default=None)))
+        return [[x[i] for x in out] for i in range(len(fields))]
+
+    return append_columns(docs, text, fields, work, _compressor)
+
+
+def _judged(found: DataFrame, bands: Bands, size: str, low: str, high: str) -> DataFrame:
+    """found with ``least_chunk`` and ``most_chunk`` (parts of the usual ratio) and ``kept``."""
+    of_chunk = bands.usual_at(F.lit(CHUNK_BYTES))
+    out = found.withColumns({"least_chunk": F.col(low) / of_chunk, "most_chunk": F.col(high) / of_chunk})
+    whole = (F.col("whole_ratio") / bands.usual_at(F.col(size))).between(*bands.whole)
+    chunk = F.col("least_chunk").isNull() | (F.col("least_chunk") >= bands.chunk[0]) & (F.col("most_chunk") <= bands.chunk[1])
+    return out.withColumn("kept", ~F.col("base_failed") & whole & chunk).drop(size, low, high)
+
+
+def _step(value: Column) -> Column:
+    return F.floor(F.log2(value) * STEPS)
+
+
+def _medians(good: DataFrame, value: str) -> dict[int, tuple[float, int]]:
+    """Median step of a column and number of documents, by half octave of the size; at most some dozens of them."""
+    n = good.groupBy("half", _step(F.col(value)).alias("step")).agg(F.count("*").alias("n"))
+    return {r.half: (r.median / STEPS, r.n) for r in n.groupBy("half").agg(F.percentile("step", 0.5, F.col("n")).alias("median"), F.sum("n").alias("n")).collect()}
+
+
+def _upper(found: DataFrame, part: Column) -> float:
+    """The limit with the least cost of good ones above and bad ones below it, midway to the next; none of the good without bad ones."""
+    own = found.select("good", part.alias("part")).where("part is not null")
+    rows = own.groupBy(_step(F.col("part")).alias("step")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"), F.max("part").alias("most"))
+    got = sorted(rows.collect(), key=lambda r: r.step)  # STEPS for each octave that parts span
+    good, bad = np.array([r.good for r in got]), np.array([r.bad for r in got])
+    if not bad.any():
+        return 1 + 1.5 * (got[-1].most - 1)
+    cost = GOOD_COUNTS * (good.sum() - np.cumsum(good)) + np.cumsum(bad)
+    i = int(np.argmin(cost))
+    middle = lambda r: 2 ** ((r.step + 0.5) / STEPS)
+    return float((middle(got[i]) + middle(got[i + 1])) / 2) if i + 1 < len(got) else 1 + 1.5 * (got[i].most - 1)
+
+
+def _least_of_ids(found: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """A row of each id: that of its least text.  Texts are looked at again only where an id has several."""
+    twice = cut(found.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("doc_id"))
+    if not twice.isEmpty():
+        least = docs.join(twice, "doc_id").groupBy("doc_id").agg(digest(F.min(F.coalesce("text", F.lit("")))).alias("least"))
+        found = found.join(least, "doc_id", "left").where(F.col("least").isNull() | (F.col("least") == F.col(key))).drop("least")
+    return found.dropDuplicates(["doc_id"])
+
+
+def digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _bands(found: DataFrame, docs: DataFrame, labels: DataFrame) -> Bands:
+    """Bands from measured rows (doc_id, key, size, low, high and others) of docs."""
+    own = labels.where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    own = own.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).where("quality in (0, 1)")
+    found = found.select("doc_id", "key", "base_failed", "whole_ratio", "size", "low", "high").join(own, "doc_id")
+    found = cut(_least_of_ids(cut(found), docs, "key").where("not base_failed").withColumn("good", F.col("quality") == 1).withColumn("half", F.floor(2 * F.log2("size"))))
+    good = found.where("good")
+    x, ratio = _medians(good, "size"), _medians(good, "whole_ratio")
+    halves = sorted(h for h in x if x[h][1] >= 8)
+    if sum(n for _, n in x.values()) < LEAST_GOOD or len(halves) < 2:
         return DEFAULT
-    return bands_of(np.array([r.quality == 1 for r in got]), np.array([r.size for r in got]), np.array([r.whole for r in got]), [[(e.n, e.ratio) for e in r.ends] for r in got])
+    knots, usual = tuple(x[h][0] for h in halves), tuple(2 ** ratio[h][0] for h in halves)
+    rise = max(float(np.polyfit(knots[-TREND:], usual[-TREND:], 1)[0]), 0.0)
+    line = Bands(knots, usual, (0, 9), (0, 9), rise)
+    part, of_chunk = F.col("whole_ratio") / line.usual_at(F.col("size")), line.usual_at(F.lit(CHUNK_BYTES))
+    ends = good.agg(F.min(part).alias("whole"), F.min(F.col("low") / of_chunk).alias("chunk"), F.count("low").alias("n")).first()
+    lower = lambda v: 1 - 1.5 * (1 - min(v, 1))
+    chunk = (lower(ends.chunk), _upper(found, F.col("high") / of_chunk)) if ends.n >= LEAST_GOOD else DEFAULT.chunk
+    return Bands(knots, usual, (lower(ends.whole), _upper(found, part)), chunk, rise)
 
 
-def _failed(counts: tuple[int, ...]) -> bool:
-    return counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+def fit_bands(docs: DataFrame, labels: DataFrame) -> Bands:
+    """Bands fitted to all of docs (doc_id, text) that labels (doc_id, quality) cover; base failures are left out."""
+    docs = docs.select("doc_id", "text")
+    return _bands(measured(docs.withColumn("key", digest(F.col("text"))), "text", "size", "low", "high"), docs, labels)
 
 
 def rules(docs: DataFrame, bands: Bands = DEFAULT, text: str = "text") -> DataFrame:
@@ -167,23 +203,11 @@ def rules(docs: DataFrame, bands: Bands = DEFAULT, text: str = "text") -> DataFr
 
     Columns of docs with these names are replaced.
     """
-    fields = {k: "bigint" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    fields |= {"base_failed": "boolean", "whole_ratio": "double", "least_chunk": "double", "most_chunk": "double", "kept": "boolean"}
-
-    def work(texts: pa.Array, compress) -> list:
-        out = []
-        for t in texts.to_pylist():
-            raw = (t or "").encode()
-            counts = base_counts(t or "")
-            failed = _failed(counts)
-            whole, chunks = ratios(raw, compress)
-            parts = [bands.part(*c) for c in chunks]
-            least, most = min(parts, default=None), max(parts, default=None)
-            out.append((*counts, failed, whole, least, most, not failed and bands.hold(len(raw), whole, least, most)))
-        return [[x[i] for x in out] for i in range(len(fields))]
-
-    return append_columns(docs, text, fields, work, _compressor)
+    names = free_name(docs, "__size", "__low", "__high")
+    return _judged(measured(docs, text, *names), bands, *names)
 
 
 def op8_compression_bands(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return rules(docs.select("doc_id", "text"), fit_bands(docs, labels)).drop("text")
+    docs = docs.select("doc_id", "text")
+    found = cut(measured(docs.withColumn("key", digest(F.col("text"))), "text", "size", "low", "high").drop("text"))
+    return _judged(found, _bands(found, docs, labels), "size", "low", "high").drop("key")

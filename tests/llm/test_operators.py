@@ -712,3 +712,15 @@ def test_components_end_with_stars(spark, monkeypatch):
     assert len(written) == 1
     assert find([(i, i + 1) for i in range(30)]) == {i: 0 for i in range(31)} and len(written) > 2
     assert find([(99, i) for i in range(20)]) == {i: 0 for i in [*range(20), 99]} and find([]) == {}
+
+
+def test_quality_bands_learn_from_all_labelled_documents(spark):
+    """The good documents with the largest hashes are of another kind; 4000 of each class were learnt from."""
+    order = [r.id for r in spark.range(6500).where("crc32(cast(cast(id as string) as binary)) % 5 != 0").orderBy(F.xxhash64("id")).collect()]
+    late, rng = set(order[4000:]), random.Random(3)
+    text = lambda i: " ".join("%012x" % rng.getrandbits(2**4 * 3) if i in late else rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(60 + i % 90))
+    d = spark.createDataFrame([(i, text(i)) for i in order], "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame([(i, 1, 0) for i in order], "doc_id long, quality int, toxic int")
+    assert len(late) > 500
+    got = quality.op8_compression_bands(d, lab).where("not base_failed")
+    assert got.where("not kept").count() == 0 < got.count()
